@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, sharding, tokens, urls
+from quarry.llm import decontaminate, rules, sharding, tokens, urls
 from quarry.llm.common import table
 
 
@@ -34,12 +34,16 @@ def op6_token_counts(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op8_quality_rules(spark, sf_dir):
+    return rules.judge_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_sharding, op6_token_counts, op10_url_filter)}
+    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_sharding, op6_token_counts, op8_quality_rules, op10_url_filter)}
 
 
 def oracle_sql():
