@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, rules, sharding, tokens, urls
-from quarry.llm.common import table
+from quarry.llm import decontaminate, langid, quality, rules, sharding, tokens, urls
+from quarry.llm.common import crc_mod, table
 
 
 def op1_bpe(spark, sf_dir):
@@ -27,6 +27,13 @@ def op3_sharding(spark, sf_dir):
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("bad_lines").alias("n_bad_lines"))
+
+
 def op6_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     docs = docs.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
@@ -34,6 +41,13 @@ def op6_token_counts(spark, sf_dir):
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, crc_mod(F.col("doc_id"), 5) != 0)
+    found = langid.predict(docs, model, keep=["doc_id"])
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op8_quality_rules(spark, sf_dir):
     return rules.judge_lines(table(spark, sf_dir, "documents"))
 
@@ -43,7 +57,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_sharding, op6_token_counts, op8_quality_rules, op10_url_filter)}
+    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_sharding, op4_quality, op6_token_counts, op7_language_id, op8_quality_rules, op10_url_filter)}
 
 
 def oracle_sql():
