@@ -26,10 +26,12 @@ from quarry.llm.common import map_batches, pick
 MAX_BLOCK_BYTES = 8 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: The same on UTF-8 bytes: letters a-z, digits and all bytes of other characters make words, the rest is white space.
+BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def normal_words(text: str) -> list[str]:
-    return WORD.findall(text.lower() if text.isascii() else text.translate(LOWER))
+def normal_words(text: str) -> list[bytes]:
+    return text.encode("utf-8").translate(BYTES).split()
 
 
 class Windows:
@@ -38,7 +40,7 @@ class Windows:
     P = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, items: list[tuple[str, str]], n: int):
-        self.words: dict[str, int] = {}
+        self.words: dict[bytes, int] = {}
         self.by_size: dict[int, dict[tuple[int, ...], set[str]]] = {}
         for item, text in items:
             ids = [self.words.setdefault(w, len(self.words)) for w in normal_words(text)]
@@ -60,7 +62,7 @@ class Windows:
             out = out * self.P + a[i : len(a) - size + 1 + i]
         return out
 
-    def find(self, words: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans [from, to) of words hit, merged, and the items found."""
         if len(words) < self.least:
             return [], set()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, langid, quality, rules, sharding, tokens, urls
+from quarry.llm import decontaminate, langid, neardup, quality, rules, sharding, tokens, urls
 from quarry.llm.common import crc_mod, table
 
 
@@ -52,12 +52,17 @@ def op8_quality_rules(spark, sf_dir):
     return rules.judge_lines(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark, sf_dir):
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op10_url_filter(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_sharding, op4_quality, op6_token_counts, op7_language_id, op8_quality_rules, op10_url_filter)}
+    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_sharding, op4_quality, op6_token_counts, op7_language_id, op8_quality_rules, op9_minhash, op10_url_filter)}
 
 
 def oracle_sql():
