@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from struct import pack, unpack
 
 MAX_STATES = 30_000
 MAX_PAIRS = 250_000
@@ -154,75 +155,122 @@ class Transducer:
             return ()
         out: list[int] = []
         state, steps = 0, self.steps
-        for byte in data:
+        for at, byte in enumerate(data):
             hit = steps[state].get(byte)
             if hit is None:
                 if len(steps) >= MAX_STATES:
-                    return self.run(data)
+                    return (*out, *self.run(self.states[state], data, at))
                 hit = self.step(state, byte)
             state = hit[0]
             if hit[1]:
                 out += hit[1]
         return (*out, *next(c[2] for c in self.states[state] if c[0] == 0))
 
-    def run(self, data: bytes) -> tuple[int, ...]:
-        """The same machine without determinising: all live configurations side by side."""
-        child, token, known, apart = self.child.get, self.token, self.pairs.known.get, self.pairs.apart
-        last, since, live = [-1], [0], [(0, 0)]
-        for byte in data:
-            on, t_last, t_from = [], -1, 0
-            for node, start in live:
-                node = child(node << 8 | byte, 0)
-                if node:
-                    on.append((node, start))
+    def advance(self, live: list[tuple[int, int, tuple[int, ...]]], byte: int) -> list[tuple[int, int, tuple[int, ...]]]:
+        """The configurations after one more byte."""
+        child, token = self.child.get, self.token
+        on, closed = [], None
+        for node, last, out in live:
+            node = child(node << 8 | byte)
+            if node:
+                on.append((node, last, out))
+                if closed is None:
                     t = token[node]
-                    if t >= 0 and t_last < 0:
-                        before = last[start]
-                        if before < 0:
-                            fits = start == 0
+                    if t >= 0:
+                        if last < 0:
+                            closed = (0, t, (t,))
                         else:
-                            fits = known(before << 20 | t)
-                            if fits is None:
-                                fits = apart(before, t)
-                        if fits:
-                            t_last, t_from = t, start
-            last.append(t_last)
-            since.append(t_from)
-            if t_last >= 0:
-                on.append((0, len(last) - 1))
-            live = on
-        out, i = [], len(data)
-        while i:
-            out.append(last[i])
-            i = since[i]
-        return tuple(out[::-1])
+                            fits = self.pairs.known.get(last << 20 | t)
+                            if fits or fits is None and self.pairs.apart(last, t):
+                                closed = (0, t, (*out, t))
+        if closed is not None:
+            on.append(closed)
+        return on
+
+    def run(self, live: Iterable[tuple[int, int, tuple[int, ...]]], data: bytes, at: int) -> tuple[int, ...]:
+        """The same machine without determinising: all live configurations side by side, from the byte at ``at`` on."""
+        emitted: list[int] = []
+        for i in range(at, len(data)):
+            live = self.advance(live, data[i])
+            if len(live[-1][2]) > 64:
+                n = min(len(c[2]) for c in live)
+                while any(c[2][:n] != live[0][2][:n] for c in live):
+                    n -= 1
+                emitted += live[0][2][:n]
+                live = [(node, last, out[n:]) for node, last, out in live]
+        return (*emitted, *next(c[2] for c in live if c[0] == 0))
+
+    def encode_sorted(self, words: list[bytes]) -> Iterator[tuple[int, ...]]:
+        """Tokens of many pre-tokens in byte order: each goes on from the state of the prefix it shares with the one before."""
+        path = [self.states[0]]
+        before = b""
+        for data in words:
+            got = self.ranks.get(data)
+            if got is not None:
+                yield (got,)
+                continue
+            if len(data) > 64:
+                yield self.encode(data)
+                continue
+            n, most = 0, min(len(data), len(path) - 1)
+            while n < most and data[n] == before[n]:
+                n += 1
+            del path[n + 1 :]
+            live, before = path[n], data
+            for i in range(n, len(data)):
+                live = self.advance(live, data[i])
+                path.append(live)
+            yield next(c[2] for c in live if c[0] == 0) if data else ()
 
 
 class Encoder:
-    """Text -> token ids: pre-tokens by a pattern, each through the transducer; recent pre-tokens are remembered."""
+    """Texts -> token ids: pre-tokens by a pattern, each through the transducer; recent pre-tokens are remembered.
+
+    The ids of a pre-token are kept as packed 32-bit numbers, so those of a
+    text are joined bytes.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, proven: Iterable[bytes] | None = None):
         import regex
 
         self.find = regex.compile(pattern).findall
         self.machine = Transducer(ranks, proven)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = self.older.get(word) or self.machine.encode(word.encode("utf-8"))
-        if len(word) <= 64:
-            if len(self.words) >= MAX_WORDS:
-                self.words, self.older = {}, self.words
-            self.words[word] = ids
-        return ids
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, found: list[list[str]]) -> None:
+        """Make sure that ``words`` holds every pre-token of ``found``."""
+        distinct = set().union(*found)
+        if len(self.words) > MAX_WORDS:
+            self.words, self.older = {}, self.words
+        missing = {}
+        for w in distinct - self.words.keys():
+            ids = self.older.get(w)
+            if ids is None:
+                missing[w.encode("utf-8")] = w
+            else:
+                self.words[w] = ids
+        order = sorted(missing)
+        for data, ids in zip(order, self.machine.encode_sorted(order), strict=True):
+            self.words[missing[data]] = pack(f"{len(ids)}i", *ids)
+
+    def encode_all(self, texts: list[str], most: int = 1 << 20) -> Iterator[bytes]:
+        """Packed ids of each text; pre-tokens of about ``most`` characters of text are held at a time."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= most):
+                size += len(texts[end])
+                end += 1
+            found = [self.find(t) for t in texts[at:end]]
+            self.learn(found)
+            for words in found:
+                yield b"".join(map(self.words.__getitem__, words))
+            at = end
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        word = self.word
-        for w in self.find(text):
-            out += self.words.get(w) or word(w)
-        return out
+        data = next(self.encode_all([text]))
+        return list(unpack(f"{len(data) // 4}i", data))
 
 
 #: UTF-8: bytes that must follow a lead byte, by its class (first byte of the class, bytes that follow).

@@ -35,7 +35,10 @@ def crc_mod(doc_id, n: int):
 
 def texts_of(column: pa.Array) -> list:
     """The values of a column of strings or lists, null as empty."""
-    empty = [] if pa.types.is_list(column.type) or pa.types.is_large_list(column.type) else ""
+    if pa.types.is_list(column.type):
+        flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+        return [flat[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)]
+    empty = ""
     return [x or empty for x in column.to_pylist()]
 
 

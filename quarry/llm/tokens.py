@@ -13,7 +13,7 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +43,11 @@ def _vocabulary(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
+def _lists(packed: Iterable[bytes]) -> pa.Array:
+    rows = list(packed)
     ends = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=ends[1:])
-    flat = np.empty(ends[-1], np.int32)
-    for i, r in enumerate(rows):
-        flat[ends[i] : ends[i + 1]] = r
-    return pa.ListArray.from_arrays(ends, flat)
+    np.cumsum([len(r) // 4 for r in rows], out=ends[1:])
+    return pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(rows), np.int32))
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -58,7 +56,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", kee
 
     def make():
         encoder = _once(("encode", digest, pattern), lambda: bpe.Encoder(bpe.load_ranks(data.value), pattern))
-        return lambda texts: [_lists([encoder.encode(t) for t in texts])]
+        return lambda texts: [_lists(encoder.encode_all(texts))]
 
     return add_by_text(df, make, "ids array<int>", text, keep)
 
