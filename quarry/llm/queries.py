@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, langid, neardup, quality, rules, sharding, tokens, urls
+from quarry.llm import decontaminate, langid, neardup, quality, repeats, rules, sharding, tokens, urls
 from quarry.llm.common import crc_mod, table
 
 
@@ -34,6 +34,11 @@ def op4_quality(spark, sf_dir):
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("bad_lines").alias("n_bad_lines"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    left = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     docs = docs.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
@@ -62,7 +67,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_sharding, op4_quality, op6_token_counts, op7_language_id, op8_quality_rules, op9_minhash, op10_url_filter)}
+    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_sharding, op4_quality, op5_suffix_dedup, op6_token_counts, op7_language_id, op8_quality_rules, op9_minhash, op10_url_filter)}
 
 
 def oracle_sql():
