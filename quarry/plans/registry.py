@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from quarry.plans import catalog, datasets, labels, log, pages, scores
+
 FLAGSHIP = "a04_quality_report"
-MODULES: list = []
+MODULES = [catalog, datasets, labels, log, pages, scores]
 
 
 def queries() -> dict:
