@@ -128,6 +128,7 @@ def _entries(length: int):
             keys = b.column(0).to_numpy(zero_copy_only=False)
             for s in chunks(_texts(b.column(1)), length):
                 _, one = np.unique(s.hash.view(np.uint64) + s.row.astype(np.uint64) * _BASE, return_index=True)
+                one.sort()  # rows of a document stay together, which shuffle compression rewards
                 yield pa.RecordBatch.from_arrays([pa.array(s.key[one]), pa.array(s.hash[one]), pa.array(keys[s.row[one]].astype(np.int64))], names=["m", "s", "d"])
 
     return fn
