@@ -15,16 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the session's shared folder.
 
     ``spark.checkpoint.dir`` names that folder on a cluster; only where it is
-    unset (local tests) a folder of our own is used.
+    unset (local tests) a folder of our own is used. At most ``parts`` files
+    are written.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "quarry-checkpoints"))
-    return df.checkpoint()
+    return (df if parts is None else df.coalesce(parts)).checkpoint()
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -40,13 +41,17 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
+#: Edges of one file of a round's edge table.
+EDGES = 100_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (the least node) for every node of an edge; null ends and loops are no edges."""
     now = checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b").distinct())
     mark = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     seen = mark(now)
     while seen["n"]:
-        now = checkpointed(_small(_large(now)))
+        now = checkpointed(_small(_large(now)), seen["n"] // EDGES + 1)  # rounds don't add edges
         new = mark(now)
         if new == seen:
             break
