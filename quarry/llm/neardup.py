@@ -187,33 +187,34 @@ def _several(entries: DataFrame, label: str) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """key, n_shingles, component_id and the digest ``set_id`` of every row; one row for each row of the table."""
     rows = pick(df, [key, text]).toDF("k", "t").withColumn("th", F.xxhash64("t"))
-    base = checkpointed(map_batches(rows.select("k", "th", "t"), _describe(shingle), "k long, th long, n long, d long, sig binary, keys array<long>"))
+    parts = max(1, rows.rdd.getNumPartitions())  # tables on the way have no more files than the input has splits
+    base = checkpointed(map_batches(rows.select("k", "th", "t"), _describe(shingle), "k long, th long, n long, d long, sig binary, keys array<long>"), parts)
     keys = base.select("d", F.explode("keys").alias("key"))
     crowded = keys.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select("key")
-    entries = checkpointed(keys.join(crowded, "key").select("key", "d").distinct())
+    entries = checkpointed(keys.join(crowded, "key").select("key", "d").distinct(), parts)
     named = entries.select("d").distinct()
-    known = checkpointed(base.select("k", "th", "d", "n", "sig").join(named, "d", "left_semi").groupBy("d").agg(F.min(F.struct("k", "th")).alias("row"), F.min("n").alias("n"), F.max("sig").alias("sig")))
+    known = checkpointed(base.select("k", "th", "d", "n", "sig").join(named, "d", "left_semi").groupBy("d").agg(F.min(F.struct("k", "th")).alias("row"), F.min("n").alias("n"), F.max("sig").alias("sig")), parts)
     wanted = known.select(F.col("row.k").alias("wk"), F.col("row.th").alias("wth"), "d")
     texts = rows.join(wanted, F.col("k").eqNullSafe(F.col("wk")) & (F.col("th") == F.col("wth"))).dropDuplicates(["d"]).select("d", "t")
-    sets = checkpointed(map_batches(texts, _sets(shingle), "d long, n long, s binary"))
+    sets = checkpointed(map_batches(texts, _sets(shingle), "d long, n long, s binary"), parts)
 
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     rank = entries.join(sizes, "key").groupBy("d").agg(F.sum("size").alias("rank"))
     leaders = entries.join(rank, "d").groupBy("key").agg(F.max(F.struct("rank", "d")).alias("m")).select("key", F.col("m.d").alias("lead"))
-    stars = checkpointed(entries.join(leaders, "key").filter("lead <> d").select(F.least("d", "lead").alias("a"), F.greatest("d", "lead").alias("b")).distinct())
-    links = checkpointed(_links(stars, known, sets, percent, miss))
+    stars = checkpointed(entries.join(leaders, "key").filter("lead <> d").select(F.least("d", "lead").alias("a"), F.greatest("d", "lead").alias("b")).distinct(), parts)
+    links = checkpointed(_links(stars, known, sets, percent, miss), parts)
     groups = components(links)
 
     labelled = entries.join(groups, F.col("d") == F.col("node"), "left").select("key", "d", F.coalesce("component", "d").alias("c"))
-    open_ = checkpointed(_several(labelled, "c"))
+    open_ = checkpointed(_several(labelled, "c"), parts)
     more = _rest(open_, sets, stars, percent)
-    found = checkpointed(_links(more, known, sets, percent, miss))
+    found = checkpointed(_links(more, known, sets, percent, miss), parts)
     if not found.isEmpty():
         groups = components(links.unionByName(found))
     least = base.select("k", "d").join(groups, F.col("d") == F.col("node"), "left").select("k", "d", F.coalesce("component", "d").alias("c"))
     firsts = least.filter("c is not null").groupBy("c").agg(F.min("k").alias("first"))
     out = base.select("k", "n", "d").join(groups, F.col("d") == F.col("node"), "left").withColumn("c", F.coalesce("component", "d")).join(firsts.withColumnRenamed("c", "of"), F.col("c") == F.col("of"), "left")
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "k").alias("component_id"), F.col("d").alias("set_id"))
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "k").alias("component_id"), F.col("d").alias("set_id")).coalesce(parts)
 
 
 def _rest(entries: DataFrame, sets: DataFrame, done: DataFrame, percent: int) -> DataFrame:

@@ -27,17 +27,26 @@ SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
 
-def _next(array: str, n: int = 1) -> Column:
+def _let(value: Column | str, fn) -> Column:
+    """``fn`` of a value that the plan states once: else each step below would double the expression if the optimiser inlines it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _next(array: Column, n: int = 1) -> Column:
     """The array from its element ``n`` places on."""
     return F.slice(array, n + 1, F.greatest(F.size(array) - n, F.lit(0)))
 
 
+def _doubled(n: int):
+    """Hashes of windows twice as wide as those of ``n`` words in a column."""
+    return lambda h: F.slice(F.zip_with(h, _next(h, n), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(h) - n, F.lit(0)))
+
+
 def _window_hashes(df: DataFrame, seed: str, out: str) -> DataFrame:
     """Hashes of all windows of 8 words, by doubling: words, then windows of 2, 4 and 8."""
     df = df.withColumn(out, F.transform("w", lambda x: F.xxhash64(F.lit(seed), x)))
     for n in (1, 2, 4):
-        # Each step reads the column twice, so the optimiser keeps it as a column.
-        df = df.withColumn(out, F.slice(F.zip_with(out, _next(out, n), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(out) - n, F.lit(0))))
+        df = df.withColumn(out, _let(out, _doubled(n)))
     return df
 
 
@@ -59,10 +68,10 @@ def base_measures(df: DataFrame, text: str) -> DataFrame:
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
     })
     df = _window_hashes(df, "a", "h")
-    df = df.withColumn("w", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.col("w")).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("w", F.when(_let("h", lambda h: F.size(F.array_distinct(h)) < F.size(h)), F.col("w")).otherwise(F.array().cast("array<string>")))
     df = _window_hashes(df, "b", "g")
     df = df.withColumn("z", F.array_sort(F.when(F.size("g") > 0, F.transform(F.arrays_zip("h", "g"), lambda x, i: F.struct(x["h"].alias("h"), x["g"].alias("g"), i.alias("i"))))))
-    twice = F.zip_with("z", _next("z"), lambda a, b: F.when((a["h"] == b["h"]) & (a["g"] == b["g"]), F.array(a["i"], b["i"])))
+    twice = _let("z", lambda z: F.zip_with(z, _next(z), lambda a, b: F.when((a["h"] == b["h"]) & (a["g"] == b["g"]), F.array(a["i"], b["i"]))))
     starts = F.array_sort(F.array_distinct(F.flatten(F.filter(twice, lambda x: x.isNotNull()))))
     covered = F.aggregate(starts, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda acc, i: F.struct((i + 8).alias("end"), (acc["n"] + 8 - F.greatest(F.lit(0), acc["end"] - i)).alias("n")), lambda acc: acc["n"])
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
@@ -91,4 +100,4 @@ def judge_lines(df: DataFrame, key: str = "doc_id", text: str = "text", host: st
     judged = measured.join(gone, F.col("k").eqNullSafe(F.col("gk")) & (F.col("r") == F.col("gr")), "left").withColumn("lost", F.coalesce("lost", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     kept = ~failed & (F.col("n_words") - F.col("lost") >= min_kept * F.col("n_words"))
-    return judged.select(F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), F.col("lost").alias("common_words"))
+    return judged.select(F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), F.col("lost").alias("common_words")).coalesce(max(1, keyed.rdd.getNumPartitions()))
