@@ -1,4 +1,4 @@
-"""Text functions as column expressions."""
+"""Text functions as column expressions: transforms, cleaning, tokens, page assessment, titles, line roles."""
 
 from __future__ import annotations
 
@@ -7,11 +7,213 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the characters that count as white space, as a regular-expression class.
 WHITE = r"[\x09-\x0D\x1C-\x20\x85\xA0  -     　]"
+#: The same without brackets, and with the byte-order mark, for texts of pages.
+_S = r"\t\n\x0B\f\r \xA0  -     　﻿"
+#: Fixed value: private-use characters.
+PRIVATE = r"[-\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]"
 
 
 def strip(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, f"^{WHITE}+", ""), f"{WHITE}+$", "")
 
 
+def trim(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, f"^[{_S}]+", ""), f"[{_S}]+$", "")
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(c: Column) -> Column:
+    return F.filter(F.split(c, f"[{_S}]+"), lambda w: w != "")
+
+
+def tokens(c: Column) -> Column:
+    """Lower-case words of letters a-z and digits, without fenced blocks."""
+    plain = F.regexp_replace(F.lower(c), r"(?s)```.*?```", " ")
+    return words(F.regexp_replace(plain, rf"[^a-z0-9{_S}]", " "))
+
+
+def count(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit(pattern))
+
+
+def clean_page(c: Column) -> Column:
+    """One kind of line end, words joined over hyphens, no icons, no trailing blanks, at most one empty line."""
+    s = F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\r", "\n")
+    s = F.regexp_replace(s, r"([A-Za-z0-9_])-\n([A-Za-z0-9_])", "$1$2")
+    s = F.regexp_replace(s, PRIVATE, "")
+    s = F.array_join(F.transform(F.split(s, "\n"), lambda x: F.regexp_replace(x, f"[{_S}]+$", "")), "\n")
+    return trim(F.regexp_replace(s, r"\n{3,}", "\n\n"))
+
+
+#: Words in -in that are whole, and ends of words that were cut.
+WHOLE_IN = "within again begin domain certain mountain captain curtain protein margin origin cabin latin cousin raisin vitamin admin login violin penguin dolphin pumpkin".split()
+CUT_ENDS = "tio sio cio atio mirrorin progres frictio investmen onboardin activatio retentio engagemen monetisatio optimisatio refinemen buildin shapin formatio feedbac alignmen personalisatio disclosur referra experienc curiosit commitmen bridg paywal shareabilit meaningfull inten".split()
+
+
+def assess_page(c: Column) -> Column:
+    """Why a page's extracted text can't be used (an empty array: it can)."""
+    flat = trim(F.regexp_replace(c, f"[{_S}]+", " "))
+    parts = words(flat)
+    alpha = F.regexp_extract_all(c, F.lit("[A-Za-z][A-Za-z'-]{2,}"), F.lit(0))
+    printable = count(c, r"[\x20-\x7E\n\r\t -ɏ]")
+    one = F.size(F.filter(parts, lambda w: F.length(w) == 1))
+    lines = F.filter(F.split(c, "\n"), lambda x: trim(x) != "")
+    columns = F.size(F.filter(lines, lambda x: x.rlike(rf"[^{_S}].{{0,48}}[{_S}]{{3,}}[^{_S}]")))
+
+    def is_cut(w: Column) -> Column:
+        low = F.regexp_replace(F.lower(w), "['-]", "")
+        ing = (F.length(low) >= 6) & ~low.isin(WHOLE_IN) & low.rlike("[b-df-hj-np-tv-z]in$")
+        return (F.length(low) >= 5) & (low.rlike(f"(?:{'|'.join(CUT_ENDS)})$") | ing)
+
+    cut = F.size(F.filter(alpha, is_cut))
+    reasons = [
+        (F.length(flat) < 40, "too_short"),
+        (F.size(parts) < 8, "too_few_words"),
+        ((F.length(c) > 0) & (printable < 0.55 * F.length(c)), "low_printable_ratio"),
+        ((F.size(parts) >= 5) & (one > 0.45 * F.size(parts)), "fragmented"),
+        ((F.size(lines) >= 4) & (columns >= 0.22 * F.size(lines)), "columnar_layout"),
+        ((F.size(alpha) >= 12) & (cut >= 0.06 * F.size(alpha)), "truncated_words"),
+        (count(c, PRIVATE) >= 2, "private_use_glyphs"),
+    ]
+    return F.array_compact(F.array(*[F.when(when, F.lit(why)) for when, why in reasons]))
+
+
+def chrome_key(c: Column) -> Column:
+    """Text of page furniture for comparison: lower case, single blanks, letters, digits and ``./-`` only."""
+    return trim(F.regexp_replace(F.regexp_replace(F.lower(c), f"[{_S}]+", " "), rf"[^\p{{L}}\p{{N}}{_S}./-]+", ""))
+
+
+def without_number(c: Column) -> Column:
+    return trim(F.regexp_replace(c, rf"^[0-9]{{1,3}}[.)][{_S}]+", ""))
+
+
+def section_key(c: Column) -> Column:
+    return chrome_key(without_number(c))
+
+
+def breadcrumb(c: Column) -> Column:
+    """Segments of ``a > b > c``, without numbers; no segments where there is no ``>``."""
+    t = trim(c)
+    parts = F.filter(F.transform(F.split(t, f"[{_S}]*>[{_S}]*"), lambda x: without_number(trim(x))), lambda x: x != "")
+    return F.when(t.contains(">"), parts).otherwise(F.array().cast("array<string>"))
+
+
+#: Labels of repeated sections, and the three that count as one slot or another.
+SECTION_LABELS = ["what it is", "why it works", "when to use it", "make it yours", "pair with", "behind the data", "how it works", "examples?", "notes?", "do", "don'?t", "founder tip", "supporting plays", r"insights\s*&\s*metrics"]
+
+
+def _label(c: Column) -> Column:
+    return c.rlike(f"(?i)^({'|'.join(SECTION_LABELS)})[:.]?$")
+
+
+def is_section_label(c: Column) -> Column:
+    return _label(trim(F.regexp_replace(F.regexp_replace(c, "[‘’ʼ]", "'"), ":$", "")))
+
+
+def page_number_like(c: Column) -> Column:
+    return trim(c).rlike(rf"(?i)^(#{{1,6}}[{_S}]*)?(page[{_S}]*[0-9]+([{_S}]*(of|/)[{_S}]*[0-9]+)?|[0-9]+[{_S}]*/[{_S}]*[0-9]+|[0-9]{{1,4}})$")
+
+
+def validate_markdown(c: Column) -> Column:
+    """Why a page's Markdown is refused (an empty array: it isn't)."""
+    t = trim(c)
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: trim(x)), lambda x: x != "")
+    chrome = F.forall(lines, lambda x: x.rlike(rf"(?i)^(#{{1,6}}[{_S}]*)?(page[{_S}]*[0-9]+([{_S}]*(of|/)[{_S}]*[0-9]+)?|[0-9]+[{_S}]*/[{_S}]*[0-9]+|-+)$"))
+    more = F.array_compact(F.array(F.when(F.length(t) < 24, F.lit("too_short")), F.when(count(t, "```") % 2 != 0, F.lit("unbalanced_fences")), F.when(chrome, F.lit("chrome_only"))))
+    return F.when(t == "", F.array(F.lit("empty"))).otherwise(more)
+
+
+def structure_score(c: Column) -> Column:
+    """Half or whole marks for a top heading and, if there are diagrams, a diagram keyword in each."""
+    blocks = F.regexp_extract_all(c, F.lit(r"(?s)```mermaid\n(.*?)```"), F.lit(1))
+    kinds = r"\b(graph|flowchart|sequenceDiagram|classDiagram|stateDiagram|erDiagram|journey|gantt|pie|mindmap)\b"
+    head = F.when(c.rlike(rf"(?m)^#[{_S}]+"), 1).otherwise(0)
+    valid = F.when(F.forall(blocks, lambda b: b.rlike(kinds)), 1).otherwise(0)
+    return F.when(F.size(blocks) > 0, (head + valid) / F.lit(2.0)).otherwise(head.cast("double"))
+
+
+MARK, LETTER, NUMBER, PAREN = rf"^[-*•][{_S}]+(.+)$", rf"(?i)^([a-z])[.)][{_S}]+(.+)$", rf"^([0-9]{{1,3}})[.)][{_S}]+(.+)$", rf"(?i)^\(([0-9]{{1,3}}|[a-z])\)[{_S}]+(.+)$"
+
+
+def without_marker(t: Column) -> Column:
+    return F.when(t.rlike(MARK), trim(F.regexp_extract(t, MARK, 1))).when(t.rlike(LETTER), trim(F.regexp_extract(t, LETTER, 2))).when(t.rlike(NUMBER), trim(F.regexp_extract(t, NUMBER, 2))).when(t.rlike(PAREN), trim(F.regexp_extract(t, PAREN, 2))).otherwise(t)
+
+
+def title_share(t: Column) -> Column:
+    w = words(t)
+    return F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: x.rlike(r"^[\p{Lu}0-9]"))) / F.size(w)).otherwise(F.lit(0.0))
+
+
+def line_roles(c: Column) -> Column:
+    """Proposals (role, level, score) for a line, best cue first."""
+    t = trim(c)
+    body = without_marker(t)
+    p = lambda role, score, level=None: F.struct(F.lit(role).alias("role"), F.lit(level).cast("int").alias("level"), F.lit(score).cast("double").alias("score") if not isinstance(score, Column) else score.cast("double").alias("score"))
+    listed = lambda *ps: F.array(*ps)
+    maybe = lambda when, x: F.when(when, F.array(x)).otherwise(F.array().cast("array<struct<role:string,level:int,score:double>>"))
+    n = F.size(F.split(t, f"[{_S}]+"))
+    share, body_share = title_share(t), title_share(body)
+    letter = F.concat(listed(p("ol_item", F.when(F.length(body) <= 80, 0.92).otherwise(0.55))), maybe((F.length(body) <= 60) & (body_share >= 0.5), p("heading", 0.35, 3)), listed(p("paragraph", 0.15)))
+    number = F.when(F.length(t) > 90, listed(p("paragraph", 0.7), p("ol_item", 0.35))).otherwise(F.concat(listed(p("ol_item", 0.75)), maybe((body_share >= 0.6) & (F.length(body) <= 50), p("heading", 0.45, 2)), listed(p("paragraph", 0.2))))
+    return (
+        F.when(t == "", listed(p("paragraph", 0.1)))
+        .when(t.rlike(MARK), listed(p("ul_item", 0.95), p("paragraph", 0.1)))
+        .when(t.rlike(LETTER) | t.rlike(PAREN), letter)
+        .when(t.rlike(NUMBER), number)
+        .when(_label(F.regexp_replace(t, ":$", "")), listed(p("heading", 0.9, 3), p("paragraph", 0.1)))
+        .when(t.rlike(rf"\.[{_S}]*$") & (F.length(t) > 48), listed(p("paragraph", 0.85), p("heading", 0.1, 2)))
+        .when(n >= 12, listed(p("paragraph", 0.8), p("heading", 0.15, 2)))
+        .when((F.length(t) >= 2) & (F.length(t) <= 90) & (n <= 8) & (share >= 0.6), listed(p("heading", 0.55 + share * 0.2, 2), p("paragraph", 0.35)))
+        .otherwise(listed(p("paragraph", 0.6), p("heading", 0.25, 2)))
+    )
+
+
+def best_role(proposals: Column) -> Column:
+    """The proposal of highest score, the first of equals."""
+    return F.aggregate(proposals, proposals[0], lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc))
+
+
+def uncertain(proposals: Column) -> Column:
+    """Whether the best role hardly leads the next one, which is another, or hardly convinces."""
+    order = F.array_sort(F.transform(proposals, lambda x, i: F.struct((-x["score"]).alias("s"), i.alias("i"), x["role"].alias("role"))))
+    best, second = order[0], F.get(order, F.lit(1))
+    close = F.coalesce((second["s"] - best["s"] < 0.12) & (second["role"] != best["role"]), F.lit(False))
+    return close | (-best["s"] < 0.5)
+
+
+def html_escape(c: Column) -> Column:
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(char), F.lit(name))
+    return c
+
+
+def page_file(n: Column) -> Column:
+    return F.concat(F.lit("page-"), F.when(F.length(n.cast("string")) < 3, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")), F.lit(".md"))
+
+
+def without_fence(c: Column) -> Column:
+    """The text inside a fence that holds the whole document."""
+    t = trim(c)
+    end = F.regexp_replace(t, r"\n?```$", "")
+    return trim(F.when(t.startswith("```markdown"), F.regexp_replace(end, r"^```markdown\n?", "")).when(t.startswith("```") & t.endswith("```"), F.regexp_replace(end, r"^```\n?", "")).otherwise(t))
+
+
+#: Fixed value: what messages of a rate limit hold.
+RATE_LIMIT = r"(?i)429|rate.?limit|too many requests|quota|resource.?exhausted|throttl"
+
+
+def rate_limited(status: Column, message: Column) -> Column:
+    return F.coalesce(status == 429, F.lit(False)) | F.coalesce(message.rlike(RATE_LIMIT), F.lit(False))
+
+
+def prompt_heading(c: Column) -> Column:
+    t = trim(c)
+    return t.rlike(rf"(?i)^[0-9]+[.)][{_S}]+To[{_S}]+") | (t.rlike(rf"^[0-9]+[.)][{_S}]+.{{10,}}") & t.endswith(":"))
+
+
+def backoff_ms(attempt: Column, base: int, most: int) -> Column:
+    """The part of an exponential pause that isn't random."""
+    return F.least(F.lit(float(most)), base * F.pow(F.lit(2.0), attempt - 1)).cast("long")

@@ -1,2 +1,279 @@
-"""."""
-QUERIES = {}
+"""Page, text and structure queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions import text as tx
+from quarry.operators import pages as pg
+from quarry.sources import fixtures as fx
+from quarry.sources.fixtures import with_tables
+
+
+def page_paths(spark, d):
+    p = fx.page_texts(spark, d)
+    crumb = F.when(F.col("page") % 2 == 0, F.concat(F.col("role"), F.lit(" > 1. c"), (F.col("doc") % 3).cast("string"), F.when(F.col("page") % 4 == 0, F.lit(" > Deep")).otherwise(F.lit("")))).otherwise(F.lit(""))
+    return p.select("doc", "page", tx.breadcrumb(crumb).alias("path"))
+
+
+def x16_breadcrumbs(spark, d):
+    return page_paths(spark, d).select("doc", "page", F.array_join("path", "|").alias("path"))
+
+
+def w06_path_carry(spark, d):
+    return pg.carry_path(page_paths(spark, d)).select("doc", "page", F.array_join("section", "|").alias("section"))
+
+
+def w07_path_diff(spark, d):
+    return pg.path_headings(pg.carry_path(page_paths(spark, d)))
+
+
+def roled(spark, d):
+    return fx.lines(spark, d).select("doc", (F.floor(F.col("pos") / 10) + 1).alias("page"), "pos", "text", tx.line_roles(F.col("text")).alias("proposed"))
+
+
+def x17_line_roles(spark, d):
+    best = tx.best_role(F.col("proposed"))
+    return roled(spark, d).select("doc", "pos", best["role"].alias("role"), best["level"].alias("level"), F.round(best["score"], 6).alias("score"))
+
+
+def w22_uncertain(spark, d):
+    return roled(spark, d).groupBy("doc").agg(F.count_if(tx.uncertain(F.col("proposed"))).alias("uncertain"), F.count(F.lit(1)).alias("lines"))
+
+
+def w23_review(spark, d):
+    rows = roled(spark, d).withColumn("best", tx.best_role(F.col("proposed"))["role"])
+    return rows.groupBy("doc").agg(F.count_if(F.col("best") == "heading").alias("headings"), F.count_if(tx.uncertain(F.col("proposed"))).alias("uncertain"), F.array_join(F.sort_array(F.collect_set(F.when(tx.uncertain(F.col("proposed")), F.col("page")))).cast("array<string>"), ",").alias("pages"))
+
+
+def w08_list_runs(spark, d):
+    rows = roled(spark, d).withColumn("role", tx.best_role(F.col("proposed"))["role"])
+    return pg.list_runs(rows).groupBy("doc", "page").agg(F.count_if("promoted").alias("promoted"), F.count_if(F.col("role") == "ol_item").alias("items"))
+
+
+def headings(spark, d):
+    rows = fx.lines(spark, d).filter("length(text) > 0")
+    return rows.select("doc", (F.floor(F.col("pos") / 10) + 1).alias("page"), "pos", "text", F.when(F.col("pos") % 3 == 0, "heading").otherwise("paragraph").alias("role"), (F.col("pos") % 4 + 1).alias("lvl"), (F.col("doc") % 3).alias("depth"))
+
+
+def w09_levels(spark, d):
+    return pg.heading_levels(headings(spark, d)).select("doc", "page", "pos", "level", "jump")
+
+
+def w10_fix_headings(spark, d):
+    heads = headings(spark, d).filter("role = 'heading'").select("doc", "page", "pos", F.concat(F.lit("Part "), (F.floor(F.col("pos") / 6) % 4).cast("string")).alias("text"), F.col("lvl").alias("level"))
+    return pg.fix_headings(heads)
+
+
+def w11_monotone(spark, d):
+    numbers = fx.lines(spark, d).select("doc", "pos", (F.length("text").cast("long") % 9 + F.col("pos")).alias("n"))
+    return pg.preserve_numbers(numbers)
+
+
+def blocks(spark, d):
+    rows = fx.lines(spark, d)
+    pos = F.col("pos")
+    kind = F.when(pos % 6 == 0, "heading").when(pos % 6 == 4, "list").when(pos % 6 == 5, "caption").otherwise("paragraph")
+    cont = F.when(pos % 6 == 1, "start").when(pos % 6 == 2, "mid").when(pos % 6 == 3, "end")
+    return rows.select("doc", (F.floor(pos / 10) + 1).alias("page"), "pos", kind.alias("k"), F.col("text").alias("t"), (pos % 3 + 1).cast("int").alias("lvl"), F.lit(None).cast("string").alias("tone"), cont.alias("cont"))
+
+
+def w12_merge(spark, d):
+    return pg.merge_continuations(blocks(spark, d).select("doc", "page", "pos", "k", "t", "cont")).select("doc", "page", "pos", "k", F.sha2("t", 256).alias("sha256"))
+
+
+def w13_strip_edges(spark, d):
+    b = blocks(spark, d).select("doc", "page", "pos", (F.col("pos") % 10 < 3).alias("at_start"), (F.col("pos") % 10 > 7).alias("at_end"), (F.length("t") % 3 != 0).alias("chrome"))
+    return pg.strip_edges(b).select("doc", "page", "pos")
+
+
+def discards(spark, d):
+    p = fx.page_texts(spark, d)
+    return p.select("doc", "page", F.when(F.col("page") % 3 == 0, "page_number").when(F.col("role") == "user", "running_header").otherwise("layout_noise").alias("k"), F.concat(F.lit("No.  "), (F.col("page") % 2).cast("string"), F.lit("!")).alias("t"))
+
+
+def w14_fingerprints(spark, d):
+    return pg.chrome_fingerprints(discards(spark, d))
+
+
+def w14_fingerprints_lenient(spark, d):
+    return pg.chrome_fingerprints(discards(spark, d), "lenient")
+
+
+def w15_offset_vote(spark, d):
+    p = fx.page_texts(spark, d)
+    title = F.concat(F.lit("t"), (F.length("text") % 5).cast("string"))
+    entries = p.select("doc", F.col("page").alias("pos"), title.alias("title"), (F.col("page") * 2 - 1).alias("printed"))
+    return pg.offset_votes(entries, p.select("doc", "page", title.alias("title")))
+
+
+def w17_first_titles(spark, d):
+    p = fx.page_texts(spark, d).select("doc", "page", tx.section_key(F.concat(F.lit("1. Part "), (F.length("text") % 3).cast("string"))).alias("key"), F.length("text").cast("long").alias("raw"))
+    return p.groupBy("doc", "key").agg(F.min_by("raw", "page").alias("raw"), F.min("page").alias("page"))
+
+
+def w24_stitch(spark, d):
+    p = fx.page_texts(spark, d).filter(tx.trim(F.col("text")) != "")
+    by = p.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\n").alias("md"))
+    return by.select("doc", F.sha2("md", 256).alias("sha256"), F.length("md").cast("long").alias("chars"))
+
+
+def x12_text_assessment(spark, d):
+    return fx.page_texts(spark, d).select("doc", "page", F.array_join(tx.assess_page(F.col("text")), ",").alias("reasons"))
+
+
+def a24_uneven_text(spark, d):
+    return pg.usable_override(fx.page_texts(spark, d).select("doc", "page", F.when(F.length("text") % 3 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("reasons")))
+
+
+def x13_clean(spark, d):
+    docs = fx.table(spark, d, "documents")
+    return docs.select("doc_id", F.sha2(tx.clean_page(F.concat(F.lit("\r\n a-\nb  \n\n\n\n"), "text")), 256).alias("sha256"))
+
+
+def x14_chrome_keys(spark, d):
+    return fx.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), tx.chrome_key(F.concat(F.lit(" #"), "p_name", F.lit("  / "), "p_type", F.lit("!"))).alias("key"))
+
+
+def x15_section_keys(spark, d):
+    return fx.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), tx.section_key(F.concat((F.col("p_partkey") % 120).cast("string"), F.lit(") "), "p_name")).alias("key"))
+
+
+def x20_prompts(spark, d):
+    return fx.lines(spark, d).groupBy("doc").agg(F.count_if(tx.prompt_heading(F.concat("text", F.when(F.col("pos") % 2 == 0, F.lit(":")).otherwise(F.lit(""))))).alias("prompts"))
+
+
+def x21_page_validate(spark, d):
+    p = fx.page_texts(spark, d)
+    keep = F.filter(F.array(F.struct(F.when(F.col("page") % 2 == 0, "top").otherwise("body").alias("z"), F.lit(None).cast("string").alias("edge"), F.when(F.col("page") % 3 == 0, F.concat(F.lit("Page "), F.col("page").cast("string"))).otherwise(F.substring("text", 1, 30)).alias("t"))), lambda b: F.col("doc") % 7 != 0)
+    rows = p.select("doc", "page", (F.lit(2) + F.col("doc") % 2).alias("pages"), (F.col("page") + (F.col("doc") % 5 == 0).cast("int")).alias("wanted_page"), F.lit(2).cast("long").alias("wanted_pages"), keep.alias("keep"), (F.col("doc") % 4 % 2).alias("discard_count"))
+    return pg.validate_pages(rows).select("doc", "page", F.array_join("reasons", ",").alias("reasons"), "keep_chars")
+
+
+def x22_md_validate(spark, d):
+    p = fx.page_texts(spark, d)
+    md = F.when(F.col("page") % 4 == 0, F.concat(F.lit("# Page "), F.col("page").cast("string"), F.lit("\n---"))).when(F.col("page") % 4 == 1, F.concat(F.lit("```\n"), "text")).when(F.col("page") % 4 == 2, F.lit(" \n ")).otherwise(F.substring("text", 1, 40))
+    return p.select("doc", "page", F.array_join(tx.validate_markdown(md), ",").alias("reasons"))
+
+
+def x23_compile(spark, d):
+    return pg.document_markdown(blocks(spark, d)).select("doc", F.sha2("markdown", 256).alias("sha256"))
+
+
+def x23_tables(spark, d):
+    n = fx.table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.array(F.concat("n_name", F.lit("|x")), F.col("n_nationkey").cast("string")))).alias("rows"))
+    return n.select(F.col("n_regionkey").cast("long").alias("region"), pg.table_markdown(F.array(F.lit("name"), F.lit("key"), F.lit("none")), F.col("rows")).alias("md"))
+
+
+def a19_progress(spark, d):
+    return pg.progress_rollup(fx.progress(spark, d))
+
+
+def a20_outputs(spark, d):
+    docs = fx.table(spark, d, "documents")
+    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.sum(tx.count(F.concat(F.lit("# A\n"), "text"), r"(?m)^#{1,6}[ \t]+\S+")).cast("long").alias("headings"))
+
+
+def a21_page_list(spark, d):
+    p = fx.page_texts(spark, d)
+    md = p.filter("page % 2 = 0").select("doc", "page", F.length("text").cast("long").alias("chars"))
+    art = p.filter("page % 3 = 0").select("doc", "page", F.lit(1).cast("long").alias("figures"))
+    j = md.join(art, ["doc", "page"], "full")
+    zero = F.lit(0).cast("long")
+    return j.groupBy("doc").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.coalesce("chars", zero)).alias("chars"), F.sum(F.coalesce("figures", zero)).alias("figures"))
+
+
+def a22_kinds(spark, d):
+    b = blocks(spark, d)
+    by = b.groupBy("doc", "page", "k").agg(F.count(F.lit(1)).alias("n"))
+    return by.groupBy("doc", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "n"))), lambda x: F.concat(x["k"], F.lit(":"), x["n"].cast("string"))), " ").alias("kinds"))
+
+
+def a23_plan(spark, d):
+    from pyspark.sql import Window
+
+    p = fx.progress(spark, d).select("doc", "page", (F.col("status") == "pending").alias("blank"))
+    every = F.bool_and("blank").over(Window.partitionBy("doc"))
+    rows = p.select("doc", (~F.col("blank") | every).alias("digest"))
+    by = rows.groupBy("doc").agg(F.count_if("digest").alias("digest"), F.count_if(~F.col("digest")).alias("skip"))
+    return by.select("doc", "digest", "skip", F.least(F.lit(4), F.greatest(F.col("digest"), F.lit(1))).cast("long").alias("concurrency"))
+
+
+def x26_boxes(spark, d):
+    li = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("o"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_quantity").cast("double").alias("q")).distinct()
+    scale = F.when(F.col("o") % 3 == 0, 100.0).when(F.col("o") % 3 == 1, 1.0).otherwise(0.02)
+    box = pg.normal_box(F.col("q") / 50 / scale, F.col("q") / 60 / scale, (F.col("n") + 1) / 10 / scale, F.col("n") / 20 / scale, F.lit(800), F.lit(1200))
+    return li.select("o", "n", "q", F.round(box["x"], 6).alias("x"), F.round(box["y"], 6).alias("y"), F.round(box["w"], 6).alias("w"), F.round(box["h"], 6).alias("h"))
+
+
+def x30_page_classes(spark, d):
+    e = fx.operation_events(spark, d)
+    mean, sd = 230 + F.col("event_id") % 25, F.col("event_id") % 23
+    return e.select("event_id", pg.page_class(mean, sd).alias("class"))
+
+
+def x31_backoff(spark, d):
+    return fx.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("attempt"), tx.backoff_ms(F.col("n_nationkey") + 1, 500, 60_000).alias("ms"))
+
+
+def x36_names(spark, d):
+    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("n")).distinct()
+    return o.select("n", tx.page_file(F.col("n")).alias("name"))
+
+
+def s12_page_split(spark, d):
+    docs = fx.table(spark, d, "documents").filter("doc_id % 3 = 0").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\f")).alias("text"))
+    pages = docs.select("doc_id", F.posexplode(F.split("text", "\f")).alias("i", "t")).filter(tx.trim(F.col("t")) != "")
+    return pages.select("doc_id", (F.col("i") + 1).cast("long").alias("page"), F.length("t").cast("long").alias("chars"))
+
+
+def s18_html(spark, d):
+    return fx.table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id"), F.sha2(tx.html_escape(F.col("html")), 256).alias("sha256"))
+
+
+BLOCK = "block as (select doc, pos // 10 + 1 as page, pos, case when pos % 6 = 0 then 'heading' when pos % 6 = 4 then 'list' when pos % 6 = 5 then 'caption' else 'paragraph' end as k, text as t from line)"
+PATH = "path as (select doc, page, case when page % 2 = 0 then role || '|c' || (doc % 3) || case when page % 4 = 0 then '|Deep' else '' end else '' end as p from page_text)"
+CARRY = "carry as (select doc, page, coalesce(last_value(nullif(p, '') ignore nulls) over (partition by doc order by page), '') as section from path)"
+DISCARD = "discard as (select doc, page, k, k || ':no. ' || (page % 2) as fp from (select *, case when page % 3 = 0 then 'page_number' when role = 'user' then 'running_header' else 'layout_noise' end as k from page_text))"
+VOTES = "vote as (select doc, fp, count(distinct page) as pages, bool_or(k in ('page_number', 'running_header')) as strong from discard group by 1, 2)"
+
+QUERIES = {
+    "x16_breadcrumbs": (x16_breadcrumbs, with_tables("page_text", "select doc, page, p as path from path", PATH)),
+    "w06_path_carry": (w06_path_carry, with_tables("page_text", "select * from carry", PATH, CARRY)),
+    "w07_path_diff": (w07_path_diff, None),
+    "x17_line_roles": (x17_line_roles, None),
+    "w22_uncertain": (w22_uncertain, None),
+    "w23_review": (w23_review, None),
+    "w08_list_runs": (w08_list_runs, None),
+    "w09_levels": (w09_levels, with_tables("line", "select doc, page, pos, level, coalesce(level - lag(level) over (partition by doc order by page, pos) > 2, false) as jump from (select doc, page, pos, least(6, greatest(1, doc % 3 + 1 + pos % 4 + 1 - least_lvl))::bigint as level from (select *, pos // 10 + 1 as page, min(pos % 4 + 1) over (partition by doc, pos // 10) as least_lvl from line where length(text) > 0) where pos % 3 = 0)")),
+    "w10_fix_headings": (w10_fix_headings, with_tables("line", "select doc, page, pos, text, min(level) over (partition by doc, text) as level from (select *, lag(text) over w as pt, lag(level) over w as pl from (select doc, pos // 10 + 1 as page, pos, 'Part ' || (pos // 6 % 4) as text, pos % 4 + 1 as level from line where length(text) > 0 and pos % 3 = 0) window w as (partition by doc order by page, pos)) where not coalesce(pt = text and pl = level, false)")),
+    "w11_monotone": (w11_monotone, with_tables("line", "select doc, count(*) as numbers, sum(back)::bigint as inversions, sum(back) = 0 or sum(back) * 10 < count(*) - 1 as preserve from (select doc, coalesce(n < lag(n) over (partition by doc order by pos) and n <> 1, false)::bigint as back from (select doc, pos, length(text) % 9 + pos as n from line)) group by 1")),
+    "w12_merge": (w12_merge, None),
+    "w13_strip_edges": (w13_strip_edges, with_tables("line", "select doc, page, pos from (select doc, page, pos, min(case when not (chrome and s) then pos end) over w as f, max(case when not (chrome and e) then pos end) over w as l from (select doc, page, pos, pos % 10 < 3 as s, pos % 10 > 7 as e, length(t) % 3 <> 0 as chrome from block) window w as (partition by doc, page)) where pos between f and l", BLOCK)),
+    "w14_fingerprints": (w14_fingerprints, with_tables("page_text", "select doc, fp as fingerprint, pages from vote where pages >= 2 or strong", DISCARD, VOTES)),
+    "w14_fingerprints_lenient": (w14_fingerprints_lenient, with_tables("page_text", "select doc, fp as fingerprint, pages from vote where pages >= 3 or fp like 'page_number:%'", DISCARD, VOTES)),
+    "w15_offset_vote": (w15_offset_vote, with_tables("page_text", "select doc, \"offset\", votes from (select e.doc, p.page - (e.page * 2 - 1) as \"offset\", count(*) as votes, min(e.page * 1000 + p.page) as seen from page_text e join page_text p on e.doc = p.doc and length(e.text) % 5 = length(p.text) % 5 where e.page <= 24 and p.page <= 12 group by 1, 2) qualify row_number() over (partition by doc order by votes desc, seen) = 1")),
+    "w17_first_titles": (w17_first_titles, with_tables("page_text", "select doc, 'part ' || (length(text) % 3) as key, arg_min(length(text), page) as raw, min(page) as page from page_text group by 1, 2")),
+    "w24_stitch": (w24_stitch, with_tables("page_text", "select doc, sha256(md) as sha256, length(md) as chars from (select doc, string_agg(text, chr(10) || chr(10) order by page) as md from page_text where trim(text) <> '' group by 1)")),
+    "x12_text_assessment": (x12_text_assessment, None),
+    "a24_uneven_text": (a24_uneven_text, with_tables("page_text", "select doc, page, u and not (count(*) over w >= 5 and sum(u::int) over w * 4 < count(*) over w * 3) as use_text from (select doc, page, length(text) % 3 <> 0 as u from page_text) window w as (partition by doc)")),
+    "x13_clean": (x13_clean, None),
+    "x14_chrome_keys": (x14_chrome_keys, "select p_partkey::bigint as id, trim(regexp_replace(regexp_replace(lower(' #' || p_name || '  / ' || p_type || '!'), '\\s+', ' ', 'g'), '[^\\p{L}\\p{N}\\s./-]+', '', 'g')) as key from part"),
+    "x15_section_keys": (x15_section_keys, "select p_partkey::bigint as id, trim(regexp_replace(regexp_replace(lower(p_name), '\\s+', ' ', 'g'), '[^\\p{L}\\p{N}\\s./-]+', '', 'g')) as key from part"),
+    "x20_prompts": (x20_prompts, None),
+    "x21_page_validate": (x21_page_validate, None),
+    "x22_md_validate": (x22_md_validate, None),
+    "x23_compile": (x23_compile, None),
+    "x23_tables": (x23_tables, "select n_regionkey::bigint as region, '| name | key | none |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_name || '\\|x | ' || n_nationkey || ' |  |', chr(10) order by n_name || '|x') as md from nation group by 1"),
+    "a19_progress": (a19_progress, with_tables("progress", "select doc, count(*) as pages, count(*) filter (status = 'done') as done, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'pending') as pending, least(99, count(*) filter (status = 'done') * 100 // count(*))::bigint as percent from progress group by 1")),
+    "a20_outputs": (a20_outputs, "select source, count(*) as files, sum(octet_length(encode(text)))::bigint as bytes, sum(len(regexp_extract_all('# A' || chr(10) || text, '(?m)^#{1,6}[ \\t]+\\S+')))::bigint as headings from documents group by 1"),
+    "a21_page_list": (a21_page_list, with_tables("page_text", "select doc, count(*) as pages, sum(case when page % 2 = 0 then length(text) else 0 end)::bigint as chars, sum(case when page % 3 = 0 then 1 else 0 end)::bigint as figures from page_text where page % 2 = 0 or page % 3 = 0 group by 1")),
+    "a22_kinds": (a22_kinds, with_tables("line", "select doc, page, string_agg(k || ':' || n, ' ' order by k) as kinds from (select doc, page, k, count(*) as n from block group by 1, 2, 3) group by 1, 2", BLOCK)),
+    "a23_plan": (a23_plan, with_tables("progress", "select doc, digest, n - digest as skip, least(4, greatest(digest, 1))::bigint as concurrency from (select doc, count(*) as n, case when count(*) filter (status <> 'pending') = 0 then count(*) else count(*) filter (status <> 'pending') end as digest from progress group by 1)")),
+    "x26_boxes": (x26_boxes, None),
+    "x30_page_classes": (x30_page_classes, with_tables("event", "select event_id, case when 230 + event_id % 25 > 245 and event_id % 23 < 8 then 'blank' when 230 + event_id % 25 > 235 and event_id % 23 < 18 then 'sparse' else 'content' end as \"class\" from event")),
+    "x31_backoff": (x31_backoff, "select n_nationkey::bigint as attempt, least(60000.0, 500 * pow(2.0, n_nationkey))::bigint as ms from nation"),
+    "x36_names": (x36_names, "select distinct o_orderkey::bigint as n, 'page-' || case when length(o_orderkey::varchar) < 3 then lpad(o_orderkey::varchar, 3, '0') else o_orderkey::varchar end || '.md' as name from orders"),
+    "s12_page_split": (s12_page_split, "select doc_id, page, length(t) as chars from (select doc_id, unnest(string_split(text, chr(10))) as t, unnest(range(1, len(string_split(text, chr(10))) + 1)) as page from documents where doc_id % 3 = 0) where trim(t, ' ' || chr(9) || chr(13)) <> ''"),
+    "s18_html": (s18_html, "select page_id::bigint as page_id, sha256(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) as sha256 from pages"),
+}
