@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the characters that count as white space, as a regular-expression class.
 WHITE = r"[\x09-\x0D\x1C-\x20\x85\xA0  -     　]"
-#: The same without brackets, and with the byte-order mark, for texts of pages.
+#: The white space of pages' texts, without brackets: no control characters above U+000D, but the byte-order mark.
 _S = r"\t\n\x0B\f\r \xA0  -     　﻿"
 #: Fixed value: private-use characters.
 PRIVATE = r"[-\x{F0000}-\x{FFFFD}\x{100000}-\x{10FFFD}]"
@@ -58,7 +58,7 @@ def assess_page(c: Column) -> Column:
     flat = trim(F.regexp_replace(c, f"[{_S}]+", " "))
     parts = words(flat)
     alpha = F.regexp_extract_all(c, F.lit("[A-Za-z][A-Za-z'-]{2,}"), F.lit(0))
-    printable = count(c, r"[\x20-\x7E\n\r\t -ɏ]")
+    printable = count(c, r"[\x20-\x7E\n\r\t\xA0-ɏ]")
     one = F.size(F.filter(parts, lambda w: F.length(w) == 1))
     lines = F.filter(F.split(c, "\n"), lambda x: trim(x) != "")
     columns = F.size(F.filter(lines, lambda x: x.rlike(rf"[^{_S}].{{0,48}}[{_S}]{{3,}}[^{_S}]")))
@@ -110,7 +110,7 @@ def _label(c: Column) -> Column:
 
 
 def is_section_label(c: Column) -> Column:
-    return _label(trim(F.regexp_replace(F.regexp_replace(c, "[‘’ʼ]", "'"), ":$", "")))
+    return _label(trim(F.regexp_replace(F.regexp_replace(c, r"[‘’ʼ]", "'"), ":$", "")))
 
 
 def page_number_like(c: Column) -> Column:
@@ -135,7 +135,7 @@ def structure_score(c: Column) -> Column:
     return F.when(F.size(blocks) > 0, (head + valid) / F.lit(2.0)).otherwise(head.cast("double"))
 
 
-MARK, LETTER, NUMBER, PAREN = rf"^[-*•][{_S}]+(.+)$", rf"(?i)^([a-z])[.)][{_S}]+(.+)$", rf"^([0-9]{{1,3}})[.)][{_S}]+(.+)$", rf"(?i)^\(([0-9]{{1,3}}|[a-z])\)[{_S}]+(.+)$"
+MARK, LETTER, NUMBER, PAREN = rf"^[-*\u2022][{_S}]+(.+)$", rf"(?i)^([a-z])[.)][{_S}]+(.+)$", rf"^([0-9]{{1,3}})[.)][{_S}]+(.+)$", rf"(?i)^\(([0-9]{{1,3}}|[a-z])\)[{_S}]+(.+)$"
 
 
 def without_marker(t: Column) -> Column:
