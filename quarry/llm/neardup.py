@@ -249,6 +249,10 @@ def _rest(entries: DataFrame, sets: DataFrame, done: DataFrame, percent: int) ->
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df``, one of each group of near-duplicates: that of the least id (rows without words stay)."""
-    found = near_duplicates(df, key, text, **options).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("__gone")).distinct()
-    return df.join(found, df[key] == F.col("__gone"), "left_anti")
+    """The rows of ``df``, one of each group of near-duplicates: that of the least id (rows without words or without an id stay)."""
+    found = near_duplicates(df, key, text, **options)
+    gone = found.toDF("k", "n", "c", "s").filter("k <> c").select(F.col("k").alias("__gone")).distinct()
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rows = df.toDF(*names)
+    at = names[df.columns.index(key)]
+    return rows.join(gone, F.col(at) == F.col("__gone"), "left_anti").toDF(*df.columns)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, langid, neardup, quality, repeats, rules, sharding, tokens, urls
-from quarry.llm.common import crc_mod, table
+from quarry.llm.common import crc_mod, pick, table
 
 
 def op1_bpe(spark, sf_dir):
@@ -28,8 +28,9 @@ def op3_sharding(spark, sf_dir):
 
 
 def op4_quality(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
+    docs = pick(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    labels = pick(table(spark, sf_dir, "labels"), ["doc_id", "quality"])
+    model = quality.fit(docs, labels, crc_mod(F.col("doc_id"), 3) != 1)
     scored = quality.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("bad_lines").alias("n_bad_lines"))
 
@@ -40,14 +41,14 @@ def op5_suffix_dedup(spark, sf_dir):
 
 
 def op6_token_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = pick(table(spark, sf_dir, "documents"), ["doc_id", "text"])
     docs = docs.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
     counted = tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep=["doc_id", "n_bytes"])
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
 def op7_language_id(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = pick(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang"])
     model = langid.fit(docs, crc_mod(F.col("doc_id"), 5) != 0)
     found = langid.predict(docs, model, keep=["doc_id"])
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "languages")
@@ -63,12 +64,74 @@ def op9_minhash(spark, sf_dir):
 
 
 def op10_url_filter(spark, sf_dir):
-    return urls.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
+    return urls.judge(table(spark, sf_dir, "pages"), keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
 
 
 def queries():
     return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_sharding, op4_quality, op5_suffix_dedup, op6_token_counts, op7_language_id, op8_quality_rules, op9_minhash, op10_url_filter)}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _lowered(column: str) -> str:
+    return f"translate({column}, '{UPPER}', '{LOWER}')"
+
+
+def _terms(terms) -> str:
+    return "[" + ", ".join(f"'{t}'" for t in terms) + "]"
+
+
+OP2 = rf"""
+with word as (select 'd' as side, cast(doc_id as varchar) as id, regexp_extract_all({_lowered("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all select 'b', item_id, regexp_extract_all({_lowered("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+item as (select distinct id, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as t from word, range(1, 20000) r(i) where side = 'b' and len(w) > 0 and i <= greatest(1, len(w) - 9)),
+size as (select distinct n from item),
+doc as (select id, n, i, array_to_string(w[i:i + n - 1], ' ') as t from (select id, w, n, unnest(range(1, len(w) - n + 2)) as i from word, size where side = 'd')),
+met as (select d.id, d.i, d.n, b.id as item from doc d join item b on d.n = b.n and d.t = b.t),
+hit as (select id, count(distinct p) as n_hit from (select id, unnest(range(i, i + n)) as p from met) group by 1),
+items as (select id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct id, item from met) group by 1)
+select w.id::bigint as doc_id, len(w.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from word w left join hit using (id) left join items using (id) where side = 'd'"""
+
+OP5 = """
+with doc as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, '')))::bigint as n from documents),
+win as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(range(0, greatest(n - 49, 0))) as i from doc)),
+hit as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as f from win) where f < doc_id),
+span as (select doc_id, min(i) as a, max(i) + 50 as b from (select doc_id, i, sum(new) over (partition by doc_id order by i) as g from (select doc_id, i, case when i > 50 + lag(i) over (partition by doc_id order by i) then 1 else 0 end as new from hit)) group by doc_id, g),
+piece as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from span),
+gone as (select doc_id, count(*) as n_spans, sum(b - a)::bigint as n_removed, max(b) as ends from span group by 1),
+kept as (select p.doc_id, string_agg(substr(d.h, 2 * p.before + 1, 2 * (p.a - p.before)), '' order by p.a) as k from piece p join doc d using (doc_id) group by 1)
+select d.doc_id, d.n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, '') || substr(h, 2 * coalesce(ends, 0) + 1))) as kept_sha256 from doc d left join gone using (doc_id) left join kept using (doc_id)"""
+
+OP8 = r"""
+with doc as (select doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+line as (select doc_id, source, trim(regexp_replace(lower(translate(l, chr(9) || chr(11) || chr(12) || chr(13), '    ')), ' +', ' ', 'g'), ' ') as l from (select doc_id, source, unnest(string_split(t, chr(10))) as l from doc)),
+common as (select source, l from line where l <> '' group by 1, 2 having count(distinct doc_id) > 20 and count(distinct doc_id) > 0.1 * (select count(*) from documents d where d.source = line.source)),
+lost as (select doc_id, sum(length(l) - length(replace(l, ' ', '')) + 1)::bigint as n from line semi join common using (source, l) group by 1),
+win as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from doc)),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, s) as n from win) where n > 1),
+rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from twice) group by 1),
+dup as (select doc_id, count(*) - count(distinct l) as n from (select doc_id, unnest(string_split(t, chr(10))) as l from doc) where regexp_matches(l, '[^\x20\x09-\x0D]') group by 1),
+base as (select d.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, coalesce(lost.n, 0) as common_words from doc d left join dup using (doc_id) left join rep using (doc_id) left join lost using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and n_words - common_words >= 0.3 * n_words as kept, common_words from base"""
+
+OP9 = rf"""
+with recursive word as (select doc_id, regexp_extract_all({_lowered("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents),
+gram as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from word where len(w) > 0)),
+size as (select doc_id, count(*) as n from gram group by 1),
+met as (select a.doc_id as x, b.doc_id as y, count(*) as n from gram a join gram b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+edge as (select x, y from met join size s on s.doc_id = x join size t on t.doc_id = y where 100 * met.n >= 80 * (s.n + t.n - met.n)),
+reach(x, y) as (select doc_id, doc_id from documents union select r.x, e.t from reach r join (select x as f, y as t from edge union all select y, x from edge) e on r.y = e.f)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept from documents d left join size s using (doc_id) join (select x as doc_id, min(y) as component_id from reach group by 1) c using (doc_id)"""
+
+_FITS = "\n".join(f"when (host = '{r[: r.index('/')]}' or ends_with(host, '.{r[: r.index('/')]}')) and starts_with(path, '{r[r.index('/') :]}') then '{r}'" for r, _ in sorted(urls.RULES, key=lambda r: -len(r[0])))
+_SAYS = " ".join(f"when '{r}' then '{v}'" for r, v in urls.RULES)
+OP10 = f"""
+with part as (select page_id, coalesce({_lowered("regexp_extract(url, '://([^/?#]*)', 1)")}, '') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+judged as (select *, case {_FITS} end as rule, {_lowered("host || path")} as site from part)
+select page_id, host, path, rule, case rule {_SAYS} else case when len(list_filter({_terms(urls.STRICT)}, lambda x: regexp_matches(site, '(^|[^a-z])' || x || '([^a-z]|$)'))) > 0 or len(list_filter({_terms(urls.SOFT)}, lambda x: regexp_matches(site, '(^|[^a-z])' || x || '([^a-z]|$)'))) >= 2 then 'block' else 'allow' end end as verdict from judged"""
+
+
 def oracle_sql():
-    return {}
+    return {"op2_decontaminate": OP2, "op5_suffix_dedup": OP5, "op8_quality_rules": OP8, "op9_minhash": OP9, "op10_url_filter": OP10}
