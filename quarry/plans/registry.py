@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.plans import catalog, datasets, labels, log, pages, scores
+from quarry.plans import catalog, datasets, labels, log, pages, scores, services
 
 FLAGSHIP = "a04_quality_report"
-MODULES = [catalog, datasets, labels, log, pages, scores]
+MODULES = [catalog, datasets, labels, log, pages, scores, services]
 
 
 def queries() -> dict:
