@@ -20,8 +20,8 @@ from collections.abc import Iterable, Iterator
 from struct import pack, unpack
 
 MAX_STATES = 30_000
-MAX_PAIRS = 250_000
-MAX_WORDS = 250_000
+MAX_PAIRS = 200_000
+MAX_WORDS = 150_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:

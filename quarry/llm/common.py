@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -27,8 +28,34 @@ def stage_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches bounded in rows and bytes."""
+#: What a Python worker keeps between tasks of one operator: a model or vocabulary by its key.
+_kept: dict[tuple, object] = {}
+
+
+def once(key: tuple, make: Callable[[], object]) -> object:
+    """The value of ``make``, made once a worker; only the last key's is kept."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _forgetful(fn):
+    """``fn`` after dropping what an operator before has kept, for workers serve one stage after another."""
+
+    def task(batches):
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+        yield from fn(batches)
+
+    return task
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: bool = False) -> DataFrame:
+    """``mapInArrow`` with batches bounded in rows and bytes; ``keeps``: the function uses ``once``."""
+    fn = fn if keeps else _forgetful(fn)
     # Python workers of this machine find the package where the driver found it; a cluster is given it by --py-files.
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     conf = df.sparkSession.conf
@@ -57,7 +84,7 @@ def pick(df: DataFrame, names: list[str]) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)])
 
 
-def add_by_text(df: DataFrame, make: Callable[[], Callable[[list[str]], list]], new: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def add_by_text(df: DataFrame, make: Callable[[], Callable[[list[str]], list]], new: str, text: str = "text", keep: list[str] | None = None, keeps: bool = False) -> DataFrame:
     """``keep`` columns (default: all but none of ``new``) and the columns ``new`` (a DDL list) that ``make()`` computes from the texts.
 
     ``make`` runs once a task and returns a function from a batch of texts
@@ -69,14 +96,16 @@ def add_by_text(df: DataFrame, make: Callable[[], Callable[[list[str]], list]],
 
     made = StructType.fromDDL(new)
     keep = [c for c in (df.columns if keep is None else keep) if c not in made.names]
-    taken = pick(df, [*keep, text]).toDF(*[f"k{i}" for i in range(len(keep))], "t")
+    names = [f"k{i}" for i in range(len(keep))]
+    at = keep.index(text) if text in keep else len(keep)
+    taken = pick(df, keep).toDF(*names) if text in keep else pick(df, [*keep, text]).toDF(*names, "t")
     out = StructType([taken.schema[f"k{i}"] for i in range(len(keep))] + list(made.fields))
     types = to_arrow_schema(made).types
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
         for b in batches:
-            columns = of(texts_of(b.column(b.num_columns - 1)))
+            columns = of(texts_of(b.column(at)))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=out.names)
 
-    return map_batches(taken, fn, out).toDF(*keep, *made.names)
+    return map_batches(taken, fn, out, keeps).toDF(*keep, *made.names)

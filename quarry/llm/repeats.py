@@ -34,7 +34,7 @@ from quarry.llm.common import map_batches, pick
 
 K = 16
 #: Bytes of text that are hashed at a time, windows of a piece of a long text, segments of an anchor that are compared at once, and segments that are settled at a time.
-CHUNK, PIECE, GROUP, SETTLE = 1 << 21, 1 << 20, 20_000, 60_000
+CHUNK, PIECE, GROUP, SETTLE = 1 << 20, 1 << 20, 20_000, 60_000
 FULL, COLD, HOT = 0, 1, 2
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)

@@ -20,21 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm import bpe
-from quarry.llm.common import add_by_text
+from quarry.llm.common import add_by_text, once, texts_of
 
 MAX_VOCABULARY_BYTES = 64 << 20
 
-#: One encoder or counter a Python worker and vocabulary, kept between tasks.
-_kept: dict[tuple, object] = {}
-
-
-def _once(key: tuple, make: Callable[[], object]) -> object:
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = make()
-    return _kept[key]
-
-
 def _vocabulary(df: DataFrame, path: str):
     with open(path, "rb") as f:
         data = f.read(MAX_VOCABULARY_BYTES + 1)
@@ -55,10 +44,18 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", kee
     data, digest = _vocabulary(df, ranks_path)
 
     def make():
-        encoder = _once(("encode", digest, pattern), lambda: bpe.Encoder(bpe.load_ranks(data.value), pattern))
+        encoder = once(("encode", digest, pattern), lambda: bpe.Encoder(bpe.load_ranks(data.value), pattern))
         return lambda texts: [_lists(encoder.encode_all(texts))]
 
-    return add_by_text(df, make, "ids array<int>", text, keep)
+    return add_by_text(df, make, "ids array<int>", text, keep, keeps=True)
+
+
+def _tokens(data: bytes) -> list[bytes]:
+    ranks = bpe.load_ranks(data)
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for b, r in ranks.items():
+        out[r] = b
+    return out
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -66,17 +63,26 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", keep: list[str] | N
     data, digest = _vocabulary(df, ranks_path)
 
     def make():
-        def tokens():
-            ranks = bpe.load_ranks(data.value)
-            out = [b""] * (max(ranks.values(), default=-1) + 1)
-            for b, r in ranks.items():
-                out[r] = b
-            return out
-
-        table = _once(("decode", digest), tokens)
+        table = once(("decode", digest), lambda: _tokens(data.value))
         return lambda rows: [[bpe.StreamDecoder(table).decode(r) for r in rows]]
 
-    return add_by_text(df, make, "decoded string", ids, keep)
+    return add_by_text(df, make, "decoded string", ids, keep, keeps=True)
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Adds ``ids`` and ``decoded`` in one pass: what ``decode`` makes of what ``encode`` makes of the text."""
+    data, digest = _vocabulary(df, ranks_path)
+
+    def make():
+        encoder, table = once(("both", digest, pattern), lambda: (bpe.Encoder(bpe.load_ranks(data.value), pattern), _tokens(data.value)))
+
+        def of(texts: list[str]) -> list:
+            ids = _lists(encoder.encode_all(texts))
+            return [ids, [bpe.StreamDecoder(table).decode(r) for r in texts_of(ids)]]
+
+        return of
+
+    return add_by_text(df, make, "ids array<int>, decoded string", text, keep, keeps=True)
 
 
 def byte_characters() -> dict[str, int]:
@@ -187,7 +193,7 @@ def count_tokens(df: DataFrame, json_path: str, pattern: str, text: str = "text"
     data, digest = _vocabulary(df, json_path)
 
     def make():
-        counter = _once(("count", digest, pattern), lambda: Counter(data.value, pattern))
+        counter = once(("count", digest, pattern), lambda: Counter(data.value, pattern))
         return lambda texts: [[counter.count(t) for t in texts]]
 
-    return add_by_text(df, make, "n_tokens bigint", text, keep)
+    return add_by_text(df, make, "n_tokens bigint", text, keep, keeps=True)

@@ -30,11 +30,12 @@ def key(docs):
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).select("c0")
 
 
-@pytest.mark.parametrize("name", ["encode", "count", "decontaminate", "blocks", "shard", "quality", "repeats", "language", "rules", "neardup", "first", "urls"])
+@pytest.mark.parametrize("name", ["encode", "both", "count", "decontaminate", "blocks", "shard", "quality", "repeats", "language", "rules", "neardup", "first", "urls"])
 def test_rows_are_kept(spark, docs, benchmark, name):
     none = F.lit(False)
     made = {
         "encode": lambda: tokens.decode(tokens.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS),
+        "both": lambda: tokens.round_trip(docs, RANKS, public_tokenizers.PATTERN),
         "count": lambda: tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN),
         "decontaminate": lambda: decontaminate.decontaminate(docs, benchmark),
         "blocks": lambda: decontaminate.decontaminate(docs, benchmark, block_bytes=1),
