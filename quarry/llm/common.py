@@ -40,14 +40,19 @@ def once(key: tuple, make: Callable[[], object]) -> object:
     return _kept[key]
 
 
+def forget() -> None:
+    """Drop what the worker keeps."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def _forgetful(fn):
     """``fn`` after dropping what an operator before has kept, for workers serve one stage after another."""
 
     def task(batches):
-        if _kept:
-            _kept.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
+        forget()
         yield from fn(batches)
 
     return task
