@@ -10,11 +10,10 @@ verified on the full sets. Components of the verified links are the groups.
 Buckets never emit all their pairs. First each bucket's members are compared
 with its leader, the member that shares most buckets (a hub of its group), and
 links are closed to components. Only buckets that still hold several
-components are looked at again: there members stay that have shingles enough
-in common with anyone of the bucket to reach the threshold, and pairs of
-different components, not compared before and possible by their sizes, are
-compared. So work follows the links, while no link between components of a
-bucket is left out.
+components are looked at again: there pairs of different components, not
+compared before, are compared if they share a shingle early enough in rarity
+order to reach the threshold. So work follows the links, while no link between
+components of a bucket is left out.
 
 Null texts and texts without a word have an empty set and no links. Rows that
 repeat an id keep their own sets; a component's id is its least document id.
@@ -218,13 +217,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
 
 def _rest(entries: DataFrame, sets: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket that may still be links.
-
-    A link of sets of n and m shingles shares at least p / (100 + p) (n + m) of
-    them, and no more than either has in common with any other set here.
+    """Pairs of different components that may still be links, among the documents of open buckets.
+
+    Sets of n and m shingles are linked if they share at least
+    o = p / (100 + p) (n + m). With each set in order of how many sets hold a
+    shingle, rarest first, a link's first common shingle stands at most at
+    n - o + 1 in the one and m - o + 1 in the other; so only these prefixes
+    are joined, with the places as a condition. Shingles of one set alone come
+    first and never meet. Within a shingle, members of its most frequent
+    component meet only those of others.
     """
     share = percent / (100 + percent)
-    here = entries.select("d").distinct()
+    here = entries.select("d", "c").distinct()
 
     def explode(batches):
         for b in batches:
@@ -235,16 +239,22 @@ def _rest(entries: DataFrame, sets: DataFrame, done: DataFrame, percent: int) ->
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(d[i : i + 256], [len(x) for x in part])), pa.array(np.concatenate(part))], names=["d", "g"])
 
     grams = map_batches(sets.join(here, "d", "left_semi").select("d", "s"), explode, "d long, g long")
-    met = grams.groupBy("g").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").select("g")
-    common = grams.join(met, "g").groupBy("d").agg(F.count(F.lit(1)).alias("m"))
-    sized = entries.join(sets.select("d", "n"), "d").join(common, "d")
-    least = sized.groupBy("key").agg(F.min("n").alias("n_least"))
-    able = sized.join(least, "key").filter(F.col("m") >= share * (F.col("n") + F.col("n_least")))
-    able = _several(able, "c")
-    x = able.select("key", F.col("d").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("m").alias("ma"))
-    y = able.select("key", F.col("d").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("m").alias("mb"))
-    possible = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("ma", "mb", "na", "nb") >= share * (F.col("na") + F.col("nb")))
-    pairs = x.join(y, "key").filter(possible).select("a", "b").distinct()
+    met = grams.groupBy("g").agg(F.count(F.lit(1)).alias("of")).filter("of > 1")
+    ordered = grams.join(met, "g").groupBy("d").agg(F.sort_array(F.collect_list(F.struct("of", "g"))).alias("gs"))
+    sized = ordered.join(sets.select("d", "n"), "d").join(here, "d")
+    # A partner has at least p % of the shingles, so a prefix ends at n - p % n + 1; alone stand the n - m first.
+    alone = F.col("n") - F.size("gs")
+    length = F.greatest(F.floor(F.col("n") * (100 - percent) / 100).cast("long") + 1 - alone, F.lit(0).cast("long"))
+    rows = sized.withColumn("alone", alone).select("d", "c", "n", "alone", F.posexplode(F.slice("gs", F.lit(1), length.cast("int"))).alias("i", "x"))
+    prefix = rows.select(F.col("x.g").alias("g"), "d", "c", "n", (F.col("alone") + F.col("i") + 1).alias("at"))
+    main = prefix.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("cs")).filter("cs > 1").select("g", "main")
+    met_here = checkpointed(prefix.join(main, "g"), max(1, sets.rdd.getNumPartitions()))
+    x = met_here.filter("c <> main").select("g", F.col("d").alias("xd"), F.col("c").alias("xc"), F.col("n").alias("xn"), F.col("at").alias("xat"))
+    y = met_here.select("g", F.col("d").alias("yd"), F.col("c").alias("yc"), F.col("n").alias("yn"), F.col("at").alias("yat"), "main")
+    need = share * (F.col("xn") + F.col("yn"))
+    slack = 1 + 1e-6  # for the rounding of the shares
+    possible = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("main")) | (F.col("xd") < F.col("yd"))) & (F.col("xat") + need <= F.col("xn") + slack) & (F.col("yat") + need <= F.col("yn") + slack)
+    pairs = x.join(y, "g").filter(possible).select(F.least("xd", "yd").alias("a"), F.greatest("xd", "yd").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
