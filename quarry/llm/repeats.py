@@ -4,9 +4,9 @@ Every window of ``length`` bytes is anchored at its minimiser: the place of the
 k-gram of least hash in it. Equal windows have equal minimisers at equal
 distances, so only suffixes that start at anchors need sorting. Neighbouring
 windows with one anchor make a segment. Segments are dealt by the anchor's
-hash; there equal segments (two 64-bit hashes: of the anchor and of all bytes)
+hash; there equal segments (hashes of 64 bits each, of the anchor and of all bytes)
 are settled by the least document, without any text. Only segments that share
-an anchor but differ go on with their bytes: their suffixes at the anchor, and
+an anchor, and a hash of the bytes on one side of it, but differ go on with their bytes: their suffixes at the anchor, and
 the reversed ones before it, are sorted by a mergesort whose comparisons find
 common extensions by binary search over prefix polynomial hashes; neighbours'
 common extensions are then verified byte by byte. Two windows at a distance
@@ -96,7 +96,13 @@ class Segments:
         self.left = anchor[self.start] - self.start
         self.key = grams[anchor[self.start]].view(np.int64)
         self.prefixes = Prefixes(data)
-        self.hash = mix(self.prefixes.of(self.start, self.end) + self.windows.astype(np.uint64)).view(np.int64)
+        # Of the bytes beside the anchor a window holds half on one side at least: their hashes, one byte each, end the segment's.
+        half = (length - K + 1) // 2
+        at = self.start + self.left
+        before, after = np.where(self.left >= half, at - half, at), np.where(self.end - at >= K + half, at + K + half, at + K)
+        sides = [np.where(ok, mix(self.prefixes.of(x, y)) % _U(255) + _U(1), _U(0)) for ok, x, y in ((self.left >= half, before, at), (self.end - at >= K + half, at + K, after))]
+        whole = mix(self.prefixes.of(self.start, self.end) + self.windows.astype(np.uint64))
+        self.hash = (whole & ~_U(0xFFFF) | sides[0] << _U(8) | sides[1]).view(np.int64)
         self.row = np.array([p[0] for p in pieces], np.int64)[piece]
         self.at = self.start - first[piece] + np.array([p[1] for p in pieces], np.int64)[piece]
 
@@ -134,6 +140,20 @@ def _entries(length: int):
     return fn
 
 
+def beside(group: np.ndarray, s: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which segments agree with one of another document in their group on a hash of the bytes before or after the anchor."""
+    out = np.zeros(len(s), bool)
+    for shift in (8, 0):
+        side = s >> shift & 255
+        key = group * 256 + side
+        order = np.argsort(key, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(s) else np.zeros(0, np.int64)
+        if len(edge):
+            mixed = np.minimum.reduceat(d[order], edge) < np.maximum.reduceat(d[order], edge)
+            out[order] |= np.repeat(mixed, np.diff(np.concatenate((edge, [len(s)])))) & (side[order] > 0)
+    return out
+
+
 def _decide(group: int):
     """Entries sorted by (m, s, d) -> marks (d, s, kind): FULL if a smaller document has the segment; COLD or HOT if others share its anchor."""
 
@@ -177,11 +197,13 @@ def _decide(group: int):
             if open_ and not hot:
                 done[-1] = False
             out = np.repeat(done, sizes)
+            out &= (np.repeat(kind, sizes) == HOT) | beside(np.repeat(np.arange(len(sizes)), sizes), rs, rd)
             if out.any():
                 yield marks(rd[out], rs[out], np.repeat(kind, sizes)[out].astype(np.int8))
             held_m, held_s, held_d = (m[-1], *((rs[:0], rd[:0]) if hot else (rs[edge[-1] :], rd[edge[-1] :])))
-        if len(held_s) > 1 and held_d.min() < held_d.max():
-            yield marks(held_d, held_s, COLD)
+        if len(held_s) > 1:
+            out = beside(np.zeros(len(held_s), np.int64), held_s, held_d)
+            yield marks(held_d[out], held_s[out], COLD)
 
     return fn
 
