@@ -32,7 +32,7 @@ UNKNOWN = "und"
 def letters(text: str) -> np.ndarray:
     """Lower-case code points, runs of anything but letters as one zero, with zeros around."""
     a = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    ok = (a >= 97) & (a <= 122) | (a >= 0xC0) & (a != 0xD7) & (a != 0xF7)
+    ok = (a >= 97) & (a <= 122) | (a >= 0xC0) & (a != 0xD7) & (a != 0xF7) | np.isin(a, (0xAA, 0xB5, 0xBA))
     high = a >= 0x250  # beyond the Latin blocks, ask Python which ones are letters
     if high.any():
         values, back = np.unique(a[high], return_inverse=True)

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, neardup, queries, repeats, sharding, tokens
+from quarry.llm import bpe, langid, neardup, queries, repeats, sharding, tokens
 
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
 ODD = ["", " ", "a", "\n\n\n", "don't  stop\t\tnow", "<|endoftext|>x<|endoftext|>", "中文字符測試", "\U0001f600\U0001f601", "é" * 300, "a" * 5000, "ab" * 3000, "x\x00y", "0123456789" * 50, "    indented\n\tcode {}"]
@@ -194,3 +194,19 @@ def test_quality_accuracy(spark):
     rows = held_out(spark, queries.op4_quality, labels, "predicted")
     good, bad = ([r["score"] for r in rows if r["truth"] == v] for v in (1, 0))
     assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.85
+
+
+def test_letters():
+    """A text is undetermined just if no character of it is a letter."""
+    for code in [*range(0x300), 0x3B1, 0x4E2D, 0x2028, 0x1F600, 0x10400]:
+        low = chr(code).lower()
+        assert (len(langid.trigrams(chr(code))[0]) > 0) == any(c.isalpha() for c in low), hex(code)
+
+
+def test_mixtures_name_both_languages():
+    table = np.full((langid.BINS, 2), 1e-4)
+    table[:50, 0], table[50:100, 1] = 0.02, 0.02
+    on, share = langid.infer(np.arange(100), np.full(100, 5), table / table.sum(axis=0))
+    assert sorted(on.tolist()) == [0, 1] and abs(share[0] - 0.5) < 0.05
+    on, _ = langid.infer(np.arange(50), np.full(50, 5), table / table.sum(axis=0))
+    assert on.tolist() == [0]
