@@ -54,11 +54,11 @@ def confusion(selected: DataFrame, raters: list[str], labels: list[str]) -> Data
 def agreement(cells: DataFrame) -> DataFrame:
     """Observed agreement and Cohen's kappa of each pair, from whole numbers; undefined without overlap or by equal constant marginals."""
     by = ["left", "right"]
-    rows = cells.groupBy(*by, "left_label").agg(F.sum("n").alias("l")).withColumnRenamed("left_label", "label")
-    cols = cells.groupBy(*by, "right_label").agg(F.sum("n").alias("r")).withColumnRenamed("right_label", "label")
-    chance = rows.join(cols, [*by, "label"]).groupBy(*by).agg(F.sum(F.col("l") * F.col("r")).alias("chance"))
-    total = cells.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("left_label") == F.col("right_label"), F.col("n")).otherwise(0)).alias("agreed"))
-    out = total.join(chance, by)
+    out = cells.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("left_label") == F.col("right_label"), F.col("n")).otherwise(0)).alias("agreed"), F.collect_list(F.struct("left_label", "right_label", "n")).alias("cells"))
+    # A pair's cells are the labels' square, so its margins are sums within the row.
+    margin = lambda side, x: F.aggregate(F.filter("cells", lambda c: c[side] == x), F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
+    labels = F.array_distinct(F.transform("cells", lambda c: c["left_label"]))
+    out = out.withColumn("chance", F.aggregate(labels, F.lit(0).cast("long"), lambda acc, x: acc + margin("left_label", x) * margin("right_label", x)))
     square = F.col("n") * F.col("n")
     po = F.when(F.col("n") > 0, F.round(F.col("agreed").cast("double") / F.col("n"), 12))
     kappa = F.when((F.col("n") > 0) & (F.col("chance") != square), F.round((F.col("agreed") * F.col("n") - F.col("chance")).cast("double") / F.nullif(square - F.col("chance"), F.lit(0)), 12))
