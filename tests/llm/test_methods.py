@@ -210,3 +210,28 @@ def test_mixtures_name_both_languages():
     assert sorted(on.tolist()) == [0, 1] and abs(share[0] - 0.5) < 0.05
     on, _ = langid.infer(np.arange(50), np.full(50, 5), table / table.sum(axis=0))
     assert on.tolist() == [0]
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_near_copies_equal_brute_force(spark, size):
+    """Copies of a template with more and less edits, of which many pairs stand near the threshold."""
+    rnd = random.Random(size)
+    base = [f"w{rnd.randrange(10_000)}" for _ in range(150)]
+    texts = []
+    for _ in range(90):
+        words = [f"x{rnd.randrange(40)}" if rnd.random() < rnd.choice([0.0, 0.02, 0.03, 0.05]) else w for w in base]
+        texts.append(" ".join(words[rnd.choice([0, 0, 10]) : rnd.choice([150, 150, 140])]))
+    texts += ["", "one", "One", texts[0].upper()]
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    least = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both = len(a & sets[j])
+                if a and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                    least[i] = least[j] = min(least[i], least[j])
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=size).collect()}
+    assert got == dict(enumerate(least)) and len(set(least)) > 3
