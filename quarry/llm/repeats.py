@@ -194,8 +194,8 @@ def _decide(group: int):
             open_ = rm[-1] == m[-1]
             done = several.copy()
             hot = bool(open_ and kind[-1] == HOT)
-            if open_ and not hot:
-                done[-1] = False
+            if open_:
+                done[-1] = hot  # segments of one document too: another document may follow
             out = np.repeat(done, sizes)
             out &= (np.repeat(kind, sizes) == HOT) | beside(np.repeat(np.arange(len(sizes)), sizes), rs, rd)
             if out.any():

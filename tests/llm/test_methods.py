@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from hypothesis import given, settings
@@ -138,6 +139,14 @@ def test_repeats_equal_brute_force(spark, options):
     assert all(r["n_bytes"] - r["n_removed"] == len(r["kept"]) and sum(b - a for a, b in r["spans"]) == r["n_removed"] for r in got)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 9])
+def test_large_groups_that_begin_with_one_document(size):
+    """Segments of the first document stay candidates when their group passes the bound before a second one is seen."""
+    rows = pa.RecordBatch.from_pydict({"m": [5, *[7] * 6, 9], "s": list(range(1, 9)), "d": [1, 1, 1, 1, 1, 2, 3, 1]})
+    marks = [r for b in repeats._decide(2)(rows.slice(i, size) for i in range(0, 8, size)) for r in b.to_pylist()]
+    assert sorted((r["d"], r["s"], r["kind"]) for r in marks) == [(d, s, repeats.HOT) for d, s in [(1, 2), (1, 3), (1, 4), (1, 5), (2, 6), (3, 7)]]
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 100)
     rnd = random.Random(3)
