@@ -183,8 +183,8 @@ def _several(entries: DataFrame, label: str) -> DataFrame:
     return entries.join(ends, "key")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
-    """key, n_shingles, component_id and the digest ``set_id`` of every row; one row for each row of the table."""
+def _labelled(df: DataFrame, key: str, text: str, shingle: int = 5, percent: int = 80, miss: float = 1e-6) -> tuple[DataFrame, int]:
+    """k, the text's hash th, n, d and the component c (null without words) of every row, and the number of files for tables on the way."""
     rows = pick(df, [key, text]).toDF("k", "t").withColumn("th", F.xxhash64("t"))
     parts = max(1, rows.rdd.getNumPartitions())  # tables on the way have no more files than the input has splits
     base = checkpointed(map_batches(rows.select("k", "th", "t"), _describe(shingle), "k long, th long, n long, d long, sig binary, keys array<long>"), parts)
@@ -210,9 +210,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     found = checkpointed(_links(more, known, sets, percent, miss), parts)
     if not found.isEmpty():
         groups = components(links.unionByName(found))
-    least = base.select("k", "d").join(groups, F.col("d") == F.col("node"), "left").select("k", "d", F.coalesce("component", "d").alias("c"))
-    firsts = least.filter("c is not null").groupBy("c").agg(F.min("k").alias("first"))
-    out = base.select("k", "n", "d").join(groups, F.col("d") == F.col("node"), "left").withColumn("c", F.coalesce("component", "d")).join(firsts.withColumnRenamed("c", "of"), F.col("c") == F.col("of"), "left")
+    labelled = base.select("k", "th", "n", "d").join(groups, F.col("d") == F.col("node"), "left")
+    return labelled.select("k", "th", "n", "d", F.coalesce("component", "d").alias("c")), parts
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """key, n_shingles, component_id and the digest ``set_id`` of every row; one row for each row of the table."""
+    rows, parts = _labelled(df, key, text, **options)
+    firsts = rows.filter("c is not null").groupBy(F.col("c").alias("of")).agg(F.min("k").alias("first"))
+    out = rows.join(firsts, F.col("c") == F.col("of"), "left")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "k").alias("component_id"), F.col("d").alias("set_id")).coalesce(parts)
 
 
@@ -258,11 +264,23 @@ def _rest(entries: DataFrame, sets: DataFrame, done: DataFrame, percent: int) ->
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
-def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``df``, one of each group of near-duplicates: that of the least id (rows without words or without an id stay)."""
-    found = near_duplicates(df, key, text, **options)
-    gone = found.toDF("k", "n", "c", "s").filter("k <> c").select(F.col("k").alias("__gone")).distinct()
+def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", one_row: bool = False, **options) -> DataFrame:
+    """The rows of ``df``, one of each group of near-duplicates: that of the least id, null ids last, then of the least hash of the text (rows without words stay).
+
+    Rows are told apart by id and text. Those that are equal in both stay
+    together, or with ``one_row`` any one of them stays.
+    """
+    labelled, parts = _labelled(df, key, text, **options)
+    alike = labelled.filter("c is not null").groupBy("k", "th", "c").agg(F.count(F.lit(1)).alias("copies"))
+    firsts = alike.groupBy(F.col("c").alias("of")).agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "th")).alias("row"))
+    judged = alike.join(firsts, F.col("c") == F.col("of")).withColumn("first", F.col("k").eqNullSafe(F.col("row.k")) & (F.col("th") == F.col("row.th")))
+    apart = checkpointed(judged.filter(~F.col("first") | ((F.col("copies") > 1) & F.lit(one_row))).select("k", "th", "first"), parts)
     names = [f"c{i}" for i in range(len(df.columns))]
-    rows = df.toDF(*names)
-    at = names[df.columns.index(key)]
-    return rows.join(gone, F.col(at) == F.col("__gone"), "left_anti").toDF(*df.columns)
+    at, t = (names[df.columns.index(c)] for c in (key, text))
+    rows = df.toDF(*names).withColumn("h", F.xxhash64(t))
+    same = F.col(at).eqNullSafe(F.col("k")) & (F.col("h") == F.col("th"))
+    out = rows.join(apart, same, "left_anti")
+    repeated = apart.filter("first")
+    if one_row and not repeated.isEmpty():  # dropDuplicates leaves a row a task before its shuffle
+        out = out.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates([at, "h"]))
+    return out.drop("h").toDF(*df.columns)

@@ -62,6 +62,16 @@ def test_stages(spark, docs, tmp_path, benchmark, stage):
         assert out.columns == corpus_pipeline.COLUMNS
 
 
+def test_one_row_of_each_group(spark):
+    """Rows are judged by id and text: an id's clean text stays beside its near copy, and whole repeats and null ids leave one row."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c), (3, c), (None, d), (None, d), (None, a), (4, ""), (4, "")]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, a), (2, b), (3, c), (None, d), (4, ""), (4, "")], key=str)
+    assert neardup.keep_first(df).count() == 9  # here rows that repeat whole stay
+
+
 def test_neardup_ids(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in neardup.near_duplicates(df).collect()}
