@@ -113,26 +113,49 @@ def infer(bins: np.ndarray, n: np.ndarray, table: np.ndarray, penalty: float = 2
     return on, share
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns, then lang_pred, score and languages (all of the set, largest proportion first)."""
+def gain(bins: np.ndarray, n: np.ndarray, table: np.ndarray, on: np.ndarray, share: np.ndarray) -> float:
+    """How much better than all bins alike the mixture explains a trigram on average: the difference of log-likelihoods."""
+    return float(n @ np.log(table[np.ix_(bins, on)].astype(np.float64) @ share) / n.sum() + np.log(BINS))
+
+
+def least_gains(docs: DataFrame, held_out: Column, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text", lang: str = "lang", sample_per_language: int = 200) -> dict[str, float]:
+    """For each language the gain under which a text isn't explained by it: half the median of rows in it that the model hasn't learned from, not under 0; 0 without such rows."""
+    least = dict.fromkeys(model[0], 0.0)
+    if not least:
+        return least
+    taken = pick(docs.filter(held_out), [key, text, lang]).toDF("k", "t", "l").filter(F.col("l").isin(*least) & F.col("t").isNotNull())
+    sizes = {r["l"]: r["n"] for r in taken.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return least
+    share = F.element_at(F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample_per_language / n))]), F.col("l"))
+    sampled = taken.filter(F.pmod(F.xxhash64(F.lit("gain"), "k", "t"), F.lit(1 << 40)) < share * (1 << 40)).select("l", "t")
+    scored = predict(sampled, model, "t", ["l"], gains=True).filter("gain is not null")
+    for r in scored.groupBy("l").agg(F.percentile_approx("gain", 0.5).alias("mid")).collect():
+        least[r["l"]] = max(0.0, r["mid"] / 2)
+    return least
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", keep: list[str] | None = None, gains: bool = False) -> DataFrame:
+    """``keep`` columns, then lang_pred, score and languages (all of the set, largest proportion first), with ``gains`` also the gain (null for ``und``)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         names, table = sent.value
 
         def of(texts: list[str]) -> list:
-            best, scores, sets = [], [], []
+            best, scores, sets, gained = [], [], [], []
             for t in texts:
                 bins, n = trigrams(t) if names else ((), ())
                 if len(bins) == 0:
-                    best.append(UNKNOWN), scores.append(0.0), sets.append([])
+                    best.append(UNKNOWN), scores.append(0.0), sets.append([]), gained.append(None)
                     continue
                 on, share = infer(bins, n, table)
                 order = np.lexsort((on, -share))
                 best.append(names[on[order[0]]]), scores.append(min(1.0, float(share[order[0]])))
                 sets.append([names[i] for i in on[order]])
-            return [best, scores, sets]
+                gained.append(gain(bins, n, table, on, share) if gains else None)
+            return [best, scores, sets, gained] if gains else [best, scores, sets]
 
         return of
 
-    return add_by_text(docs, make, "lang_pred string, score double, languages array<string>", text, keep)
+    return add_by_text(docs, make, "lang_pred string, score double, languages array<string>" + ", gain double" * gains, text, keep)

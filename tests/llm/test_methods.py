@@ -205,6 +205,26 @@ def test_quality_accuracy(spark):
     assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.85
 
 
+def test_texts_that_no_language_explains_go(spark):
+    """Of planted texts, letter noise and those in a language that wasn't learned go; without labels all texts with letters stay."""
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    learned = docs.filter("lang <> 'de'")
+    noise = [(10**9 + i, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(300)), None, "s", 300) for i in range(20)]
+    planted = spark.createDataFrame([*noise, (10**9 + 20, "1234 !!", None, "s", 7)], learned.schema)
+    foreign = docs.filter("lang = 'de'").withColumn("lang", F.lit(None).cast("string"))
+    mixed = learned.unionByName(planted).unionByName(foreign)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, mixed, "").select("doc_id").collect()}
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+    assert not kept & ids(planted)
+    assert len(kept & ids(foreign)) <= 0.02 * foreign.count()
+    assert len(kept & ids(learned)) >= 0.99 * learned.filter(F.col("text").rlike("[a-z]")).count()
+    bare = planted.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, bare, "").count() == 20
+
+
 def test_letters():
     """A text is undetermined just if no character of it is a letter."""
     for code in [*range(0x300), 0x3B1, 0x4E2D, 0x2028, 0x1F600, 0x10400]:
