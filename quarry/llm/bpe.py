@@ -8,9 +8,10 @@ not yet emitted), and reading a byte either walks down the trie or closes a
 token that may follow the last one. ``Transducer`` determinises it by subset
 construction as inputs ask for it; the longest common prefix of the pending
 outputs of all live configurations is emitted at once, so tokens leave after a
-bounded lookahead (no configuration outlives the longest token). Determinised
-states are kept up to a bound; past it, a string that leaves them is run on
-the configurations themselves. The other tables are caches of bounded size.
+bounded lookahead (no configuration outlives the longest token). Every
+pre-token that isn't a token itself runs on determinised states. These are a
+cache of bounded size, like the other tables: when it is full it is emptied,
+and determinising goes on from the state at hand.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import base64
 from collections.abc import Iterable, Iterator
 from struct import pack, unpack
 
-MAX_STATES = 30_000
+MAX_STATES = 60_000
 MAX_PAIRS = 200_000
 MAX_WORDS = 150_000
 
@@ -115,112 +116,74 @@ class Transducer:
                     node = self.child[key] = len(self.token)
                     self.token.append(-1)
             self.token[node] = rank
-        start = ((0, -1, ()),)
-        self.ids = {start: 0}
-        self.states = [start]
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.clear()
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        live = []
-        for node, last, out in self.states[state]:
-            node = self.child.get(node << 8 | byte, 0)
-            if not node:
-                continue
-            live.append((node, last, out))
-            t = self.token[node]
-            if t >= 0 and (last < 0 or self.pairs.apart(last, t)):
-                live.append((0, t, (*out, t)))
-        outs = [c[2] for c in live]
-        n = 0
-        for column in zip(*outs, strict=False):
-            if any(x != column[0] for x in column):
+        """Determinise one more transition: the state after ``byte`` and the tokens that all its configurations agree on."""
+        child, token, known = self.child.get, self.token, self.pairs.known.get
+        last, nodes, outs = self.states[state]
+        nodes_on, outs_on, closed = [], [], None
+        for node, out in zip(nodes, outs, strict=True):
+            node = child(node << 8 | byte)
+            if node:
+                nodes_on.append(node)
+                outs_on.append(out)
+                # At most one way to cut before this byte is right, so the first that fits is the only one.
+                if closed is None and (t := token[node]) >= 0:
+                    before = out[-1] if out else last
+                    if before < 0:
+                        closed = (t,)
+                    else:
+                        fits = known(before << 20 | t)
+                        if fits or fits is None and self.pairs.apart(before, t):
+                            closed = (*out, t)
+        if closed is not None:
+            nodes_on.append(0)
+            outs_on.append(closed)
+        emitted = outs_on[0]
+        for out in outs_on:
+            while emitted and out[: len(emitted)] != emitted:
+                emitted = emitted[:-1]
+            if not emitted:
                 break
-            n += 1
-        emitted = outs[0][:n]
-        key = tuple(sorted((node, last, out[n:]) for node, last, out in live))
-        to = self.ids.get(key)
-        if to is None:
-            to = self.ids[key] = len(self.states)
+        if emitted:
+            last = emitted[-1]
+            outs_on = [out[len(emitted) :] for out in outs_on]
+        key = (last, tuple(nodes_on), tuple(outs_on))
+        if len(self.states) >= MAX_STATES and key not in self.ids:
+            self.clear()
+            state = -1  # the state that asked is gone, and its transition with it
+        to = self.ids.setdefault(key, len(self.states))
+        if to == len(self.states):
             self.states.append(key)
             self.steps.append({})
-        self.steps[state][byte] = (to, emitted)
+        if state >= 0:
+            self.steps[state][byte] = (to, emitted)
         return to, emitted
 
+    def clear(self) -> None:
+        """Drop all determinised states but the first. A state: the last token emitted, and of each configuration the place in the trie and the tokens not yet emitted."""
+        start = (-1, (0,), ((),))
+        self.ids = {start: 0}
+        self.states = [start]
+        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+
     def encode(self, data: bytes) -> tuple[int, ...]:
-        """Tokens of one pre-token; as the library does, bytes that are a token need no merging."""
+        """Tokens of one pre-token, each emitted as soon as no byte to come can change it; as the library does, bytes that are a token need no merging."""
         got = self.ranks.get(data)
         if got is not None:
             return (got,)
-        if not data:
-            return ()
-        out: list[int] = []
-        state, steps = 0, self.steps
-        for at, byte in enumerate(data):
+        out, state, steps = (), 0, self.steps
+        for byte in data:
             hit = steps[state].get(byte)
             if hit is None:
-                if len(steps) >= MAX_STATES:
-                    return (*out, *self.run(self.states[state], data, at))
                 hit = self.step(state, byte)
-            state = hit[0]
-            if hit[1]:
-                out += hit[1]
-        return (*out, *next(c[2] for c in self.states[state] if c[0] == 0))
-
-    def advance(self, live: list[tuple[int, int, tuple[int, ...]]], byte: int) -> list[tuple[int, int, tuple[int, ...]]]:
-        """The configurations after one more byte."""
-        child, token = self.child.get, self.token
-        on, closed = [], None
-        for node, last, out in live:
-            node = child(node << 8 | byte)
-            if node:
-                on.append((node, last, out))
-                if closed is None:
-                    t = token[node]
-                    if t >= 0:
-                        if last < 0:
-                            closed = (0, t, (t,))
-                        else:
-                            fits = self.pairs.known.get(last << 20 | t)
-                            if fits or fits is None and self.pairs.apart(last, t):
-                                closed = (0, t, (*out, t))
-        if closed is not None:
-            on.append(closed)
-        return on
-
-    def run(self, live: Iterable[tuple[int, int, tuple[int, ...]]], data: bytes, at: int) -> tuple[int, ...]:
-        """The same machine without determinising: all live configurations side by side, from the byte at ``at`` on."""
-        emitted: list[int] = []
-        for i in range(at, len(data)):
-            live = self.advance(live, data[i])
-            if len(live[-1][2]) > 64:
-                n = min(len(c[2]) for c in live)
-                while any(c[2][:n] != live[0][2][:n] for c in live):
-                    n -= 1
-                emitted += live[0][2][:n]
-                live = [(node, last, out[n:]) for node, last, out in live]
-        return (*emitted, *next(c[2] for c in live if c[0] == 0))
-
-    def encode_sorted(self, words: list[bytes]) -> Iterator[tuple[int, ...]]:
-        """Tokens of many pre-tokens in byte order: each goes on from the state of the prefix it shares with the one before."""
-        path = [self.states[0]]
-        before = b""
-        for data in words:
-            got = self.ranks.get(data)
-            if got is not None:
-                yield (got,)
-                continue
-            if len(data) > 64:
-                yield self.encode(data)
-                continue
-            n, most = 0, min(len(data), len(path) - 1)
-            while n < most and data[n] == before[n]:
-                n += 1
-            del path[n + 1 :]
-            live, before = path[n], data
-            for i in range(n, len(data)):
-                live = self.advance(live, data[i])
-                path.append(live)
-            yield next(c[2] for c in live if c[0] == 0) if data else ()
+                steps = self.steps
+            state, emitted = hit
+            if emitted:
+                out += emitted
+        _, nodes, pending = self.states[state]
+        return out + pending[nodes.index(0)]
 
 
 class Encoder:
@@ -243,16 +206,12 @@ class Encoder:
         distinct = set().union(*found)
         if len(self.words) > MAX_WORDS:
             self.words, self.older = {}, self.words
-        missing = {}
-        for w in distinct - self.words.keys():
-            ids = self.older.get(w)
-            if ids is None:
-                missing[w.encode("utf-8")] = w
-            else:
-                self.words[w] = ids
-        order = sorted(missing)
-        for data, ids in zip(order, self.machine.encode_sorted(order), strict=True):
-            self.words[missing[data]] = pack(f"{len(ids)}i", *ids)
+        for w in sorted(distinct - self.words.keys()):  # in order, for words that begin alike share states
+            packed = self.older.get(w)
+            if packed is None:
+                ids = self.machine.encode(w.encode("utf-8"))
+                packed = pack(f"{len(ids)}i", *ids)
+            self.words[w] = packed
 
     def encode_all(self, texts: list[str], most: int = 1 << 20) -> Iterator[bytes]:
         """Packed ids of each text; pre-tokens of about ``most`` characters of text are held at a time."""
