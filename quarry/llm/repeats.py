@@ -4,12 +4,15 @@ Every window of ``length`` bytes is anchored at its minimiser: the place of the
 k-gram of least hash in it. Equal windows have equal minimisers at equal
 distances, so only suffixes that start at anchors need sorting. Neighbouring
 windows with one anchor make a segment. Segments are dealt by the anchor's
-hash; there equal segments (hashes of 64 bits each, of the anchor and of all bytes)
-are settled by the least document, without any text. Only segments that share
-an anchor, and a hash of the bytes on one side of it, but differ go on with their bytes: their suffixes at the anchor, and
-the reversed ones before it, are sorted by a mergesort whose comparisons find
-common extensions by binary search over prefix polynomial hashes; neighbours'
-common extensions are then verified byte by byte. Two windows at a distance
+hash; there segments equal as a whole are settled by the least document,
+without any text: equal are those that agree in 128 bits of hashes (64 of all
+bytes, 48 of the anchor, 8 of the bytes on either side of it), which are not
+compared byte by byte, for that would move the bytes of every copy once more.
+Segments that share an anchor, and a hash of the bytes on one side of it, but
+differ go on with their bytes: their suffixes at the anchor, and the reversed
+ones before it, are sorted by a mergesort whose comparisons find common
+extensions by binary search over prefix polynomial hashes; neighbours' common
+extensions are then verified byte by byte. Two windows at a distance
 ``a`` before the anchor are equal if they agree ``a`` bytes to the left and
 ``length - a`` to the right, so the sorted orders give all classes of equal
 windows, and of each class all but those of the least document are removed.
@@ -35,6 +38,8 @@ from quarry.llm.common import map_batches, pick
 K = 16
 #: Bytes of text that are hashed at a time, windows of a piece of a long text, segments of an anchor that are compared at once, and segments that are settled at a time.
 CHUNK, PIECE, GROUP, SETTLE = 1 << 20, 1 << 20, 20_000, 60_000
+#: Low bits of an anchor's key that hold hashes of the bytes beside it, 8 bits a side.
+SIDES = 16
 FULL, COLD, HOT = 0, 1, 2
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -94,15 +99,14 @@ class Segments:
         self.start, self.windows, piece = starts[ok], (stop - starts)[ok], piece[ok]
         self.end = self.start + self.windows + length - 1
         self.left = anchor[self.start] - self.start
-        self.key = grams[anchor[self.start]].view(np.int64)
         self.prefixes = Prefixes(data)
-        # Of the bytes beside the anchor a window holds half on one side at least: their hashes, one byte each, end the segment's.
+        # Of the bytes beside the anchor a window holds half on one side at least: their hashes, one byte each, end the anchor's.
         half = (length - K + 1) // 2
         at = self.start + self.left
         before, after = np.where(self.left >= half, at - half, at), np.where(self.end - at >= K + half, at + K + half, at + K)
         sides = [np.where(ok, mix(self.prefixes.of(x, y)) % _U(255) + _U(1), _U(0)) for ok, x, y in ((self.left >= half, before, at), (self.end - at >= K + half, at + K, after))]
-        whole = mix(self.prefixes.of(self.start, self.end) + self.windows.astype(np.uint64))
-        self.hash = (whole & ~_U(0xFFFF) | sides[0] << _U(8) | sides[1]).view(np.int64)
+        self.key = (grams[anchor[self.start]] & ~_U((1 << SIDES) - 1) | sides[0] << _U(8) | sides[1]).view(np.int64)
+        self.hash = mix(self.prefixes.of(self.start, self.end) + self.windows.astype(np.uint64)).view(np.int64)
         self.row = np.array([p[0] for p in pieces], np.int64)[piece]
         self.at = self.start - first[piece] + np.array([p[1] for p in pieces], np.int64)[piece]
 
@@ -140,17 +144,17 @@ def _entries(length: int):
     return fn
 
 
-def beside(group: np.ndarray, s: np.ndarray, d: np.ndarray) -> np.ndarray:
+def beside(group: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Which segments agree with one of another document in their group on a hash of the bytes before or after the anchor."""
-    out = np.zeros(len(s), bool)
+    out = np.zeros(len(m), bool)
     for shift in (8, 0):
-        side = s >> shift & 255
+        side = m >> shift & 255
         key = group * 256 + side
         order = np.argsort(key, kind="stable")
-        edge = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(s) else np.zeros(0, np.int64)
+        edge = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1]))) if len(m) else np.zeros(0, np.int64)
         if len(edge):
             mixed = np.minimum.reduceat(d[order], edge) < np.maximum.reduceat(d[order], edge)
-            out[order] |= np.repeat(mixed, np.diff(np.concatenate((edge, [len(s)])))) & (side[order] > 0)
+            out[order] |= np.repeat(mixed, np.diff(np.concatenate((edge, [len(m)])))) & (side[order] > 0)
     return out
 
 
@@ -163,7 +167,8 @@ def _decide(group: int):
 
     def fn(batches):
         # Of the group that may go on: its segments so far (first documents), and whether it has been found to be large.
-        held_m, held_s, held_d, hot = None, np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        held_m, held_s, held_d, hot = (np.zeros(0, np.int64),) * 3 + (False,)
+        going = None  # the anchor of that group
         last = None  # (m, s, first document) of the row before
         for b in batches:
             if not b.num_rows:
@@ -180,29 +185,29 @@ def _decide(group: int):
             if full.any():
                 yield marks(d[full], s[full], FULL)
             last = (m[-1], s[-1], first[-1])
-            rm, rs, rd = m[new], s[new], firsts
-            if held_m is not None:
-                rm, rs, rd = np.concatenate((np.full(len(held_s), held_m), rm)), np.concatenate((held_s, rs)), np.concatenate((held_d, rd))
+            rm, rs, rd = (np.concatenate(x) for x in ((held_m, m[new]), (held_s, s[new]), (held_d, firsts)))
             if not len(rm):
                 continue
-            edge = np.flatnonzero(np.concatenate(([True], rm[1:] != rm[:-1])))
+            anchor = rm >> SIDES
+            edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
             sizes = np.diff(np.concatenate((edge, [len(rm)])))
             several = (np.minimum.reduceat(rd, edge) < np.maximum.reduceat(rd, edge)) & (sizes > 1)
             kind = np.where(sizes > group, HOT, COLD)
-            if hot and rm[0] == held_m:
+            if hot and anchor[0] == going:
                 several[0], kind[0] = True, HOT
-            open_ = rm[-1] == m[-1]
+            going = m[-1] >> SIDES
+            open_ = anchor[-1] == going
             done = several.copy()
             hot = bool(open_ and kind[-1] == HOT)
             if open_:
                 done[-1] = hot  # segments of one document too: another document may follow
             out = np.repeat(done, sizes)
-            out &= (np.repeat(kind, sizes) == HOT) | beside(np.repeat(np.arange(len(sizes)), sizes), rs, rd)
+            out &= (np.repeat(kind, sizes) == HOT) | beside(np.repeat(np.arange(len(sizes)), sizes), rm, rd)
             if out.any():
                 yield marks(rd[out], rs[out], np.repeat(kind, sizes)[out].astype(np.int8))
-            held_m, held_s, held_d = (m[-1], *((rs[:0], rd[:0]) if hot else (rs[edge[-1] :], rd[edge[-1] :])))
+            held_m, held_s, held_d = (x[:0] if hot else x[edge[-1] :] for x in (rm, rs, rd))
         if len(held_s) > 1:
-            out = beside(np.zeros(len(held_s), np.int64), held_s, held_d)
+            out = beside(np.zeros(len(held_s), np.int64), held_m, held_d)
             yield marks(held_d[out], held_s[out], COLD)
 
     return fn
@@ -230,7 +235,7 @@ def _candidates(length: int):
                 i = i[one]
                 raw = s.data.tobytes()
                 segs = [raw[x:y] for x, y in zip(s.start[i].tolist(), s.end[i].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(s.key[i]), pa.array(keys[s.row[i]]), pa.array(s.hash[i]), pa.array(s.left[i], pa.int32()), pa.array(np.full(len(i), -1), pa.int32()), pa.array(segs, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(s.key[i] >> SIDES), pa.array(keys[s.row[i]]), pa.array(s.hash[i]), pa.array(s.left[i], pa.int32()), pa.array(np.full(len(i), -1), pa.int32()), pa.array(segs, pa.binary())], names=names)
                 for j in np.flatnonzero(take == HOT).tolist():
                     n, x = int(s.windows[j]), int(s.start[j])
                     begin = np.arange(x, x + n)
@@ -474,7 +479,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     # Never null, so that both joins below read one and the same exchange.
     rows = taken.withColumn("j", F.coalesce("id", F.lit(-1).cast("long")))
     entries = map_batches(taken.filter("id is not null").select("id", "t"), _entries(length), "m long, s long, d long")
-    marks = map_batches(entries.repartition("m").sortWithinPartitions("m", "s", "d"), _decide(group), "d long, s long, kind tinyint").repartition("d")
+    marks = map_batches(entries.repartition(F.shiftright("m", SIDES)).sortWithinPartitions("m", "s", "d"), _decide(group), "d long, s long, kind tinyint").repartition("d")
     of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("s")))
     marked = marks.groupBy("d").agg(of(FULL).alias("full"), of(COLD).alias("cold"), of(HOT).alias("hot"))
     known = rows.join(marked, rows.j == marked.d, "left").drop("d")

@@ -76,7 +76,7 @@ def test_counts_equal_the_library(texts):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    counter = tokens.Counter(open(path, "rb").read(), public_tokenizers.PATTERN)
+    counter = tokens.Counter(tokens.Merges(open(path, "rb").read()), public_tokenizers.PATTERN)
     for t in [*ODD, *texts]:
         assert counter.count(t) == len(lib.encode(t, add_special_tokens=False).ids), t[:40]
 
@@ -142,7 +142,7 @@ def test_repeats_equal_brute_force(spark, options):
 @pytest.mark.parametrize("size", [1, 2, 3, 9])
 def test_large_groups_that_begin_with_one_document(size):
     """Segments of the first document stay candidates when their group passes the bound before a second one is seen."""
-    rows = pa.RecordBatch.from_pydict({"m": [5, *[7] * 6, 9], "s": list(range(1, 9)), "d": [1, 1, 1, 1, 1, 2, 3, 1]})
+    rows = pa.RecordBatch.from_pydict({"m": [x << repeats.SIDES for x in (5, *[7] * 6, 9)], "s": list(range(1, 9)), "d": [1, 1, 1, 1, 1, 2, 3, 1]})
     marks = [r for b in repeats._decide(2)(rows.slice(i, size) for i in range(0, 8, size)) for r in b.to_pylist()]
     assert sorted((r["d"], r["s"], r["kind"]) for r in marks) == [(d, s, repeats.HOT) for d, s in [(1, 2), (1, 3), (1, 4), (1, 5), (2, 6), (3, 7)]]
 
