@@ -23,8 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stage_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a stage's rows in the session's shared folder (a temporary one where that is unset, as in tests)."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "quarry-stages")
+    """A new folder for a stage's rows in the session's shared folder (a temporary one where none is set, as in tests)."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "quarry-stages")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -74,13 +75,15 @@ def crc_mod(doc_id, n: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def texts_of(column: pa.Array) -> list:
-    """The values of a column of strings or lists, null as empty."""
-    if pa.types.is_list(column.type):
-        flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
-        return [flat[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)]
-    empty = ""
-    return [x or empty for x in column.to_pylist()]
+def texts_of(column: pa.Array) -> list[str]:
+    """The values of a column of strings, null as empty."""
+    return [x or "" for x in column.to_pylist()]
+
+
+def lists_of(column: pa.Array) -> Iterator[list[int]]:
+    """The values of a column of lists of numbers one by one, null as empty: only one row's are Python objects at a time."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+    return [flat[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def pick(df: DataFrame, names: list[str]) -> DataFrame:
@@ -110,7 +113,7 @@ def add_by_text(df: DataFrame, make: Callable[[], Callable[[list[str]], list]],
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
         for b in batches:
-            columns = of(texts_of(b.column(at)))
+            columns = of(lists_of(b.column(at)) if pa.types.is_list(b.column(at).type) else texts_of(b.column(at)))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=out.names)
 
     return map_batches(taken, fn, out, keeps).toDF(*keep, *made.names)

@@ -4,7 +4,11 @@
 ``count_tokens`` counts by a proven table of whole tokens and merges only the
 pre-tokens outside it. The vocabulary file is a parameter: its bytes are
 broadcast (at most ``MAX_VOCABULARY_BYTES``, refused beyond), so executors
-need no file. Null texts count as empty: no ids, no tokens.
+need no file. Null texts count as empty: no ids, no tokens. Texts of any
+length are encoded about a million characters at a time, and decoded in pieces;
+the row itself, with its ids, is held whole. Rows that repeat are encoded
+alike, each by itself; an empty table gives no rows. Columns of other names are
+kept as they are; one with the name of a new column is replaced.
 """
 
 from __future__ import annotations
@@ -20,16 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quarry.llm import bpe
-from quarry.llm.common import add_by_text, once, texts_of
+from quarry.llm.common import add_by_text, lists_of, once
 
 MAX_VOCABULARY_BYTES = 64 << 20
 
-def _vocabulary(df: DataFrame, path: str):
+
+def _read(path: str) -> tuple[bytes, str]:
+    """A vocabulary file's bytes and their digest."""
     with open(path, "rb") as f:
         data = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(data) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"{path}: a vocabulary of more than {MAX_VOCABULARY_BYTES} bytes isn't broadcast")
-    return df.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
+    return data, hashlib.sha256(data).hexdigest()
+
+
+def _vocabulary(df: DataFrame, path: str):
+    data, digest = _read(path)
+    return df.sparkSession.sparkContext.broadcast(data), digest
 
 
 def _lists(packed: Iterable[bytes]) -> pa.Array:
@@ -78,7 +89,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
 
         def of(texts: list[str]) -> list:
             ids = _lists(encoder.encode_all(texts))
-            return [ids, [bpe.StreamDecoder(table).decode(r) for r in texts_of(ids)]]
+            return [ids, [bpe.StreamDecoder(table).decode(r) for r in lists_of(ids)]]
 
         return of
 
@@ -92,12 +103,10 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-class Counter:
-    """Numbers of tokens by a vocabulary file in the json format, byte-level, with its merges and added tokens."""
-
-    def __init__(self, data: bytes, pattern: str):
-        import regex
+class Merges:
+    """The merges of a vocabulary file in the json format, byte-level, its added tokens, and the strings proven to be one token."""
 
+    def __init__(self, data: bytes):
         spec = json.loads(data)
         of = byte_characters()
         raw = lambda token: bytes(of[c] for c in token)
@@ -108,13 +117,9 @@ class Counter:
             a, b = raw(a), raw(b)
             to = names.setdefault(a + b, len(names))
             self.pairs.setdefault(names.setdefault(a, len(names)) << 32 | names.setdefault(b, len(names)), (rank, to))
+        self.added = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         # The proof: a string counts as one token only if merging its bytes really ends in one.
-        self.whole = {data.decode("utf-8") for data in names if self.merged(data) == 1 and self._is_text(data)}
-        self.find = regex.compile(pattern).findall
-        added = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.known: dict[str, int] = {}
-        self.older: dict[str, int] = {}
+        self.whole = [data.decode("utf-8") for data in names if self.merged(data) == 1 and self._is_text(data)]
 
     @staticmethod
     def _is_text(data: bytes) -> bool:
@@ -168,12 +173,26 @@ class Counter:
             offer(i)
         return count
 
-    def word(self, word: str) -> int:
-        n = self.older.get(word) or self.merged(word.encode("utf-8"))
+
+class Counter(dict):
+    """Numbers of tokens of pre-tokens: proven whole tokens are there from the start, others are merged once and remembered (within a bound)."""
+
+    def __init__(self, merges: Merges, pattern: str):
+        import regex
+
+        super().__init__(dict.fromkeys(merges.whole, 1))
+        self.merges = merges
+        self.find = regex.compile(pattern).findall
+        self.special = re.compile("|".join(map(re.escape, merges.added))) if merges.added else None
+        self.most = len(self) + bpe.MAX_WORDS
+
+    def __missing__(self, word: str) -> int:
+        n = self.merges.merged(word.encode("utf-8"))
         if len(word) <= 64:
-            if len(self.known) >= bpe.MAX_WORDS:
-                self.known, self.older = {}, self.known
-            self.known[word] = n
+            if len(self) >= self.most:
+                self.clear()
+                self.update(dict.fromkeys(self.merges.whole, 1))
+            self[word] = n
         return n
 
     def count(self, text: str) -> int:
@@ -181,19 +200,19 @@ class Counter:
         if self.special is not None:
             parts = self.special.split(text)
             total = len(parts) - 1
-        whole, word = self.whole, self.word
-        for part in parts:
-            for w in self.find(part):
-                total += 1 if w in whole else self.known.get(w) or word(w)
-        return total
+        return total + sum(sum(map(self.__getitem__, self.find(part))) for part in parts)
 
 
 def count_tokens(df: DataFrame, json_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``n_tokens bigint``. Added tokens of the file found inside a text count as one each, as the library's default has it."""
-    data, digest = _vocabulary(df, json_path)
+    """Adds ``n_tokens bigint``. Added tokens of the file found inside a text count as one each, as the library's default has it.
+
+    Which strings are one token is proved here, once; executors get the table.
+    """
+    data, digest = _read(json_path)
+    sent = df.sparkSession.sparkContext.broadcast(Merges(data))
 
     def make():
-        counter = once(("count", digest, pattern), lambda: Counter(data.value, pattern))
+        counter = once(("count", digest, pattern), lambda: Counter(sent.value, pattern))
         return lambda texts: [[counter.count(t) for t in texts]]
 
     return add_by_text(df, make, "n_tokens bigint", text, keep, keeps=True)
