@@ -1,11 +1,14 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-A document's set is its distinct word shingles as 64-bit hashes. Documents
-whose sets have an equal 64-bit digest are one node. Banded MinHash signatures
-bring nodes together in buckets; pairs of a bucket are compared batch by batch
-of their signatures and dropped as soon as the posterior probability of a
-similarity at or above the threshold falls under ``miss``; survivors are
-verified on the full sets. Components of the verified links are the groups.
+A document's set is its distinct word shingles, as 64-bit hashes up to the last
+step. Documents of equal word sequences are one node: nodes are named by 64
+bits of a cryptographic digest of the sequence, and should two sequences ever
+get one name, the rest of the digest tells them apart (``_apart``). Banded
+MinHash signatures bring nodes together in buckets; pairs of a bucket are
+compared batch by batch of their signatures and dropped as soon as the
+posterior probability of a similarity at or above the threshold falls under
+``miss``; survivors are verified on the full sets of shingles, word by word.
+Components of the verified links are the groups.
 
 Buckets never emit all their pairs. First each bucket's members are compared
 with its leader, the member that shares most buckets (a hub of its group), and
@@ -17,11 +20,13 @@ components of a bucket is left out.
 
 Null texts and texts without a word have an empty set and no links. Rows that
 repeat an id keep their own sets; a component's id is its least document id.
+Texts of any length are taken whole, one at a time.
 """
 
 from __future__ import annotations
 
 import math
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +65,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str, size: int, hashes: Hashes) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; A-Z count as a-z, words end at ASCII white space."""
-    words = text.encode("utf-8").lower().split()
+    return shingle_hashes(words_of(text), size, hashes)
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8").lower().split()
+
+
+def shingle_hashes(words: list[bytes], size: int, hashes: Hashes) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     n = len(words)
@@ -88,35 +100,44 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def digest(s: np.ndarray) -> int:
-    return int(np.frombuffer(xxhash.xxh3_64_digest(s.tobytes()), np.int64)[0])
+def digest(words: list[bytes]) -> bytes:
+    return blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def name_of(g: bytes) -> int:
+    """The name of a node: the first half of its digest."""
+    return int.from_bytes(g[:8], "little", signed=True)
 
 
 def _describe(size: int):
     def fn(batches):
         hashes = Hashes()
         for b in batches:
-            n, d, sig, keys = [], [], [], []
+            n, d, g, sig, keys = [], [], [], [], []
             for t in b.column(b.num_columns - 1).to_pylist():
-                s = shingles(t or "", size, hashes)
+                words = words_of(t or "")
+                s = shingle_hashes(words, size, hashes)
                 n.append(len(s))
-                d.append(digest(s) if len(s) else None)
-                full = signature(s) if len(s) else None
-                sig.append((full[:COMPARED] & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else None)
-                keys.append(band_keys(full) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["k", "th", "n", "d", "sig", "keys"])
+                g.append(digest(words) if words else None)
+                d.append(name_of(g[-1]) if words else None)
+                full = signature(s) if words else None
+                sig.append((full[:COMPARED] & np.uint32(255)).astype(np.uint8).tobytes() if words else None)
+                keys.append(band_keys(full) if words else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(g, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["k", "th", "n", "d", "g", "sig", "keys"])
 
     return fn
 
 
-def _sets(size: int):
-    def fn(batches):
-        hashes = Hashes()
-        for b in batches:
-            made = [shingles(t or "", size, hashes) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["d", "n", "s"])
-
-    return fn
+def _normal(batches):
+    """(d, digest, text) -> (d, words) of the texts that have the digest, for rows are found by hashes of their ids and texts."""
+    for b in batches:
+        d, words = [], []
+        for name, g, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            w = words_of(t or "")
+            if digest(w) == g:
+                d.append(name)
+                words.append(b" ".join(w))
+        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(words, pa.binary())], names=["d", "w"])
 
 
 def least_matches(threshold: float, miss: float) -> list[int]:
@@ -150,13 +171,22 @@ def _prune(limits: list[int]):
     return fn
 
 
-def _exact(percent: int):
+def shingle_set(words: bytes, size: int) -> set[tuple[bytes, ...]]:
+    w = words.split(b" ")
+    k = min(size, len(w))
+    return set(zip(*(w[i : len(w) - k + 1 + i] for i in range(k)), strict=True))
+
+
+def _exact(percent: int, size: int):
     def fn(batches):
+        before, x = None, set()
         for b in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            for i, (one, two) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if one != before:  # pairs of a hub come one after another
+                    before, x = one, shingle_set(one, size)
+                y = shingle_set(two, size)
+                both = len(x & y)
                 if 100 * both >= percent * (len(x) + len(y) - both):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array(keep, pa.int64())) for i in (0, 1)], names=["a", "b"])
@@ -171,10 +201,22 @@ def _with_both(pairs: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb")
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int, size: int, miss: float) -> DataFrame:
     limits = least_matches(percent / 100, miss)
     survivors = map_batches(_with_both(pairs, sigs, "sig"), _prune(limits), "a bigint, b bigint")
-    return map_batches(_with_both(survivors, sets, "s"), _exact(percent), "a bigint, b bigint")
+    return map_batches(_with_both(survivors, texts, "w"), _exact(percent, size), "a bigint, b bigint")
+
+
+def _apart(base: DataFrame, parts: int) -> DataFrame:
+    """Nodes that share a name but not a digest get names of the whole digest, until none do."""
+    seed = 0
+    while True:
+        clashes = checkpointed(base.filter("d is not null").groupBy("d").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select(F.col("d").alias("of")), 1)
+        if clashes.isEmpty():
+            return base
+        seed += 1
+        renamed = F.when(F.col("of").isNotNull(), F.xxhash64(F.lit(seed), "g")).otherwise(F.col("d"))
+        base = checkpointed(base.join(clashes, F.col("d") == F.col("of"), "left").withColumn("d", renamed).drop("of"), parts)
 
 
 def _several(entries: DataFrame, label: str) -> DataFrame:
@@ -183,31 +225,37 @@ def _several(entries: DataFrame, label: str) -> DataFrame:
     return entries.join(ends, "key")
 
 
+def _parts(rows: DataFrame) -> int:
+    """How many files a table on the way has at most: as many as the input has splits, or the cluster cores."""
+    return max(rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _labelled(df: DataFrame, key: str, text: str, shingle: int = 5, percent: int = 80, miss: float = 1e-6) -> tuple[DataFrame, int]:
     """k, the text's hash th, n, d and the component c (null without words) of every row, and the number of files for tables on the way."""
     rows = pick(df, [key, text]).toDF("k", "t").withColumn("th", F.xxhash64("t"))
-    parts = max(1, rows.rdd.getNumPartitions())  # tables on the way have no more files than the input has splits
-    base = checkpointed(map_batches(rows.select("k", "th", "t"), _describe(shingle), "k long, th long, n long, d long, sig binary, keys array<long>"), parts)
+    parts = _parts(rows)
+    base = checkpointed(map_batches(rows.select("k", "th", "t"), _describe(shingle), "k long, th long, n long, d long, g binary, sig binary, keys array<long>"), parts)
+    base = _apart(base, parts)
     keys = base.select("d", F.explode("keys").alias("key"))
     crowded = keys.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select("key")
     entries = checkpointed(keys.join(crowded, "key").select("key", "d").distinct(), parts)
     named = entries.select("d").distinct()
-    known = checkpointed(base.select("k", "th", "d", "n", "sig").join(named, "d", "left_semi").groupBy("d").agg(F.min(F.struct("k", "th")).alias("row"), F.min("n").alias("n"), F.max("sig").alias("sig")), parts)
-    wanted = known.select(F.col("row.k").alias("wk"), F.col("row.th").alias("wth"), "d")
-    texts = rows.join(wanted, F.col("k").eqNullSafe(F.col("wk")) & (F.col("th") == F.col("wth"))).dropDuplicates(["d"]).select("d", "t")
-    sets = checkpointed(map_batches(texts, _sets(shingle), "d long, n long, s binary"), parts)
+    known = checkpointed(base.select("k", "th", "d", "g", "n", "sig").join(named, "d", "left_semi").groupBy("d").agg(F.min(F.struct("k", "th")).alias("row"), F.min("n").alias("n"), F.max("sig").alias("sig"), F.min("g").alias("g")), parts)
+    wanted = known.select(F.col("row.k").alias("wk"), F.col("row.th").alias("wth"), "d", "g")
+    found = rows.join(wanted, F.col("k").eqNullSafe(F.col("wk")) & (F.col("th") == F.col("wth"))).select("d", "g", "t")
+    texts = checkpointed(map_batches(found, _normal, "d long, w binary").dropDuplicates(["d"]), parts)
 
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     rank = entries.join(sizes, "key").groupBy("d").agg(F.sum("size").alias("rank"))
     leaders = entries.join(rank, "d").groupBy("key").agg(F.max(F.struct("rank", "d")).alias("m")).select("key", F.col("m.d").alias("lead"))
     stars = checkpointed(entries.join(leaders, "key").filter("lead <> d").select(F.least("d", "lead").alias("a"), F.greatest("d", "lead").alias("b")).distinct(), parts)
-    links = checkpointed(_links(stars, known, sets, percent, miss), parts)
+    links = checkpointed(_links(stars, known, texts, percent, shingle, miss), parts)
     groups = components(links)
 
     labelled = entries.join(groups, F.col("d") == F.col("node"), "left").select("key", "d", F.coalesce("component", "d").alias("c"))
     open_ = checkpointed(_several(labelled, "c"), parts)
-    more = _rest(open_, sets, stars, percent)
-    found = checkpointed(_links(more, known, sets, percent, miss), parts)
+    more = _rest(open_, texts, known.select("d", "n"), stars, percent, shingle, parts)
+    found = checkpointed(_links(more, known, texts, percent, shingle, miss), parts)
     if not found.isEmpty():
         groups = components(links.unionByName(found))
     labelled = base.select("k", "th", "n", "d").join(groups, F.col("d") == F.col("node"), "left")
@@ -222,7 +270,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", **op
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("first", "k").alias("component_id"), F.col("d").alias("set_id")).coalesce(parts)
 
 
-def _rest(entries: DataFrame, sets: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+def _rest(entries: DataFrame, texts: DataFrame, sizes: DataFrame, done: DataFrame, percent: int, size: int, parts: int) -> DataFrame:
     """Pairs of different components that may still be links, among the documents of open buckets.
 
     Sets of n and m shingles are linked if they share at least
@@ -237,24 +285,24 @@ def _rest(entries: DataFrame, sets: DataFrame, done: DataFrame, percent: int) ->
     here = entries.select("d", "c").distinct()
 
     def explode(batches):
+        hashes = Hashes()
         for b in batches:
-            d, s = b.column(0).to_numpy(), [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
-            for i in range(0, len(s), 256):
-                part = s[i : i + 256]
-                if part:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(d[i : i + 256], [len(x) for x in part])), pa.array(np.concatenate(part))], names=["d", "g"])
+            d, w = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for i in range(0, len(w), 256):
+                part = [shingle_hashes(x.split(b" "), size, hashes).view(np.int64) for x in w[i : i + 256]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(d[i : i + 256], [len(x) for x in part])), pa.array(np.concatenate(part))], names=["d", "g"])
 
-    grams = map_batches(sets.join(here, "d", "left_semi").select("d", "s"), explode, "d long, g long")
+    grams = map_batches(texts.join(here, "d", "left_semi").select("d", "w"), explode, "d long, g long")
     met = grams.groupBy("g").agg(F.count(F.lit(1)).alias("of")).filter("of > 1")
     ordered = grams.join(met, "g").groupBy("d").agg(F.sort_array(F.collect_list(F.struct("of", "g"))).alias("gs"))
-    sized = ordered.join(sets.select("d", "n"), "d").join(here, "d")
+    sized = ordered.join(sizes, "d").join(here, "d")
     # A partner has at least p % of the shingles, so a prefix ends at n - p % n + 1; alone stand the n - m first.
     alone = F.col("n") - F.size("gs")
     length = F.greatest(F.floor(F.col("n") * (100 - percent) / 100).cast("long") + 1 - alone, F.lit(0).cast("long"))
     rows = sized.withColumn("alone", alone).select("d", "c", "n", "alone", F.posexplode(F.slice("gs", F.lit(1), length.cast("int"))).alias("i", "x"))
     prefix = rows.select(F.col("x.g").alias("g"), "d", "c", "n", (F.col("alone") + F.col("i") + 1).alias("at"))
     main = prefix.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("cs")).filter("cs > 1").select("g", "main")
-    met_here = checkpointed(prefix.join(main, "g"), max(1, sets.rdd.getNumPartitions()))
+    met_here = checkpointed(prefix.join(main, "g"), parts)
     x = met_here.filter("c <> main").select("g", F.col("d").alias("xd"), F.col("c").alias("xc"), F.col("n").alias("xn"), F.col("at").alias("xat"))
     y = met_here.select("g", F.col("d").alias("yd"), F.col("c").alias("yc"), F.col("n").alias("yn"), F.col("at").alias("yat"), "main")
     need = share * (F.col("xn") + F.col("yn"))
