@@ -8,12 +8,15 @@ words hit as spans, the items found, and the text without the spans.
 
 The set is broadcast in blocks of at most ``MAX_BLOCK_BYTES`` of benchmark
 text; a larger benchmark is scanned for block after block, the findings of
-each pass carried along with the row. Null texts have no words.
+each pass checkpointed with the row, so that the driver and each task hold one
+block at a time. Null texts have no words. Texts of any length are scanned
+whole; rows that repeat are judged alike; items that repeat count once by id.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -21,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, pick
+from quarry.llm.common import map_batches, once, pick
+from quarry.operators.graph import checkpointed
 
-MAX_BLOCK_BYTES = 8 << 20
+MAX_BLOCK_BYTES = 16 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: The same on UTF-8 bytes: letters a-z, digits and all bytes of other characters make words, the rest is white space.
@@ -35,23 +39,24 @@ def normal_words(text: str) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some items, by length and hash."""
+    """The windows of some items: for each length their sorted hashes and where they begin among all words of the items."""
 
     P = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, items: list[tuple[str, str]], n: int):
         self.words: dict[bytes, int] = {}
-        self.by_size: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, text in items:
-            ids = [self.words.setdefault(w, len(self.words)) for w in normal_words(text)]
-            if not ids:
-                continue
-            size = min(n, len(ids))
-            windows = self.by_size.setdefault(size, {})
-            for i in range(len(ids) - size + 1):
-                windows.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.least = min(self.by_size, default=1)
-        self.hashes = {size: np.unique(self.hashed(np.array(list(w), np.int64).reshape(-1), size)[::size]) for size, w in self.by_size.items()}
+        ids = [np.array([self.words.setdefault(w, len(self.words)) for w in normal_words(text)], np.int32) for _, text in items]
+        self.flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        counts = np.array([len(x) for x in ids], np.int64)
+        self.first = np.cumsum(counts) - counts
+        self.names = [name for name, _ in items]
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(np.minimum(counts[counts > 0], n)).tolist():
+            starts = np.concatenate([f + np.arange(c - size + 1) for f, c in zip(self.first.tolist(), counts.tolist(), strict=True) if min(c, n) == size])
+            h = self.hashed(self.flat, size)[starts]
+            order = np.argsort(h, kind="stable")
+            self.tables[size] = h[order], starts[order]
+        self.least = min(self.tables, default=1)
 
     def hashed(self, ids: np.ndarray, size: int) -> np.ndarray:
         """A polynomial hash of each window of ``size`` ids."""
@@ -64,27 +69,25 @@ class Windows:
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans [from, to) of words hit, merged, and the items found."""
-        if len(words) < self.least:
+        if len(words) < self.least or not self.tables:
             return [], set()
         ids = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
         known = np.flatnonzero(np.diff(np.concatenate(([0], (ids >= 0).view(np.int8), [0]))))
-        spans, items = [], set()
+        spans, found = [], set()
         for a, b in zip(known[::2].tolist(), known[1::2].tolist(), strict=True):
-            if b - a < self.least:
-                continue
             run = ids[a:b]
-            for size, windows in self.by_size.items():
+            for size, (hashes, starts) in self.tables.items():
                 if b - a < size:
                     continue
-                h, table = self.hashed(run, size), self.hashes[size]
-                at = np.searchsorted(table, h)
-                at[at == len(table)] = 0
-                for i in np.flatnonzero(table[at] == h).tolist():
-                    found = windows.get(tuple(run[i : i + size].tolist()))
-                    if found:
+                h = self.hashed(run, size)
+                low = np.searchsorted(hashes, h)
+                for i in np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h).tolist():
+                    at = starts[low[i] : np.searchsorted(hashes, h[i], "right")]
+                    at = at[(self.flat[at[:, None] + np.arange(size)] == run[i : i + size]).all(axis=1)]
+                    if len(at):
                         spans.append((a + i, a + i + size))
-                        items |= found
-        return merge(spans), items
+                        found.update((np.searchsorted(self.first, at, "right") - 1).tolist())
+        return merge(spans), {self.names[i] for i in found}
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -131,12 +134,12 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
     spark = df.sparkSession
     none = F.array().cast("array<array<int>>"), F.array().cast("array<string>")
     out = pick(df, [*keep, text]).toDF(*names, "t").withColumns({"n_words": F.lit(0).cast("long"), "spans": none[0], "items": none[1], "cleaned": F.lit(None).cast("string")})
-    blocks = list(_blocks(benchmark, item, item_text, block_bytes))
-    for i, rows in enumerate(blocks):
-        sent, last = spark.sparkContext.broadcast(rows), i + 1 == len(blocks)
+    for i, rows in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
+        out = checkpointed(out) if i else out
+        sent, block = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
 
-        def fn(batches, sent=sent, last=last):
-            windows = Windows(sent.value, n)
+        def fn(batches, sent=sent, block=block):
+            windows = once(("windows", block), lambda: Windows(sent.value, n))
             for b in batches:
                 col = {name: b.column(j) for j, name in enumerate(b.schema.names)}
                 counts, spans, items, clean = [], [], [], []
@@ -147,9 +150,9 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
                     counts.append(len(w))
                     spans.append([list(p) for p in s])
                     items.append(sorted(x | set(has)))
-                    clean.append(cut(t, s) if cleaned and last and t is not None else None)
+                    clean.append(cut(t, s) if cleaned and t is not None else None)
                 made = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, b.schema.field("spans").type), "items": pa.array(items, b.schema.field("items").type), "cleaned": pa.array(clean, pa.string())}
                 yield pa.RecordBatch.from_arrays([made.get(c, col[c]) for c in b.schema.names], names=b.schema.names)
 
-        out = map_batches(out, fn, out.schema)
+        out = map_batches(out, fn, out.schema, keeps=True)
     return out.select(*[F.col(a).alias(c) for a, c in zip(names, keep, strict=True)], *new)
