@@ -79,15 +79,16 @@ def place(arcs: list[int], owners: list[int], capacity: list[int]) -> list[list[
 def shard(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int = 24, virtual_nodes: int = 64, slack: float = 0.0, cells: int = 4) -> DataFrame:
     """key, size, text_crc32, shard and slot (gapless from 0 in each shard) of every row.
 
-    Size: UTF-8 bytes of the text plus 8. Null keys hash as one more value and
-    are spread by their texts; null texts have no bytes and the crc32 of the
-    empty text. An empty table gives no rows.
+    Size: UTF-8 bytes of the text plus 8. A row's place on the ring comes from
+    its key and its text's size and crc32, so rows that share a key, or have
+    none, are spread; rows that repeat whole share a place. Null texts have no
+    bytes and the crc32 of the empty text. An empty table gives no rows.
     """
     spark = df.sparkSession
     points = ring(spark, n_shards, virtual_nodes)
     at = [p[0] for p in points]
     taken = pick(df, [key, text]).toDF("k", "t")
-    hashed = taken.select("k", (F.octet_length(F.coalesce("t", F.lit(""))) + 8).cast("long").alias("size"), F.crc32(F.coalesce("t", F.lit("")).cast("binary")).alias("crc"), F.xxhash64(F.lit("key"), "k").alias("h"))
+    hashed = taken.select("k", (F.octet_length(F.coalesce("t", F.lit(""))) + 8).cast("long").alias("size"), F.crc32(F.coalesce("t", F.lit("")).cast("binary")).alias("crc")).withColumn("h", F.xxhash64(F.lit("key"), "k", "crc", "size"))
     # The first point at or after the hash: points of the same top bits are few, so those buckets are joined and searched.
     hashed = hashed.join(F.broadcast(_starts(spark, at)), F.shiftright("h", BITS) == F.col("top")).withColumn("lo", F.col("first") + F.size(F.filter("points", lambda x: x < F.col("h"))))
     spread = F.pmod(F.xxhash64(F.lit("cell"), "k", "crc", "size"), F.lit(cells)).cast("int")
