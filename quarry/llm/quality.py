@@ -2,15 +2,20 @@
 
 Every line gets a label, bad or good. Its features are measures of the line
 and of the lines next to it; neighbouring labels are tied by a transition
-table. Training takes a document's label for all of its lines and maximises
-the conditional likelihood by gradient steps on a bounded, documented sample of
-labelled documents (``sample``); only line features of those reach the driver.
-For scoring, forward-backward gives each line's probability of being good; a
-document's is their mean weighted by length, and two more fitted numbers turn
-it into a score.
+table. Only documents are labelled, so training alternates: it maximises the
+conditional likelihood of the line labels by gradient steps, then gives each
+line the label that is likelier, as far as good lines stay the larger part of
+good documents, by length, and bad lines that of bad ones. At first all lines
+have their document's label, and nothing ties neighbours. It sees a bounded, documented sample of labelled
+documents (``sample`` rows, ``max_lines`` lines); only line features of those
+reach the driver. For scoring, forward-backward gives each line's probability
+of being good; a document's is their mean weighted by length, and two more
+fitted numbers turn it into a score.
 
 Null and empty texts have one empty line. Without labels of both kinds every
-score is 0.5.
+score is 0.5. Of several labels of an id the least holds; labels other than 0
+and 1 and null ids teach nothing; rows that repeat whole teach once. Texts are
+scored whole, whatever their length, one at a time.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quarry.llm.common import add_by_text, pick
 
@@ -85,15 +91,14 @@ def marginals(unary: np.ndarray, ties: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def fit_chain(docs: list[np.ndarray], labels: np.ndarray, steps: int = 150, rate: float = 0.15, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ties by gradient ascent (Adam) on the conditional likelihood, all documents line by line side by side."""
+def fit_chain(docs: list[np.ndarray], labels: list[np.ndarray], weight: np.ndarray, tied: bool = True, steps: int = 150, rate: float = 0.15, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ties by gradient ascent (Adam) on the conditional likelihood of the lines' labels, all documents line by line side by side."""
     order = np.argsort([-len(d) for d in docs], kind="stable")
-    docs, labels = [docs[i] for i in order], labels[order]
+    docs, labels, weight = [docs[i] for i in order], [labels[i] for i in order], weight[order]
     depth = len(docs[0])
     live = [sum(len(d) > i for d in docs) for i in range(depth)]  # the longest come first
     x = [np.stack([docs[j][i] for j in range(live[i])]) for i in range(depth)]
-    # Each label weighs alike, each document too.
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
+    y = [np.array([labels[j][i] for j in range(live[i])]) for i in range(depth)]
     weight = weight / np.array([len(d) for d in docs])
     w, ties = np.zeros(docs[0].shape[1]), np.zeros((2, 2))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
@@ -111,34 +116,56 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray, steps: int = 150, rate
         for i in range(depth):
             k = live[i]
             good = np.exp(fore[i][:, 1] + back[i][:, 1] - norm[:k])
-            g += ((labels[:k] - good) * weight[:k]) @ x[i]
+            g += ((y[i] - good) * weight[:k]) @ x[i]
             if i:
                 joint = np.exp(fore[i - 1][:k, :, None] + ties[None] + (u[i] + back[i])[:, None, :] - norm[:k, None, None])
                 seen = np.zeros_like(joint)
-                seen[np.arange(k), labels[:k], labels[:k]] = 1
+                seen[np.arange(k), y[i - 1][:k], y[i]] = 1
                 gt += ((seen - joint) * weight[:k, None, None]).sum(axis=0)
-        grad = np.concatenate((g - ridge * w, (gt - ridge * ties).ravel()))
+        grad = np.concatenate((g - ridge * w, (gt - ridge * ties).ravel() * tied))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, ties = w + move[:-4], ties + move[-4:].reshape(2, 2)
     return w, ties
 
 
+def relabel(good: np.ndarray, length: np.ndarray, label: int) -> np.ndarray:
+    """Line labels by their probabilities, such that lines of the document's own label are at least half of its length."""
+    right = good if label == 1 else 1 - good
+    order = np.argsort(-right, kind="stable")
+    size = np.cumsum((length + 1e-3)[order])
+    forced = np.zeros(len(good), bool)
+    forced[order[: int(np.searchsorted(size, size[-1] / 2)) + 1]] = True
+    return np.where(forced | (right >= 0.5), label, 1 - label)
+
+
 def document_mean(x: np.ndarray, length: np.ndarray, w: np.ndarray, ties: np.ndarray) -> float:
     good = marginals(features(x) @ w, ties)
     weight = length + 1e-3
     return float(good @ weight / weight.sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, admitted: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2000):
+def fit(docs: DataFrame, labels: DataFrame, admitted: Column, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 2000, max_lines: int = 200_000, rounds: int = 3):
     """A model (weights, ties, slope, offset), or None without labels of both kinds.
 
     ``admitted`` filters the rows of ``labels``; of these the ``sample`` of
-    least hash of the id are learned from, with their documents' whole texts.
+    least hash of the id are learned from, with their documents' whole texts,
+    in this order as far as all their lines stay within ``max_lines``
+    (documents that would pass it are left out).
     """
     rows = pick(labels.filter(admitted), [key, label]).toDF("k", "y").filter("y in (0, 1) and k is not null")
-    chosen = rows.groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
-    joined = pick(docs, [key, text]).toDF("k", "t").join(F.broadcast(chosen), "k")
+    chosen = rows.groupBy("k").agg(F.min("y").cast("int").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
+    joined = pick(docs, [key, text]).toDF("k", "t").withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), "k")
+    lines = F.size(F.split(F.coalesce("t", F.lit("")), "\n"))
+    taken, left = [], max_lines
+    for r in joined.select("k", "h", lines.alias("n")).distinct().orderBy(F.xxhash64("k"), "k", "h").limit(sample).collect():
+        if r["n"] <= left:
+            taken.append((r["k"], r["h"]))
+            left -= r["n"]
+    if not taken:
+        return None
+    sent = docs.sparkSession.createDataFrame(taken, StructType([StructField("k", joined.schema["k"].dataType), StructField("h", LongType())]))
+    texts = joined.join(F.broadcast(sent), ["k", "h"]).dropDuplicates(["k", "h"]).select("k", "t", "y")
 
     def make():
         def of(texts):
@@ -147,14 +174,20 @@ def fit(docs: DataFrame, labels: DataFrame, admitted: Column, key: str = "doc_id
 
         return of
 
-    got = add_by_text(joined, make, "x array<float>, n array<float>", "t", ["k", "y"]).toPandas().sort_values("k")
+    got = add_by_text(texts, make, "x array<float>, n array<float>", "t", ["k", "y"]).toPandas().sort_values("k", kind="stable")
     y = got["y"].to_numpy().astype(np.int64)
     if not (y == 0).any() or not (y == 1).any():
         return None
     xs = [np.asarray(x, np.float64).reshape(-1, MEASURES) for x in got["x"]]
-    w, ties = fit_chain([features(x) for x in xs], y)
-    means = np.array([document_mean(x, np.asarray(n, np.float64), w, ties) for x, n in zip(xs, got["n"], strict=True)])
-    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    sizes = [np.asarray(n, np.float64) for n in got["n"]]
+    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())  # each label weighs alike, each document too
+    made = [features(x) for x in xs]
+    of_lines = [np.full(len(x), label) for x, label in zip(xs, y, strict=True)]
+    for i in range(rounds):
+        # The first labels never change within a document: what that says of neighbours isn't learned.
+        w, ties = fit_chain(made, of_lines, weight, tied=i > 0)
+        of_lines = [relabel(marginals(x @ w, ties), n, label) for x, n, label in zip(made, sizes, y.tolist(), strict=True)]
+    means = np.array([document_mean(x, n, w, ties) for x, n in zip(xs, sizes, strict=True)])
     slope, offset = 4.0, -2.0
     for _ in range(2000):
         p = 1 / (1 + np.exp(-(slope * means + offset)))
