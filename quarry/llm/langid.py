@@ -8,10 +8,14 @@ each language doesn't fall. The prediction is the largest proportion in the
 set that is left, the score that proportion.
 
 Learning reads the labelled rows that the caller admits, about
-``sample_per_language`` of each language by a hash of the id, and counts
-trigrams with ordinary aggregations; only the counts (languages times
-``BINS``) reach the driver. Texts that are null or hold no letter are ``und``
-with score 0, as is every text if nothing was learned.
+``sample_per_language`` of each language by a hash of id and text (all rows of
+a language that has no more), and counts trigrams with ordinary aggregations;
+only the counts (languages times ``BINS``) reach the driver. Every value of
+``lang`` is learned; labels so many that the model would pass
+``MAX_MODEL_BYTES`` aren't languages and are refused. Rows that repeat whole
+are learned from once. Texts that are null or hold no letter are ``und`` with
+score 0, as is every text if nothing was learned. Texts of any length are
+counted whole, one at a time.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import add_by_text, map_batches, pick
 
 BINS = 1 << 15
-#: Languages that a model holds at most: the most frequent.
-MAX_LANGUAGES = 200
+#: Size of the largest model that is broadcast (128 KB a language).
+MAX_MODEL_BYTES = 256 << 20
 UNKNOWN = "und"
 
 
@@ -54,15 +58,24 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return bins, counts[bins]
 
 
+def draw(rows: DataFrame, sizes: dict[str, int], each: int, seed: str) -> DataFrame:
+    """l and t of about ``each`` of the ``sizes[l]`` rows (k, t, l) of a language l, each different row once."""
+    share = F.element_at(F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, each / n))]), F.col("l"))
+    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "k", "t"), F.lit(1 << 40)) < share * (1 << 40))
+    return drawn.dropDuplicates(["k", "t", "l"]).select("l", "t")
+
+
 def fit(docs: DataFrame, admitted: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_per_language: int = 1000, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
     """The languages and a float32 table (``BINS`` x languages) of probabilities."""
     taken = docs.filter(admitted)
     taken = pick(taken, [key, text, lang]).toDF("k", "t", "l").filter("l is not null and t is not null")
-    sizes = {r["l"]: r["n"] for r in taken.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
+    most = MAX_MODEL_BYTES // (4 * BINS)
+    sizes = {r["l"]: r["n"] for r in taken.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()}
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages: a model of over {MAX_MODEL_BYTES} bytes isn't broadcast")
     if not sizes:
         return [], np.zeros((BINS, 0), np.float32)
-    share = F.element_at(F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(min(1.0, sample_per_language / n) * 1_000_000))]), F.col("l"))
-    sampled = taken.filter(F.col("l").isin(*sizes) & (F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < share)).select("l", "t")
+    sampled = draw(taken, sizes, sample_per_language, "fit")
 
     def count(batches):
         for b in batches:
@@ -127,8 +140,7 @@ def least_gains(docs: DataFrame, held_out: Column, model: tuple[list[str], np.nd
     sizes = {r["l"]: r["n"] for r in taken.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return least
-    share = F.element_at(F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample_per_language / n))]), F.col("l"))
-    sampled = taken.filter(F.pmod(F.xxhash64(F.lit("gain"), "k", "t"), F.lit(1 << 40)) < share * (1 << 40)).select("l", "t")
+    sampled = draw(taken, sizes, sample_per_language, "gain")
     scored = predict(sampled, model, "t", ["l"], gains=True).filter("gain is not null")
     for r in scored.groupBy("l").agg(F.percentile_approx("gain", 0.5).alias("mid")).collect():
         least[r["l"]] = max(0.0, r["mid"] / 2)
