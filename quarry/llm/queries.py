@@ -106,8 +106,9 @@ select d.doc_id, d.n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n
 OP8 = r"""
 with doc as (select doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 line as (select doc_id, source, trim(regexp_replace(lower(translate(l, chr(9) || chr(11) || chr(12) || chr(13), '    ')), ' +', ' ', 'g'), ' ') as l from (select doc_id, source, unnest(string_split(t, chr(10))) as l from doc)),
-common as (select source, l from line where l <> '' group by 1, 2 having count(distinct doc_id) > 20 and count(distinct doc_id) > 0.1 * (select count(*) from documents d where d.source = line.source)),
-lost as (select doc_id, sum(length(l) - length(replace(l, ' ', '')) + 1)::bigint as n from line semi join common using (source, l) group by 1),
+host as (select source as o, count(distinct doc_id) as n from documents group by 1),
+common as (select source, l from line join host on o is not distinct from source where l <> '' group by source, l, host.n having count(distinct doc_id) > 20 and count(distinct doc_id) > 0.01 * host.n),
+lost as (select doc_id, sum(length(line.l) - length(replace(line.l, ' ', '')) + 1)::bigint as n from line join common c on c.l = line.l and c.source is not distinct from line.source group by 1),
 win as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from doc)),
 twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, s) as n from win) where n > 1),
 rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from twice) group by 1),

@@ -2,17 +2,20 @@
 
 ``base_measures`` works within a row. ``judge_lines`` hashes the normalised
 lines of every document (lower case, runs of white space as one space), counts
-the documents of each host that hold a line, and calls a line common if more
-than ``min_docs`` documents and more than ``max_fraction`` of the host's
-documents hold it, so that the rule reads alike at every size. Common lines
-are removed, and documents depleted below ``min_kept`` of their words are
-rejected. All of it is DataFrame functions.
-
-A document counts once for a line; counts combine before the shuffle, so a
-very common line is one row a task. The counted lines and the documents' lines
-meet in an ordinary join, which splits a skewed key. Null texts have no lines
-and no words; a null host is a host of its own; rows that repeat whole are
-judged alike.
+the distinct documents of each host that hold a line, and calls a line common
+if more than ``min_docs`` documents and more than ``max_fraction`` of the
+host's documents hold it: a share, so that the rule reads alike at every size,
+and a small one, so that boilerplate counts in a very large host too. Common
+lines are removed (``remove_common_lines``), and documents depleted below
+``min_kept`` of their words are rejected. All of it is DataFrame functions.
+
+A document counts once for a line, however many rows it has; which documents
+hold a line is settled by line and document, then counts combine before the
+shuffle, so a very common line is one row a task. The counted lines and the
+documents' lines meet in an ordinary join, which splits a skewed key. Null
+texts have no lines and no words; a null host is a host of its own; rows
+without a key are documents by their texts; rows that repeat whole are judged
+alike. A text is one value in memory, whatever its length.
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import pick
+from quarry.operators.graph import checkpointed
 
+#: A line is common in a host if more than so many documents hold it, and more than this share of the host's; a document keeps at least this share of its words.
+MIN_DOCS, MAX_FRACTION, MIN_KEPT = 20, 0.01, 0.3
 SPACE = " \t\n\x0b\f\r"
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -78,26 +84,57 @@ def base_measures(df: DataFrame, text: str) -> DataFrame:
     return df.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge_lines(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 20, max_fraction: float = 0.1, min_kept: float = 0.3) -> DataFrame:
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _lined(df: DataFrame, key: str, text: str, host: str, carry: list[str]) -> DataFrame:
+    """One pass over the texts: u (a number of the row), k, s, doc, the measures, and the normalised lines' places, hashes and numbers of words; cut off by a checkpoint, so that numbers hold and texts are read once."""
+    names = [f"c{i}" for i in range(len(carry))]
+    keyed = pick(df, [key, text, host, *carry]).toDF("k", "t", "s", *names)
+    # Rows without a key are told apart by their texts.
+    keyed = keyed.withColumn("doc", F.struct("k", F.when(F.col("k").isNull(), F.xxhash64("t")).alias("h")))
+    even = F.regexp_replace(F.lower(F.translate(F.coalesce("t", F.lit("")), "\t\x0b\f\r", "    ")), "  +", " ")
+    clean = F.transform(F.split(even, "\n"), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("i")))
+    counted = F.transform(F.filter(clean, lambda x: x["x"] != ""), lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["x"]).alias("h"), (F.length(x["x"]) - F.length(F.translate(x["x"], " ", "")) + 1).alias("n")))
+    made = base_measures(keyed.withColumn("lines_", counted), "t").drop("t")
+    parts = max(keyed.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+    return checkpointed(made.withColumn("u", F.monotonically_increasing_id()).withColumnRenamed("lines_", "lines"), parts)
+
+
+def _lost(lined: DataFrame, min_docs: int, max_fraction: float) -> DataFrame:
+    """u, lost (words in common lines) and gone (places of the common lines) of the rows that have any."""
+    once = lined.select("s", "doc", F.explode(F.array_distinct(F.col("lines.h"))).alias("h")).distinct()
+    holders = once.groupBy("s", "h").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > min_docs)
+    hosts = lined.select(F.col("s").alias("o"), "doc").distinct().groupBy("o").agg(F.count(F.lit(1)).alias("all_docs"))
+    common = holders.join(hosts, F.col("s").eqNullSafe(F.col("o"))).filter(F.col("docs") > F.col("all_docs") * max_fraction).select(F.col("s").alias("cs"), F.col("h").alias("ch"))
+    every = lined.select("u", "s", F.explode("lines").alias("x")).select("u", "s", F.col("x.i").alias("i"), F.col("x.h").alias("h"), F.col("x.n").alias("n"))
+    found = every.join(common, F.col("s").eqNullSafe(F.col("cs")) & (F.col("h") == F.col("ch")), "left_semi")
+    return found.groupBy(F.col("u").alias("gu")).agg(F.sum("n").alias("lost"), F.collect_list("i").alias("gone"))
+
+
+def _judged(lined: DataFrame, min_docs: int, max_fraction: float, min_kept: float) -> DataFrame:
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    lost = F.coalesce("lost", F.lit(0)).cast("long")
+    kept = ~failed & (F.col("n_words") - lost >= min_kept * F.col("n_words"))
+    found = lined.drop("lines").join(_lost(lined, min_docs, max_fraction), F.col("u") == F.col("gu"), "left")
+    return found.withColumns({"base_failed": failed, "kept": kept, "common_words": lost})
+
+
+def judge_lines(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_fraction: float = MAX_FRACTION, min_kept: float = MIN_KEPT) -> DataFrame:
     """key, the base measures, base_failed, kept, and common_words (words in common lines).
 
     base_failed: fewer than 20 words, or over 30 % of them in repeated windows.
     kept: not base_failed, and at least ``min_kept`` of the words remain.
     """
-    # Rows are told apart by key and text: equal rows share one verdict.
-    keyed = pick(df, [key, text, host]).toDF("k", "t", "s").withColumn("r", F.xxhash64("k", "t"))
-    clean = F.transform(F.split(F.lower(F.translate(F.coalesce("t", F.lit("")), "\t\x0b\f\r", "    ")), "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " ")))
-    counted = F.transform(F.filter(clean, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("n")))
-    lined = keyed.select("k", "r", "s", counted.alias("lines"))
-    once = lined.select("s", F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
-    holders = once.groupBy("s", "h").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > min_docs)
-    hosts = keyed.groupBy("s").agg(F.count(F.lit(1)).alias("all_docs"))
-    common = holders.join(hosts.withColumnRenamed("s", "o"), F.col("s").eqNullSafe(F.col("o"))).filter(F.col("docs") > F.col("all_docs") * max_fraction).select(F.col("s").alias("cs"), F.col("h").alias("ch"))
-    every = lined.select("k", "r", "s", F.posexplode("lines").alias("i", "x")).select("k", "r", "s", "i", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
-    gone = every.join(common, F.col("s").eqNullSafe(F.col("cs")) & (F.col("h") == F.col("ch")), "left_semi").select("k", "r", "i", "n").distinct()
-    gone = gone.groupBy(F.col("k").alias("gk"), F.col("r").alias("gr")).agg(F.sum("n").alias("lost"))
-    measured = base_measures(keyed.select("k", "r", "t"), "t").drop("t")
-    judged = measured.join(gone, F.col("k").eqNullSafe(F.col("gk")) & (F.col("r") == F.col("gr")), "left").withColumn("lost", F.coalesce("lost", F.lit(0)).cast("long"))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    kept = ~failed & (F.col("n_words") - F.col("lost") >= min_kept * F.col("n_words"))
-    return judged.select(F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), F.col("lost").alias("common_words")).coalesce(max(1, keyed.rdd.getNumPartitions()))
+    judged = _judged(_lined(df, key, text, host, []), min_docs, max_fraction, min_kept)
+    return judged.select(F.col("k").alias(key), *MEASURES, "base_failed", "kept", "common_words")
+
+
+def remove_common_lines(df: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_fraction: float = MAX_FRACTION, min_kept: float = MIN_KEPT) -> DataFrame:
+    """The rows of ``df`` that are kept, their texts without the common lines."""
+    lined = _lined(df, key, text, host, df.columns)
+    left = F.filter(F.split("t_", "\n"), lambda x, i: ~F.array_contains("gone", i))
+    names = [f"c{i}" for i in range(len(df.columns))]
+    at = names[df.columns.index(text)]
+    rows = _judged(lined, min_docs, max_fraction, min_kept).filter("kept").withColumn("t_", F.col(at))
+    return rows.withColumn(at, F.when(F.col("gone").isNull(), F.col("t_")).otherwise(F.array_join(left, "\n"))).select(*names).toDF(*df.columns)
