@@ -21,8 +21,12 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, f"^[{_S}]+", ""), f"[{_S}]+$", "")
 
 
-def lower_ascii(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def trim_start(c: Column) -> Column:
+    return F.regexp_replace(c, f"^[{_S}]+", "")
+
+
+def trim_end(c: Column) -> Column:
+    return F.regexp_replace(c, f"[{_S}]+$", "")
 
 
 def words(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import text as tx
+
 
 def readable(rows: DataFrame, grants: DataFrame, principal: str, access: str = "read", namespace: str = "namespace") -> DataFrame:
     """Rows of the namespaces that the principal may use; write implies read, a disabled principal has nothing."""
@@ -126,3 +128,26 @@ def utf8_preview(content: Column, most: int) -> tuple[Column, Column, Column]:
     text = F.when(cut, shorter).otherwise(text)
     text = F.when(F.instr(text, "\0") == 0, text)
     return F.when(text.isNull(), "binary").otherwise("text"), text, cut & text.isNotNull()
+
+
+def containments(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (left, right) of titles of which one, normalised, contains the other.
+
+    A text contains another only if it holds its first three characters (or
+    all, if it has fewer), so the containing side is joined by its pieces of up
+    to three characters and the whole is checked afterwards.
+    """
+    sides = [df.toDF("title").distinct().withColumn("key", tx.section_key(F.col("title"))).filter("key <> ''") for df in (left, right)]
+
+    def within(outer: DataFrame, inner: DataFrame) -> DataFrame:
+        def pieces(n: int) -> Column:
+            all_ = F.transform(F.sequence(F.lit(1), F.length("key") - n + 1), lambda i: F.substring("key", i, F.lit(n)))
+            return F.when(F.length("key") >= n, all_).otherwise(F.array().cast("array<string>"))
+
+        o = outer.select(F.col("title").alias("outer"), F.col("key").alias("whole"), F.explode(F.array_distinct(F.concat(*map(pieces, (1, 2, 3))))).alias("piece"))
+        i = inner.select(F.col("title").alias("inner"), "key", F.substring("key", 1, 3).alias("piece"))
+        return o.join(i, "piece").filter(F.col("whole").contains(F.col("key"))).select("outer", "inner")
+
+    one = within(*sides).select(F.col("outer").alias("left"), F.col("inner").alias("right"))
+    two = within(*reversed(sides)).select(F.col("inner").alias("left"), F.col("outer").alias("right"))
+    return one.unionByName(two).distinct()

@@ -105,34 +105,45 @@ def strip_edges(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"__first": first, "__last": last}).filter((F.col("pos") >= F.col("__first")) & (F.col("pos") <= F.col("__last"))).drop("__first", "__last")
 
 
-def offset_votes(entries: DataFrame, pages: DataFrame, most_entries: int = 24, most_pages: int = 12) -> DataFrame:
-    """The offset from printed to real pages that most matches of titles speak for, the first seen of equals."""
-    e = entries.filter(F.col("pos") <= most_entries).alias("e")
-    p = pages.filter(F.col("page") <= most_pages).alias("p")
-    met = e.join(p, (F.col("e.doc") == F.col("p.doc")) & (F.col("e.title") == F.col("p.title")))
-    votes = met.groupBy(F.col("e.doc").alias("doc"), (F.col("p.page") - F.col("e.printed")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"), F.min(F.struct(F.col("e.pos"), F.col("p.page"))).alias("seen"))
+def offset_votes(entries: DataFrame, titles: DataFrame, most_entries: int = 24, most_pages: int = 12) -> DataFrame:
+    """The offset from printed to real pages that most matches speak for, the first seen of equals.
+
+    Entries (doc, pos, title, printed) of the contents, the first that have a
+    printed page, are matched with the titles (doc, page, i, title: headings
+    and last breadcrumbs) of the first pages: normalised, they are equal or one
+    contains the other.
+    """
+    e = entries.filter(F.col("printed").isNotNull()).withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("pos")))
+    e = e.filter(F.col("n") <= most_entries).withColumn("key", tx.section_key(F.col("title"))).filter("key <> ''").alias("e")
+    p = titles.withColumn("n", F.dense_rank().over(Window.partitionBy("doc").orderBy("page")))
+    p = p.filter(F.col("n") <= most_pages).withColumn("key", tx.section_key(F.col("title"))).filter("key <> ''").alias("p")
+    met = e.join(p, (F.col("e.doc") == F.col("p.doc")) & (F.col("e.key").contains(F.col("p.key")) | F.col("p.key").contains(F.col("e.key"))))
+    votes = met.groupBy(F.col("e.doc").alias("doc"), (F.col("p.page") - F.col("e.printed")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"), F.min(F.struct(F.col("e.pos"), F.col("p.page"), F.col("p.i"))).alias("seen"))
     w = Window.partitionBy("doc").orderBy(F.desc("votes"), "seen")
     return votes.withColumn("n", F.row_number().over(w)).filter("n = 1").select("doc", "offset", "votes")
 
 
 def merge_continuations(blocks: DataFrame) -> DataFrame:
-    """Blocks (doc, page, pos, k, t, cont) with continued paragraphs joined, document by document.
+    """Blocks (doc, page, pos, k, t, cont, items, rows) with continued ones put together: paragraphs' texts joined, lists' items and tables' rows one after another.
 
-    The fold is sequential within a document, so each document is one group.
+    A block goes on if it is in the middle or at the end of something of the
+    kind of the block before, which begins it or is in its middle. Runs of such
+    blocks are islands; those that nothing begins stay as they are. A table
+    without text of its own takes the first text of its parts.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for doc, page, pos, k, t, cont in pdf.sort_values(["page", "pos"])[["doc", "page", "pos", "k", "t", "cont"]].itertuples(index=False):
-            last = out[-1] if out else None
-            if last and last[3] == k and last[5] == "start" and cont in ("mid", "end") and k in ("paragraph", "list", "table"):
-                last[4] = f"{last[4].rstrip()} {t.lstrip()}" if k == "paragraph" else f"{last[4]}\n{t}"
-                last[5] = None if cont == "end" else "start"
-            else:
-                out.append([doc, page, pos, k, t, cont])
-        return pd.DataFrame(out, columns=["doc", "page", "pos", "k", "t", "cont"]).drop(columns="cont")
-
-    return blocks.groupBy("doc").applyInPandas(fold, "doc long, page long, pos long, k string, t string")
+    w = Window.partitionBy("doc").orderBy("page", "pos")
+    on = F.col("cont").isin("mid", "end") & F.col("k").isin("paragraph", "list", "table") & (F.lag("k").over(w) == F.col("k")) & F.lag("cont").over(w).isin("start", "mid")
+    found = blocks.withColumn("on", F.coalesce(on, F.lit(False))).withColumn("island", F.sum(F.when(F.col("on"), 0).otherwise(1)).over(w))
+    begun = F.first("cont").over(Window.partitionBy("doc", "island").orderBy("page", "pos")).eqNullSafe("start")
+    found = found.withColumn("alone", F.when(~begun, F.struct("page", "pos")))
+    parts = F.sort_array(F.collect_list(F.struct("page", "pos", "t", "items", "rows")))
+    by = found.groupBy("doc", "island", "alone").agg(F.min("k").alias("k"), parts.alias("p"))
+    first, rest = F.col("p")[0], F.slice("p", 2, F.size("p") - 1)
+    joined = F.aggregate(rest, first["t"], lambda acc, x: F.concat(tx.trim_end(acc), F.lit(" "), tx.trim_start(x["t"])))
+    filled = F.filter("p", lambda x: tx.trim(x["t"]) != "")
+    text = F.when(F.col("k") == "paragraph", joined).when((F.col("k") == "table") & (F.size(filled) > 0) & (tx.trim(first["t"]) == ""), F.get(filled, F.lit(0))["t"]).otherwise(first["t"])
+    gathered = lambda c: F.flatten(F.transform(F.filter("p", lambda x: x[c].isNotNull()), lambda x: x[c]))
+    return by.select("doc", first["page"].alias("page"), first["pos"].alias("pos"), "k", text.alias("t"), gathered("items").alias("items"), gathered("rows").alias("rows"))
 
 
 def validate_pages(pages: DataFrame) -> DataFrame:
@@ -213,21 +224,41 @@ def page_class(mean: Column, sd: Column) -> Column:
     return F.when((mean > 245) & (sd < 8), "blank").when((mean > 235) & (sd < 18), "sparse").otherwise("content")
 
 
+def figure_height(y: Column, z: Column) -> Column:
+    """How far down its page a figure stands, 0 to 1: from its box, in fractions or thousandths, else from its zone."""
+    zone = F.when(z == "top", 0.1).when(z == "bottom", 0.85).otherwise(0.5)
+    return F.when(y.isNull() | F.isnan(y), zone).when(y <= 1, y).when(y <= 1000, y / 1000).otherwise(0.5)
+
+
 def figures_in_order(blocks: DataFrame) -> DataFrame:
-    """Blocks (doc, page, pos, y, k) with figures put, by y, into the band of the texts they stand among; one page is one group."""
+    """Blocks (doc, page, pos, k, y, z, edge) with figures put where they stand, from the top down; rank is the new place.
+
+    High ones (under 0.35 or in the top zone) go behind the first heading, low
+    ones (over 0.65 or in the bottom zone) before the last texts of the bottom
+    zone, others in proportion to their height. Each figure's place depends on
+    those put before it, so a page is folded as one small group.
+    """
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("pos")
-        texts, figs = rows[rows["k"] != "figure"], rows[rows["k"] == "figure"].sort_values(["y", "pos"])
-        order = list(texts["pos"])
-        for i, (pos, y) in enumerate(zip(figs["pos"], figs["y"], strict=True)):
-            order.insert(min(len(order), round(y * len(texts)) + i), pos)
+        of = {r.pos: r for r in rows.itertuples(index=False)}
+        order = [p for p, r in of.items() if r.k != "figure"]
+        low = lambda r: r.z == "bottom" or r.edge == "bottom"
+        for fig in sorted((r for r in of.values() if r.k == "figure"), key=lambda r: r.h):
+            if fig.h < 0.35 or fig.z == "top":
+                at = next((i + 1 for i, p in enumerate(order) if of[p].k == "heading"), 0)
+            elif fig.h > 0.65 or low(fig):
+                at = len(order)
+                for i in reversed(range(len(order))):
+                    if of[order[i]].k != "figure":
+                        if not low(of[order[i]]):
+                            break
+                        at = i
+            else:
+                at = max(1, min(len(order), int(len(order) * fig.h)))
+            order.insert(at, fig.pos)
         rank = {p: i for i, p in enumerate(order)}
         return rows.assign(rank=rows["pos"].map(rank))[["doc", "page", "pos", "k", "rank"]]
 
-    return blocks.groupBy("doc", "page").applyInPandas(place, "doc long, page long, pos long, k string, rank long")
-
-
-def parse_page_ir(files: DataFrame, schema: str) -> DataFrame:
-    """Page IRs of model output (path, value): from the first brace to the last, typed by ``schema``."""
-    return files.select("path", F.from_json(F.regexp_extract("value", r"(?s)(\{.*\})", 1), schema).alias("ir"))
+    placed = blocks.withColumn("h", figure_height(F.col("y"), F.col("z")))
+    return placed.groupBy("doc", "page").applyInPandas(place, "doc long, page long, pos long, k string, rank long")

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.operators.graph import checkpointed
 
 
-def flatten_toc(entries: DataFrame, depth: int = 6) -> DataFrame:
-    """Rows (doc, id, parent, title, printed, level) with the path of titles from the root, at most ``depth`` deep: a self-join a level."""
+def flatten_toc(entries: DataFrame) -> DataFrame:
+    """Rows (doc, id, parent, title, printed, level) with the path of titles from the root, however deep: a join a level, until no level is left."""
     clean = tx.without_number(tx.trim(F.col("title")))
     rows = entries.withColumn("title", clean)
     level = rows.filter("parent is null").withColumn("path", F.array("title"))
-    out = level
-    for _ in range(depth - 1):
+    out = []
+    while not out or not level.isEmpty():
+        level = checkpointed(level)
+        out.append(level)
         up = level.select(F.col("doc").alias("__doc"), F.col("id").alias("__id"), F.col("path").alias("__path"))
         level = rows.join(up, (F.col("doc") == F.col("__doc")) & (F.col("parent") == F.col("__id"))).withColumn("path", F.concat("__path", F.array("title"))).drop("__doc", "__id", "__path")
-        out = out.unionByName(level)
-    return out
+    return reduce(DataFrame.unionByName, out)
 
 
 def paths_from_toc(pages: DataFrame, toc: DataFrame) -> DataFrame:
@@ -49,14 +53,33 @@ def line_blocks(lines: DataFrame) -> DataFrame:
     return by.select("doc", "page", "block", "kind", F.size("items").cast("long").alias("lines"), sep.alias("t"))
 
 
+def embedded_lines(item: Column) -> Column:
+    """A list item's lines (an array): its head, then what it holds below, by line breaks or else by inner bullets."""
+    raw = tx.trim(F.replace(item, F.lit("\r\n"), F.lit("\n")))
+    filled = lambda a: F.filter(F.transform(a, tx.trim), lambda x: x != "")
+    lines, bits = filled(F.split(raw, "\n+")), filled(F.split(raw, "\\s*•\\s*"))
+    parts = F.when((F.size(lines) == 1) & raw.contains("•") & (F.size(bits) >= 2), bits).otherwise(lines)
+    bare = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: tx.trim(F.regexp_replace(F.regexp_replace(x, r"^[•▪◦*\-]\s+", ""), r"^[0-9]+[.)]\s+", "")))
+    whole = F.concat(F.array(F.regexp_replace(parts[0], r"^[•▪◦]\s+", "")), F.filter(bare, lambda x: x != ""))
+    return F.when(F.size(parts) > 1, whole).otherwise(F.array(raw))
+
+
 def numbered_groups(items: DataFrame) -> DataFrame:
-    """List items (doc, pos, text) under the numbered or ``To ...:`` head before them, heads numbered anew from 1."""
-    t = tx.trim(F.col("text"))
-    head = t.rlike(r"^[0-9]+[.)]\s+\S") | t.rlike(r"(?i)^To\s+\S.+:$")
-    w = Window.partitionBy("doc").orderBy("pos")
-    rows = items.withColumn("head", head).withColumn("group", F.sum(head.cast("long")).over(w)).filter("group > 0")
-    line = F.when(F.col("head"), F.concat(F.col("group").cast("string"), F.lit(". "), F.regexp_replace(t, r"^[0-9]{1,3}[.)]\s+", ""))).otherwise(F.concat(F.lit("   - "), F.regexp_replace(t, r"^[-*•]\s+", "")))
-    return rows.groupBy("doc", "group").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("x")))), lambda i: i["x"]), "\n").alias("md"))
+    """Lists (items: doc, pos, text) in which numbered or ``To ...:`` heads stand among plain items, as Markdown: heads numbered anew, the others under them.
+
+    Lists with fewer than two heads, with items before the first, or with
+    nothing under any head are none of these and don't come out.
+    """
+    lines = items.select("doc", "pos", F.posexplode(embedded_lines(F.col("text"))).alias("i", "line")).filter("i > 0 or line <> ''")
+    line = F.col("line")
+    head = (F.col("i") == 0) & (line.rlike(r"^[0-9]+[.)]\s+\S") | line.rlike(r"(?i)^To\s+\S.+:$"))
+    w = Window.partitionBy("doc").orderBy("pos", "i")
+    rows = lines.withColumn("head", head).withColumn("group", F.sum(F.col("head").cast("long")).over(w))
+    under = tx.trim(F.regexp_replace(line, r"^[-*•]\s+", ""))
+    md = F.when(F.col("head"), tx.trim_end(F.concat(F.col("group").cast("string"), F.lit(". "), tx.without_number(line)))).when(under != "", F.concat(F.lit("   - "), under))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(md.isNotNull(), F.struct("pos", "i", md.alias("x"))))), lambda x: x["x"]), "\n")
+    by = rows.groupBy("doc").agg(F.min("group").alias("first"), F.max("group").alias("groups"), F.count_if(~F.col("head")).alias("nested"), listed.alias("md"))
+    return by.filter("first > 0 and groups > 1 and nested > 0").select("doc", "groups", "md")
 
 
 def block_role(kind: Column, level: Column, text: Column) -> Column:

@@ -136,11 +136,9 @@ def items(spark, d):
 
 
 def j14_fuzzy_titles(spark, d):
-    parts = fx.table(spark, d, "part").select(F.lower("p_name").alias("title")).distinct()
-    needles = fx.table(spark, d, "nation").select(F.lower("n_name").alias("title")).distinct()
-    # The needles are a listing of fixed size; a containment has no key to join on.
-    t, n = parts.alias("t"), F.broadcast(needles).alias("n")
-    return t.join(n, F.col("t.title").contains(F.substring(F.col("n.title"), 1, 3))).select(F.col("t.title").alias("title"), F.col("n.title").alias("needle"))
+    titles = fx.table(spark, d, "part").select("p_name")
+    wanted = fx.table(spark, d, "part").select(F.concat((F.col("p_partkey") % 50).cast("string"), F.lit(". "), F.upper(F.substring_index("p_name", " ", 2))))
+    return c.containments(titles, wanted).select(F.col("left").alias("title"), F.col("right").alias("wanted"))
 
 
 def k02_newest_first(spark, d):
@@ -216,7 +214,7 @@ QUERIES = {
     "j09_retry_lineage": (j09_retry_lineage, "with item as (select o_orderkey::bigint as id, case when o_orderkey % 5 = 0 then o_orderkey - 1 end::bigint as retry_of from orders) select i.id, i.retry_of, c.id as retried_by from item i left join item c on c.retry_of = i.id"),
     "j10_parent_child": (j10_parent_child, "select r_name as dataset, n_name as draft from nation join region on n_regionkey = r_regionkey"),
     "j11_first_placement": (j11_first_placement, with_tables("location", "select artifact_id, id, store_id from location qualify row_number() over (partition by artifact_id order by id) = 1")),
-    "j14_fuzzy_titles": (j14_fuzzy_titles, "select t.title, n.title as needle from (select distinct lower(p_name) as title from part) t join (select distinct lower(n_name) as title from nation) n on contains(t.title, substr(n.title, 1, 3))"),
+    "j14_fuzzy_titles": (j14_fuzzy_titles, r"with side as (select distinct 'l' as s, p_name as title from part union all select distinct 'r', (p_partkey % 50) || '. ' || upper(array_to_string(string_split(p_name, ' ')[1:2], ' ')) from part), keyed as (select *, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(title, '^[0-9]{1,3}[.)]\s+', ''))), '\s+', ' ', 'g'), '[^\p{L}\p{N}\s./-]+', '', 'g')) as key from side) select l.title, r.title as wanted from keyed l join keyed r on l.s = 'l' and r.s = 'r' and l.key <> '' and r.key <> '' and (contains(l.key, r.key) or contains(r.key, l.key))"),
     "k02_newest_first": (k02_newest_first, with_tables("event", "select event_id, operation_id, event_type from event order by ts desc, event_id desc limit 20")),
     "k03_composite_order": (k03_composite_order, with_tables("event", "select event_id, event_type from event order by ts, event_id limit 50")),
     "k04_set_difference": (k04_set_difference, with_tables("sample", "select id as sample_id from sample where id not in (select sample_id from output where step_position = 1)", OUTPUTS)),

@@ -130,7 +130,7 @@ def e18_audit_counts(spark, d):
 
 
 def e21_controls(spark, d):
-    ev = fx.operation_events(spark, d).filter("event_id % 3 = 0")
+    ev = fx.operation_events(spark, d)
     state = F.element_at(F.array(*map(F.lit, ("queued", "running", "failed", "paused", "succeeded"))), (F.col("event_id") % 5 + 1).cast("int"))
     event = F.element_at(F.array(*map(F.lit, ("retry", "pause", "cancel"))), (F.col("event_id") % 7 % 3 + 1).cast("int"))
     rows = ev.select("event_id", state.alias("state"), event.alias("event"))
@@ -172,7 +172,7 @@ QUERIES = {
     "e16_reconcile": (e16_reconcile, "select o_orderkey::bigint as run_id, case when o_orderkey % 4 = 0 then 'cancelled' else 'failed' end as status from orders where o_orderstatus = 'O' and o_orderkey % 3 <> 0"),
     "e18_audit_counts": (e18_audit_counts, with_tables("event", "select event_type as action, count(*) as n, count(distinct operation_id) as operations from event group by 1")),
     "e20_artifact_verification": (e20_artifact_verification, with_tables("sample_revision", "select sample_id, doc_id % 6 <> 0 and doc_id % 10 <> 0 as verified from sample_revision where revision = 1")),
-    "e21_controls": (e21_controls, with_tables("event", f"select event_id, state, event, case {_TO} end as \"to\" from (select event_id, ['queued', 'running', 'failed', 'paused', 'succeeded'][1 + event_id % 5] as state, ['retry', 'pause', 'cancel'][1 + event_id % 7 % 3] as event from event where event_id % 3 = 0)")),
+    "e21_controls": (e21_controls, with_tables("event", f"select event_id, state, event, case {_TO} end as \"to\" from (select event_id, ['queued', 'running', 'failed', 'paused', 'succeeded'][1 + event_id % 5] as state, ['retry', 'pause', 'cancel'][1 + event_id % 7 % 3] as event from event)")),
     "e24_uploads": (e24_uploads, f"with li as (select distinct l_orderkey::bigint as upload, l_linenumber::bigint as number from lineitem), n as (select upload, max(number) as n, count(*) as parts from li group by 1) select upload, parts, ((parts - 1) * {8 << 20} + 1000 + upload)::bigint as bytes, parts = n and upload % 7 <> 0 as complete from n"),
     "e25_expired_uploads": (e25_expired_uploads, "select distinct o_custkey::bigint as operation from orders where o_orderstatus = 'O' and o_orderdate + interval 1 hour <= timestamp '1996-01-01 00:00:00'"),
     "s16_job_upsert": (s16_job_upsert, with_tables("event", "select operation_id as run_id, arg_max(event_type, event_id) as status, min(ts) as created_at from event group by 1")),

@@ -78,8 +78,32 @@ def blocks(spark, d):
     return rows.select("doc", (F.floor(pos / 10) + 1).alias("page"), "pos", kind.alias("k"), F.col("text").alias("t"), (pos % 3 + 1).cast("int").alias("lvl"), F.lit(None).cast("string").alias("tone"), cont.alias("cont"))
 
 
+def continued(spark, d):
+    """Blocks whose continued ones are paragraphs, lists and tables in turn; tables begin without text."""
+    b = blocks(spark, d)
+    kind = F.element_at(F.array(F.lit("paragraph"), F.lit("list"), F.lit("table")), (F.floor(F.col("pos") / 6) % 3 + 1).cast("int"))
+    k = F.when(F.col("cont").isNotNull(), kind).otherwise(F.col("k"))
+    # Every seventh middle has lost its beginning, every fifth end is of another kind.
+    cont = F.when((F.col("cont") == "start") & (F.col("pos") % 7 == 0), None).otherwise(F.col("cont"))
+    k = F.when((F.col("cont") == "end") & (F.col("pos") % 5 == 0), "paragraph").otherwise(k)
+    b = b.withColumns({"k": k, "cont": cont})
+    t = F.when((F.col("k") == "table") & (F.col("cont") == "start"), " ").otherwise(F.col("t"))
+    return b.select("doc", "page", "pos", "k", t.alias("t"), "cont", F.when(F.col("k") == "list", F.array("t", F.lit("x"))).alias("items"), F.when(F.col("k") == "table", F.array(F.array("t"))).alias("rows"))
+
+
 def w12_merge(spark, d):
-    return pg.merge_continuations(blocks(spark, d).select("doc", "page", "pos", "k", "t", "cont")).select("doc", "page", "pos", "k", F.sha2("t", 256).alias("sha256"))
+    m = pg.merge_continuations(continued(spark, d))
+    return m.select("doc", "page", "pos", "k", F.sha2("t", 256).alias("sha256"), F.array_join("items", "|").alias("items"), F.size("rows").cast("long").alias("n_rows"))
+
+
+def w18_figures(spark, d):
+    """Lines as blocks of pages of ten; every fifth is a figure with a box in fractions or thousandths, or without one."""
+    b = blocks(spark, d)
+    pos = F.col("pos")
+    y = F.when(pos % 4 != 0, (pos * 37 % 100) / F.when(F.col("doc") % 3 == 0, 0.1).otherwise(100.0))
+    z = F.when(pos % 10 < 2, "top").when(pos % 10 > 6, "bottom").otherwise("body")
+    rows = b.select("doc", "page", "pos", F.when(pos % 5 == 2, "figure").otherwise(F.col("k")).alias("k"), y.alias("y"), F.when(pos % 5 == 2, F.when(pos % 3 == 0, z)).otherwise(z).alias("z"), F.when(pos % 9 == 0, "bottom").alias("edge"))
+    return pg.figures_in_order(rows)
 
 
 def w13_strip_edges(spark, d):
@@ -102,9 +126,11 @@ def w14_fingerprints_lenient(spark, d):
 
 def w15_offset_vote(spark, d):
     p = fx.page_texts(spark, d)
-    title = F.concat(F.lit("t"), (F.length("text") % 5).cast("string"))
-    entries = p.select("doc", F.col("page").alias("pos"), title.alias("title"), (F.col("page") * 2 - 1).alias("printed"))
-    return pg.offset_votes(entries, p.select("doc", "page", title.alias("title")))
+    name = F.concat(F.lit("Item "), (F.length("text") % 5).cast("string"))
+    entries = p.select("doc", F.col("page").alias("pos"), F.concat(F.lit("7. "), name).alias("title"), F.when(F.col("page") % 3 != 0, F.col("page") * 2 - 1).alias("printed"))
+    crumb = F.concat(F.upper(name), F.lit(" (of the list)"))
+    titles = p.select("doc", "page", F.posexplode(F.array(name, crumb, F.lit("!"))).alias("i", "title"))
+    return pg.offset_votes(entries, titles)
 
 
 def w17_first_titles(spark, d):
@@ -222,7 +248,7 @@ def x36_names(spark, d):
 
 
 def s12_page_split(spark, d):
-    docs = fx.table(spark, d, "documents").filter("doc_id % 3 = 0").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\f")).alias("text"))
+    docs = fx.table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\f")).alias("text"))
     pages = docs.select("doc_id", F.posexplode(F.split("text", "\f")).alias("i", "t")).filter(tx.trim(F.col("t")) != "")
     return pages.select("doc_id", (F.col("i") + 1).cast("long").alias("page"), F.length("t").cast("long").alias("chars"))
 
@@ -248,11 +274,12 @@ QUERIES = {
     "w09_levels": (w09_levels, with_tables("line", "select doc, page, pos, level, coalesce(level - lag(level) over (partition by doc order by page, pos) > 2, false) as jump from (select doc, page, pos, least(6, greatest(1, doc % 3 + 1 + pos % 4 + 1 - least_lvl))::bigint as level from (select *, pos // 10 + 1 as page, min(pos % 4 + 1) over (partition by doc, pos // 10) as least_lvl from line where length(text) > 0) where pos % 3 = 0)")),
     "w10_fix_headings": (w10_fix_headings, with_tables("line", "select doc, page, pos, text, min(level) over (partition by doc, text) as level from (select *, lag(text) over w as pt, lag(level) over w as pl from (select doc, pos // 10 + 1 as page, pos, 'Part ' || (pos // 6 % 4) as text, pos % 4 + 1 as level from line where length(text) > 0 and pos % 3 = 0) window w as (partition by doc order by page, pos)) where not coalesce(pt = text and pl = level, false)")),
     "w11_monotone": (w11_monotone, with_tables("line", "select doc, count(*) as numbers, sum(back)::bigint as inversions, sum(back) = 0 or sum(back) * 10 < count(*) - 1 as preserve from (select doc, coalesce(n < lag(n) over (partition by doc order by pos) and n <> 1, false)::bigint as back from (select doc, pos, length(text) % 9 + pos as n from line)) group by 1")),
-    "w12_merge": (w12_merge, None),
+    "w12_merge": (w12_merge, with_tables("line", "select doc, f.page as page, f.pos as pos, k, sha256(case when k = 'paragraph' then list_reduce(ts, lambda a, x: regexp_replace(a, '\\s+$', '') || ' ' || regexp_replace(x, '^\\s+', '')) when k = 'table' and trim(ts[1]) = '' then coalesce(list_filter(ts, lambda x: trim(x) <> '')[1], ts[1]) else ts[1] end) as sha256, case when k = 'list' then array_to_string(list_transform(own, lambda x: x || '|x'), '|') else '' end as items, case when k = 'table' then len(ts) else 0 end as n_rows from (select doc, min(k) as k, min({'page': page, 'pos': pos}) as f, list(t order by page, pos) as ts, list(own order by page, pos) as own from opened group by doc, island, case when opener is distinct from 'start' then pos end)", BLOCK, "was as (select *, case pos % 6 when 1 then 'start' when 2 then 'mid' when 3 then 'end' end as c from block)", "made as (select doc, page, pos, case when c = 'end' and pos % 5 = 0 then 'paragraph' when c is not null then ['paragraph', 'list', 'table'][1 + pos // 6 % 3] else k end as k, t as own, case when c = 'start' and pos % 7 = 0 then null else c end as cont from was)", "went as (select *, case when k = 'table' and cont = 'start' then ' ' else own end as t, coalesce(cont in ('mid', 'end') and k in ('paragraph', 'list', 'table') and lag(k) over w = k and lag(cont) over w in ('start', 'mid'), false) as goes from made window w as (partition by doc order by page, pos))", "island as (select *, sum(case when goes then 0 else 1 end) over (partition by doc order by page, pos) as island from went)", "opened as (select *, first_value(cont) over (partition by doc, island order by page, pos) as opener from island)")),
+    "w18_figures": (w18_figures, None),
     "w13_strip_edges": (w13_strip_edges, with_tables("line", "select doc, page, pos from (select doc, page, pos, min(case when not (chrome and s) then pos end) over w as f, max(case when not (chrome and e) then pos end) over w as l from (select doc, page, pos, pos % 10 < 3 as s, pos % 10 > 7 as e, length(t) % 3 <> 0 as chrome from block) window w as (partition by doc, page)) where pos between f and l", BLOCK)),
     "w14_fingerprints": (w14_fingerprints, with_tables("page_text", "select doc, fp as fingerprint, pages from vote where pages >= 2 or strong", DISCARD, VOTES)),
     "w14_fingerprints_lenient": (w14_fingerprints_lenient, with_tables("page_text", "select doc, fp as fingerprint, pages from vote where pages >= 3 or fp like 'page_number:%'", DISCARD, VOTES)),
-    "w15_offset_vote": (w15_offset_vote, with_tables("page_text", "select doc, \"offset\", votes from (select e.doc, p.page - (e.page * 2 - 1) as \"offset\", count(*) as votes, min(e.page * 1000 + p.page) as seen from page_text e join page_text p on e.doc = p.doc and length(e.text) % 5 = length(p.text) % 5 where e.page <= 24 and p.page <= 12 group by 1, 2) qualify row_number() over (partition by doc order by votes desc, seen) = 1")),
+    "w15_offset_vote": (w15_offset_vote, with_tables("page_text", "select doc, \"offset\", votes from (select e.doc, p.page - e.printed as \"offset\", count(*) as votes, min(e.page * 100000 + p.page * 10 + p.i) as seen from entry e join title p on e.doc = p.doc and (contains(e.key, p.key) or contains(p.key, e.key)) where e.n <= 24 and p.n <= 12 group by 1, 2) qualify row_number() over (partition by doc order by votes desc, seen) = 1", "entry as (select doc, page, page * 2 - 1 as printed, 'item ' || (length(text) % 5) as key, row_number() over (partition by doc order by page) as n from page_text where page % 3 <> 0)", "title as (select doc, page, i, case i when 0 then 'item ' || (length(text) % 5) else 'item ' || (length(text) % 5) || ' of the list' end as key, dense_rank() over (partition by doc order by page) as n from page_text, range(0, 2) r(i))")),
     "w17_first_titles": (w17_first_titles, with_tables("page_text", "select doc, 'part ' || (length(text) % 3) as key, arg_min(length(text), page) as raw, min(page) as page from page_text group by 1, 2")),
     "w24_stitch": (w24_stitch, with_tables("page_text", "select doc, sha256(md) as sha256, length(md) as chars from (select doc, string_agg(text, chr(10) || chr(10) order by page) as md from page_text where trim(text) <> '' group by 1)")),
     "x12_text_assessment": (x12_text_assessment, None),
@@ -274,6 +301,6 @@ QUERIES = {
     "x30_page_classes": (x30_page_classes, with_tables("event", "select event_id, case when 230 + event_id % 25 > 245 and event_id % 23 < 8 then 'blank' when 230 + event_id % 25 > 235 and event_id % 23 < 18 then 'sparse' else 'content' end as \"class\" from event")),
     "x31_backoff": (x31_backoff, "select n_nationkey::bigint as attempt, least(60000.0, 500 * pow(2.0, n_nationkey))::bigint as ms from nation"),
     "x36_names": (x36_names, "select distinct o_orderkey::bigint as n, 'page-' || case when length(o_orderkey::varchar) < 3 then lpad(o_orderkey::varchar, 3, '0') else o_orderkey::varchar end || '.md' as name from orders"),
-    "s12_page_split": (s12_page_split, "select doc_id, page, length(t) as chars from (select doc_id, unnest(string_split(text, chr(10))) as t, unnest(range(1, len(string_split(text, chr(10))) + 1)) as page from documents where doc_id % 3 = 0) where trim(t, ' ' || chr(9) || chr(13)) <> ''"),
+    "s12_page_split": (s12_page_split, "select doc_id, page, length(t) as chars from (select doc_id, unnest(string_split(text, chr(10))) as t, unnest(range(1, len(string_split(text, chr(10))) + 1)) as page from documents) where trim(t, ' ' || chr(9) || chr(13)) <> ''"),
     "s18_html": (s18_html, "select page_id::bigint as page_id, sha256(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) as sha256 from pages"),
 }

@@ -38,8 +38,15 @@ def w19_line_blocks(spark, d):
     return structure.line_blocks(text_lines(spark, d)).select("doc", "page", "block", "kind", "lines", F.sha2("t", 256).alias("sha256"))
 
 
+def list_items(spark, d):
+    """Documents as lists: every second line of the even ones is a numbered head."""
+    li = fx.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    head = (F.col("doc_id") % 2 == 0) & (F.col("pos") % 3 == 0)
+    return li.select(F.col("doc_id").alias("doc"), F.col("pos").cast("long").alias("pos"), F.when(head, F.concat(F.lit("4. Head "), F.substring_index("line", " ", 1))).when(F.col("pos") % 3 == 1, F.concat(F.lit("- "), "line")).otherwise(F.concat("line", F.lit(" • in • out"))).alias("text"))
+
+
 def w20_numbered_groups(spark, d):
-    return structure.numbered_groups(fx.lines(spark, d)).select("doc", "group", F.sha2("md", 256).alias("sha256"))
+    return structure.numbered_groups(list_items(spark, d)).select("doc", "groups", F.sha2("md", 256).alias("sha256"))
 
 
 def w25_rebase(spark, d):
@@ -217,7 +224,7 @@ def p12_assemble(spark, d):
     p = fx.lines(spark, d)
     pos = F.col("pos")
     blocks = p.select("doc", (F.floor(pos / 10) + 1).alias("page"), "pos", F.when(pos % 6 == 0, "heading").otherwise("paragraph").alias("k"), F.col("text").alias("t"), F.when(pos % 6 == 1, "start").when(pos % 6 == 2, "end").alias("cont"), (pos % 10 < 2).alias("at_start"), (pos % 10 > 8).alias("at_end"), (F.length("text") % 4 == 0).alias("chrome"))
-    merged = pg.merge_continuations(pg.strip_edges(blocks).select("doc", "page", "pos", "k", "t", "cont"))
+    merged = pg.merge_continuations(pg.strip_edges(blocks).select("doc", "page", "pos", "k", "t", "cont", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<array<string>>").alias("rows")))
     md = pg.document_markdown(merged.withColumns({"lvl": F.lit(2), "tone": F.lit(None).cast("string")}))
     return md.select("doc", F.sha2("markdown", 256).alias("sha256"), F.length("markdown").cast("long").alias("chars"))
 

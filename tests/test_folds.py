@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import annotation, events, graph, pages, publication, quality, temporal
+from quarry.operators import annotation, events, graph, pages, publication, quality, structure, temporal
 from quarry.operators import catalog as cat
 from quarry.sources import objects
 from quarry.streaming import events as stream
@@ -36,12 +36,12 @@ def test_page_assessment(spark, text, reasons):
 
 
 def test_clean_page(spark):
-    assert one(spark, tx.clean_page, "docu-\r\nment  \n\n\n\nend ") == "document\n\nend"
+    assert one(spark, tx.clean_page, "water-\r\nfall  \n\n\n\nend ") == "waterfall\n\nend"
 
 
 @pytest.mark.parametrize(
     ("line", "role"),
-    [("", "paragraph"), ("- item", "ul_item"), ("a. Play it", "ol_item"), ("(2) other", "ol_item"), ("3. Short one", "ol_item"), ("Why it works:", "heading"), ("Fail Safe", "heading"), ("This is a long sentence that ends the way that prose does end.", "paragraph"), ("lower case words", "paragraph")],
+    [("", "paragraph"), ("- item", "ul_item"), ("a. Stir it", "ol_item"), ("(2) other", "ol_item"), ("3. Short one", "ol_item"), ("Why it works:", "heading"), ("Rain Gauge", "heading"), ("This is a long sentence that ends the way that prose does end.", "paragraph"), ("lower case words", "paragraph")],
 )
 def test_line_roles(spark, line, role):
     assert one(spark, lambda c: tx.best_role(tx.line_roles(c))["role"], line) == role
@@ -57,7 +57,7 @@ def test_markdown_validation(spark):
 
 def test_fences_breadcrumbs_and_limits(spark):
     assert one(spark, tx.without_fence, "```markdown\n# A\n```") == "# A"
-    assert one(spark, tx.breadcrumb, "Play > 2. Fail Safe > ") == ["Play", "Fail Safe"]
+    assert one(spark, tx.breadcrumb, "Roof > 2. Rain Gauge > ") == ["Roof", "Rain Gauge"]
     assert one(spark, tx.breadcrumb, "no path") == []
     assert one(spark, lambda c: tx.rate_limited(F.lit(None), c), "Too Many Requests") is True
 
@@ -69,21 +69,60 @@ def test_list_runs(spark):
 
 
 def test_merge_continuations(spark):
-    rows = [(1, 1, 0, "paragraph", "one ", "start"), (1, 2, 1, "paragraph", " two", "mid"), (1, 3, 2, "paragraph", "three", "end"), (1, 3, 3, "paragraph", "four", "end"), (2, 1, 0, "list", "a", "start"), (2, 1, 1, "paragraph", "b", "end")]
-    out = values(pages.merge_continuations(spark.createDataFrame(rows, "doc long, page long, pos long, k string, t string, cont string")), "doc", "pos", "t")
-    assert out == [(1, 0, "one two three"), (1, 3, "four"), (2, 0, "a"), (2, 1, "b")]
+    rows = [
+        (1, 1, 0, "paragraph", "one ", "start", None, None), (1, 2, 1, "paragraph", " two", "mid", None, None), (1, 3, 2, "paragraph", "three", "end", None, None), (1, 3, 3, "paragraph", "four", "end", None, None),
+        (2, 1, 0, "list", "a", "start", ["x", "y"], None), (2, 1, 1, "list", "b", "end", ["z"], None), (2, 1, 2, "paragraph", "c", "end", None, None), (2, 1, 3, "paragraph", "d", "mid", None, None), (2, 1, 4, "paragraph", "e", "end", None, None),
+        (3, 1, 0, "table", " ", "start", None, [["1"]]), (3, 1, 1, "table", "grid", "mid", None, [["2"], ["3"]]), (3, 1, 2, "table", "late", "end", None, [["4"]]),
+    ]
+    df = spark.createDataFrame(rows, "doc long, page long, pos long, k string, t string, cont string, items array<string>, rows array<array<string>>")
+    out = values(pages.merge_continuations(df), "doc", "pos", "t", "items", "rows")
+    assert out == [(1, 0, "one two three", [], []), (1, 3, "four", [], []), (2, 0, "a", ["x", "y", "z"], []), (2, 2, "c", [], []), (2, 3, "d", [], []), (2, 4, "e", [], []), (3, 0, "grid", [], [["1"], ["2"], ["3"], ["4"]])]
 
 
 def test_figures_in_order(spark):
-    rows = [(1, 1, 0, 0.0, "text"), (1, 1, 1, 0.0, "text"), (1, 1, 2, 0.9, "figure"), (1, 1, 3, 0.1, "figure")]
-    out = values(pages.figures_in_order(spark.createDataFrame(rows, "doc long, page long, pos long, y double, k string")), "rank", "pos")
-    assert [p for _, p in out] == [3, 0, 1, 2]
+    """High figures follow the first heading, each before those put there earlier; low ones precede the last texts at the bottom; others go by height."""
+    kinds = {"h": ("heading", None, "body", None), "t": ("paragraph", None, "body", None), "f": ("paragraph", None, "bottom", None), "hi": ("figure", 0.1, None, None), "hi2": ("figure", 200.0, None, None), "mid": ("figure", 0.5, None, None), "lo": ("figure", 0.9, None, None), "z": ("figure", None, "bottom", None)}
+
+    def order(*names):
+        df = spark.createDataFrame([(1, 1, i, *kinds[n]) for i, n in enumerate(names)], "doc long, page long, pos long, k string, y double, z string, edge string")
+        return [names[p] for _, p in values(pages.figures_in_order(df), "rank", "pos")]
+
+    assert order("lo", "hi2", "t", "h", "t", "hi", "f") == ["t", "h", "hi2", "hi", "t", "lo", "f"]
+    assert order("mid", "t", "t", "t", "t") == ["t", "t", "mid", "t", "t"]
+    assert order("hi", "t", "z", "f", "lo", "f") == ["hi", "t", "z", "lo", "f", "f"]
+    assert order("mid", "hi") == ["hi", "mid"] and order("lo") == ["lo"]
+
+
+def test_deep_contents(spark):
+    """Eight levels; a loop that no root reaches doesn't come out."""
+    rows = [(1, f"n{i}", f"n{i - 1}" if i else None, f"{i + 1}. Part {i}", i) for i in range(8)] + [(1, "x", "y", "x", 1), (1, "y", "x", "y", 1)]
+    out = values(structure.flatten_toc(spark.createDataFrame(rows, "doc long, id string, parent string, title string, printed long")), "id", "path")
+    assert out == [(f"n{i}", [f"Part {j}" for j in range(i + 1)]) for i in range(8)]
+
+
+def test_numbered_groups(spark):
+    lists = {
+        1: ["3. First", "- one", "two • in • out", "To see more:", "three"],
+        2: ["orphan", "1. First", "2. Second", "x"],
+        3: ["1. First", "x", "y"],
+        4: ["1. First", "2. Second"],
+        5: ["7) Head\n  4. nested\n• too", "", "8) Tail"],
+    }
+    df = spark.createDataFrame([(d, i, t) for d, ts in lists.items() for i, t in enumerate(ts)], "doc long, pos long, text string")
+    out = dict(values(structure.numbered_groups(df), "doc", "md"))
+    assert out == {1: "1. First\n   - one\n   - two\n   - in\n   - out\n2. To see more:\n   - three", 5: "1. Head\n   - nested\n   - too\n2. Tail"}
+
+
+def test_containments(spark):
+    one = spark.createDataFrame([("Growth loops",), ("A",), ("!",), ("Other",)], "t string")
+    two = spark.createDataFrame([("2. LOOPS",), ("The growth  loops",), ("zz",), ("",)], "t string")
+    assert values(cat.containments(one, two)) == [("Growth loops", "2. LOOPS"), ("Growth loops", "The growth  loops")]
 
 
 def test_path_headings(spark):
-    rows = [(1, 1, ["Play", "Fail Safe"]), (1, 2, []), (1, 3, ["1. Play", "Other", "Deep"])]
+    rows = [(1, 1, ["Roof", "Rain Gauge"]), (1, 2, []), (1, 3, ["1. Roof", "Other", "Deep"])]
     p = pages.carry_path(spark.createDataFrame(rows, "doc long, page long, path array<string>"))
-    assert values(pages.path_headings(p), "page", "level", "title") == [(1, 1, "Play"), (1, 2, "Fail Safe"), (3, 2, "Other"), (3, 3, "Deep")]
+    assert values(pages.path_headings(p), "page", "level", "title") == [(1, 1, "Roof"), (1, 2, "Rain Gauge"), (3, 2, "Other"), (3, 3, "Deep")]
 
 
 def test_quality_edges(spark):
