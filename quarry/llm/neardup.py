@@ -104,12 +104,12 @@ def digest(words: list[bytes]) -> bytes:
     return blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def name_of(g: bytes) -> int:
-    """The name of a node: the first half of its digest."""
-    return int.from_bytes(g[:8], "little", signed=True)
+def name_of(g: bytes, bits: int = 64) -> int:
+    """The name of a node: the first half of its digest (of that, the last ``bits``)."""
+    return int.from_bytes(g[:8], "little", signed=True) & (1 << bits) - 1 if bits < 64 else int.from_bytes(g[:8], "little", signed=True)
 
 
-def _describe(size: int):
+def _describe(size: int, bits: int):
     def fn(batches):
         hashes = Hashes()
         for b in batches:
@@ -119,7 +119,7 @@ def _describe(size: int):
                 s = shingle_hashes(words, size, hashes)
                 n.append(len(s))
                 g.append(digest(words) if words else None)
-                d.append(name_of(g[-1]) if words else None)
+                d.append(name_of(g[-1], bits) if words else None)
                 full = signature(s) if words else None
                 sig.append((full[:COMPARED] & np.uint32(255)).astype(np.uint8).tobytes() if words else None)
                 keys.append(band_keys(full) if words else [])
@@ -230,11 +230,11 @@ def _parts(rows: DataFrame) -> int:
     return max(rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism)
 
 
-def _labelled(df: DataFrame, key: str, text: str, shingle: int = 5, percent: int = 80, miss: float = 1e-6) -> tuple[DataFrame, int]:
+def _labelled(df: DataFrame, key: str, text: str, shingle: int = 5, percent: int = 80, miss: float = 1e-6, name_bits: int = 64) -> tuple[DataFrame, int]:
     """k, the text's hash th, n, d and the component c (null without words) of every row, and the number of files for tables on the way."""
     rows = pick(df, [key, text]).toDF("k", "t").withColumn("th", F.xxhash64("t"))
     parts = _parts(rows)
-    base = checkpointed(map_batches(rows.select("k", "th", "t"), _describe(shingle), "k long, th long, n long, d long, g binary, sig binary, keys array<long>"), parts)
+    base = checkpointed(map_batches(rows.select("k", "th", "t"), _describe(shingle, name_bits), "k long, th long, n long, d long, g binary, sig binary, keys array<long>"), parts)
     base = _apart(base, parts)
     keys = base.select("d", F.explode("keys").alias("key"))
     crowded = keys.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi").select("key")
