@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: a task holds one batch of texts at a time.
 BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,9 +81,9 @@ def texts_of(column: pa.Array) -> list[str]:
 
 
 def lists_of(column: pa.Array) -> Iterator[list[int]]:
-    """The values of a column of lists of numbers one by one, null as empty: only one row's are Python objects at a time."""
+    """The values of a column of lists of numbers, null as empty; only one row's are Python objects at a time."""
     flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
-    return [flat[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)]
+    return (flat[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False))
 
 
 def pick(df: DataFrame, names: list[str]) -> DataFrame:

@@ -37,7 +37,7 @@ from quarry.llm.common import map_batches, pick
 
 K = 16
 #: Bytes of text that are hashed at a time, windows of a piece of a long text, segments of an anchor that are compared at once, and segments that are settled at a time.
-CHUNK, PIECE, GROUP, SETTLE = 1 << 20, 1 << 20, 20_000, 60_000
+CHUNK, PIECE, GROUP, SETTLE = 1 << 18, 1 << 18, 20_000, 20_000
 #: Low bits of an anchor's key that hold hashes of the bytes beside it, 8 bits a side.
 SIDES = 16
 FULL, COLD, HOT = 0, 1, 2
@@ -319,7 +319,7 @@ def suffix_order(data: np.ndarray, start: np.ndarray, size: np.ndarray, group: n
 
 def _verified(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bool:
     """Whether each pair of stretches really agrees for ``n`` bytes."""
-    step = 1 << 16
+    step = 1 << 12
     for i in range(0, len(a), step):
         m = n[i : i + step]
         wide = np.arange(m.max(initial=0))
