@@ -96,11 +96,7 @@ def p01_admission(spark, d):
 
 
 def p02_flow_outputs(spark, d):
-    return flows.run_steps(fx.table(spark, d, "documents"), ["identity", "strip"])
-
-
-def p02_budget(spark, d):
-    return flows.run_steps(fx.table(spark, d, "documents"), ["strip", "lowercase"]).groupBy("step").agg(F.count(F.lit(1)).alias("members"))
+    return flows.run_steps(fx.table(spark, d, "documents"), ["identity", "strip", "lowercase"])
 
 
 def e26_job_moves(spark, d):
@@ -213,13 +209,6 @@ def p07_publish_check(spark, d):
     return by.withColumn("publishable", leaks.scalar() == 0)
 
 
-def p10_finalize(spark, d):
-    from quarry.operators import publication
-
-    ready = publication.readiness(members(spark, d), 1)
-    return ready.select(F.when(F.col("members") == 0, "empty").when(F.col("unready") > 0, "unready").when(~F.col("ready"), "count_mismatch").otherwise("published").alias("outcome"))
-
-
 def p12_assemble(spark, d):
     p = fx.lines(spark, d)
     pos = F.col("pos")
@@ -283,8 +272,7 @@ QUERIES = {
     "x28_useful_figures": (x28_useful_figures, None),
     "u03_answers": (u03_answers, "select p_partkey::bigint as pos, case when p_partkey % 2 = 0 then case when lower(p_brand) = 'brand#11' then 'heading' else 'ol_item' end else 'paragraph' end as role from part"),
     "p01_admission": (p01_admission, "select distinct id, case when id % 3 <> 0 then 'c' end as candidate, case when id % 2 = 0 then 'v' end as version, members, case when (id % 3 = 0) = (id % 2 <> 0) then 'invalid' when s = 'P' or members not between 1 and 40 then 'not_admissible' when id % 4 * members > 60 then 'over_budget' else 'admitted' end as outcome from (select o_orderkey::bigint as id, o_orderstatus as s, (o_custkey % 50)::bigint as members from orders)"),
-    "p02_flow_outputs": (p02_flow_outputs, f"""select doc_id, s as step, sha256(text) as input_digest, sha256('{{"text":"' || {_d.ESCAPED.format('case s when 0 then text else a end')} || '"}}') as output_digest, octet_length(encode(case s when 0 then text else a end))::bigint as bytes from (select doc_id, text, {_d.STRIP.format('text')} as a from documents), range(0, 2) r(s)"""),
-    "p02_budget": (p02_budget, "select s as step, count(*) as members from documents, range(0, 2) r(s) group by 1"),
+    "p02_flow_outputs": (p02_flow_outputs, f"""select doc_id, s as step, sha256(case s when 2 then a else text end) as input_digest, sha256('{{"text":"' || {_d.ESCAPED.format('case s when 0 then text when 1 then a else b end')} || '"}}') as output_digest, octet_length(encode(case s when 0 then text when 1 then a else b end))::bigint as bytes from (select *, lower(a) as b from (select doc_id, text, {_d.STRIP.format('text')} as a from documents)), range(0, 3) r(s)"""),
     "e26_job_moves": (e26_job_moves, with_tables("event", "select event_id, state, wanted, case when (state = 'queued' and wanted in ('running', 'cancelled')) or (state = 'running' and wanted in ('completed', 'failed', 'cancelled')) or (state in ('completed', 'failed', 'cancelled') and wanted = 'queued') then wanted else state end as \"to\" from (select event_id, ['queued', 'running', 'completed', 'failed', 'cancelled'][1 + event_id % 5] as state, ['queued', 'running', 'completed', 'failed', 'cancelled'][1 + event_id % 7 % 5] as wanted from event)")),
     "x34_stage_view": (x34_stage_view, with_tables("event", "select r.run_id, t.stage::bigint as stage, t.label, count(p.step) as done, count(*) as total from (select distinct operation_id as run_id from event) r cross join (values (0, 'assemble', 'structure'), (0, 'assemble', 'stitch'), (1, 'write', 'write'), (2, 'done', 'done')) t(stage, label, step) left join (select distinct operation_id as run_id, ['structure', 'stitch', 'write', 'done', 'extract'][1 + event_id % 5] as step from event) p on p.run_id = r.run_id and p.step = t.step group by 1, 2, 3")),
     "x35_models": (x35_models, "select id, case when tr = 'openrouter' then ident <> 'exact' and ((prov = 'gemini' and regexp_full_match(model, 'google/[a-zA-Z0-9][a-zA-Z0-9_.-]*')) or (prov = 'glm' and regexp_full_match(model, 'z-ai/[a-zA-Z0-9][a-zA-Z0-9_.-]*'))) else regexp_full_match(model, '[a-zA-Z0-9][a-zA-Z0-9_.-]*') end as valid from (select p_partkey::bigint as id, case when p_partkey % 2 = 0 then 'gemini' else 'glm' end as prov, case when p_partkey % 3 = 0 then 'openrouter' else 'native' end as tr, case when p_partkey % 5 = 0 then 'google/flash-2.5' when p_partkey % 7 = 0 then 'z-ai/glm-4' when p_partkey % 11 = 0 then '-bad' else 'flash' end as model, case when p_partkey % 13 = 0 then 'exact' else 'mutable_alias' end as ident from part)"),
@@ -303,7 +291,6 @@ QUERIES = {
     "a01_counts": (a01_counts, "select source as dataset, count(*) as total from documents group by 1"),
     "a02_latest": (a02_latest, with_tables("sample_revision", "select sample_id, max(revision) as revision, arg_max(id, revision) as revision_id from sample_revision group by 1")),
     "p07_publish_check": (p07_publish_check, with_tables("truth_member", "select partition, count(*) as members, count(distinct \"group\") as groups, (select count(*) from (select \"group\" from truth_member group by 1 having count(distinct partition) > 1 union all select content_digest from truth_member group by 1 having count(distinct partition) > 1)) = 0 as publishable from truth_member group by 1")),
-    "p10_finalize": (p10_finalize, _M("select case when count(*) = 0 then 'empty' when count(*) filter (artifact_id is null or not coalesce(verified, false) or coalesce(collection_state, '') <> 'active') > 0 then 'unready' when count(*) <> 1 then 'count_mismatch' else 'published' end as outcome from member")),
     "p12_assemble": (p12_assemble, None),
     "p17_allocation": (p17_allocation, "select distinct o_orderkey::bigint as id, (o_custkey % 5)::bigint as prepared, (o_orderkey % 5)::bigint as expected, case when o_custkey % 5 <> o_orderkey % 5 then 'incomplete' else 'allocated' end as outcome from orders"),
     "p05_units": (p05_units, _l.selected_sql("select unit, count(*) as contributors, count(*) filter (state = 'submitted') as submitted from selected group by 1")),
