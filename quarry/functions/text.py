@@ -105,10 +105,23 @@ def breadcrumb(c: Column) -> Column:
     return F.when(t.contains(">"), parts).otherwise(F.array().cast("array<string>"))
 
 
-#: Labels of repeated sections, and the three that count as one slot or another.
+#: Labels of repeated sections.
 SECTION_LABELS = ["what it is", "why it works", "when to use it", "make it yours", "pair with", "behind the data", "how it works", "examples?", "notes?", "do", "don'?t", "founder tip", "supporting plays", r"insights\s*&\s*metrics"]
 
 
+#: Labels that share one heading level, labels of large sections, and the names of both slots.
+PEER_LABELS = ["what it is", "why it works", "when to use it", "do", "don'?t", "founder tip"]
+BLOCK_LABELS = ["make it yours", "pair with", "behind the data", "supporting plays", r"insights\s*&\s*metrics"]
+PEER_SLOT, BLOCK_SLOT = "peer:card-slots", "block:make-section"
+
+
+def slot_key(c: Column) -> Column:
+    """The slot of a repeated section's label; other titles are their own."""
+    t = trim(F.regexp_replace(F.regexp_replace(c, r"[‘’ʼ]", "'"), ":$", ""))
+    one_of = lambda labels: t.rlike(f"(?i)^({'|'.join(labels)})[:.]?$")
+    return F.when(one_of(PEER_LABELS), PEER_SLOT).when(one_of(BLOCK_LABELS), BLOCK_SLOT).otherwise(chrome_key(t))
+
+
 def _label(c: Column) -> Column:
     return c.rlike(f"(?i)^({'|'.join(SECTION_LABELS)})[:.]?$")
 

@@ -96,3 +96,17 @@ def assignment_detail(assigned: DataFrame, originals: DataFrame, heads: DataFram
     zero = F.lit(0).cast("long")
     units = assigned.select("unit").distinct()
     return units.join(has, "unit", "left").join(lacking, "unit", "left").join(head, "unit", "left").select("unit", F.coalesce("originals", zero).alias("originals"), F.coalesce("missing_contributors", zero).alias("missing_contributors"), "canonical_id")
+
+
+def assignments(requests: DataFrame, members: DataFrame, admitted: DataFrame) -> DataFrame:
+    """Outcomes of assignment requests (unit, rater, content): pins the current member's revision (members: unit, revision_id, sha256) and the digest of the content handed out.
+
+    The unit must be a current member, its content that of the pinned revision,
+    and the rater admitted.
+    """
+    m = members.select(F.col("unit").alias("__u"), "revision_id", F.col("sha256").alias("__sha"))
+    a = admitted.select(F.col("rater").alias("__r")).distinct()
+    j = requests.join(m, F.col("unit") == F.col("__u"), "left").join(a, F.col("rater") == F.col("__r"), "left").withColumn("content_digest", F.sha2("content", 256))
+    outcome = F.when(F.col("__u").isNull(), "not_a_member").when(F.col("__r").isNull(), "not_admitted").when(F.col("content_digest") != F.col("__sha"), "content_changed").otherwise("assigned")
+    ok = F.col("outcome") == "assigned"
+    return j.withColumn("outcome", outcome).select("unit", "rater", "outcome", F.when(ok, F.col("revision_id")).alias("revision_id"), F.when(ok, F.col("content_digest")).alias("content_digest"))

@@ -10,11 +10,11 @@ from quarry.functions import text as tx
 
 def token_f1(cases: DataFrame) -> DataFrame:
     """id and f1 of the token multisets of ``predicted`` and ``expected``; both empty: 1, one empty: 0."""
-    side = lambda c: cases.select("id", F.explode(tx.tokens(F.coalesce(F.col(c), F.lit("")))).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias(c))
-    met = side("predicted").join(side("expected"), ["id", "token"], "full")
-    zero = F.lit(0).cast("long")
-    p, e = F.coalesce("predicted", zero), F.coalesce("expected", zero)
-    by = met.groupBy("id").agg(F.sum(F.least(p, e)).alias("both"), F.sum(p).alias("p"), F.sum(e).alias("e"))
+    side = lambda c: F.transform(tx.tokens(F.coalesce(F.col(c), F.lit(""))), lambda w: F.struct(w.alias("token"), F.lit(c == "predicted").alias("p")))
+    # Both sides in one pass; a token of a case is counted for either, and the cases' sums keep its partitions.
+    each = cases.select("id", F.explode(F.concat(side("predicted"), side("expected"))).alias("x")).repartition("id")
+    met = each.groupBy("id", "x.token").agg(F.count_if("x.p").alias("p"), F.count_if(~F.col("x.p")).alias("e"))
+    by = met.groupBy("id").agg(F.sum(F.least("p", "e")).alias("both"), F.sum("p").alias("p"), F.sum("e").alias("e"))
     all_ = cases.select("id").join(by, "id", "left")
     # 2PR / (P + R) with P = both / p and R = both / e is 2 both / (p + e).
     f1 = F.when(F.col("p").isNull(), 1.0).otherwise(F.round(2 * F.col("both").cast("double") / (F.col("p") + F.col("e")), 12))
@@ -25,3 +25,13 @@ def averages(scores: DataFrame) -> DataFrame:
     """Mean scores over all cases: those without a prediction count as 0, no cases at all too."""
     mean = lambda c: F.coalesce(F.round(F.sum(F.coalesce(c, F.lit(0.0)).cast("decimal(20,10)")).cast("double") / F.nullif(F.count(F.lit(1)), F.lit(0)), 9), F.lit(0.0))
     return scores.agg(F.count(F.lit(1)).alias("cases"), mean("structure").alias("structure"), mean("similarity").alias("similarity"))
+
+
+def evaluation_run(fixtures: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Scores of fixtures (id, expected) by predictions (id, markdown, status): id, structure, similarity, note; what isn't completed scores 0."""
+    done = predictions.filter("status = 'completed' and markdown is not null").select("id", F.col("markdown").alias("predicted"))
+    failed = predictions.select(F.col("id").alias("__f"), F.col("status").alias("__status"))
+    cases = fixtures.join(done, "id", "left").select("id", "expected", "predicted")
+    scores = cases.join(token_f1(cases), "id").join(failed, F.col("id") == F.col("__f"), "left")
+    ok = F.col("predicted").isNotNull()
+    return scores.select("id", F.when(ok, tx.structure_score(F.col("predicted"))).otherwise(0.0).alias("structure"), F.when(ok, F.col("f1")).otherwise(0.0).alias("similarity"), F.when(~ok, F.coalesce("__status", F.lit("missing"))).alias("note"))

@@ -83,3 +83,19 @@ def accepted_batch(batch: DataFrame, sealed: DataFrame) -> DataFrame:
     """Rows of a prepared batch that differ from the sealed ones, and sealed ones it lacks: none if it may be accepted."""
     columns = batch.columns
     return batch.exceptAll(sealed.select(*columns)).withColumn("problem", F.lit("not_sealed")).unionByName(sealed.select(*columns).exceptAll(batch).withColumn("problem", F.lit("lacking")))
+
+
+def allocate(requests: DataFrame, groups: DataFrame) -> DataFrame:
+    """Outcomes of manifest allocations (request_id, group_id, epoch, sha256, size_bytes) for groups (group_id, epoch, prepared, expected, manifest_sha256, manifest_size).
+
+    All members must be prepared; a request of an old attempt is stale; of
+    several for a group the first allocates, equal ones repeat it, others conflict.
+    """
+    j = requests.join(groups.select(F.col("group_id").alias("__g"), F.col("epoch").alias("__epoch"), "prepared", "expected", "manifest_sha256", "manifest_size"), F.col("group_id") == F.col("__g"), "left")
+    why = F.when(F.col("__g").isNull(), "not_found").when(F.col("epoch") != F.col("__epoch"), "stale").when(F.col("prepared") != F.col("expected"), "incomplete")
+    rows = j.withColumn("why", why)
+    w = Window.partitionBy("group_id", F.col("why").isNull()).orderBy("request_id")
+    rows = rows.withColumns({"sha": F.coalesce("manifest_sha256", F.first("sha256").over(w)), "size": F.coalesce("manifest_size", F.first("size_bytes").over(w)), "n": F.row_number().over(w)})
+    same = (F.col("sha256") == F.col("sha")) & (F.col("size_bytes") == F.col("size"))
+    first = F.col("manifest_sha256").isNull() & (F.col("n") == 1)
+    return rows.select("request_id", "group_id", F.coalesce("why", F.when(first, "allocated").when(same, "repeated").otherwise("conflict")).alias("outcome"))

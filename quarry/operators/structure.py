@@ -147,3 +147,70 @@ def override_uncertain(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     best = met.groupBy("doc", "pos").agg(F.min_by("__role", F.struct((F.col("__k") != F.col("__a")).alias("far"), "__a", "__role")).alias("answer"))
     j = candidates.join(best, ["doc", "pos"], "left")
     return j.withColumn("role", F.coalesce("answer", "role")).drop("answer")
+
+
+def materialise(lines: DataFrame, pages: DataFrame, raw_titles: DataFrame | None = None) -> DataFrame:
+    """Blocks (doc, page, seq, k, lvl, ordered, t, items) of lines with roles (doc, page, pos, text, role, level), below the headings that a change of a page's section (pages: doc, page, section) brings.
+
+    A heading that stands on the page anyway isn't brought in. Runs of list
+    lines of one role are one list; chrome goes. ``raw_titles`` (doc, key, raw)
+    gives numbered titles back where the document keeps its numbers.
+    """
+    from quarry.operators.pages import path_headings
+
+    w = Window.partitionBy("doc", "page").orderBy("pos")
+    kept = lines.filter("role <> 'chrome'")
+    listed = F.col("role").isin("ol_item", "ul_item")
+    new = ~listed | ~F.col("role").eqNullSafe(F.lag("role").over(w))
+    rows = kept.withColumn("new", new).withColumn("block", F.sum(F.col("new").cast("long")).over(w))
+    t = tx.trim(F.col("text"))
+    # A list line loses its marker, an ordered one the number behind it too.
+    bare = tx.without_marker(t)
+    line = F.when(F.col("role") == "ol_item", tx.trim(F.regexp_replace(bare, r"^[0-9]{1,3}[.)]\s+", ""))).when(F.col("role") == "ul_item", bare).when(F.col("role") == "heading", tx.trim(F.regexp_replace("text", ":$", ""))).otherwise(t)
+    by = rows.groupBy("doc", "page", "block").agg(F.min("pos").alias("pos"), F.first("role").alias("role"), F.first("level").alias("level"), F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("x")))), lambda x: x["x"]).alias("items"))
+    is_list = F.col("role").isin("ol_item", "ul_item")
+    kind = F.when(is_list, "list").when(F.col("role") == "heading", "heading").otherwise("paragraph")
+    none = F.array().cast("array<string>")
+    blocks = by.select("doc", "page", F.col("pos").alias("at"), kind.alias("k"), F.when(F.col("role") == "heading", F.coalesce("level", F.lit(2))).cast("long").alias("lvl"), F.when(is_list, F.col("role") == "ol_item").alias("ordered"), F.array_join("items", "\n").alias("t"), F.when(is_list, F.col("items")).otherwise(none).alias("items"))
+    heads = kept.filter("role = 'heading'").select("doc", "page", tx.section_key(F.col("text")).alias("key")).distinct()
+    brought = path_headings(pages).withColumn("key", tx.section_key(F.col("title"))).join(heads, ["doc", "page", "key"], "left_anti")
+    brought = brought.select("doc", "page", (F.col("level") - 100).alias("at"), F.lit("heading").alias("k"), F.col("level").alias("lvl"), F.lit(None).cast("boolean").alias("ordered"), F.col("title").alias("t"), none.alias("items"))
+    out = brought.unionByName(blocks)
+    if raw_titles is not None:
+        raw = raw_titles.filter(F.col("raw").rlike(r"^\s*[0-9]{1,3}[.)]\s")).select(F.col("doc").alias("__d"), F.col("key").alias("__k"), tx.trim(F.col("raw")).alias("__raw"))
+        plain = (F.col("k") == "heading") & ~F.col("t").rlike(r"^[0-9]{1,3}[.)]\s")
+        out = out.join(raw, plain & (F.col("doc") == F.col("__d")) & (tx.section_key(F.col("t")) == F.col("__k")), "left").withColumn("t", F.coalesce("__raw", "t")).drop("__d", "__k", "__raw")
+    return out.withColumn("seq", F.row_number().over(Window.partitionBy("doc", "page").orderBy("at")).cast("long")).drop("at").select("doc", "page", "seq", "k", "lvl", "ordered", "t", "items")
+
+
+def merge_figures(old: DataFrame, new: DataFrame) -> DataFrame:
+    """New figures (doc, page, pos, id, t, caption, z, edge, y) of a page in the places of its old ones, one by one: they keep the old id, and text, caption, zone and edge where the new one has none. Cropped images are made anew. Pages without new figures keep theirs."""
+    from quarry.operators.pages import figure_height
+
+    w = Window.partitionBy("doc", "page").orderBy("pos")
+    n, o = (df.withColumn("n", F.row_number().over(w)) for df in (new, old))
+    was = o.select("doc", "page", "n", *[F.col(c).alias(f"old_{c}") for c in ("id", "t", "caption", "z", "edge")])
+    j = n.join(was, ["doc", "page", "n"], "left")
+    filled = lambda c: F.when(c != "", c)
+    y = figure_height(F.col("y"), F.col("z"))
+    z = F.coalesce("z", "old_z", F.when(y > 0.65, "bottom").when(y < 0.35, "top").otherwise("body"))
+    merged = j.select("doc", "page", "pos", F.coalesce(filled(F.col("old_id")), "id").alias("id"), F.coalesce(filled(F.col("t")), filled(F.col("old_t")), filled(F.col("caption")), F.lit("Figure")).alias("t"), F.coalesce("caption", "old_caption").alias("caption"), z.alias("z"), F.coalesce("edge", F.when(z == "bottom", "bottom").otherwise(F.col("old_edge"))).alias("edge"), "y")
+    kept = old.join(new.select("doc", "page").distinct(), ["doc", "page"], "left_anti").select(*merged.columns)
+    return merged.unionByName(kept)
+
+
+#: Fixed value: words that speak of figures.
+FIGURE_WORDS = r"(?i)figure|image|photo|diagram|screenshot|illustration|artwork|crop|bbox|artifact|\bimg\b"
+
+
+def figure_note(label: Column, tags: Column, comments: Column, recrop: Column) -> Column:
+    """What a review says of a figure, as one line; null if it says nothing."""
+    parts = F.array_compact(F.array(F.when(F.size(tags) > 0, F.concat(F.lit("tags="), F.array_join(tags, ","))), F.when(F.size(comments) > 0, F.nullif(F.array_join(comments, "; "), F.lit("")))))
+    said = F.array_join(parts, " · ")
+    return F.when(recrop | (said != ""), tx.trim(F.concat(F.lit("figure "), label, F.lit(": "), said)))
+
+
+def page_notes(page_comments: Column, figure_notes: Column, document_comments: Column, prompt: Column) -> Column:
+    """All notes of a page in order, joined: its comments, its figures', the document's, and the prompt."""
+    given = F.when(tx.trim(prompt) != "", F.array(tx.trim(prompt))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(page_comments, figure_notes, document_comments, given), " · ")

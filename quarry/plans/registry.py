@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.plans import catalog, control, datasets, labels, log, pages, scores, services
+from quarry.plans import catalog, composites, control, datasets, labels, log, pages, scores, services
 
 FLAGSHIP = "a04_quality_report"
-MODULES = [catalog, control, datasets, labels, log, pages, scores, services]
+MODULES = [catalog, composites, control, datasets, labels, log, pages, scores, services]
 
 
 def queries() -> dict:

@@ -169,10 +169,6 @@ def f22_preview_kinds(spark, d):
     return li.select("id", "bytes", "pixels", "s", F.when(ok, "thumbnail").otherwise("download").alias("preview"))
 
 
-def j01_member_revisions(spark, d):
-    return members(spark, d).select("sample_id", "revision_id", "split")
-
-
 def j03_publication_members(spark, d):
     return members(spark, d).filter("sample_id > 'doc-000000000050'").orderBy("sample_id").limit(50).select("sample_id", "artifact_id", "verified")
 
@@ -218,11 +214,6 @@ def p12_assemble(spark, d):
     return md.select("doc", F.sha2("markdown", 256).alias("sha256"), F.length("markdown").cast("long").alias("chars"))
 
 
-def p17_allocation(spark, d):
-    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("id"), (F.col("o_custkey") % 5).cast("long").alias("prepared"), (F.col("o_orderkey") % 5).cast("long").alias("expected")).distinct()
-    return o.withColumn("outcome", F.when(F.col("prepared") != F.col("expected"), "incomplete").otherwise("allocated"))
-
-
 def p05_units(spark, d):
     s = selected(spark, d)
     return s.groupBy("unit").agg(F.count(F.lit(1)).alias("contributors"), F.count_if(F.col("state") == "submitted").alias("submitted"))
@@ -250,10 +241,6 @@ def cells_total(spark, d):
     return cells(spark, d).groupBy("left", "right").agg(F.sum("n").alias("overlap"))
 
 
-def assigned_units(spark, d):
-    return assigned(spark, d).groupBy("rater").agg(F.count(F.lit(1)).alias("units"))
-
-
 from quarry.plans import datasets as _d  # noqa: E402
 from quarry.plans import labels as _l  # noqa: E402
 from quarry.plans import log as _g  # noqa: E402
@@ -284,7 +271,6 @@ QUERIES = {
     "x40_figures_missing": (x40_figures_missing, with_tables("page_text", "select doc, page, not (page % 3 <> 0 and page % 2 = 0) as missing from page_text")),
     "x02_coherence": (x02_coherence, with_tables("sample_revision", "select id, (doc_id % 2 <> 0 or doc_id % 4 = 0) and (doc_id % 6 <> 0 or doc_id % 2 = 0) as coherent from sample_revision")),
     "f22_preview_kinds": (f22_preview_kinds, f"select distinct l_orderkey::bigint as id, (l_quantity * 1000000)::bigint as bytes, (l_linenumber * 5000000)::bigint as pixels, l_linestatus as s, case when l_linestatus = 'O' and (l_quantity * 1000000)::bigint <= {8 << 20} and l_linenumber * 5000000 <= 20000000 then 'thumbnail' else 'download' end as preview from lineitem"),
-    "j01_member_revisions": (j01_member_revisions, _M("select sample_id, revision_id, split from member")),
     "j03_publication_members": (j03_publication_members, _M("select sample_id, artifact_id, verified from member where sample_id > 'doc-000000000050' order by sample_id limit 50")),
     "j04_process_plan": (j04_process_plan, with_tables(_d.NEEDED + " location", "select m.sample_id, l.location_id, case when m.artifact_id is null then 'unbound' when not m.verified then 'unverified' when l.location_id is null then 'no_location' else 'ready' end as guard from member m left join (select artifact_id, min(id) as location_id from location group by 1) l using (artifact_id)", _d.MEMBERS)),
     "j08_event_outbox": (j08_event_outbox, with_tables("event", "select event_id, operation_id from event where event_id % 3 <> 0 order by ts, event_id limit 30")),
@@ -292,11 +278,9 @@ QUERIES = {
     "a02_latest": (a02_latest, with_tables("sample_revision", "select sample_id, max(revision) as revision, arg_max(id, revision) as revision_id from sample_revision group by 1")),
     "p07_publish_check": (p07_publish_check, with_tables("truth_member", "select partition, count(*) as members, count(distinct \"group\") as groups, (select count(*) from (select \"group\" from truth_member group by 1 having count(distinct partition) > 1 union all select content_digest from truth_member group by 1 having count(distinct partition) > 1)) = 0 as publishable from truth_member group by 1")),
     "p12_assemble": (p12_assemble, None),
-    "p17_allocation": (p17_allocation, "select distinct o_orderkey::bigint as id, (o_custkey % 5)::bigint as prepared, (o_orderkey % 5)::bigint as expected, case when o_custkey % 5 <> o_orderkey % 5 then 'incomplete' else 'allocated' end as outcome from orders"),
     "p05_units": (p05_units, _l.selected_sql("select unit, count(*) as contributors, count(*) filter (state = 'submitted') as submitted from selected group by 1")),
     "e03_retries": (e03_retries, with_tables("event", "select operation_id, case when state = 'failed' then epoch + 1 else epoch end as next_epoch, state = 'failed' as retryable from (select operation_id, state from fold qualify row_number() over (partition by operation_id order by n desc) = 1) f join (select operation_id, max(epoch) as epoch from seq group by 1) using (operation_id)", _g.SEQ, _g.FOLD).replace("with ", "with recursive ", 1)),
     "e19_dispatches": (e19_dispatches, with_tables("event", "select operation_id, epoch, arg_max(case event_type when 'queued' then 'pending' when 'running' then 'submitted' else 'unknown' end, revision) as status, count(*) as events from seq group by 1, 2", _g.SEQ)),
     "s19_deletion": (s19_deletion, with_tables("location", "select artifact_id, case when count(*) = count(*) filter (outcome = 'missing') then 'deleted' else 'deleting' end as state from location group by 1")),
     "a11_overlap": (cells_total, _l.selected_sql('select "left", "right", sum(n)::bigint as overlap from cell group by 1, 2', _l.CELLS)),
-    "p03_assignments": (assigned_units, "select rater, (select count(*) from labels) as units from (values ('a'), ('b'), ('c')) r(rater)"),
 }
