@@ -14,6 +14,18 @@ def quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 
+def quoted_ascii(c: Column) -> Column:
+    """A JSON string of ASCII characters only: others are escaped by their UTF-16 units, as controls are."""
+    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    named = F.create_map(*[F.lit(x) for code, name in (("0022", '\\"'), ("005C", "\\\\"), ("000A", "\\n"), ("000D", "\\r"), ("0009", "\\t"), ("0008", "\\b"), ("000C", "\\f")) for x in (code, name)])
+
+    def one(u: Column) -> Column:
+        plain = u.between("0020", "007E")
+        return F.coalesce(F.try_element_at(named, u), F.when(plain, F.decode(F.unhex(F.substring(u, 3, 2)), "UTF-8")).otherwise(F.concat(F.lit("\\u"), F.lower(u))))
+
+    return F.concat(F.lit('"'), F.array_join(F.transform(units, one), ""), F.lit('"'))
+
+
 def canonical_object(fields: dict[str, Column], raw: set[str] = frozenset(), numbers: set[str] = frozenset({"size_bytes", "revision", "step", "position", "epoch"})) -> Column:
     """A JSON object with sorted keys and no white space; nulls are kept. Fields in ``raw`` are JSON already, those in ``numbers`` whole numbers."""
     parts = []

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def listing(spark: SparkSession, root: str, pattern: str = "*", after: str | None = None, limit: int = 100) -> DataFrame:
-    """A page of object names under a root, with size and time; contents aren't read."""
+def listing(spark: SparkSession, root: str, pattern: str = "*", after: str | None = None, limit: int = 100) -> tuple[DataFrame, str | None]:
+    """A page of 1 to 100 object names under a root, with size and time, and the token for the next page (None: there is none); contents aren't read."""
+    if not 1 <= limit <= 100:
+        raise ValueError("a page has 1 to 100 objects")
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
     if after is not None:
         files = files.filter(F.col("path") > after)
-    return files.orderBy("path").limit(limit)
+    ahead = [r["path"] for r in files.orderBy("path").select("path").limit(limit + 1).collect()]
+    page = files.orderBy("path").limit(limit)
+    return page, ahead[limit - 1] if len(ahead) > limit else None
 
 
 def object_status(content: Column, sha256: Column, size: Column) -> Column:
@@ -38,10 +47,45 @@ def byte_range(content: Column, start: int, length: int) -> Column:
     return F.substring(content, start + 1, length)
 
 
-def write_once(df: DataFrame, path: str) -> DataFrame:
-    """Write a table that must not exist yet, and return what can be read back."""
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def write_once(df: DataFrame, root: str) -> tuple[str, DataFrame]:
+    """Write a table under the digest of its rows, never over anything, and return its path and what can be read back.
+
+    Writing equal rows again finds them there; a copy that was cut short, or
+    that doesn't read back with the same digest, is an error.
+    """
+    digest = rows_digest(df)
+    path = f"{root.rstrip('/')}/{digest}"
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+    back = df.sparkSession.read.parquet(path)
+    if rows_digest(back) != digest:
+        raise ValueError(f"{path} doesn't hold what was written")
+    return path, back
+
+
+def rows_digest(df: DataFrame) -> str:
+    """A digest of a table's rows in any order: their number and two sums over their hashes."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    hashed = df.toDF(*names).select(*[F.xxhash64(F.lit(seed), *names).cast("decimal(38,0)").alias(seed) for seed in ("a", "b")])
+    r = hashed.agg(F.count(F.lit(1)), F.sum("a"), F.sum("b")).first()
+    return hashlib.sha256(repr((sorted(df.dtypes), *map(str, r))).encode()).hexdigest()
+
+
+def verified_manifest(spark: SparkSession, path: str, sha256: str, size: int, identity: dict[str, str]) -> DataFrame:
+    """The members of a manifest file, once its bytes are those of its descriptor, its header names what was asked for, and its ids ascend."""
+    file = spark.read.format("binaryFile").load(path).select(object_status(F.col("content"), F.lit(sha256), F.lit(size)).alias("status"), F.substring_index(F.decode("content", "UTF-8"), "\n", 1).alias("head")).first()
+    if file is None or file["status"] != "verified":
+        raise ValueError(f"{path}: {file['status'] if file else 'missing'}")
+    head = json.loads(file["head"])
+    if any(head.get(k) != v for k, v in identity.items()):
+        raise ValueError(f"{path}: the manifest of something else")
+    members = read_manifest(spark, path)
+    if not members.filter(~F.col("ascends")).isEmpty():
+        raise ValueError(f"{path}: members repeat or are out of order")
+    return members.drop("ascends", "file")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -62,10 +106,53 @@ def page_files(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return raw.select(number.alias("page"), F.from_json(F.regexp_extract("value", r"(?s)(\{.*\})", 1), schema).alias("ir"))
 
 
-def output_kind(path: Column) -> Column:
-    """What a file of a run is, by its name."""
-    name = F.element_at(F.split(path, "/"), -1)
-    return F.when(name.rlike(r"^page-\d+\.md$"), "page").when(name.endswith(".ir.json"), "ir").when(name.endswith(".md"), "document").when(name.endswith(".html"), "html").when(name.rlike(r"\.(png|jpe?g|webp)$"), "image").when(name.endswith(".json"), "meta").otherwise("other")
+def run_outputs(spark: SparkSession, root: str) -> DataFrame:
+    """All files of a run (name, kind, bytes, chars): kinds by name and folder, characters of Markdown, pages and HTML; hidden files aren't there."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    name = F.regexp_extract("path", f"{re.escape(root.rstrip('/').removeprefix('file:'))}/(.*)$", 1)
+    named = files.select(name.alias("name"), F.col("length").alias("bytes"), "content").filter(~F.col("name").rlike(r"(^|/)\."))
+    kind = output_kind(F.col("name"))
+    texts = kind.isin("markdown", "page", "html")
+    return named.select("name", kind.alias("kind"), "bytes", F.when(texts, F.length(F.decode("content", "UTF-8"))).alias("chars"))
+
+
+def output_kind(name: Column) -> Column:
+    """What a file of a run is, by its path under the run's folder."""
+    whole = F.element_at(F.split(name, "/"), -1)
+    folder = F.when(name.contains("/"), F.regexp_replace(name, "/[^/]*$", "")).otherwise("")
+    return (
+        F.when(whole == "document.md", "markdown")
+        .when(whole == "document.html", "html")
+        .when(whole == "plan.json", "plan")
+        .when(whole == "page-progress.json", "progress")
+        .when((folder == "pages") & (whole.endswith(".md") | whole.endswith(".ir.json")), "page")
+        .when(folder == "artifacts", "artifact")
+        .otherwise("other")
+    )
+
+
+def input_kind(path: Column) -> Column:
+    """How an input becomes pages, by its extension: ``pdf``, ``image``, or null for what isn't supported."""
+    ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    return F.when(ext == ".pdf", "pdf").when(ext.isin(".png", ".jpg", ".jpeg", ".webp"), "image")
+
+
+JOB = "runId string, status string, createdAt string, updatedAt string, events array<struct<ts:string,message:string,phase:string>>"
+
+
+def import_jobs(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Jobs and their events (run_id, seq, ts, message, phase) of ``*.json`` files; files that aren't JSON or have no run are left out, and of a run's files the last by name holds."""
+    raw = spark.read.option("pathGlobFilter", "*.json").text(root, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    jobs = raw.select("file", F.from_json("value", JOB).alias("j")).filter("j.runId is not null and j.runId <> ''")
+    last = jobs.groupBy(F.col("j.runId").alias("run_id")).agg(F.max_by("j", "file").alias("j"))
+    events = last.select("run_id", F.posexplode("j.events").alias("seq", "e")).select("run_id", "seq", "e.ts", "e.message", "e.phase")
+    return last.select("run_id", "j.status", F.col("j.createdAt").alias("created_at"), F.col("j.updatedAt").alias("updated_at")), events
+
+
+def import_reviews(spark: SparkSession, root: str) -> DataFrame:
+    """Reviews (run_id, review, updated_at) of ``<run>/review.json`` files of version 1."""
+    raw = spark.read.option("pathGlobFilter", "review.json").option("recursiveFileLookup", "true").text(root, wholetext=True).select("value", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("run_id"))
+    return raw.filter(F.get_json_object("value", "$.v") == "1").select("run_id", F.col("value").alias("review"), F.get_json_object("value", "$.updatedAt").alias("updated_at"))
 
 
 def fixture_cases(files: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.events import KNOWN, TRANSITIONS
@@ -75,3 +75,25 @@ def merge_into(path: str, key: str) -> Callable[[DataFrame, int], None]:
         new.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
     return write
+
+
+def append_log(events: DataFrame, path: str, checkpoint: str):
+    """Job events appended to a table by run, all there are now; started again it goes on where it stopped. ``ordered_log`` reads them in order."""
+    return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ordered_log(log: DataFrame) -> DataFrame:
+    """Each operation's events with their number in order of time and id."""
+    return log.withColumn("n", F.row_number().over(Window.partitionBy("operation_id").orderBy("ts", "event_id")).cast("long"))
+
+
+def dispatch_into(path: str, current: DataFrame) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: each batch of outbox events is claimed, put through the inbox and acknowledged, and its outcomes are written to ``path/batch=<n>``, once however often the batch is run."""
+
+    def tick(batch: DataFrame, batch_id: int) -> None:
+        seen = batch.dropDuplicates(["event_id"]).join(current.select("operation_id", F.col("epoch").alias("now_epoch")), "operation_id", "left")
+        known = F.coalesce(F.col("event_type").isin(*KNOWN), F.lit(False)) & F.col("now_epoch").isNotNull()
+        outcome = F.when(~known, "quarantined").when(F.col("event_type") != "queued", "ignored").when(F.col("epoch") != F.col("now_epoch"), "stale").otherwise("applied")
+        seen.select("event_id", "operation_id", outcome.alias("outcome"), (outcome == "applied").alias("submitted")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return tick

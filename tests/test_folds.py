@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import canonical
 from quarry.functions import text as tx
 from quarry.operators import annotation, events, graph, pages, publication, quality, structure, temporal
 from quarry.operators import catalog as cat
@@ -169,7 +170,9 @@ def test_objects(spark, tmp_path):
     digest = hashlib.sha256(b"hello").hexdigest()
     wanted = spark.createDataFrame([(n, digest, 5) for n in ("good", "bad", "none")], "name string, sha256 string, size long")
     assert values(objects.read_verified(spark, str(tmp_path / "o"), wanted), "name", "status") == [("bad", "corrupt"), ("good", "verified"), ("none", "missing")]
-    assert [r["path"].rsplit("/", 1)[1] for r in objects.listing(spark, str(tmp_path / "o"), limit=1).collect()] == ["bad"]
+    first, token = objects.listing(spark, str(tmp_path / "o"), limit=1)
+    rest, end = objects.listing(spark, str(tmp_path / "o"), after=token, limit=1)
+    assert [[r["path"].rsplit("/", 1)[1] for r in page.collect()] for page in (first, rest)] == [["bad"], ["good"]] and end is None
     (tmp_path / "o" / "page-002.ir.json").write_text("```json\n" + json.dumps({"v": 1, "page": 2}) + "\n```")
     got = objects.page_files(spark, str(tmp_path / "o"), "v int, page int").first()
     assert got["page"] == 2 and got["ir"]["v"] == 1
@@ -185,6 +188,82 @@ def test_manifest(spark, tmp_path):
     assert [r["sample_id"] for r in objects.read_manifest(spark, str(tmp_path / "m")).orderBy("line").collect()] == ["s1", "s2", "s3"]
 
 
+def test_write_once(spark, tmp_path):
+    df = spark.range(100).withColumn("t", F.col("id").cast("string"))
+    path, back = objects.write_once(df, str(tmp_path))
+    again, _ = objects.write_once(df.repartition(3), str(tmp_path))
+    other, _ = objects.write_once(df.limit(99), str(tmp_path))
+    assert path == again != other and back.count() == 100
+    import shutil
+
+    part = next((tmp_path / path.rsplit("/", 1)[1]).glob("part-*.parquet"))
+    shutil.copy(part, part.with_name("part-extra.parquet"))
+    with pytest.raises(ValueError):
+        objects.write_once(df, str(tmp_path))
+
+
+def test_verified_manifest(spark, tmp_path):
+    import hashlib
+
+    def put(name, *lines):
+        data = "\n".join(lines).encode()
+        (tmp_path / name).write_bytes(data)
+        return str(tmp_path / name), hashlib.sha256(data).hexdigest(), len(data)
+
+    head, a, b = '{"dataset_id":"d1"}', '{"sample_id":"a"}', '{"sample_id":"b"}'
+    good = put("m", head, a, b)
+    assert [r["sample_id"] for r in objects.verified_manifest(spark, *good, {"dataset_id": "d1"}).collect()] == ["a", "b"]
+    for args in ((*good, {"dataset_id": "d2"}), (good[0], good[1], 1, {}), (good[0], "0" * 64, good[2], {}), (*put("n", head, b, a), {}), (*put("p", head, a, a), {})):
+        with pytest.raises(ValueError):
+            objects.verified_manifest(spark, *args)
+
+
+def test_run_outputs(spark, tmp_path):
+    for name in ("document.md", "pages/page-001.md", "pages/page-001.ir.json", "pages/x.txt", "artifacts/f.png", "plan.json", ".hidden", "deep/pages/page-002.md", "page-progress.json", "document.html"):
+        (tmp_path / "run" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "run" / name).write_text("é" if name.endswith(".md") else "xy")
+    out = values(objects.run_outputs(spark, str(tmp_path / "run")), "name", "kind", "bytes", "chars")
+    assert out == [("artifacts/f.png", "artifact", 2, None), ("deep/pages/page-002.md", "other", 2, None), ("document.html", "html", 2, 2), ("document.md", "markdown", 2, 1), ("page-progress.json", "progress", 2, None), ("pages/page-001.ir.json", "page", 2, 2), ("pages/page-001.md", "page", 2, 1), ("pages/x.txt", "other", 2, None), ("plan.json", "plan", 2, None)]
+
+
+def test_fixture_cases(spark, tmp_path):
+    for name, text in {"a/input.pdf": "x", "a/expected.md": "# A", "a/meta.json": "{}", "b/Input.png": "x", "b/Expected.MD": "# B", "c/input.pdf": "x", "d/expected.md": "# D"}.items():
+        (tmp_path / "f" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "f" / name).write_text(text)
+    files = spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "f"), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    assert values(objects.fixture_cases(files), "id", "expected", "meta") == [("a", "# A", "{}"), ("b", "# B", None)]
+    kinds = spark.createDataFrame([("x/a.PDF",), ("b.jpeg",), ("c.webp",), ("d.gif",), ("none",)], "p string").select(objects.input_kind(F.col("p")))
+    assert [r[0] for r in kinds.collect()] == ["pdf", "image", "image", None, None]
+
+
+def test_imports(spark, tmp_path):
+    (tmp_path / "jobs").mkdir()
+    job = lambda run, status, *events: json.dumps({"runId": run, "status": status, "events": [{"ts": t, "message": t, "phase": None} for t in events]})
+    for name, text in {"1.json": job("r1", "running", "a", "b"), "2.json": job("r1", "completed", "a", "b", "c"), "3.json": "not json", "4.json": "{}", "5.json.migrated": job("r9", "x"), "6.json": job("r2", "failed")}.items():
+        (tmp_path / "jobs" / name).write_text(text)
+    jobs, evs = objects.import_jobs(spark, str(tmp_path / "jobs"))
+    assert values(jobs, "run_id", "status") == [("r1", "completed"), ("r2", "failed")]
+    assert values(evs, "run_id", "seq", "ts", "phase") == [("r1", 0, "a", None), ("r1", 1, "b", None), ("r1", 2, "c", None)]
+    for run, v in (("r1", 1), ("r2", 2)):
+        (tmp_path / "out" / run).mkdir(parents=True)
+        (tmp_path / "out" / run / "review.json").write_text(json.dumps({"v": v, "updatedAt": "now"}))
+    assert values(objects.import_reviews(spark, str(tmp_path / "out")), "run_id", "updated_at") == [("r1", "now")]
+
+
+def test_ascii_json(spark):
+    text = 'ü "q" \\ \n\x01 \U0001f600 ~'
+    assert one(spark, canonical.quoted_ascii, text) == json.dumps(text)
+
+
+def test_materialise(spark):
+    rows = [(0, "Book:", "heading", 2), (1, "3. one", "ol_item", None), (2, "b. 4) two", "ol_item", None), (3, "- three", "ul_item", None), (4, "7", "chrome", None), (5, " text ", "paragraph", None), (6, "Part A", "heading", None)]
+    lines = spark.createDataFrame([(1, 1, *r) for r in rows], "doc long, page long, pos long, text string, role string, level long")
+    sections = spark.createDataFrame([(1, 1, ["1. Book", "Intro"]), (1, 2, ["1. Book", "Intro", "Deep"])], "doc long, page long, section array<string>")
+    raw = spark.createDataFrame([(1, "part a", "12. Part A"), (1, "intro", "Intro")], "doc long, key string, raw string")
+    out = values(structure.materialise(lines, sections, raw), "page", "seq", "k", "lvl", "t", "ordered")
+    assert out == [(1, 1, "heading", 2, "Intro", None), (1, 2, "heading", 2, "Book", None), (1, 3, "list", None, "one\ntwo", True), (1, 4, "list", None, "three", False), (1, 5, "paragraph", None, "text", None), (1, 6, "heading", 2, "12. Part A", None), (2, 1, "heading", 3, "Deep", None)]
+
+
 @pytest.fixture(scope="module")
 def log(spark, tmp_path_factory):
     rows = [(o, o * 10 + i, f"2024-01-01 00:0{i}:00", k) for o in (1, 2) for i, k in enumerate(["queued", "running", "effect_completed", "failed", "succeeded", "odd"])]
@@ -227,3 +306,16 @@ def test_merge_into(spark, tmp_path):
     write(new, 1)
     write(new, 1)
     assert values(spark.read.parquet(str(tmp_path / "t/v=1")), "k", "v") == [(1, "a"), (2, "c")]
+
+
+def test_append_and_dispatch(spark, log, tmp_path):
+    source = lambda: spark.readStream.schema(stream.LOG).parquet(log)
+    for _ in range(2):  # started again, it appends nothing twice
+        stream.append_log(source(), str(tmp_path / "log"), str(tmp_path / "at")).awaitTermination()
+    rows = stream.ordered_log(spark.read.schema(stream.LOG).parquet(str(tmp_path / "log")))
+    assert rows.count() == 18 and values(rows.filter("operation_id = 1"), "n", "event_id")[:3] == [(1, 10), (2, 10), (3, 11)]
+    current = spark.createDataFrame([(1, 1)], "operation_id long, epoch long")
+    q = source().withColumn("epoch", F.lit(1)).writeStream.foreachBatch(stream.dispatch_into(str(tmp_path / "ticks"), current)).option("checkpointLocation", str(tmp_path / "at2")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "ticks"))
+    assert values(out.groupBy("outcome").count()) == [("applied", 1), ("ignored", 4), ("quarantined", 7)] and out.filter("submitted").count() == 1
