@@ -199,7 +199,7 @@ QUERIES = {
     "f06_exact_revision": (f06_exact_revision, with_tables("sample_revision", "select id, sample_id, revision, sha256 from sample_revision where sample_id = 'doc-000000000014' and revision = 2")),
     "f07_active_versions": (f07_active_versions, with_tables("catalog", "select id, availability, (select case when count(*) > 50 then max(case when n = 50 then id end) end from top) as next_after, (select count(*) from catalog where availability <> 'archived') as total from top where n <= 50", "top as (select *, row_number() over (order by id) as n from catalog where availability <> 'archived' qualify n <= 51)")),
     "f08_operation_kinds": (f08_operation_kinds, with_tables("event", "select event_type, count(*) as n from event where event_type in ('failed', 'succeeded') group by 1")),
-    "f09_preview": (f09_preview, None),
+    "f09_preview": (f09_preview, "select doc_id, case when head is null or contains(head, chr(0)) then 'binary' else 'text' end as kind, case when not contains(head, chr(0)) then length(head) end as chars, octet_length(b) > 4096 and head is not null and not contains(head, chr(0)) as truncated from (select doc_id, b, coalesce(try(decode(b[1:4096])), try(decode(b[1:4095])), try(decode(b[1:4094])), try(decode(b[1:4093]))) as head from (select doc_id, encode(text) as b from documents))"),
     "f10_model_input": (f10_model_input, "select doc_id, sha256(text) as sha256 from documents where octet_length(encode(text)) <= 65536 and not contains(text, chr(0))"),
     "f11_value_guard": (f11_value_guard, "select doc_id, not contains(text, chr(0)) and octet_length(encode(text)) <= 16384 as valid from documents"),
     "f13_output_pages": (f13_output_pages, f"with {OUTPUTS} select sample_id, step_position, output_digest from output where sample_id in (select distinct sample_id from output order by 1 limit 25)"),

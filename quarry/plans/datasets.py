@@ -252,7 +252,7 @@ QUERIES = {
     "t07_generation_page": (t07_generation_page, with_tables("membership", "select sample_id, split from membership where draft_id = 'src5' and valid_from <= 4 and (valid_to is null or valid_to > 4) and sample_id > 'doc-000000000020' order by sample_id limit 20")),
     "t08_selection_check": (t08_selection_check, with_tables("membership", "select draft_id, case when length(draft_id) % 2 <> 0 then 'not_sealed' when r - r % 2 <> r then 'stale' else 'current' end as status from (select draft_id, max(valid_from) as r from membership group by 1)")),
     "t09_carried_binding": (t09_carried_binding, with_tables("sample_revision", "select sample_id, revision, doc_id % 14 = 0 and revision = 2 or coalesce(lag(sha256) over w = sha256 and lag(size_bytes) over w = size_bytes, false) as carried from sample_revision window w as (partition by sample_id order by revision)")),
-    "t10_availability": (t10_availability, None),
+    "t10_availability": (t10_availability, "with c as (select user_id::bigint as version, event_id::bigint as seq, ['archive', 'unarchive', 'deprecate', 'activate'][1 + event_id * 7 % 4] as action from events), f as (select *, coalesce(last_value(flag ignore nulls) over w, false) as archived, coalesce(last_value(flag ignore nulls) over b, false) as was from (select *, case action when 'archive' then true when 'unarchive' then false end as flag from c) window w as (partition by version order by seq rows between unbounded preceding and current row), b as (partition by version order by seq rows between unbounded preceding and 1 preceding)), u as (select *, coalesce(last_value(sets ignore nulls) over w, 'active') as under, coalesce(last_value(sets ignore nulls) over b, 'active') as under_before from (select *, case when not was and action = 'deprecate' then 'deprecated' when not was and action = 'activate' then 'active' end as sets from f) window w as (partition by version order by seq rows between unbounded preceding and current row), b as (partition by version order by seq rows between unbounded preceding and 1 preceding)) select version, seq, action, case when archived then 'archived' else under end as state, was and action in ('deprecate', 'activate') as refused, sum(case when case when archived then 'archived' else under end <> case when was then 'archived' else under_before end then 1 else 0 end) over (partition by version order by seq rows between unbounded preceding and current row) as revision from u"),
     "a03_minimum": (a03_minimum, report_sql(f"select rule_id, examined, {STATUS} as status from counted where kind = 'n'")),
     "a04_quality_report": (a04_quality_report, report_sql(f"select rule_id, required, split, {STATUS} as status, examined, failures, coalesce((select string_agg(sample_id, ',' order by sample_id) from offender o where o.rule_id = c.rule_id and n <= 25), '') as offending, failures > 25 as truncated from counted c")),
     "a05_exact_fraction": (a05_exact_fraction, with_tables("membership metadata", "select t.id as rule_id, case when e = 0 then 'unknown' when f * t.den <= t.num * e then 'passed' else 'failed' end as status from (values ('t0', 0, 1), ('t1', 1, 2), ('t2', 5, 8), ('t3', 7, 10), ('t4', 1, 1)) t(id, num, den), (select count(*) as e, count(*) filter (quality is null or quality = 'null') as f from sealed)", SEALED)),

@@ -171,14 +171,14 @@ def x20_prompts(spark, d):
 
 def x21_page_validate(spark, d):
     p = fx.page_texts(spark, d)
-    keep = F.filter(F.array(F.struct(F.when(F.col("page") % 2 == 0, "top").otherwise("body").alias("z"), F.lit(None).cast("string").alias("edge"), F.when(F.col("page") % 3 == 0, F.concat(F.lit("Page "), F.col("page").cast("string"))).otherwise(F.substring("text", 1, 30)).alias("t"))), lambda b: F.col("doc") % 7 != 0)
+    keep = F.filter(F.array(F.struct(F.when(F.col("page") % 2 == 0, "top").otherwise("body").alias("z"), F.lit(None).cast("string").alias("edge"), F.when(F.col("page") % 3 == 0, F.concat(F.lit("Page "), F.col("page").cast("string"))).otherwise(F.col("text")).alias("t"))), lambda b: F.col("doc") % 7 != 0)
     rows = p.select("doc", "page", (F.lit(2) + F.col("doc") % 2).alias("pages"), (F.col("page") + (F.col("doc") % 5 == 0).cast("int")).alias("wanted_page"), F.lit(2).cast("long").alias("wanted_pages"), keep.alias("keep"), (F.col("doc") % 4 % 2).alias("discard_count"))
     return pg.validate_pages(rows).select("doc", "page", F.array_join("reasons", ",").alias("reasons"), "keep_chars")
 
 
 def x22_md_validate(spark, d):
     p = fx.page_texts(spark, d)
-    md = F.when(F.col("page") % 4 == 0, F.concat(F.lit("# Page "), F.col("page").cast("string"), F.lit("\n---"))).when(F.col("page") % 4 == 1, F.concat(F.lit("```\n"), "text")).when(F.col("page") % 4 == 2, F.lit(" \n ")).otherwise(F.substring("text", 1, 40))
+    md = F.when(F.col("page") % 4 == 0, F.concat(F.lit("# Page "), F.col("page").cast("string"), F.lit("\n---"))).when(F.col("page") % 4 == 1, F.concat(F.lit("```\n"), "text")).when(F.col("page") % 4 == 2, F.lit(" \n ")).otherwise(F.col("text"))
     return p.select("doc", "page", F.array_join(tx.validate_markdown(md), ",").alias("reasons"))
 
 
@@ -266,7 +266,7 @@ VOTES = "vote as (select doc, fp, count(distinct page) as pages, bool_or(k in ('
 QUERIES = {
     "x16_breadcrumbs": (x16_breadcrumbs, with_tables("page_text", "select doc, page, p as path from path", PATH)),
     "w06_path_carry": (w06_path_carry, with_tables("page_text", "select * from carry", PATH, CARRY)),
-    "w07_path_diff": (w07_path_diff, None),
+    "w07_path_diff": (w07_path_diff, with_tables("page_text", "select doc, page, least(6, start + i)::bigint as level, title from (select doc, page, start, unnest(s[start + 1:]) as title, unnest(range(1, len(s[start + 1:]) + 1)) as i from (select doc, page, s, coalesce(list_filter(range(1, greatest(len(s), len(b)) + 1), lambda i: s[i] is distinct from b[i])[1] - 1, len(s)) as start from (select doc, page, s, coalesce(lag(s) over (partition by doc order by page), []) as b from (select doc, page, coalesce(last_value(string_split(nullif(p, ''), '|') ignore nulls) over (partition by doc order by page rows between unbounded preceding and current row), []) as s from path))))", PATH)),
     "x17_line_roles": (x17_line_roles, None),
     "w22_uncertain": (w22_uncertain, None),
     "w23_review": (w23_review, None),
@@ -288,8 +288,8 @@ QUERIES = {
     "x14_chrome_keys": (x14_chrome_keys, "select p_partkey::bigint as id, trim(regexp_replace(regexp_replace(lower(' #' || p_name || '  / ' || p_type || '!'), '\\s+', ' ', 'g'), '[^\\p{L}\\p{N}\\s./-]+', '', 'g')) as key from part"),
     "x15_section_keys": (x15_section_keys, "select p_partkey::bigint as id, trim(regexp_replace(regexp_replace(lower(p_name), '\\s+', ' ', 'g'), '[^\\p{L}\\p{N}\\s./-]+', '', 'g')) as key from part"),
     "x20_prompts": (x20_prompts, None),
-    "x21_page_validate": (x21_page_validate, None),
-    "x22_md_validate": (x22_md_validate, None),
+    "x21_page_validate": (x21_page_validate, with_tables("page_text", "select doc, page, array_to_string(list_filter([case when page <> wanted then 'page_mismatch' end, case when 2 + doc % 2 <> 2 then 'pages_mismatch' end, case when not filled and dropped = 0 then 'empty' end, case when n > 0 and n < 12 then 'keep_too_short' end, case when filled and (num or trim(t) = '') and n > 0 then 'keep_chrome_only' end, case when n >= 24 and dropped = 0 then 'discard_empty' end, case when dropped = 0 and filled and page % 2 = 0 and num then 'page_number_in_keep' end], lambda x: x is not null), ',') as reasons, n as keep_chars from (select *, case when filled then length(t) else 0 end as n, regexp_matches(trim(t), '(?i)^(#{1,6}\\s*)?(page\\s*[0-9]+(\\s*(of|/)\\s*[0-9]+)?|[0-9]+\\s*/\\s*[0-9]+|[0-9]{1,4})$') as num from (select doc, page, page + case when doc % 5 = 0 then 1 else 0 end as wanted, doc % 4 % 2 as dropped, doc % 7 <> 0 as filled, case when page % 3 = 0 then 'Page ' || page else text end as t from page_text))")),
+    "x22_md_validate": (x22_md_validate, with_tables("page_text", "select doc, page, case when t = '' then 'empty' else array_to_string(list_filter([case when length(t) < 24 then 'too_short' end, case when len(regexp_extract_all(t, '```')) % 2 <> 0 then 'unbalanced_fences' end, case when len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '' and not regexp_matches(trim(x), '(?i)^(#{1,6}\\s*)?(page\\s*[0-9]+(\\s*(of|/)\\s*[0-9]+)?|[0-9]+\\s*/\\s*[0-9]+|-+)$'))) = 0 then 'chrome_only' end], lambda x: x is not null), ',') end as reasons from (select doc, page, trim(case page % 4 when 0 then '# Page ' || page || chr(10) || '---' when 1 then '```' || chr(10) || text when 2 then '' else text end, ' ' || chr(10) || chr(9) || chr(13)) as t from page_text)")),
     "x23_compile": (x23_compile, None),
     "x23_tables": (x23_tables, "select n_regionkey::bigint as region, '| name | key | none |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_name || '\\|x | ' || n_nationkey || ' |  |', chr(10) order by n_name || '|x') as md from nation group by 1"),
     "a19_progress": (a19_progress, with_tables("progress", "select doc, count(*) as pages, count(*) filter (status = 'done') as done, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'pending') as pending, least(99, count(*) filter (status = 'done') * 100 // count(*))::bigint as percent from progress group by 1")),
@@ -297,7 +297,7 @@ QUERIES = {
     "a21_page_list": (a21_page_list, with_tables("page_text", "select doc, count(*) as pages, sum(case when page % 2 = 0 then length(text) else 0 end)::bigint as chars, sum(case when page % 3 = 0 then 1 else 0 end)::bigint as figures from page_text where page % 2 = 0 or page % 3 = 0 group by 1")),
     "a22_kinds": (a22_kinds, with_tables("line", "select doc, page, string_agg(k || ':' || n, ' ' order by k) as kinds from (select doc, page, k, count(*) as n from block group by 1, 2, 3) group by 1, 2", BLOCK)),
     "a23_plan": (a23_plan, with_tables("progress", "select doc, digest, n - digest as skip, least(4, greatest(digest, 1))::bigint as concurrency from (select doc, count(*) as n, case when count(*) filter (status <> 'pending') = 0 then count(*) else count(*) filter (status <> 'pending') end as digest from progress group by 1)")),
-    "x26_boxes": (x26_boxes, None),
+    "x26_boxes": (x26_boxes, "with li as (select distinct l_orderkey::bigint as o, l_linenumber::bigint as n, l_quantity::double as q from lineitem), b as (select *, q / 50 / k as x, q / 60 / k as y, (n + 1) / 10 / k as w, n / 20 / k as h from (select *, case o % 3 when 0 then 100.0::double when 1 then 1.0::double else 0.02::double end as k from li)), f as (select o, n, q, x / sx as x, y / sy as y, w / sx as w, h / sy as h from (select *, case when greatest(x + w, y + h) <= 1.5 then 1.0::double when greatest(x + w, y + h) <= 1000 then 1000.0::double else 800.0::double end as sx, case when greatest(x + w, y + h) <= 1.5 then 1.0::double when greatest(x + w, y + h) <= 1000 then 1000.0::double else 1200.0::double end as sy from b)), c as (select *, greatest(0, least(1, x)) as cx, greatest(0, least(1, y)) as cy, w between 0.03 and 1.5 and h between 0.03 and 1.5 as ok from f) select o, n, q, case when ok then round(cx, 6) end as x, case when ok then round(cy, 6) end as y, case when ok then round(least(w, 1 - cx), 6) end as w, case when ok then round(least(h, 1 - cy), 6) end as h from c"),
     "x30_page_classes": (x30_page_classes, with_tables("event", "select event_id, case when 230 + event_id % 25 > 245 and event_id % 23 < 8 then 'blank' when 230 + event_id % 25 > 235 and event_id % 23 < 18 then 'sparse' else 'content' end as \"class\" from event")),
     "x31_backoff": (x31_backoff, "select n_nationkey::bigint as attempt, least(60000.0, 500 * pow(2.0, n_nationkey))::bigint as ms from nation"),
     "x36_names": (x36_names, "select distinct o_orderkey::bigint as n, 'page-' || case when length(o_orderkey::varchar) < 3 then lpad(o_orderkey::varchar, 3, '0') else o_orderkey::varchar end || '.md' as name from orders"),

@@ -255,8 +255,8 @@ QUERIES = {
     "x18_block_roles": (x18_block_roles, None),
     "x24_hints": (x24_hints, "select p_partkey::bigint as pos, case when p_partkey % 2 = 0 and lower(p_brand) = 'brand#11' then 4 when p_partkey % 2 = 0 and lower(p_brand) = 'brand#12' then 5 else 2 end::bigint as lvl from part"),
     "x25_titles": (x25_titles, "select n_nationkey::bigint as id, '# ' || n_name || case when n_nationkey % 2 = 0 then chr(10) || 'x' else chr(10) || chr(10) || 'x' end as md from nation"),
-    "x27_photos": (x27_photos, None),
-    "x28_useful_figures": (x28_useful_figures, None),
+    "x27_photos": (x27_photos, f"select id, regexp_matches(lower(t), '{structure.PHOTO}') as photo, round(case when h * 600 < 8 then w when w <= target * 1.02 then least(w, target) else greatest(0.03, target) end, 6) as width from (select *, greatest(0.0::double, least(1.0::double, h * 600 * 0.92 / 800)) as target from (select p_partkey::bigint as id, p_name || case when p_partkey % 5 = 0 then ' Portrait' else '' end as t, (p_partkey % 10 + 1) / 20 as w, (p_partkey % 7 + 1) / 20 as h from part))"),
+    "x28_useful_figures": (x28_useful_figures, "with b as (select distinct o_custkey % 20 as doc, o_orderkey::bigint as pos, case when o_orderkey % 2 = 0 then 'figure' else 'paragraph' end as k, o_orderkey % 9 as f from orders) select doc, pos, k from b where not (k = 'figure' and doc % 3 = 0 and f = doc % 9)"),
     "u03_answers": (u03_answers, "select p_partkey::bigint as pos, case when p_partkey % 2 = 0 then case when lower(p_brand) = 'brand#11' then 'heading' else 'ol_item' end else 'paragraph' end as role from part"),
     "p01_admission": (p01_admission, "select distinct id, case when id % 3 <> 0 then 'c' end as candidate, case when id % 2 = 0 then 'v' end as version, members, case when (id % 3 = 0) = (id % 2 <> 0) then 'invalid' when s = 'P' or members not between 1 and 40 then 'not_admissible' when id % 4 * members > 60 then 'over_budget' else 'admitted' end as outcome from (select o_orderkey::bigint as id, o_orderstatus as s, (o_custkey % 50)::bigint as members from orders)"),
     "p02_flow_outputs": (p02_flow_outputs, f"""select doc_id, s as step, sha256(case s when 2 then a else text end) as input_digest, sha256('{{"text":"' || {_d.ESCAPED.format('case s when 0 then text when 1 then a else b end')} || '"}}') as output_digest, octet_length(encode(case s when 0 then text when 1 then a else b end))::bigint as bytes from (select *, lower(a) as b from (select doc_id, text, {_d.STRIP.format('text')} as a from documents)), range(0, 3) r(s)"""),
