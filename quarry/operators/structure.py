@@ -214,3 +214,62 @@ def page_notes(page_comments: Column, figure_notes: Column, document_comments: C
     """All notes of a page in order, joined: its comments, its figures', the document's, and the prompt."""
     given = F.when(tx.trim(prompt) != "", F.array(tx.trim(prompt))).otherwise(F.array().cast("array<string>"))
     return F.array_join(F.concat(page_comments, figure_notes, document_comments, given), " · ")
+
+
+def list_markdown(items: Column, ordered: Column) -> Column:
+    """A list's items as Markdown, what an item holds below its first line indented under it; a list most of whose items are numbered is ordered."""
+    numbered = F.size(F.filter(items, lambda x: tx.trim(x).rlike(r"^[0-9]+[.)]\s+\S")))
+    as_numbers = F.coalesce(ordered, F.lit(False)) | ((F.size(items) >= 2) & (numbered >= F.ceil(F.size(items) * 0.6)))
+
+    def lines(item: Column, i: Column) -> Column:
+        parts = embedded_lines(item)
+        head = F.when(as_numbers, tx.without_number(parts[0])).otherwise(F.regexp_replace(parts[0], r"^[-*•]\s+", ""))
+        mark = F.when(as_numbers, F.concat((i + 1).cast("string"), F.lit("."))).otherwise("-")
+        below = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.concat(F.when(as_numbers, "   - ").otherwise("  - "), x))
+        whole = F.concat(F.array(tx.trim_end(F.concat_ws(" ", mark, head))), below)
+        return F.when((F.size(parts) == 1) & (parts[0] == ""), F.array().cast("array<string>")).otherwise(whole)
+
+    return F.array_join(F.flatten(F.transform(items, lines)), "\n")
+
+
+def keep_markdown() -> Column:
+    """Markdown of a block (k, t, lvl, tone, ordered, items, headers, rows, caption, artifact, src, display, lang)."""
+    from quarry.operators.pages import block_markdown, table_markdown
+
+    t, has = tx.trim(F.col("t")), lambda c: tx.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    alt = tx.trim(F.coalesce("caption", "t"))
+    alt = F.when(alt == "", "Figure").otherwise(alt)
+    shown = F.when(has("artifact"), F.concat(F.lit("!["), alt, F.lit("]("), tx.trim(F.col("artifact")), F.lit(")"))).otherwise(F.concat(F.lit("*[Missing figure: "), alt, F.lit("]*")))
+    below = F.when(has("caption"), tx.trim(F.col("caption"))).when((t != "") & has("artifact"), t)
+    figure = F.concat_ws("\n\n", shown, F.concat(F.lit("*"), below, F.lit("*")))
+    k = F.col("k")
+    return (
+        F.when((k == "list") & (F.size("items") > 0), list_markdown(F.col("items"), F.col("ordered")))
+        .when((k == "table") & (F.size("headers") > 0) & F.col("rows").isNotNull(), table_markdown(F.col("headers"), F.col("rows")))
+        .when(k == "figure", figure)
+        .when(k == "mermaid", F.concat(F.lit("```mermaid\n"), tx.trim(F.col("src")), F.lit("\n```")))
+        .when((k == "math") & F.coalesce("display", F.lit(False)), F.concat(F.lit("$$\n"), t, F.lit("\n$$")))
+        .when(k == "code", F.concat(F.lit("```"), F.coalesce("lang", F.lit("")), F.lit("\n"), tx.trim_end(F.col("t")), F.lit("\n```")))
+        .otherwise(block_markdown(k, F.col("t"), F.col("lvl"), F.col("tone")))
+    )
+
+
+def assemble(lines: DataFrame, sections: DataFrame, hints: DataFrame, titles: DataFrame) -> DataFrame:
+    """doc and markdown of pages of lines (doc, page, pos, text, at_start, at_end, chrome): edges without chrome, roles, list runs, levels under the sections (doc, page, section), repeated headings dropped, blocks, hints (title, level), Markdown, and the document's title (titles: doc, title)."""
+    from quarry.operators import pages
+
+    kept = pages.strip_edges(lines).withColumn("best", tx.best_role(tx.line_roles(F.col("text"))))
+    roled = pages.list_runs(kept.select("doc", "page", "pos", "text", F.col("best.role").alias("role")))
+    depth = sections.select("doc", "page", F.size("section").alias("depth"))
+    level = kept.select("doc", "page", "pos", F.coalesce("best.level", F.lit(2)).alias("lvl"))
+    heads = pages.heading_levels(roled.join(level, ["doc", "page", "pos"]).join(depth, ["doc", "page"], "left").withColumn("depth", F.coalesce("depth", F.lit(0))))
+    fixed = pages.fix_headings(heads.select("doc", "page", "pos", "text", "level")).select("doc", "page", "pos", "level")
+    # A heading that repeats the one before it has no level any more and goes with the chrome.
+    ready = roled.join(fixed, ["doc", "page", "pos"], "left").withColumn("role", F.when((F.col("role") == "heading") & F.col("level").isNull(), "chrome").otherwise(F.col("role")))
+    blocks = apply_hints(materialise(ready, sections), hints)
+    none = {c: F.lit(None).cast(t) for c, t in {"tone": "string", "headers": "array<string>", "rows": "array<array<string>>", "caption": "string", "artifact": "string", "src": "string", "display": "boolean", "lang": "string"}.items()}
+    full = blocks.withColumns(none)
+    parts = full.select("doc", F.struct("page", "seq", keep_markdown().alias("md")).alias("b")).filter("b.md <> ''")
+    docs = parts.groupBy("doc").agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["md"]), "\n\n"), F.lit("\n")).alias("markdown"))
+    named = docs.join(titles.select(F.col("doc").alias("__d"), "title"), F.col("doc") == F.col("__d"), "left")
+    return named.select("doc", titled(F.col("markdown"), F.col("title")).alias("markdown"))

@@ -250,6 +250,41 @@ def test_imports(spark, tmp_path):
     assert values(objects.import_reviews(spark, str(tmp_path / "out")), "run_id", "updated_at") == [("r1", "now")]
 
 
+def test_block_markdown(spark):
+    blank = {"k": "paragraph", "t": "", "lvl": 1, "tone": None, "ordered": None, "items": [], "headers": None, "rows": None, "caption": None, "artifact": None, "src": None, "display": None, "lang": None}
+    cases = [
+        ({"k": "list", "items": ["one", "* two\n- in", "", "4. x"]}, "- one\n- two\n  - in\n- 4. x"),
+        ({"k": "list", "items": ["1) a", "b", "7. c"], "ordered": None}, "1. a\n2. b\n3. c"),
+        ({"k": "list", "items": ["a • b • c"], "ordered": True}, "1. a\n   - b\n   - c"),
+        ({"k": "figure", "t": "text", "artifact": " a.png "}, "![text](a.png)\n\n*text*"),
+        ({"k": "figure", "t": " ", "caption": None}, "*[Missing figure: Figure]*"),
+        ({"k": "figure", "t": "t", "caption": "cap"}, "*[Missing figure: cap]*\n\n*cap*"),
+        ({"k": "math", "t": "x", "display": True}, "$$\nx\n$$"),
+        ({"k": "math", "t": "x"}, "$x$"),
+        ({"k": "code", "t": "y = 1  ", "lang": "py"}, "```py\ny = 1\n```"),
+        ({"k": "mermaid", "src": " graph TD "}, "```mermaid\ngraph TD\n```"),
+        ({"k": "table", "headers": ["a", "b"], "rows": [["1|2"]]}, "| a | b |\n| --- | --- |\n| 1\\|2 |  |"),
+        ({"k": "heading", "t": " H ", "lvl": 3}, "### H"),
+    ]
+    schema = "i long, k string, t string, lvl int, tone string, ordered boolean, items array<string>, headers array<string>, rows array<array<string>>, caption string, artifact string, src string, display boolean, lang string"
+    df = spark.createDataFrame([(i, *(blank | c).values()) for i, (c, _) in enumerate(cases)], schema)
+    out = dict(values(df.select("i", structure.keep_markdown().alias("md"))))
+    assert [out[i] for i in range(len(cases))] == [md for _, md in cases]
+
+
+def test_assemble(spark):
+    texts = {1: ["RUNNING HEAD", "Why It Works:", "a. First thing", "b. Second thing", "this is a plain line of text that goes on for a while and ends.", "9"], 2: ["RUNNING HEAD", "Why It Works", "- dot", "Why It Works"]}
+    rows = [(1, p, p * 10 + i, t, i == 0, i == len(ts) - 1, t in ("RUNNING HEAD", "9")) for p, ts in texts.items() for i, t in enumerate(ts)]
+    lines = spark.createDataFrame(rows, "doc long, page long, pos long, text string, at_start boolean, at_end boolean, chrome boolean")
+    sections = spark.createDataFrame([(1, 1, ["Book"]), (1, 2, ["Book", "Deep"])], "doc long, page long, section array<string>")
+    hints = spark.createDataFrame([("deep", 5)], "title string, level long")
+    titles = spark.createDataFrame([(1, "My Title")], "doc long, title string")
+    md = structure.assemble(lines, sections, hints, titles).first()["markdown"]
+    assert md.split("\n\n")[:2] == ["# My Title", "# Book"]
+    assert "1. First thing\n2. Second thing" in md and "##### Deep" in md and "- dot" in md
+    assert "RUNNING" not in md and "\n9" not in md and md.endswith("\n")
+
+
 def test_ascii_json(spark):
     text = 'ü "q" \\ \n\x01 \U0001f600 ~'
     assert one(spark, canonical.quoted_ascii, text) == json.dumps(text)
