@@ -17,10 +17,11 @@ and determinising goes on from the state at hand.
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
 from struct import pack, unpack
 
-MAX_STATES = 60_000
+MAX_STATES = 120_000
 MAX_PAIRS = 200_000
 MAX_WORDS = 150_000
 
@@ -141,15 +142,17 @@ class Transducer:
             nodes_on.append(0)
             outs_on.append(closed)
         emitted = outs_on[0]
-        for out in outs_on:
-            while emitted and out[: len(emitted)] != emitted:
-                emitted = emitted[:-1]
-            if not emitted:
-                break
         if emitted:
-            last = emitted[-1]
-            outs_on = [out[len(emitted) :] for out in outs_on]
-        key = (last, tuple(nodes_on), tuple(outs_on))
+            for out in outs_on:
+                while out[: len(emitted)] != emitted:
+                    emitted = emitted[:-1]
+                if not emitted:
+                    break
+            else:
+                last, n = emitted[-1], len(emitted)
+                outs_on = [out[n:] for out in outs_on]
+        # Where all have tokens pending, what was emitted before doesn't matter any more.
+        key = (last if () in outs_on else -2, tuple(nodes_on), tuple(outs_on))
         if len(self.states) >= MAX_STATES and key not in self.ids:
             self.clear()
             state = -1  # the state that asked is gone, and its transition with it
@@ -206,12 +209,14 @@ class Encoder:
         distinct = set().union(*found)
         if len(self.words) > MAX_WORDS:
             self.words, self.older = {}, self.words
+        gc.disable()  # states hold no cycles, and there are many of them to look through
         for w in sorted(distinct - self.words.keys()):  # in order, for words that begin alike share states
             packed = self.older.get(w)
             if packed is None:
                 ids = self.machine.encode(w.encode("utf-8"))
                 packed = pack(f"{len(ids)}i", *ids)
             self.words[w] = packed
+        gc.enable()
 
     def encode_all(self, texts: list[str], most: int = 1 << 20) -> Iterator[bytes]:
         """Packed ids of each text; pre-tokens of about ``most`` characters of text are held at a time."""

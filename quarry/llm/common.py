@@ -29,6 +29,12 @@ def stage_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ``stage_folder`` once nothing reads it any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: What a Python worker keeps between tasks of one operator: a model or vocabulary by its key.
 _kept: dict[tuple, object] = {}
 
@@ -60,7 +66,10 @@ def _forgetful(fn):
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: bool = False) -> DataFrame:
-    """``mapInArrow`` with batches bounded in rows and bytes; ``keeps``: the function uses ``once``."""
+    """``mapInArrow`` with batches bounded in rows and bytes; ``keeps``: the function uses ``once``.
+
+    The bounds are session settings that Spark reads when the plan runs, so they stay set.
+    """
     fn = fn if keeps else _forgetful(fn)
     # Python workers of this machine find the package where the driver found it; a cluster is given it by --py-files.
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))

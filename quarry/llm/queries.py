@@ -10,23 +10,27 @@ from quarry.llm.common import crc_mod, pick, table
 
 
 def op1_bpe(spark, sf_dir):
+    """Every whole text encoded and decoded again, as digests; a null text is empty."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     done = tokens.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_decontaminate(spark, sf_dir):
+    """Words of every whole text that stand in windows of the benchmark; null texts have no words."""
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"], cleaned=False)
     hit = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s[1] - s[0]).cast("long")
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def op3_sharding(spark, sf_dir):
+    """Every document in one of 24 shards of a bounded ring, counts at most one apart."""
     dealt = sharding.shard(table(spark, sf_dir, "documents"))
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_quality(spark, sf_dir):
+    """The score of every whole text by the line model, learned from labels that aren't held out; null and empty texts are scored as one empty line."""
     docs = pick(table(spark, sf_dir, "documents"), ["doc_id", "text"])
     labels = pick(table(spark, sf_dir, "labels"), ["doc_id", "quality"])
     model = quality.fit(docs, labels, crc_mod(F.col("doc_id"), 3) != 1)
@@ -35,11 +39,13 @@ def op4_quality(spark, sf_dir):
 
 
 def op5_suffix_dedup(spark, sf_dir):
+    """Bytes of every whole text without the 50-byte strings that a document of smaller id has; null texts are empty."""
     left = repeats.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_token_counts(spark, sf_dir):
+    """Tokens of every whole text by the library's rules; null texts have none."""
     docs = pick(table(spark, sf_dir, "documents"), ["doc_id", "text"])
     docs = docs.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
     counted = tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, keep=["doc_id", "n_bytes"])
@@ -47,6 +53,7 @@ def op6_token_counts(spark, sf_dir):
 
 
 def op7_language_id(spark, sf_dir):
+    """The language of every whole text, learned from rows that aren't held out; `und` without a letter."""
     docs = pick(table(spark, sf_dir, "documents"), ["doc_id", "text", "lang"])
     model = langid.fit(docs, crc_mod(F.col("doc_id"), 5) != 0)
     found = langid.predict(docs, model, keep=["doc_id"])
@@ -54,15 +61,18 @@ def op7_language_id(spark, sf_dir):
 
 
 def op8_quality_rules(spark, sf_dir):
+    """Measures of every whole text and the verdict on common lines; null texts have no words and fail."""
     return rules.judge_lines(table(spark, sf_dir, "documents"))
 
 
 def op9_minhash(spark, sf_dir):
+    """The component of every document by four-word shingles; documents without words are alone."""
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def op10_url_filter(spark, sf_dir):
+    """Host, path, rule and verdict of every page's url; null urls are allowed."""
     return urls.judge(table(spark, sf_dir, "pages"), keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
 
 
