@@ -83,3 +83,64 @@ def test_benchmark_blocks_agree(spark, benchmark):
     one, many = ({r["doc_id"]: (r["n_words"], r["spans"], r["items"], r["cleaned"]) for r in decontaminate.decontaminate(df, benchmark, block_bytes=b).collect()} for b in (1, 1 << 20))
     assert one == many
     assert one[5][2] == ["b1"] and one[7][2] == [""]
+
+
+def pairs(df, *columns):
+    """The values of the first column and of ``columns`` (by place), as sorted text."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    at = [0, *(df.columns.index(c) for c in columns)]
+    return sorted(str(tuple(r)) for r in df.toDF(*names).select(*[names[i] for i in at]).collect())
+
+
+def test_values_on_odd_input(spark):
+    """What null ids and texts, empty and long texts and repeated rows come to, beside columns with clashing names."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    base = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
+    docs = base.select("*", *[F.expr(v).alias(f"x{i}") for i, v in enumerate(EXTRA.values())]).toDF(*base.columns, *EXTRA)
+    texts = [(k, t or "") for k, t in ROWS]
+    want = lambda fn: sorted(str((k, *fn(t))) for k, t in texts)
+    both = tokens.round_trip(docs, RANKS, public_tokenizers.PATTERN)
+    assert pairs(both, "decoded") == want(lambda t: (t,))
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    counted = tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    assert pairs(counted, "n_tokens") == want(lambda t: (len(lib.encode(t, add_special_tokens=False).ids),))
+    dealt = sharding.shard(docs)
+    assert pairs(dealt, "size", "text_crc32") == want(lambda t: (len(t.encode()) + 8, zlib.crc32(t.encode())))
+    assert pairs(urls.judge(docs, url="text", keep=["doc_id"]), "host", "path", "rule", "verdict") == want(lambda t: ("", "", None, "allow"))
+    measured = rules.judge_lines(docs)
+    assert pairs(measured, "n_words", "n_dup_lines") == want(lambda t: (len(t.split()), 0))
+    assert pairs(quality.score(docs, None), "score") == want(lambda t: (0.5,))
+    assert pairs(langid.predict(docs, ([], None)), "lang_pred", "score") == want(lambda t: ("und", 0.0))
+    # Of the equal texts 5, 5, 6 only 6 goes; the long text repeats itself, which alone removes nothing.
+    left = repeats.remove_repeats(docs)
+    assert pairs(left, "n_removed") == sorted(str((k, len(t) if k == 6 else 0)) for k, t in texts)
+
+
+def test_models_from_odd_labels(spark):
+    """Null ids, null and foreign labels, two labels for one id, labels without a document and clashing columns teach what clean labels teach."""
+    good, bad = "A plain sentence stands here.\nAnd another one, quite calm.", "!!! $$$ ### ||||\n@@@ 0000 %%%%"
+    rows = [(i, (good if i % 2 else bad) + f"\nline {i}") for i in range(20)]
+    docs = spark.createDataFrame([*rows, rows[3], (None, good), (50, None)], "doc_id long, text string").select("*", F.lit("clash").alias("x")).toDF("doc_id", "text", "TEXT")
+    clean = spark.createDataFrame([(i, i % 2) for i in range(18)], "doc_id long, quality int")
+    labels = spark.createDataFrame([*[(i, i % 2) for i in range(18)], (4, 1), (None, 1), (18, None), (19, 7), (99, 1)], "doc_id long, quality int")
+    odd = labels.select("*", F.lit(0).alias("x"), F.lit(1).alias("k")).toDF("doc_id", "quality", "Quality", "k")
+    everything = F.lit(True)
+    one, two = quality.fit(docs, clean, everything), quality.fit(docs, odd, everything)
+    assert all(abs(a - b).max() < 1e-6 for a, b in zip(one[:2], two[:2], strict=True)) and abs(one[2] - two[2]) < 1e-6
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, two, keep=["doc_id"]).collect()}
+    assert scores[19] > 0.5 > scores[18] and 0 <= scores[50] <= 1
+    assert quality.fit(docs, labels.filter("quality = 1"), everything) is None and quality.fit(docs, odd.filter("doc_id < 0"), everything) is None
+    assert quality.fit(docs, clean, everything, max_lines=3) is None  # one document of three lines has labels of one kind
+
+
+def test_benchmark_with_odd_columns(spark, benchmark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    plain = decontaminate.decontaminate(df, benchmark, keep=["doc_id"])
+    twice = benchmark.unionByName(benchmark)
+    clashing = twice.select(F.lit("x").alias("a"), "text", F.lit("y").alias("b"), "item_id", F.lit(1).alias("c")).toDF("ITEM_ID", "text", "Text", "item_id", "a.b")
+    assert pairs(decontaminate.decontaminate(df, clashing, keep=["doc_id"]), "n_words", "spans", "items", "cleaned") == pairs(plain, "n_words", "spans", "items", "cleaned")
+    none = decontaminate.decontaminate(df, benchmark.limit(0), keep=["doc_id"])
+    assert none.filter("size(spans) > 0").isEmpty() and none.count() == len(ROWS)
