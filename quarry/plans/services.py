@@ -15,19 +15,24 @@ from quarry.sources.fixtures import with_tables
 
 
 def toc(spark, d):
+    """Regions and their nations as the contents of twenty documents, printed one page later in each."""
     n, r = fx.table(spark, d, "nation"), fx.table(spark, d, "region")
-    top = r.select(F.lit(1).cast("long").alias("doc"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"), F.concat(F.col("r_regionkey").cast("string"), F.lit(". "), "r_name").alias("title"), F.col("r_regionkey").cast("long").alias("printed"))
-    sub = n.select(F.lit(1).cast("long").alias("doc"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.col("n_name").alias("title"), (F.col("n_nationkey") + 10).cast("long").alias("printed"))
-    return top.unionByName(sub)
+    top = r.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"), F.concat(F.col("r_regionkey").cast("string"), F.lit(". "), "r_name").alias("title"), F.col("r_regionkey").cast("long").alias("at"))
+    sub = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.col("n_name").alias("title"), (F.col("n_nationkey") + 10).cast("long").alias("at"))
+    every = F.explode(F.sequence(F.lit(1), F.lit(20)).cast("array<bigint>")).alias("doc")
+    return top.unionByName(sub).select(every, "id", "parent", "title", "at").withColumn("printed", F.col("at") + F.col("doc")).drop("at")
 
 
 def w16_toc_paths(spark, d):
-    return structure.flatten_toc(toc(spark, d)).select("id", F.array_join("path", " > ").alias("path"), "printed")
+    return structure.flatten_toc(toc(spark, d)).select("doc", "id", F.array_join("path", " > ").alias("path"), "printed")
 
 
 def w16_page_paths(spark, d):
-    pages = spark.range(1, 45).select(F.lit(1).cast("long").alias("doc"), F.col("id").alias("page"), F.lit("").alias("heading"), F.lit(2).cast("long").alias("offset"))
-    return structure.paths_from_toc(pages, structure.flatten_toc(toc(spark, d))).select("page", F.array_join("path", " > ").alias("path"))
+    """Pages of the twenty documents: by printed number, and beyond the contents by a heading."""
+    names = fx.table(spark, d, "nation").select((F.col("n_nationkey") + 200).cast("long").alias("page"), F.concat(F.lit("9. "), F.lower("n_name"), F.lit(" !")).alias("heading"))
+    pages = spark.range(1, 65).select(F.col("id").alias("page"), F.lit("").alias("heading")).unionByName(names)
+    pages = pages.select(F.explode(F.sequence(F.lit(1), F.lit(20)).cast("array<bigint>")).alias("doc"), "page", "heading", F.lit(2).cast("long").alias("offset"))
+    return structure.paths_from_toc(pages, structure.flatten_toc(toc(spark, d))).select("doc", "page", F.array_join("path", " > ").alias("path"))
 
 
 def text_lines(spark, d):
@@ -61,15 +66,18 @@ def x18_block_roles(spark, d):
 
 
 def x24_hints(spark, d):
-    blocks = fx.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("pos"), F.when(F.col("p_partkey") % 2 == 0, "heading").otherwise("paragraph").alias("k"), F.col("p_brand").alias("t"), F.lit(2).cast("long").alias("lvl"))
-    hints = spark.createDataFrame([("Brand#11", 4), ("3. brand#12", 5)], "title string, level long")
+    """Parts as blocks; every brand but those that end in 5 has a hint."""
+    parts = fx.table(spark, d, "part")
+    blocks = parts.select(F.col("p_partkey").cast("long").alias("pos"), F.when(F.col("p_partkey") % 2 == 0, "heading").otherwise("paragraph").alias("k"), F.col("p_brand").alias("t"), F.lit(2).cast("long").alias("lvl"))
+    last = F.substring("p_brand", -1, 1).cast("long")
+    hints = parts.select("p_brand").distinct().filter(last != 5).select(F.concat(F.lit("3. "), F.lower("p_brand")).alias("title"), (last + 1).alias("level"))
     return structure.apply_hints(blocks, hints).select("pos", "lvl")
 
 
 def x25_titles(spark, d):
-    p = fx.table(spark, d, "nation")
-    md = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("# "), "n_name", F.lit("\nx"))).otherwise(F.lit("x"))
-    return p.select(F.col("n_nationkey").cast("long").alias("id"), structure.titled(md, F.col("n_name")).alias("md"))
+    docs = fx.table(spark, d, "documents")
+    md = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# "), "source", F.lit("\n"), "text")).otherwise(F.col("text"))
+    return docs.select("doc_id", F.sha2(structure.titled(md, F.when(F.col("doc_id") % 3 != 0, F.col("source"))), 256).alias("sha256"))
 
 
 def x27_photos(spark, d):
@@ -84,8 +92,11 @@ def x28_useful_figures(spark, d):
 
 
 def u03_answers(spark, d):
-    c = fx.table(spark, d, "part").select(F.lit(1).cast("long").alias("doc"), F.col("p_partkey").cast("long").alias("pos"), F.col("p_brand").alias("text"), F.lit("paragraph").alias("role"), (F.col("p_partkey") % 2 == 0).alias("uncertain"))
-    a = spark.createDataFrame([(1, "Brand#11", "heading"), (1, "brand", "ol_item")], "doc long, text string, role string")
+    """Parts as lines of fifty documents, each with two answers."""
+    doc = (F.col("p_partkey") % 50).cast("long")
+    c = fx.table(spark, d, "part").select(doc.alias("doc"), F.col("p_partkey").cast("long").alias("pos"), F.col("p_brand").alias("text"), F.lit("paragraph").alias("role"), (F.col("p_partkey") % 2 == 0).alias("uncertain"))
+    two = F.array(F.struct(F.concat(F.lit("Brand#1"), (F.col("id") % 5 + 1).cast("string")).alias("text"), F.lit("heading").alias("role")), F.struct(F.lit("brand").alias("text"), F.lit("ol_item").alias("role")))
+    a = spark.range(50).select(F.col("id").alias("doc"), F.inline(two))
     return structure.override_uncertain(c, a).select("pos", "role")
 
 
@@ -139,13 +150,13 @@ def x38_validators(spark, d):
 
 
 def x39_retry_after(spark, d):
-    n = fx.table(spark, d, "nation")
+    n = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("n_nationkey")).distinct()
     v = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.col("n_nationkey").cast("string"), F.lit(".5"))).when(F.col("n_nationkey") % 3 == 1, F.lit("soon")).otherwise(F.lit("-1"))
     return n.select(F.col("n_nationkey").cast("long").alias("id"), flows.retry_after_ms(v).alias("ms"))
 
 
 def x32_modes(spark, d):
-    n = fx.table(spark, d, "nation")
+    n = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("n_nationkey")).distinct()
     raw = F.element_at(F.array(*map(F.lit, (" OFF", "0", "false", "Force ", "auto", "x"))), (F.col("n_nationkey") % 6 + 1).cast("int"))
     t = tx.trim(F.lower(raw))
     return n.select(F.col("n_nationkey").cast("long").alias("id"), F.when(t.isin("off", "0", "false"), "off").when(t == "force", "force").otherwise("auto").alias("mode"))
@@ -247,17 +258,17 @@ from quarry.plans import log as _g  # noqa: E402
 
 _M = lambda body: with_tables(_d.NEEDED, body, _d.MEMBERS)
 QUERIES = {
-    "w16_toc_paths": (w16_toc_paths, "select 'r' || r_regionkey as id, r_name as path, r_regionkey::bigint as printed from region union all select 'n' || n_nationkey, r_name || ' > ' || n_name, n_nationkey + 10 from nation join region on n_regionkey = r_regionkey"),
-    "w16_page_paths": (w16_page_paths, "select p.page, coalesce(n.path, r.r_name, '') as path from range(1, 45) p(page) left join (select n_nationkey + 12 as page, r_name || ' > ' || n_name as path from nation join region on n_regionkey = r_regionkey) n on n.page = p.page left join region r on r.r_regionkey + 2 = p.page"),
+    "w16_toc_paths": (w16_toc_paths, "select doc, id, path, n + doc as printed from (select 'r' || r_regionkey as id, r_name as path, r_regionkey::bigint as n from region union all select 'n' || n_nationkey, r_name || ' > ' || n_name, n_nationkey + 10 from nation join region on n_regionkey = r_regionkey), range(1, 21) d(doc)"),
+    "w16_page_paths": (w16_page_paths, "with flat as (select r_name as title, r_name as path, 1 as n, r_regionkey::bigint as at from region union all select n_name, r_name || ' > ' || n_name, 2, n_nationkey + 10 from nation join region on n_regionkey = r_regionkey), p as (select page, '' as heading from range(1, 65) t(page) union all select n_nationkey + 200, lower(n_name) from nation) select d.doc, p.page, coalesce((select arg_max(path, row(case when f.at + d.doc + 2 = p.page then 2 else 1 end, n, replace(path, ' > ', chr(10)))) from flat f where f.at + d.doc + 2 = p.page or (p.heading <> '' and (contains(lower(f.title), p.heading) or contains(p.heading, lower(f.title))))), '') as path from p, range(1, 21) d(doc)"),
     "w19_line_blocks": (w19_line_blocks, None),
     "w20_numbered_groups": (w20_numbered_groups, None),
     "w25_rebase": (w25_rebase, with_tables("line", "select doc, pos, case when doc % 4 > 0 then least(6, least(6, doc % 4 + 1) + pos % 4 + 1 - min(pos % 4 + 1) over (partition by doc, pos // 10)) else pos % 4 + 1 end::bigint as level from line")),
     "x18_block_roles": (x18_block_roles, None),
-    "x24_hints": (x24_hints, "select p_partkey::bigint as pos, case when p_partkey % 2 = 0 and lower(p_brand) = 'brand#11' then 4 when p_partkey % 2 = 0 and lower(p_brand) = 'brand#12' then 5 else 2 end::bigint as lvl from part"),
-    "x25_titles": (x25_titles, "select n_nationkey::bigint as id, '# ' || n_name || case when n_nationkey % 2 = 0 then chr(10) || 'x' else chr(10) || chr(10) || 'x' end as md from nation"),
+    "x24_hints": (x24_hints, "select p_partkey::bigint as pos, case when p_partkey % 2 = 0 and right(p_brand, 1) <> '5' then cast(right(p_brand, 1) as bigint) + 1 else 2 end as lvl from part"),
+    "x25_titles": (x25_titles, "select doc_id, sha256(case when doc_id % 3 = 0 then md when starts_with(md, '# ' || source) then md else '# ' || source || chr(10) || chr(10) || md end) as sha256 from (select *, case when doc_id % 2 = 0 then '# ' || source || chr(10) || text else text end as md from documents)"),
     "x27_photos": (x27_photos, f"select id, regexp_matches(lower(t), '{structure.PHOTO}') as photo, round(case when h * 600 < 8 then w when w <= target * 1.02 then least(w, target) else greatest(0.03, target) end, 6) as width from (select *, greatest(0.0::double, least(1.0::double, h * 600 * 0.92 / 800)) as target from (select p_partkey::bigint as id, p_name || case when p_partkey % 5 = 0 then ' Portrait' else '' end as t, (p_partkey % 10 + 1) / 20 as w, (p_partkey % 7 + 1) / 20 as h from part))"),
     "x28_useful_figures": (x28_useful_figures, "with b as (select distinct o_custkey % 20 as doc, o_orderkey::bigint as pos, case when o_orderkey % 2 = 0 then 'figure' else 'paragraph' end as k, o_orderkey % 9 as f from orders) select doc, pos, k from b where not (k = 'figure' and doc % 3 = 0 and f = doc % 9)"),
-    "u03_answers": (u03_answers, "select p_partkey::bigint as pos, case when p_partkey % 2 = 0 then case when lower(p_brand) = 'brand#11' then 'heading' else 'ol_item' end else 'paragraph' end as role from part"),
+    "u03_answers": (u03_answers, "select p_partkey::bigint as pos, case when p_partkey % 2 = 0 then case when lower(p_brand) = 'brand#1' || (p_partkey % 50 % 5 + 1) then 'heading' else 'ol_item' end else 'paragraph' end as role from part"),
     "p01_admission": (p01_admission, "select distinct id, case when id % 3 <> 0 then 'c' end as candidate, case when id % 2 = 0 then 'v' end as version, members, case when (id % 3 = 0) = (id % 2 <> 0) then 'invalid' when s = 'P' or members not between 1 and 40 then 'not_admissible' when id % 4 * members > 60 then 'over_budget' else 'admitted' end as outcome from (select o_orderkey::bigint as id, o_orderstatus as s, (o_custkey % 50)::bigint as members from orders)"),
     "p02_flow_outputs": (p02_flow_outputs, f"""select doc_id, s as step, sha256(case s when 2 then a else text end) as input_digest, sha256('{{"text":"' || {_d.ESCAPED.format('case s when 0 then text when 1 then a else b end')} || '"}}') as output_digest, octet_length(encode(case s when 0 then text when 1 then a else b end))::bigint as bytes from (select *, lower(a) as b from (select doc_id, text, {_d.STRIP.format('text')} as a from documents)), range(0, 3) r(s)"""),
     "e26_job_moves": (e26_job_moves, with_tables("event", "select event_id, state, wanted, case when (state = 'queued' and wanted in ('running', 'cancelled')) or (state = 'running' and wanted in ('completed', 'failed', 'cancelled')) or (state in ('completed', 'failed', 'cancelled') and wanted = 'queued') then wanted else state end as \"to\" from (select event_id, ['queued', 'running', 'completed', 'failed', 'cancelled'][1 + event_id % 5] as state, ['queued', 'running', 'completed', 'failed', 'cancelled'][1 + event_id % 7 % 5] as wanted from event)")),
@@ -266,8 +277,8 @@ QUERIES = {
     "x33_label_views": (x33_label_views, """select r_regionkey::bigint as id, case when r_regionkey % 2 = 0 then '<View><Header value="' || r_name || '"/><Text name="text" value="$text"/><Choices name="label" toName="text" choice="single" required="true"><Choice value="good &amp; new"/><Choice value=''b"ad''/></Choices><Choices name="assistance" toName="text" choice="single"><Choice value="independent"/><Choice value="assisted"/><Choice value="unknown"/></Choices></View>' end as view from region"""),
     "x37_paths": (x37_paths, "select p_partkey::bigint as id, case p_partkey % 4 when 0 then '/srv/data/x' when 1 then '/srv/data/y' when 2 then '/srv/data/z' else '/srv/data/w' end || p_partkey as path from part"),
     "x38_validators": (x38_validators, "select doc_id, doc_id % 3 <> 0 and lang <> source and lang <> 'x' and source <> 'x' and trim(source) <> '' as valid from documents"),
-    "x39_retry_after": (x39_retry_after, "select n_nationkey::bigint as id, case when n_nationkey % 3 = 0 then n_nationkey * 1000 + 500 end::bigint as ms from nation"),
-    "x32_modes": (x32_modes, "select n_nationkey::bigint as id, case when n_nationkey % 6 < 3 then 'off' when n_nationkey % 6 = 3 then 'force' else 'auto' end as mode from nation"),
+    "x39_retry_after": (x39_retry_after, "select n_nationkey::bigint as id, case when n_nationkey % 3 = 0 then n_nationkey * 1000 + 500 end::bigint as ms from (select distinct o_orderkey as n_nationkey from orders)"),
+    "x32_modes": (x32_modes, "select n_nationkey::bigint as id, case when n_nationkey % 6 < 3 then 'off' when n_nationkey % 6 = 3 then 'force' else 'auto' end as mode from (select distinct o_orderkey as n_nationkey from orders)"),
     "x40_figures_missing": (x40_figures_missing, with_tables("page_text", "select doc, page, not (page % 3 <> 0 and page % 2 = 0) as missing from page_text")),
     "x02_coherence": (x02_coherence, with_tables("sample_revision", "select id, (doc_id % 2 <> 0 or doc_id % 4 = 0) and (doc_id % 6 <> 0 or doc_id % 2 = 0) as coherent from sample_revision")),
     "f22_preview_kinds": (f22_preview_kinds, f"select distinct l_orderkey::bigint as id, (l_quantity * 1000000)::bigint as bytes, (l_linenumber * 5000000)::bigint as pixels, l_linestatus as s, case when l_linestatus = 'O' and (l_quantity * 1000000)::bigint <= {8 << 20} and l_linenumber * 5000000 <= 20000000 then 'thumbnail' else 'download' end as preview from lineitem"),
