@@ -89,3 +89,40 @@ def retry_after_ms(value: Column) -> Column:
     """Milliseconds of a pause given in seconds; null for anything else."""
     seconds = F.try_cast(value, "double") if hasattr(F, "try_cast") else value.try_cast("double")
     return F.when(seconds >= 0, F.round(seconds * 1000).cast("long"))
+
+
+#: Fixed value: how often a page is tried.
+PAGE_ATTEMPTS = 2
+
+
+def accept_pages(attempts: DataFrame) -> DataFrame:
+    """doc, page, status, attempts, reasons and chars of pages by their attempts (doc, page, attempt, text, error).
+
+    A first attempt that is valid is done; one that fails by a rate limit ends
+    the page, any other is tried again. The last attempt counts with its faults
+    unless it failed or is empty; a page whose last attempt isn't there is pending.
+    """
+    made = F.struct("error", tx.validate_markdown(F.col("text")).alias("reasons"), F.length(tx.trim(F.col("text"))).cast("long").alias("chars"))
+    tries = attempts.filter(F.col("attempt").between(1, PAGE_ATTEMPTS)).withColumn("made", made)
+    by = tries.groupBy("doc", "page").agg(F.max_by("made", F.when(F.col("attempt") == 1, 1)).alias("a"), F.max_by("made", F.when(F.col("attempt") == PAGE_ATTEMPTS, 1)).alias("b"))
+    fine = lambda x: x["error"].isNull() & (F.size(x["reasons"]) == 0)
+    a, b = F.col("a"), F.col("b")
+    limited = a["error"].isNotNull() & tx.rate_limited(F.lit(None).cast("int"), a["error"])
+    status = (
+        F.when(F.coalesce(fine(a), F.lit(False)), "done")
+        .when(F.coalesce(limited, F.lit(False)), "failed")
+        .when(b.isNull(), "pending")
+        .when(b["error"].isNotNull() | ((F.size(b["reasons"]) > 0) & (b["chars"] == 0)), "failed")
+        .otherwise("done")
+    )
+    first = F.coalesce(fine(a) | limited, F.lit(False))
+    last = F.when(first | b.isNull(), a).otherwise(b)
+    tried = F.when((status == "failed"), PAGE_ATTEMPTS).when(first | b.isNull(), a.isNotNull().cast("int")).otherwise(PAGE_ATTEMPTS)
+    return by.select("doc", "page", status.alias("status"), tried.cast("long").alias("attempts"), F.array_join(F.when(last["error"].isNull(), last["reasons"]).otherwise(F.array(last["error"])), ",").alias("reasons"), F.when(status == "done", last["chars"]).otherwise(0).cast("long").alias("chars"))
+
+
+def digest_status(pages: DataFrame) -> DataFrame:
+    """Of each document: failed with any failed page, running with any pending one, else completed."""
+    n = lambda x: F.count_if(F.col("status") == x)
+    by = pages.groupBy("doc").agg(n("done").alias("done"), n("failed").alias("failed"), n("pending").alias("pending"), F.sum("chars").alias("chars"))
+    return by.withColumn("status", F.when(F.col("failed") > 0, "failed").when(F.col("pending") > 0, "running").otherwise("completed"))
