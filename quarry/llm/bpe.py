@@ -21,9 +21,9 @@ import gc
 from collections.abc import Iterable, Iterator
 from struct import pack, unpack
 
-MAX_STATES = 120_000
+MAX_STATES = 250_000
 MAX_PAIRS = 200_000
-MAX_WORDS = 150_000
+MAX_WORDS = 250_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -117,10 +117,14 @@ class Transducer:
                     node = self.child[key] = len(self.token)
                     self.token.append(-1)
             self.token[node] = rank
+        self.states: list[tuple] = []
+        self.ids: dict[tuple, int] = {}
+        self.steps: dict[int, int] = {}
+        self.emits: dict[int, tuple[int, ...]] = {}
         self.clear()
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Determinise one more transition: the state after ``byte`` and the tokens that all its configurations agree on."""
+        """Determinise one more transition: the state after ``byte`` (its complement, if tokens are emitted) and the tokens that all its configurations agree on."""
         child, token, known = self.child.get, self.token, self.pairs.known.get
         last, nodes, outs = self.states[state]
         nodes_on, outs_on, closed = [], [], None
@@ -154,37 +158,49 @@ class Transducer:
         # Where all have tokens pending, what was emitted before doesn't matter any more.
         key = (last if () in outs_on else -2, tuple(nodes_on), tuple(outs_on))
         if len(self.states) >= MAX_STATES and key not in self.ids:
-            self.clear()
-            state = -1  # the state that asked is gone, and its transition with it
+            self.clear()  # the state that asked is gone: its number may come again, so this transition isn't kept
+            state = -1
         to = self.ids.setdefault(key, len(self.states))
         if to == len(self.states):
             self.states.append(key)
-            self.steps.append({})
+        if emitted:
+            to = ~to
         if state >= 0:
-            self.steps[state][byte] = (to, emitted)
+            self.steps[state << 8 | byte] = to
+            if emitted:
+                self.emits[state << 8 | byte] = emitted
         return to, emitted
 
     def clear(self) -> None:
-        """Drop all determinised states but the first. A state: the last token emitted, and of each configuration the place in the trie and the tokens not yet emitted."""
+        """Drop all determinised states but the first.
+
+        A state: the last token emitted, and of each configuration the place in
+        the trie and the tokens not yet emitted. ``steps`` has the next state by
+        state and byte; where tokens are emitted, its complement, with the tokens in ``emits``.
+        """
         start = (-1, (0,), ((),))
-        self.ids = {start: 0}
-        self.states = [start]
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.states[:] = [start]
+        for d in (self.ids, self.steps, self.emits):
+            d.clear()
+        self.ids[start] = 0
 
     def encode(self, data: bytes) -> tuple[int, ...]:
         """Tokens of one pre-token, each emitted as soon as no byte to come can change it; as the library does, bytes that are a token need no merging."""
         got = self.ranks.get(data)
         if got is not None:
             return (got,)
-        out, state, steps = (), 0, self.steps
+        out, state, steps, emits = (), 0, self.steps.get, self.emits
         for byte in data:
-            hit = steps[state].get(byte)
-            if hit is None:
-                hit = self.step(state, byte)
-                steps = self.steps
-            state, emitted = hit
-            if emitted:
-                out += emitted
+            to = steps(state << 8 | byte)
+            if to is None:
+                to, emitted = self.step(state, byte)
+                if to < 0:
+                    out += emitted
+                    to = ~to
+            elif to < 0:
+                out += emits[state << 8 | byte]
+                to = ~to
+            state = to
         _, nodes, pending = self.states[state]
         return out + pending[nodes.index(0)]
 
@@ -210,13 +226,15 @@ class Encoder:
         if len(self.words) > MAX_WORDS:
             self.words, self.older = {}, self.words
         gc.disable()  # states hold no cycles, and there are many of them to look through
-        for w in sorted(distinct - self.words.keys()):  # in order, for words that begin alike share states
-            packed = self.older.get(w)
-            if packed is None:
-                ids = self.machine.encode(w.encode("utf-8"))
-                packed = pack(f"{len(ids)}i", *ids)
-            self.words[w] = packed
-        gc.enable()
+        try:
+            for w in sorted(distinct - self.words.keys()):  # in order, for words that begin alike share states
+                packed = self.older.get(w)
+                if packed is None:
+                    ids = self.machine.encode(w.encode("utf-8"))
+                    packed = pack(f"{len(ids)}i", *ids)
+                self.words[w] = packed
+        finally:
+            gc.enable()
 
     def encode_all(self, texts: list[str], most: int = 1 << 20) -> Iterator[bytes]:
         """Packed ids of each text; pre-tokens of about ``most`` characters of text are held at a time."""

@@ -98,7 +98,8 @@ def test_tokens_leave_early():
     machine = bpe.Transducer(RANKS)
     state, first = 0, None
     for at, byte in enumerate(b"internationalization" * 40):
-        state, out = machine.steps[state].get(byte) or machine.step(state, byte)
+        state, out = machine.step(state, byte)
+        state = ~state if out else state
         if out and first is None:
             first = at
     assert first is not None and first < 64
