@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, langid, neardup, quality, repeats, rules, sharding, tokens, urls
+from quarry.llm import decontaminate, langid, neardup, quality, repeats, resample, rules, sharding, substrings, tokens, urls, vectors
 from quarry.llm.common import crc_mod, pick, table
 
 
@@ -76,8 +76,28 @@ def op10_url_filter(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_vector_codes(spark, sf_dir):
+    """Codes of every whole vector by codebooks of integers; rows without a finite vector are dropped."""
+    rows = pick(table(spark, sf_dir, "embeddings"), ["vec_id", "embedding", "label"])
+    books = vectors.fit(rows)
+    coded = vectors.add_group_error(vectors.encode(rows, books, keep=["vec_id", "label"]), new="label_error")
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_substring_dedup(spark, sf_dir):
+    """Words of every whole text without the 20-word windows that start earlier; null texts have no words."""
+    left = substrings.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_resample(spark, sf_dir):
+    """Weight, score and rank of every document, a quarter drawn towards the benchmark; null texts have no words and aren't drawn."""
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_sharding, op4_quality, op5_suffix_dedup, op6_token_counts, op7_language_id, op8_quality_rules, op9_minhash, op10_url_filter)}
+    return {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_sharding, op4_quality, op5_suffix_dedup, op6_token_counts, op7_language_id, op8_quality_rules, op9_minhash, op10_url_filter, op11_vector_codes, op12_substring_dedup, op13_resample)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -143,5 +163,54 @@ judged as (select *, case {_FITS} end as rule, {_lowered("host || path")} as sit
 select page_id, host, path, rule, case rule {_SAYS} else case when len(list_filter({_terms(urls.STRICT)}, lambda x: regexp_matches(site, '(^|[^a-z])' || x || '([^a-z]|$)'))) > 0 or len(list_filter({_terms(urls.SOFT)}, lambda x: regexp_matches(site, '(^|[^a-z])' || x || '([^a-z]|$)'))) >= 2 then 'block' else 'allow' end end as verdict from judged"""
 
 
+def _op11() -> str:
+    """Six rounds of assignment to the nearest of 16 entries and floored means, each round a query of its own."""
+    steps = ["""kept as (select vec_id, label, list_transform(embedding, x -> floor(4096 * x::double)::bigint) as v from embeddings where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+part as materialized (select vec_id, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] as v from kept, range(8) r(p)),
+book0 as materialized (select p, (row_number() over (partition by p order by vec_id) - 1)::int as e, v from part where vec_id in (select vec_id from kept order by vec_id limit 16))"""]
+    for r in range(7):
+        steps.append(f"near{r} as materialized (select vec_id, p, v, d // 16 as d, (d % 16)::int as e from (select vec_id, part.p, any_value(part.v) as v, min(16 * list_sum(list_transform(list_zip(part.v, b.v), z -> (z[1] - z[2]) * (z[1] - z[2])))::bigint + b.e) as d from part join book{r} b using (p) group by vec_id, part.p))")
+        if r < 6:
+            steps.append(f"""mean{r} as (select p, e, list((s - ((s % n) + n) % n) // n order by i) as v from (select p, e, i, count(*) as n, sum(v[i])::bigint as s from near{r}, range(1, 1 + (select max(len(v)) from part)) r(i) group by p, e, i) group by p, e),
+book{r + 1} as materialized (select p, e, coalesce(m.v, b.v) as v from book{r} b left join mean{r} m using (p, e))""")
+    return "with " + ",\n".join(steps) + """,
+coded as (select vec_id, string_agg(printf('%02x', e), '' order by p) as code, sum(d)::bigint as error from near6 group by vec_id)
+select c.vec_id, code, error, (sum(error) over (partition by k.label))::bigint as label_error, (select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) from book6) as codebooks_sha256 from coded c join kept k using (vec_id)"""
+
+
+OP12 = r"""
+with word as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from word)),
+hit as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) as r from win) where r > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from hit),
+kept as (select doc_id, count(*) as n, string_agg(x, ' ' order by p) as t from (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from word) anti join gone using (doc_id, p) group by 1)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from word left join kept using (doc_id)"""
+
+
+def _crc32() -> str:
+    """crc32 of a blob ``f``, byte by byte from its hexadecimal digits; the table comes from the polynomial."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(octet_length(f)), i -> ('0x' || substr(hex(f), 2 * i + 1, 2))::bigint)), (c, b) -> xor(c >> 8, {table}[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+OP13 = rf"""
+with word as (select 'd' as side, doc_id::varchar as id, regexp_extract_all({_lowered("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all select 'b', item_id::varchar, regexp_extract_all({_lowered("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+gram as (select side, id, unnest(list_concat(w, list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]))) as g from word),
+seen as (select g, encode(g) as f from (select distinct g from gram)),
+code as materialized (select g, {_crc32()} % 10000 as b from seen),
+feature as materialized (select side, id, b, count(*) as n from gram join code using (g) group by all),
+both_ as (select b, coalesce(sum(n) filter (side = 'd'), 0)::double as s, coalesce(sum(n) filter (side = 'b'), 0)::double as t from (select side, b, n from feature union all select 'd', unnest(range(10000)), 0) group by b),
+gain as (select b, floor(1000 * ln((t + 1) * ((select sum(s) from both_) + 10000) / ((s + 1) * ((select sum(t) from both_) + 10000))))::bigint as gain from both_),
+weighed as (select id, sum(n)::bigint as n_features, sum(n * gain)::bigint as total from feature join gain using (b) where side = 'd' group by id),
+scored as (select id::bigint as doc_id, len(w) as words, coalesce(n_features, 0) as n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::bigint as weight, floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as noise from word left join weighed using (id) where side = 'd'),
+ranked as (select doc_id, row_number() over (order by weight + noise desc, doc_id) as r from scored where words >= 20)
+select doc_id, n_features, weight, weight + noise as score, case when r <= (select count(*) * 25 // 100 from ranked) then r end as rank from scored left join ranked using (doc_id)"""
+
+
 def oracle_sql():
-    return {"op2_decontaminate": OP2, "op5_suffix_dedup": OP5, "op8_quality_rules": OP8, "op9_minhash": OP9, "op10_url_filter": OP10}
+    return {"op2_decontaminate": OP2, "op5_suffix_dedup": OP5, "op8_quality_rules": OP8, "op9_minhash": OP9, "op10_url_filter": OP10, "op11_vector_codes": _op11(), "op12_substring_dedup": OP12, "op13_resample": OP13}
