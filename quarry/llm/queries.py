@@ -165,11 +165,11 @@ select page_id, host, path, rule, case rule {_SAYS} else case when len(list_filt
 
 def _op11() -> str:
     """Six rounds of assignment to the nearest of 16 entries and floored means, each round a query of its own."""
-    steps = ["""kept as (select vec_id, label, list_transform(embedding, x -> floor(4096 * x::double)::bigint) as v from embeddings where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    steps = ["""kept as (select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 part as materialized (select vec_id, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] as v from kept, range(8) r(p)),
 book0 as materialized (select p, (row_number() over (partition by p order by vec_id) - 1)::int as e, v from part where vec_id in (select vec_id from kept order by vec_id limit 16))"""]
     for r in range(7):
-        steps.append(f"near{r} as materialized (select vec_id, p, v, d // 16 as d, (d % 16)::int as e from (select vec_id, part.p, any_value(part.v) as v, min(16 * list_sum(list_transform(list_zip(part.v, b.v), z -> (z[1] - z[2]) * (z[1] - z[2])))::bigint + b.e) as d from part join book{r} b using (p) group by vec_id, part.p))")
+        steps.append(f"near{r} as materialized (select vec_id, p, v, d // 16 as d, (d % 16)::int as e from (select vec_id, part.p, any_value(part.v) as v, min(16 * list_sum(list_transform(list_zip(part.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint + b.e) as d from part join book{r} b using (p) group by vec_id, part.p))")
         if r < 6:
             steps.append(f"""mean{r} as (select p, e, list((s - ((s % n) + n) % n) // n order by i) as v from (select p, e, i, count(*) as n, sum(v[i])::bigint as s from near{r}, range(1, 1 + (select max(len(v)) from part)) r(i) group by p, e, i) group by p, e),
 book{r + 1} as materialized (select p, e, coalesce(m.v, b.v) as v from book{r} b left join mean{r} m using (p, e))""")
@@ -194,13 +194,13 @@ def _crc32() -> str:
         for _ in range(8):
             c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
         table.append(c)
-    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(octet_length(f)), i -> ('0x' || substr(hex(f), 2 * i + 1, 2))::bigint)), (c, b) -> xor(c >> 8, {table}[xor(c, b) % 256 + 1])), 4294967295)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(octet_length(f)), lambda i: ('0x' || substr(hex(f), 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, {table}[xor(c, b) % 256 + 1])), 4294967295)"
 
 
 OP13 = rf"""
 with word as (select 'd' as side, doc_id::varchar as id, regexp_extract_all({_lowered("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
   union all select 'b', item_id::varchar, regexp_extract_all({_lowered("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
-gram as (select side, id, unnest(list_concat(w, list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]))) as g from word),
+gram as (select side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as g from word),
 seen as (select g, encode(g) as f from (select distinct g from gram)),
 code as materialized (select g, {_crc32()} % 10000 as b from seen),
 feature as materialized (select side, id, b, count(*) as n from gram join code using (g) group by all),
