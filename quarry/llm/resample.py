@@ -253,5 +253,7 @@ def resample(df: DataFrame, target: DataFrame, key: str = "doc_id", text: str =
     table = gains(count_buckets(df, text, longest, buckets), count_buckets(target, target_text, longest, buckets))
     scored = score(df, table, key, text, longest, seed, keep)
     at = stage_folder(spark, "resample-scored")
-    scored.write.parquet(at)
-    return draw(spark.read.schema(scored.schema).parquet(at), key, percent, min_words)
+    # Written under plain names: files can't hold names that differ in case only.
+    plain = scored.toDF(*[f"c{i}" for i in range(len(scored.columns))])
+    plain.write.parquet(at)
+    return draw(spark.read.schema(plain.schema).parquet(at).toDF(*scored.columns), key, percent, min_words)

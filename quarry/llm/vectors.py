@@ -18,7 +18,7 @@ neither a vector nor a label that many rows share makes a task larger.
 Rows whose vector is null, or holds a null or a component that isn't finite,
 are dropped. Vectors shorter than the longest kept one count as ending in
 zeros, as does a length that ``parts`` doesn't divide. Components beyond
-``limit(width)`` after scaling count as that limit, so that distances fit in
+``limit(size)`` after scaling count as that limit, so that distances fit in
 64 bits. A null key goes last among the first entries, rows that repeat a key
 are ordered by their vectors. With fewer kept rows than ``entries`` the
 codebooks are that much smaller; an empty table gives no rows.
@@ -43,9 +43,9 @@ BITS, MOST_ENTRIES = 3, 256
 MOST_GROUPS = 10_000
 
 
-def limit(width: int) -> int:
-    """The greatest magnitude of a component for which a squared distance over ``width`` dimensions is under 2**62."""
-    return isqrt((1 << 62) // max(1, width)) // 2
+def limit(size: int) -> int:
+    """The greatest magnitude of a component for which a squared distance over ``size`` dimensions is at most 2**62."""
+    return isqrt((1 << 62) // max(1, size)) // 2
 
 
 def integers(column: pa.Array, scale: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -64,7 +64,7 @@ def integers(column: pa.Array, scale: int) -> tuple[np.ndarray, list[np.ndarray]
 def matrix(rows: list[np.ndarray], width: int, parts: int) -> np.ndarray:
     """The vectors as (row, part, dimension), ends filled with zeros."""
     size = width * parts
-    most = limit(width)
+    most = limit(size)
     if all(len(r) == size for r in rows):
         out = np.array(rows, np.int64).reshape(len(rows), parts, width)
     else:
