@@ -247,12 +247,12 @@ CANDIDATE = ["p", "d", "u", "s", "shift", "windows", "words", "kind"]
 
 
 def _candidates(length: int):
-    """(..., key, identity, text, cold, hot) -> the marked segments' words by their prefix: (prefix, key, identity, segment, its first window, windows, words, kind)."""
+    """(..., key, identity, text, cold, hot, full) -> the marked segments' words by their prefix: (prefix, key, identity, segment, its first window, windows, words, kind)."""
 
     def fn(batches):
         for b in batches:
-            b = b.filter(b.column(b.num_columns - 5).is_valid())
-            key, identity, text, *marks = b.columns[-5:]
+            b = b.filter(b.column(b.num_columns - 6).is_valid())
+            key, identity, text, *marks = b.columns[-6:-1]
             d, u = key.to_numpy(), identity.to_numpy()
             wanted = [[np.array(x or [], np.int64) for x in c.to_pylist()] for c in marks]
             for s in chunks(short(_words(text)), length):
@@ -453,7 +453,7 @@ def _remove(kept_columns: int, length: int, names: list[str]):
     def fn(batches):
         for b in batches:
             texts = _words(b.column(kept_columns + 1))
-            full, part, masks = (b.column(kept_columns + i).to_pylist() for i in (2, 3, 4))
+            full, part, masks = (b.column(kept_columns + i).to_pylist() for i in (2, 5, 6))
             hashed = short(texts)
             starts = [[np.array(x, np.int64)] for x in again(hashed, length)]
             for s in chunks([t if full[i] or part[i] else [] for i, t in enumerate(hashed)], length):
@@ -508,12 +508,12 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("s")))
     marked = marks.groupBy(F.col("u").alias("mu")).agg(of(FULL).alias("full"), of(COLD).alias("cold"), of(HOT).alias("hot"))
     known = rows.join(marked, F.col("u") == F.col("mu"), "left").drop("mu")
-    # Both joins take the same columns of the rows, so that they read one and the same exchange.
-    asked = known.filter("size(cold) > 0 or size(hot) > 0").select(*names, "id", "u", "t", "cold", "hot")
+    # Both joins take the same columns of the rows and of the marks, so that they read the same two exchanges.
+    asked = known.filter("size(cold) > 0 or size(hot) > 0").select(*names, "id", "u", "t", "cold", "hot", "full")
     candidates = map_batches(asked, _candidates(length), "p long, d long, u long, s long, shift int, windows int, words binary, kind tinyint")
     parts = map_batches(candidates.repartition("kind", "p").sortWithinPartitions("kind", "p", "d"), _subtrees(length, group), "q long, d long, u long, s long, mask long, window binary")
     found = map_batches(parts.repartition(F.coalesce("q", "u")).sortWithinPartitions("q", "d"), _equal_windows, "u long, s long, mask long")
     listed = found.groupBy(F.col("u").alias("pu")).agg(F.collect_set(F.struct("s", "mask")).alias("p"))
-    ready = known.join(listed, F.col("u") == F.col("pu"), "left").select(*names, "id", "t", "full", F.col("p.s").alias("ps"), F.col("p.mask").alias("pm"))
+    ready = known.join(listed, F.col("u") == F.col("pu"), "left").select(*names, "id", "t", "full", "cold", "hot", F.col("p.s").alias("ps"), F.col("p.mask").alias("pm"))
     schema = StructType([ready.schema[n] for n in names] + list(StructType.fromDDL("n_words long, n_removed long, spans array<array<long>>, kept string").fields))
     return map_batches(ready, _remove(len(names), length, schema.names), schema).toDF(*keep, *new)
