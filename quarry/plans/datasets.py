@@ -204,6 +204,30 @@ def x05_transforms(spark, d):
     return docs.select("doc_id", F.sha2(F.lower(text.strip(F.concat(F.lit("  \t"), "text", F.lit("\n ")))), 256).alias("sha256"))
 
 
+def nested_metadata(spark, d):
+    """doc_id and metadata of nested keys out of order, with a control character in each text."""
+    docs = fx.table(spark, d, "documents")
+    text_ = F.concat(F.col("text"), F.char(F.col("doc_id") % 32), F.lit('"\\/'))
+    inner = F.struct(F.create_map(F.lit("é"), F.col("n_chars") / 8, F.lit("b"), -F.col("doc_id") / 4, F.col("source"), F.lit(None).cast("double")).alias("scores"), F.array(F.struct(F.col("lang").alias("z"), (F.col("doc_id") % 2 == 0).alias("A"))).alias("list"), text_.alias("Text"))
+    return docs.select("doc_id", F.struct(F.col("doc_id").alias("id"), inner.alias("doc"), F.when(F.col("doc_id") % 3 == 0, inner["list"]).alias("maybe")).alias("metadata"))
+
+
+def x01_canonical(spark, d):
+    rows = nested_metadata(spark, d)
+    kind = rows.schema["metadata"].dataType
+    return rows.select("doc_id", canonical.digest(canonical.json_of(F.col("metadata"), kind)).alias("sha256"), canonical.digest(canonical.json_of(F.col("metadata"), kind, ascii=True)).alias("ascii_sha256"))
+
+
+def x01_json_text(spark, d):
+    """The same metadata as JSON texts of unknown keys, written in another order and with white space."""
+    rows = nested_metadata(spark, d)
+    m, inner = F.col("metadata"), F.col("metadata.doc")
+    scores = F.to_json(inner["scores"], {"ignoreNullFields": "false"})
+    lists = lambda c: F.coalesce(F.to_json(c), F.lit("null"))
+    text_ = F.concat(F.lit('{"id" : '), m["id"].cast("string"), F.lit(', "maybe":\t'), lists(m["maybe"]), F.lit(', "doc": {"scores":'), scores, F.lit(', "list": '), lists(inner["list"]), F.lit(' , "Text": '), F.to_json(F.array(inner["Text"])).substr(F.lit(2), F.length(F.to_json(F.array(inner["Text"]))) - 2), F.lit("} }"))
+    return rows.select("doc_id", F.sha2(canonical.json_text(text_), 256).alias("sha256"), F.sha2(canonical.json_text(text_, ascii=True), 256).alias("ascii_sha256"))
+
+
 def x06_digest_chain(spark, d):
     docs = fx.table(spark, d, "documents")
     steps = [text.strip(F.col("text"))]
@@ -239,7 +263,22 @@ def p11_manifest_order(spark, d):
 
 WHITE = "[\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]"
 STRIP = "regexp_replace(regexp_replace({}, '^" + WHITE + "+', ''), '" + WHITE + "+$', '')"
-ESCAPED = "replace(replace(replace(replace(replace({}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+#: JSON strings character by character: a control by its code, whatever its place.
+ESCAPED = "array_to_string(list_transform(regexp_extract_all({}, '(?s).'), lambda c: case c when '\"' then '\\\"' when '\\' then '\\\\' when chr(10) then '\\n' when chr(13) then '\\r' when chr(9) then '\\t' when chr(8) then '\\b' when chr(12) then '\\f' else case when unicode(c) < 32 then printf('\\u%04x', unicode(c)) else c end end), '')"
+ASCII = ESCAPED.replace("unicode(c) < 32", "unicode(c) < 32 or unicode(c) > 126")
+
+
+def _nested(escaped: str) -> str:
+    q = lambda x: "'\"' || " + escaped.format(x) + " || '\"'"
+    entry = lambda k, v: f"{{'k': {k}, 'v': {v}}}"
+    entries = ", ".join([entry("'é'", "cast(n_chars / 8 as varchar)"), entry("'b'", "cast(-doc_id / 4 as varchar)"), entry("source", "'null'")])
+    scores = f"(select string_agg({q('e.k')} || ':' || e.v, ',' order by e.k) from (select unnest([{entries}]) as e))"
+    listed = f"""'[{{"A":' || (doc_id % 2 = 0) || ',"z":' || coalesce({q('lang')}, 'null') || '}}]'"""
+    text = q("text || chr((doc_id % 32)::int) || '\"\\\\/'".replace("\\\\", "\\"))
+    return f"""sha256('{{"doc":{{"Text":' || {text} || ',"list":' || {listed} || ',"scores":{{' || {scores} || '}}}},"id":' || doc_id || ',"maybe":' || case when doc_id % 3 = 0 then {listed} else 'null' end || '}}')"""
+
+
+NESTED = f"select doc_id, {_nested(ESCAPED)} as sha256, {_nested(ASCII)} as ascii_sha256 from documents"
 
 QUERIES = {
     "t01_membership_asof": (t01_membership_asof, with_tables("membership", "select sample_id, split, valid_from, valid_to from membership where draft_id = 'src3' and valid_from <= 3 and (valid_to is null or valid_to > 3)")),
@@ -273,6 +312,8 @@ QUERIES = {
     "e15_collectable": (e15_collectable, with_tables("artifact location", "select a.artifact_id, count(l.id) as placements from artifact a left join location l using (artifact_id) where first_doc % 5 <> 0 and first_doc % 7 <> 0 and first_doc % 11 <> 0 group by 1 having count(l.id) <= 100")),
     "s02_verify": (s02_verify, "select doc_id, case when doc_id % 12 = 0 then 'missing' when doc_id % 15 = 0 or doc_id % 10 = 0 then 'corrupt' else 'verified' end as status from documents"),
     "s03_range_read": (s03_range_read, "select doc_id, substr(hex(encode(text)), 21, 32) as bytes from documents"),
+    "x01_canonical": (x01_canonical, NESTED),
+    "x01_json_text": (x01_json_text, NESTED),
     "x04_group_key": (x04_group_key, "select doc_id, case when doc_id % 3 = 0 then 'sample:' || doc_id when doc_id % 7 = 0 then null else 'group:' || source end as group_key from documents"),
     "x05_transforms": (x05_transforms, f"select doc_id, sha256(lower({STRIP.format('text')})) as sha256 from documents"),
     "x06_digest_chain": (x06_digest_chain, f"""select doc_id, s as step, case s when 0 then sha256(text) else sha256(a) end as input_digest, sha256('{{"text":"' || {ESCAPED.format('case s when 0 then a else b end')} || '"}}') as output_digest from (select *, lower(a) as b from (select doc_id, text, {STRIP.format('text')} as a from documents)), range(0, 2) r(s)"""),
