@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import catalog
+from quarry.operators import automaton, effects as lifecycle
 from quarry.operators import events as e
 from quarry.sources import fixtures as fx
 from quarry.sources.fixtures import with_tables
@@ -34,6 +34,103 @@ def e02_state_fold(spark, d):
     return e.fold_states(fx.operation_events(spark, d))
 
 
+def command_log(spark, d):
+    """Commands of operations; those of every third user are one operation, so that it has a third of all. Kinds of event stand for commands, and the sender's epoch is the number of errors before, now and then of an older attempt."""
+    ev = fx.operation_events(spark, d)
+    n = F.col("event_id") % 4
+    click = F.when(n == 0, "request_cancel").when(n == 1, "confirm_cancel").when(n == 2, "request_reconcile").otherwise("deliver")
+    action = F.when(F.col("event_type") == "queued", "admit").when(F.col("event_type") == "running", F.when(n == 3, "retry").otherwise("start")).when(F.col("event_type") == "failed", F.when(n == 0, "pause").otherwise("fail")).when(F.col("event_type") == "succeeded", F.when(n < 2, "resume").otherwise("succeed")).otherwise(click)
+    op = F.when(F.col("operation_id") % 3 == 0, 0).otherwise(F.col("operation_id")).cast("long")
+    kind = F.element_at(F.array(*map(F.lit, ("process_flow", "ingest_cleanup", "qualification", "ingest_samples"))), (op % 4 + 1).cast("int"))
+    epoch = F.when(F.col("event_id") % 5 == 0, 2).when(F.col("event_id") % 7 == 0, 3).otherwise(1).cast("long")
+    return ev.select(op.alias("operation_id"), "ts", "event_id", action.alias("action"), epoch.alias("epoch"), kind.alias("kind"), (F.col("event_id") % 6 == 1).alias("unknown"))
+
+
+COMMAND = "command as (select case when operation_id % 3 = 0 then 0 else operation_id end as operation_id, ts, event_id, case event_type when 'queued' then 'admit' when 'running' then case when event_id % 4 = 3 then 'retry' else 'start' end when 'failed' then case when event_id % 4 = 0 then 'pause' else 'fail' end when 'succeeded' then case when event_id % 4 < 2 then 'resume' else 'succeed' end else ['request_cancel', 'confirm_cancel', 'request_reconcile', 'deliver'][1 + event_id % 4] end as action, case when event_id % 5 = 0 then 2 when event_id % 7 = 0 then 3 else 1 end as epoch, ['process_flow', 'ingest_cleanup', 'qualification', 'ingest_samples'][1 + (case when operation_id % 3 = 0 then 0 else operation_id end) % 4] as kind, event_id % 6 = 1 as unknown from event)"
+#: The rules once more, as conditions on the state: outcome, next state, next epoch, next pending request.
+DECIDE = """case
+  when st = 'none' then case when action = 'admit' then {'o': 'applied', 's': 'queued', 'e': 1, 'p': false} else {'o': 'not_found', 's': 'none', 'e': ep, 'p': pend} end
+  when action = 'admit' then {'o': 'unchanged', 's': st, 'e': ep, 'p': pend}
+  when kind = 'process_flow' and action = 'confirm_cancel' then {'o': 'not_owned', 's': st, 'e': ep, 'p': pend}
+  when epoch <> ep then {'o': 'stale', 's': st, 'e': ep, 'p': pend}
+  when action = 'request_reconcile' then case when kind = 'qualification' or st in ('succeeded', 'cancelled') then {'o': 'refused', 's': st, 'e': ep, 'p': pend} when pend then {'o': 'unchanged', 's': st, 'e': ep, 'p': pend} else {'o': 'applied', 's': st, 'e': ep, 'p': true} end
+  when action = 'deliver' then {'o': if(pend, 'applied', 'unchanged'), 's': st, 'e': ep, 'p': false}
+  when kind = 'process_flow' then case
+    when action in ('resume', 'retry') and not unknown and (action = 'resume' and st = 'paused' or action = 'retry' and st in ('failed', 'reconciliation_needed')) then {'o': 'applied', 's': 'queued', 'e': ep + 1, 'p': false}
+    when action in ('resume', 'retry') or action = 'succeed' and (st <> 'running' or unknown) then {'o': 'refused', 's': st, 'e': ep, 'p': pend}
+    when action = 'succeed' then {'o': 'applied', 's': 'succeeded', 'e': ep, 'p': pend}
+    when action = 'pause' and st in ('queued', 'running') then {'o': 'applied', 's': if(unknown, 'pause_requested', 'paused'), 'e': ep, 'p': pend}
+    when action in ('start', 'fail') and st in ('pause_requested', 'cancellation_requested') and not unknown then {'o': 'applied', 's': if(st = 'pause_requested', 'paused', 'cancelled'), 'e': ep, 'p': pend}
+    when action = 'start' and st = 'queued' then {'o': 'applied', 's': 'running', 'e': ep, 'p': pend}
+    when action = 'fail' and st in ('queued', 'running', 'failed', 'reconciliation_needed') and st <> if(unknown, 'reconciliation_needed', 'failed') then {'o': 'applied', 's': if(unknown, 'reconciliation_needed', 'failed'), 'e': ep, 'p': pend}
+    when action = 'request_cancel' and st not in ('succeeded', 'cancelled') and st <> if(unknown, 'cancellation_requested', 'cancelled') then {'o': 'applied', 's': if(unknown, 'cancellation_requested', 'cancelled'), 'e': ep, 'p': pend}
+    when action = 'pause' and st not in ('paused', 'pause_requested') or action = 'request_cancel' and st = 'succeeded' or action = 'start' and st not in ('running', 'pause_requested', 'cancellation_requested') then {'o': 'refused', 's': st, 'e': ep, 'p': pend}
+    else {'o': 'unchanged', 's': st, 'e': ep, 'p': pend} end
+  when action = 'start' and st = 'running' or action = 'request_cancel' and st = 'cancellation_requested' or action = 'confirm_cancel' and st = 'cancelled' or action = 'fail' and st = 'failed' or action = 'succeed' and st = 'succeeded' then {'o': 'unchanged', 's': st, 'e': ep, 'p': pend}
+  when action = 'start' and st = 'queued' then {'o': 'applied', 's': 'running', 'e': ep, 'p': pend}
+  when action = 'request_cancel' and st in ('queued', 'running') then {'o': 'applied', 's': 'cancellation_requested', 'e': ep, 'p': pend}
+  when action = 'confirm_cancel' and st = 'cancellation_requested' then case when unknown then {'o': 'unreconciled', 's': st, 'e': ep, 'p': pend} else {'o': 'applied', 's': 'cancelled', 'e': ep, 'p': pend} end
+  when action = 'fail' and st in ('queued', 'running', 'cancellation_requested') then {'o': 'applied', 's': 'failed', 'e': ep, 'p': pend}
+  when action = 'succeed' and st = 'running' then {'o': 'applied', 's': 'succeeded', 'e': ep, 'p': pend}
+  when action = 'retry' and (st = 'failed' or st = 'cancelled' and kind = 'ingest_cleanup') then {'o': 'applied', 's': 'queued', 'e': ep + 1, 'p': false}
+  else {'o': 'refused', 's': st, 'e': ep, 'p': pend} end"""
+CONTROL = f"""numbered as materialized (select *, row_number() over (partition by operation_id order by ts, event_id) as n from command),
+walk as (select operation_id, 0::bigint as n, null::bigint as event_id, null::varchar as action, null::varchar as outcome, 'none' as st, 0::bigint as ep, false as pend, -1::bigint as revision from (select distinct operation_id from numbered)
+  union all select operation_id, n, event_id, action, d.o, d.s, d.e::bigint, d.p, revision + (d.o = 'applied')::bigint from (select c.operation_id, c.n, c.event_id, c.action, w.revision, {DECIDE} as d from (select operation_id, n, st, ep, pend, revision from walk) w join numbered c on c.operation_id = w.operation_id and c.n = w.n + 1))"""
+
+
+def controlled(spark, d):
+    return automaton.control(command_log(spark, d))
+
+
+def e02_control(spark, d):
+    return controlled(spark, d)
+
+
+def e21_final_states(spark, d):
+    return automaton.final_states(controlled(spark, d).join(fx.operation_events(spark, d).select("event_id", "ts"), "event_id"), ["ts", "event_id"])
+
+
+def effect_steps(spark, d):
+    """Steps of effects: an effect for each operation and hundredth of the log's values; a third of the log's operations share one."""
+    ev = fx.operation_events(spark, d)
+    i = F.col("event_id")
+    step = F.when(F.col("event_type") == "queued", "prepare").when(F.col("event_type").isin("running", "failed"), F.when(i % 3 == 0, "prepare").otherwise("begin")).when(F.col("event_type") == "effect_completed", "complete").otherwise("reconcile")
+    op = F.when(F.col("operation_id") % 3 == 0, 0).otherwise(F.col("operation_id")).cast("long")
+    return ev.select(op.alias("operation_id"), (i % 2).cast("string").alias("effect_key"), "ts", "event_id", step.alias("step"), F.when(i % 11 == 0, 2).otherwise(1).cast("long").alias("epoch"), F.concat(F.lit("d"), F.when(i % 19 == 0, 2).otherwise(i % 2).cast("string")).alias("dispatch"), F.when(i % 13 == 0, "other").otherwise("request").alias("request"), F.when((step == "complete") | (i % 4 == 0), F.concat(F.lit("r"), (i % 5 % 2).cast("string"))).alias("result"), (i % 6).alias("expected_revision"), F.when(i % 17 == 0, "failed").otherwise("running").alias("op_status"), F.lit(1).cast("long").alias("op_epoch"))
+
+
+EFFECT_STEP = "effect_step as (select case when operation_id % 3 = 0 then 0 else operation_id end as operation_id, cast(event_id % 2 as varchar) as effect_key, ts, event_id as i, case when event_type = 'queued' then 'prepare' when event_type in ('running', 'failed') then case when event_id % 3 = 0 then 'prepare' else 'begin' end when event_type = 'effect_completed' then 'complete' else 'reconcile' end as step, case when event_id % 11 = 0 then 2 else 1 end as epoch, 'd' || case when event_id % 19 = 0 then 2 else event_id % 2 end as dispatch, case when event_id % 13 = 0 then 'other' else 'request' end as request, case when event_type = 'effect_completed' or event_id % 4 = 0 then 'r' || (event_id % 5 % 2) end as result, event_id % 6 as expected, event_id % 17 <> 0 as running from event)"
+LIVES = """numbered as materialized (select *, row_number() over (partition by operation_id, effect_key order by ts, i) as n from effect_step),
+life as (select operation_id, effect_key, 0::bigint as n, null::bigint as event_id, null::varchar as step, null::varchar as outcome, null::varchar as st, null::varchar as req, null::varchar as res, null::varchar as dis, -1::bigint as revision, false as was from (select distinct operation_id, effect_key from numbered)
+  union all select operation_id, effect_key, n, i, step, o,
+    case when o <> 'applied' then st when step = 'prepare' or step = 'reconcile' and result is null then 'prepared' when step = 'begin' then 'unknown' else 'succeeded' end,
+    case when o = 'applied' and step = 'prepare' then request else req end, case when o = 'applied' and step in ('complete', 'reconcile') and result is not null then result else res end, case when o = 'applied' and step = 'begin' then dispatch when o = 'applied' and step = 'reconcile' and result is null then null else dis end, revision + (o = 'applied')::bigint, coalesce(st = 'unknown', false)
+  from (select c.*, l.st, l.req, l.res, l.dis, l.revision, case
+    when step <> 'reconcile' and epoch <> 1 then 'stale'
+    when step in ('prepare', 'begin') and not running then 'refused'
+    when step = 'prepare' then case when st is null then 'applied' when req = request then 'reused' else 'conflict' end
+    when st is null then 'not_found'
+    when step = 'begin' then if(st = 'prepared', 'applied', 'dispatched')
+    when step = 'reconcile' then if(st = 'unknown' and l.revision = expected, 'applied', 'stale')
+    when dis is distinct from dispatch then 'stale'
+    when st = 'succeeded' then if(res = result, 'unchanged', 'conflict')
+    when not running or st <> 'unknown' then 'unreconciled' else 'applied' end as o
+   from (select operation_id, effect_key, n, st, req, res, dis, revision from life) l join numbered c on c.operation_id = l.operation_id and c.effect_key = l.effect_key and c.n = l.n + 1))"""
+
+
+def e10_lives(spark, d):
+    return lifecycle.lives(effect_steps(spark, d))
+
+
+def e10_final_receipts(spark, d):
+    return lifecycle.receipts(lifecycle.lives(effect_steps(spark, d)))
+
+
+def f12_reconciliation(spark, d):
+    return lifecycle.reconciliation(lifecycle.lives(effect_steps(spark, d)))
+
+
 def outbox(spark, d):
     ev = fx.operation_events(spark, d)
     return ev.select("event_id", F.col("ts").alias("created_at"), (F.col("event_id") % 3 == 0).alias("dispatched"), F.lit(0).cast("long").alias("attempts"), F.when(F.col("event_id") % 2 == 0, F.col("ts") + F.expr("interval 30 seconds")).alias("lease_until"))
@@ -158,6 +255,11 @@ QUERIES = {
     "e01_admit": (e01_admit, with_tables("event", "select creator, request_key, seq, case when seq = first_seq then 'created' when digest = first_digest then 'replayed' else 'conflict' end as outcome, first_seq as operation_seq from (select *, min(seq) over w as first_seq, first_value(digest) over (partition by creator, request_key order by seq) as first_digest from (select operation_id % 50 as creator, event_type as request_key, cast(event_id % 2 as varchar) as digest, event_id as seq from event) window w as (partition by creator, request_key))")),
     "e02_sequenced": (e02_sequenced, with_tables("event", "select event_id, operation_id, revision, epoch from seq", SEQ)),
     "e02_state_fold": (e02_state_fold, with_tables("event", "select operation_id, state, applied, refused from fold qualify row_number() over (partition by operation_id order by n desc) = 1", SEQ, FOLD).replace("with ", "with recursive ", 1)),
+    "e02_control": (e02_control, with_tables("event", "select operation_id, event_id, action, outcome, st as status, ep as epoch, revision from walk where n > 0", COMMAND, CONTROL).replace("with ", "with recursive ", 1)),
+    "e21_final_states": (e21_final_states, with_tables("event", "select operation_id, arg_max(st, n) as status, arg_max(ep, n) as epoch, arg_max(revision, n) as revision, " + ", ".join(f"count(*) filter (outcome = '{o}') as {o}" for o in automaton.OUTCOMES) + " from walk where n > 0 group by 1", COMMAND, CONTROL).replace("with ", "with recursive ", 1)),
+    "e10_lives": (e10_lives, with_tables("event", "select operation_id, effect_key, event_id, step, outcome, st as status, revision, (coalesce(st = 'unknown', false)::int - was::int)::int as unknown_change from life where n > 0", EFFECT_STEP, LIVES).replace("with ", "with recursive ", 1)),
+    "e10_final_receipts": (e10_final_receipts, with_tables("event", "select operation_id, effect_key, arg_max(st, n) as status, max(revision) as revision, count(*) filter (outcome = 'applied') as applied, count(*) filter (outcome <> 'applied') as turned_down from life where n > 0 group by 1, 2", EFFECT_STEP, LIVES).replace("with ", "with recursive ", 1)),
+    "f12_reconciliation": (f12_reconciliation, with_tables("event", "select operation_id, count(distinct effect_key) as effects, count(*) filter (last = 'unknown') as unknown, count(*) filter (last = 'unknown') > 0 as needs_reconciliation from (select operation_id, effect_key, arg_max(st, n) filter (st is not null) as last from life where n > 0 group by 1, 2) group by 1", EFFECT_STEP, LIVES).replace("with ", "with recursive ", 1)),
     "e04_claim": (e04_claim, with_tables("event", f"select event_id, 1::bigint as attempts, timestamp '{NOW}' + interval 30 second as lease_until from outbox where not dispatched and (lease_until is null or lease_until <= timestamp '{NOW}') order by created_at, event_id limit 40", OUTBOX)),
     "e05_acknowledge": (e05_acknowledge, with_tables("event", f"select a.event_id, a.claim_id, case when c.event_id is null then 'unknown' when c.dispatched then 'repeated' when a.claim_id <> 'c' || c.event_id then 'lost' when c.lease_until <= timestamp '{NOW}' then 'expired' else 'acknowledged' end as outcome from (select event_id + case when event_id % 5 = 0 then 100000000 else 0 end as event_id, 'c' || (event_id - case when event_id % 7 = 0 then 1 else 0 end) as claim_id from outbox where event_id % 4 <> 0) a left join outbox c on a.event_id = c.event_id", OUTBOX)),
     "e06_inbox": (e06_inbox, with_tables("event", "select * from inbox", SEQ, INBOX)),
