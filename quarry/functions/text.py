@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.binding import let
+
 #: Fixed value: the characters that count as white space, as a regular-expression class.
 WHITE = r"[\x09-\x0D\x1C-\x20\x85\xA0  -     　]"
 #: The white space of pages' texts, without brackets: no control characters above U+000D, but the byte-order mark.
@@ -57,32 +59,52 @@ WHOLE_IN = "within again begin domain certain mountain captain curtain protein m
 CUT_ENDS = "tio sio cio atio mirrorin progres frictio investmen onboardin activatio retentio engagemen monetisatio optimisatio refinemen buildin shapin formatio feedbac alignmen personalisatio disclosur referra experienc curiosit commitmen bridg paywal shareabilit meaningfull inten".split()
 
 
+def _is_cut(word: Column) -> Column:
+    """Whether a word looks cut off: one of the known ends, or a consonant before a last ``in`` that isn't a whole word's."""
+    by_size: dict[int, list[str]] = {}
+    for end in CUT_ENDS:
+        by_size.setdefault(len(end), []).append(end)
+
+    def of(low: Column) -> Column:
+        known = F.lit(False)
+        for size, ends in by_size.items():
+            known = known | F.right(low, F.lit(size)).isin(ends)
+        ing = (F.length(low) >= 6) & low.endswith("in") & low.rlike("[b-df-hj-np-tv-z]in$") & ~low.isin(WHOLE_IN)
+        return (F.length(low) >= 5) & (ing | known)
+
+    return let(F.regexp_replace(F.lower(word), "['-]", ""), of)
+
+
 def assess_page(c: Column) -> Column:
     """Why a page's extracted text can't be used (an empty array: it can)."""
+    lines = F.filter(F.split(c, "\n"), lambda x: trim(x) != "")
     flat = trim(F.regexp_replace(c, f"[{_S}]+", " "))
-    parts = words(flat)
     alpha = F.regexp_extract_all(c, F.lit("[A-Za-z][A-Za-z'-]{2,}"), F.lit(0))
     printable = count(c, r"[\x20-\x7E\n\r\t\xA0-ɏ]")
-    one = F.size(F.filter(parts, lambda w: F.length(w) == 1))
-    lines = F.filter(F.split(c, "\n"), lambda x: trim(x) != "")
-    columns = F.size(F.filter(lines, lambda x: x.rlike(rf"[^{_S}].{{0,48}}[{_S}]{{3,}}[^{_S}]")))
-
-    def is_cut(w: Column) -> Column:
-        low = F.regexp_replace(F.lower(w), "['-]", "")
-        ing = (F.length(low) >= 6) & ~low.isin(WHOLE_IN) & low.rlike("[b-df-hj-np-tv-z]in$")
-        return (F.length(low) >= 5) & (low.rlike(f"(?:{'|'.join(CUT_ENDS)})$") | ing)
-
-    cut = F.size(F.filter(alpha, is_cut))
-    reasons = [
-        (F.length(flat) < 40, "too_short"),
-        (F.size(parts) < 8, "too_few_words"),
-        ((F.length(c) > 0) & (printable < 0.55 * F.length(c)), "low_printable_ratio"),
-        ((F.size(parts) >= 5) & (one > 0.45 * F.size(parts)), "fragmented"),
-        ((F.size(lines) >= 4) & (columns >= 0.22 * F.size(lines)), "columnar_layout"),
-        ((F.size(alpha) >= 12) & (cut >= 0.06 * F.size(alpha)), "truncated_words"),
-        (count(c, PRIVATE) >= 2, "private_use_glyphs"),
-    ]
-    return F.array_compact(F.array(*[F.when(when, F.lit(why)) for when, why in reasons]))
+
+    def of_words(flat_: Column) -> Column:
+        return let(words(flat_), lambda w: F.struct(F.length(flat_).alias("chars"), F.size(w).alias("words"), F.size(F.filter(w, lambda x: F.length(x) == 1)).alias("single")))
+
+    def of_lines(a: Column) -> Column:
+        return F.struct(F.size(a).alias("lines"), F.size(F.filter(a, lambda x: x.rlike(rf"[^{_S}].{{0,48}}[{_S}]{{3,}}[^{_S}]"))).alias("columns"))
+
+    def of_letters(a: Column) -> Column:
+        return F.struct(F.size(a).alias("n"), F.when(F.size(a) >= 12, F.size(F.filter(a, _is_cut))).otherwise(F.lit(0)).alias("cut"))
+
+    def reasons(m: Column) -> Column:
+        w, k, a = m["w"], m["k"], m["a"]
+        given = [
+            (w["chars"] < 40, "too_short"),
+            (w["words"] < 8, "too_few_words"),
+            ((F.length(c) > 0) & (m["printable"] < 0.55 * F.length(c)), "low_printable_ratio"),
+            ((w["words"] >= 5) & (w["single"] > 0.45 * w["words"]), "fragmented"),
+            ((k["lines"] >= 4) & (k["columns"] >= 0.22 * k["lines"]), "columnar_layout"),
+            ((a["n"] >= 12) & (a["cut"] >= 0.06 * a["n"]), "truncated_words"),
+            (count(c, PRIVATE) >= 2, "private_use_glyphs"),
+        ]
+        return F.array_compact(F.array(*[F.when(when, F.lit(why)) for when, why in given]))
+
+    return let(F.struct(let(flat, of_words).alias("w"), let(lines, of_lines).alias("k"), let(alpha, of_letters).alias("a"), printable.alias("printable")), reasons)
 
 
 def chrome_key(c: Column) -> Column:
@@ -160,32 +182,43 @@ def without_marker(t: Column) -> Column:
 
 
 def title_share(t: Column) -> Column:
-    w = words(t)
-    return F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: x.rlike(r"^[\p{Lu}0-9]"))) / F.size(w)).otherwise(F.lit(0.0))
+    """The share of words that begin with a capital or a digit."""
+    return let(words(t), lambda w: F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: x.rlike(r"^[\p{Lu}0-9]"))) / F.size(w)).otherwise(F.lit(0.0)))
 
 
 def line_roles(c: Column) -> Column:
     """Proposals (role, level, score) for a line, best cue first."""
-    t = trim(c)
-    body = without_marker(t)
-    p = lambda role, score, level=None: F.struct(F.lit(role).alias("role"), F.lit(level).cast("int").alias("level"), F.lit(score).cast("double").alias("score") if not isinstance(score, Column) else score.cast("double").alias("score"))
-    listed = lambda *ps: F.array(*ps)
+
+    def p(role: str, score: float | Column, level: int | None = None) -> Column:
+        return F.struct(F.lit(role).alias("role"), F.lit(level).cast("int").alias("level"), (score if isinstance(score, Column) else F.lit(score)).cast("double").alias("score"))
+
     maybe = lambda when, x: F.when(when, F.array(x)).otherwise(F.array().cast("array<struct<role:string,level:int,score:double>>"))
-    n = F.size(F.split(t, f"[{_S}]+"))
-    share, body_share = title_share(t), title_share(body)
-    letter = F.concat(listed(p("ol_item", F.when(F.length(body) <= 80, 0.92).otherwise(0.55))), maybe((F.length(body) <= 60) & (body_share >= 0.5), p("heading", 0.35, 3)), listed(p("paragraph", 0.15)))
-    number = F.when(F.length(t) > 90, listed(p("paragraph", 0.7), p("ol_item", 0.35))).otherwise(F.concat(listed(p("ol_item", 0.75)), maybe((body_share >= 0.6) & (F.length(body) <= 50), p("heading", 0.45, 2)), listed(p("paragraph", 0.2))))
-    return (
-        F.when(t == "", listed(p("paragraph", 0.1)))
-        .when(t.rlike(MARK), listed(p("ul_item", 0.95), p("paragraph", 0.1)))
-        .when(t.rlike(LETTER) | t.rlike(PAREN), letter)
-        .when(t.rlike(NUMBER), number)
-        .when(_label(F.regexp_replace(t, ":$", "")), listed(p("heading", 0.9, 3), p("paragraph", 0.1)))
-        .when(t.rlike(rf"\.[{_S}]*$") & (F.length(t) > 48), listed(p("paragraph", 0.85), p("heading", 0.1, 2)))
-        .when(n >= 12, listed(p("paragraph", 0.8), p("heading", 0.15, 2)))
-        .when((F.length(t) >= 2) & (F.length(t) <= 90) & (n <= 8) & (share >= 0.6), listed(p("heading", 0.55 + share * 0.2, 2), p("paragraph", 0.35)))
-        .otherwise(listed(p("paragraph", 0.6), p("heading", 0.25, 2)))
-    )
+
+    def of(t: Column) -> Column:
+        def letter(body: Column) -> Column:
+            short = maybe(F.when(F.length(body) <= 60, title_share(body) >= 0.5).otherwise(F.lit(False)), p("heading", 0.35, 3))
+            return F.concat(F.array(p("ol_item", F.when(F.length(body) <= 80, 0.92).otherwise(0.55))), short, F.array(p("paragraph", 0.15)))
+
+        def number(body: Column) -> Column:
+            short = maybe(F.when(F.length(body) <= 50, title_share(body) >= 0.6).otherwise(F.lit(False)), p("heading", 0.45, 2))
+            return F.concat(F.array(p("ol_item", 0.75)), short, F.array(p("paragraph", 0.2)))
+
+        def plain(n: Column) -> Column:
+            titled = lambda share: F.when(share >= 0.6, F.array(p("heading", 0.55 + share * 0.2, 2), p("paragraph", 0.35))).otherwise(F.array(p("paragraph", 0.6), p("heading", 0.25, 2)))
+            brief = (F.length(t) >= 2) & (F.length(t) <= 90) & (n <= 8)
+            return F.when(n >= 12, F.array(p("paragraph", 0.8), p("heading", 0.15, 2))).when(brief, let(title_share(t), titled)).otherwise(F.array(p("paragraph", 0.6), p("heading", 0.25, 2)))
+
+        return (
+            F.when(t == "", F.array(p("paragraph", 0.1)))
+            .when(t.rlike(MARK), F.array(p("ul_item", 0.95), p("paragraph", 0.1)))
+            .when(t.rlike(LETTER) | t.rlike(PAREN), let(without_marker(t), letter))
+            .when(t.rlike(NUMBER), F.when(F.length(t) > 90, F.array(p("paragraph", 0.7), p("ol_item", 0.35))).otherwise(let(without_marker(t), number)))
+            .when(_label(F.regexp_replace(t, ":$", "")), F.array(p("heading", 0.9, 3), p("paragraph", 0.1)))
+            .when((F.length(t) > 48) & t.rlike(rf"\.[{_S}]*$"), F.array(p("paragraph", 0.85), p("heading", 0.1, 2)))
+            .otherwise(let(F.size(F.split(t, f"[{_S}]+")), plain))
+        )
+
+    return let(trim(c), of)
 
 
 def best_role(proposals: Column) -> Column:

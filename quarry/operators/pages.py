@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,22 +15,28 @@ def carry_path(pages: DataFrame, path: str = "path") -> DataFrame:
     return pages.withColumn("section", F.coalesce(F.last(own, True).over(w), F.array().cast("array<string>")))
 
 
+def path_tail(section: Column, before: Column) -> Column:
+    """The headings (level, title) that a change of path from ``before`` to ``section`` brings: the tail after what both share, without numbers."""
+    same = F.zip_with(F.transform(section, tx.section_key), F.transform(before, tx.section_key), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    shared = F.array_position(same, False)
+    start = F.when(shared > 0, shared - 1).otherwise(F.size(section)).cast("int")
+    tail = F.slice(section, start + 1, F.greatest(F.size(section) - start, F.lit(0)))
+    return F.transform(tail, lambda x, i: F.struct(F.least(F.lit(6), start + i + 1).cast("long").alias("level"), tx.without_number(x).alias("title")))
+
+
 def path_headings(pages: DataFrame) -> DataFrame:
     """doc, page, level and title of the headings that a change of path brings: its tail after what it shares with the page before."""
     w = Window.partitionBy("doc").orderBy("page")
     rows = pages.withColumn("prev", F.coalesce(F.lag("section").over(w), F.array().cast("array<string>")))
-    same = F.zip_with(F.transform("section", tx.section_key), F.transform("prev", tx.section_key), lambda a, b: F.coalesce(a == b, F.lit(False)))
-    shared = F.array_position(same, False)
-    start = F.when(shared > 0, shared - 1).otherwise(F.size("section"))
-    tail = F.slice("section", start + 1, F.greatest(F.size("section") - start, F.lit(0)))
-    out = rows.select("doc", "page", start.alias("start"), F.posexplode(tail).alias("i", "title"))
-    return out.select("doc", "page", F.least(F.lit(6), F.col("start") + F.col("i") + 1).cast("long").alias("level"), tx.without_number(F.col("title")).alias("title"))
+    return rows.select("doc", "page", F.inline(path_tail(F.col("section"), F.col("prev"))))
 
 
-def list_runs(lines: DataFrame) -> DataFrame:
+def list_runs(lines: DataFrame, order: str = "pos", keep: list[str] | None = None) -> DataFrame:
     """Lines (doc, page, pos, text, role) with the runs of list-like lines of a page promoted to ``ol_item``.
 
     A run has two lines or more, or is a lone line ``a.``; prompts end runs.
+    ``order``: the column of a line's place on its page; ``keep``: the columns
+    that stay beside role and promoted.
     """
     t = tx.trim(F.col("text"))
     letter, number = t.rlike(tx.LETTER), t.rlike(tx.NUMBER)
@@ -39,16 +44,43 @@ def list_runs(lines: DataFrame) -> DataFrame:
     short = F.length("text") <= 80
     cue = ~prompt & ((F.col("role") == "ol_item") | letter | (number & short))
     opens = ~prompt & ((F.col("role") == "ol_item") | ((F.col("role") == "heading") & letter & short))
-    w = Window.partitionBy("doc", "page").orderBy("pos")
+    w = Window.partitionBy("doc", "page").orderBy(order)
     rows = lines.withColumns({"cue": cue, "opens": opens, "a": F.lower(F.regexp_extract(t, tx.LETTER, 1)) == "a"})
     rows = rows.withColumn("island", F.sum(F.when(F.col("cue"), 0).otherwise(1)).over(w))
     # Within an island of cues the run begins at the first line that may open one.
-    run = Window.partitionBy("doc", "page", "island").orderBy("pos")
+    run = Window.partitionBy("doc", "page", "island").orderBy(order)
     rows = rows.withColumn("in_run", F.col("cue") & (F.max((F.col("cue") & F.col("opens")).cast("int")).over(run) == 1))
     whole = Window.partitionBy("doc", "page", "island")
     size = F.sum(F.col("in_run").cast("int")).over(whole)
     promoted = F.col("in_run") & ((size >= 2) | F.col("a"))
-    return rows.withColumn("promoted", promoted).select("doc", "page", "pos", "text", F.when(F.col("promoted"), "ol_item").otherwise(F.col("role")).alias("role"), "promoted")
+    kept = ["doc", "page", "pos", "text"] if keep is None else keep
+    return rows.withColumn("promoted", F.coalesce(promoted, F.lit(False))).select(*kept, F.when(F.col("promoted"), "ol_item").otherwise(F.col("role")).alias("role"), "promoted")
+
+
+def resolve_levels(lines: DataFrame, order: str = "pos") -> DataFrame:
+    """Levels of heading lines under their pages' sections: ``role`` and ``level`` of lines (doc, page, text, key, role, hlevel, blevel, section).
+
+    ``hlevel`` is the level at which a line is proposed as a heading (null: it
+    isn't), ``blevel`` that of its best role. A heading that the path names is
+    chrome, but for labels of repeated sections. Such a label takes the level
+    that its slot got first in the document: the body's base, one below it for
+    peers. Others stand as far under the base as their proposal is under the
+    page's least one; the path's own titles, list items and chrome don't count.
+    """
+    clamp = lambda c: F.least(F.lit(6), F.greatest(F.lit(1), c))
+    named = F.array_contains(F.transform("section", tx.section_key), F.col("key"))
+    rows = lines.withColumns({"__named": named, "__label": tx.is_section_label(F.col("text")), "__slot": tx.slot_key(F.col("text"))})
+    head = F.col("role") == "heading"
+    rows = rows.withColumn("role", F.when(head & F.col("__named") & ~F.col("__label"), "chrome").otherwise(F.col("role")))
+    base = clamp(F.size("section") + 1)
+    seen = F.coalesce(F.col("hlevel"), F.col("blevel"), F.lit(2))
+    counts = (head | F.col("hlevel").isNotNull()) & ~F.col("__named") & ~F.col("role").isin("ol_item", "ul_item", "chrome")
+    least = F.min(F.when(counts, seen)).over(Window.partitionBy("doc", "page"))
+    first = F.when(F.col("__slot") == tx.BLOCK_SLOT, base).otherwise(clamp(base + 1))
+    lock = F.min(F.when(head & F.col("__label"), F.struct("page", F.col(order).alias("at"), first.alias("level")))).over(Window.partitionBy("doc", "__slot"))["level"]
+    rows = rows.withColumns({"__least": F.coalesce(least, seen), "__lock": lock})
+    level = F.when(F.col("__label"), F.col("__lock")).otherwise(clamp(base + F.greatest(F.lit(0), seen - F.col("__least"))))
+    return rows.withColumn("level", F.when(head, level).cast("long")).drop("__named", "__label", "__slot", "__least", "__lock")
 
 
 def heading_levels(lines: DataFrame) -> DataFrame:
@@ -230,35 +262,34 @@ def figure_height(y: Column, z: Column) -> Column:
     return F.when(y.isNull() | F.isnan(y), zone).when(y <= 1, y).when(y <= 1000, y / 1000).otherwise(0.5)
 
 
-def figures_in_order(blocks: DataFrame) -> DataFrame:
-    """Blocks (doc, page, pos, k, y, z, edge) with figures put where they stand, from the top down; rank is the new place.
+def figure_order(blocks: Column) -> Column:
+    """The places (``pos``) of a page's blocks, an array of structs (pos, figure, heading, low, h, top) in order, once its figures stand where they belong.
 
-    High ones (under 0.35 or in the top zone) go behind the first heading, low
-    ones (over 0.65 or in the bottom zone) before the last texts of the bottom
-    zone, others in proportion to their height. Each figure's place depends on
-    those put before it, so a page is folded as one small group.
+    Figures are put in from the top down. High ones (above 0.35 or in the top
+    zone) go behind the first heading, else first; low ones (below 0.65, or
+    low) before the run of low texts and figures that ends the page; others in
+    proportion to their height.
     """
+    others = F.filter(blocks, lambda b: ~b["figure"])
+    figures = F.array_sort(F.transform(F.filter(blocks, lambda b: b["figure"]), lambda b: F.struct(b["h"].alias("h"), b["pos"].alias("pos"), b.alias("b"))))
+
+    def put(done: Column, x: Column) -> Column:
+        fig, n = x["b"], F.size(done)
+        after_heading = F.array_position(F.transform(done, lambda b: b["heading"]), True).cast("int")
+        # Behind the last text that isn't low stands the run that ends the page; a figure in front of its first text stays in front.
+        last_high = F.aggregate(F.transform(done, lambda b, i: F.when(~b["figure"] & ~b["low"], i + 1).otherwise(0)), F.lit(0), lambda acc, i: F.greatest(acc, i))
+        first_text = F.aggregate(F.transform(done, lambda b, i: F.when(~b["figure"] & (i >= last_high), i).otherwise(n)), n, lambda acc, i: F.least(acc, i))
+        middle = F.greatest(F.lit(1), F.least(n, F.floor(n * fig["h"]).cast("int")))
+        at = F.when((fig["h"] < 0.35) | fig["top"], after_heading).when((fig["h"] > 0.65) | fig["low"], first_text).otherwise(middle)
+        return F.concat(F.slice(done, F.lit(1), at), F.array(fig), F.slice(done, at + 1, F.greatest(n - at, F.lit(0))))
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("pos")
-        of = {r.pos: r for r in rows.itertuples(index=False)}
-        order = [p for p, r in of.items() if r.k != "figure"]
-        low = lambda r: r.z == "bottom" or r.edge == "bottom"
-        for fig in sorted((r for r in of.values() if r.k == "figure"), key=lambda r: r.h):
-            if fig.h < 0.35 or fig.z == "top":
-                at = next((i + 1 for i, p in enumerate(order) if of[p].k == "heading"), 0)
-            elif fig.h > 0.65 or low(fig):
-                at = len(order)
-                for i in reversed(range(len(order))):
-                    if of[order[i]].k != "figure":
-                        if not low(of[order[i]]):
-                            break
-                        at = i
-            else:
-                at = max(1, min(len(order), int(len(order) * fig.h)))
-            order.insert(at, fig.pos)
-        rank = {p: i for i, p in enumerate(order)}
-        return rows.assign(rank=rows["pos"].map(rank))[["doc", "page", "pos", "k", "rank"]]
-
-    placed = blocks.withColumn("h", figure_height(F.col("y"), F.col("z")))
-    return placed.groupBy("doc", "page").applyInPandas(place, "doc long, page long, pos long, k string, rank long")
+    return F.transform(F.aggregate(figures, others, put), lambda b: b["pos"])
+
+
+def figures_in_order(blocks: DataFrame) -> DataFrame:
+    """Blocks (doc, page, pos, k, y, z, edge) with figures put where they stand, from the top down; rank is the new place. Each figure's place depends on those put before it, so a page's places are one array."""
+    low = F.coalesce((F.col("z") == "bottom") | (F.col("edge") == "bottom"), F.lit(False))
+    item = F.struct("pos", (F.col("k") == "figure").alias("figure"), (F.col("k") == "heading").alias("heading"), low.alias("low"), figure_height(F.col("y"), F.col("z")).alias("h"), F.col("z").eqNullSafe("top").alias("top"))
+    by = blocks.groupBy("doc", "page").agg(F.array_sort(F.collect_list(item)).alias("b"), F.map_from_entries(F.collect_list(F.struct("pos", "k"))).alias("kinds"))
+    placed = by.select("doc", "page", "kinds", F.posexplode(figure_order(F.col("b"))).alias("rank", "pos"))
+    return placed.select("doc", "page", "pos", F.element_at("kinds", F.col("pos")).alias("k"), F.col("rank").cast("long"))

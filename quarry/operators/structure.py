@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.functions.binding import let
 from quarry.operators.graph import checkpointed
 
 
@@ -55,13 +56,16 @@ def line_blocks(lines: DataFrame) -> DataFrame:
 
 def embedded_lines(item: Column) -> Column:
     """A list item's lines (an array): its head, then what it holds below, by line breaks or else by inner bullets."""
-    raw = tx.trim(F.replace(item, F.lit("\r\n"), F.lit("\n")))
     filled = lambda a: F.filter(F.transform(a, tx.trim), lambda x: x != "")
-    lines, bits = filled(F.split(raw, "\n+")), filled(F.split(raw, "\\s*•\\s*"))
-    parts = F.when((F.size(lines) == 1) & raw.contains("•") & (F.size(bits) >= 2), bits).otherwise(lines)
-    bare = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: tx.trim(F.regexp_replace(F.regexp_replace(x, r"^[•▪◦*\-]\s+", ""), r"^[0-9]+[.)]\s+", "")))
-    whole = F.concat(F.array(F.regexp_replace(parts[0], r"^[•▪◦]\s+", "")), F.filter(bare, lambda x: x != ""))
-    return F.when(F.size(parts) > 1, whole).otherwise(F.array(raw))
+    bare = lambda x: tx.trim(F.regexp_replace(F.regexp_replace(x, r"^[•▪◦*\-]\s+", ""), r"^[0-9]+[.)]\s+", ""))
+
+    def of(raw: Column) -> Column:
+        lines = F.when(raw.contains("\n"), filled(F.split(raw, "\n+"))).otherwise(filled(F.split(raw, "\\s*•\\s*")))
+        # Breaks of line count first, inner bullets only where there are none.
+        whole = lambda p: F.when(F.size(p) > 1, F.concat(F.array(F.regexp_replace(p[0], r"^[•▪◦]\s+", "")), F.filter(F.transform(F.slice(p, 2, F.size(p)), bare), lambda x: x != ""))).otherwise(F.array(raw))
+        return F.when(raw.contains("\n") | raw.contains("•"), let(lines, whole)).otherwise(F.array(raw))
+
+    return let(tx.trim(F.replace(item, F.lit("\r\n"), F.lit("\n"))), of)
 
 
 def numbered_groups(items: DataFrame) -> DataFrame:
@@ -82,18 +86,27 @@ def numbered_groups(items: DataFrame) -> DataFrame:
     return by.filter("first > 0 and groups > 1 and nested > 0").select("doc", "groups", "md")
 
 
+def block_proposals(kind: Column, level: Column, text: Column) -> Column:
+    """Proposals (role, level, score) for a heading or paragraph: headings gain by their kind and keep their level, paragraphs hold against weak heading cues."""
+
+    def of(fresh: Column) -> Column:
+        make = lambda p, lvl, score: F.struct(p["role"].alias("role"), lvl.alias("level"), score.alias("score"))
+        head = lambda p: p["role"] == "heading"
+        listed = F.exists(fresh, lambda p: p["role"].isin("ol_item", "ul_item"))
+        up = F.transform(fresh, lambda p: make(p, F.when(head(p), level.cast("int")).otherwise(p["level"]), F.when(head(p), F.least(F.lit(1.0), p["score"] + 0.25)).otherwise(p["score"])))
+        more = F.when(F.exists(fresh, head), up).otherwise(F.concat(up, F.array(F.struct(F.lit("heading").alias("role"), level.cast("int").alias("level"), F.lit(0.7).alias("score")))))
+        up = F.transform(more, lambda p: make(p, p["level"], F.when(head(p) & ~listed, F.greatest(p["score"], F.lit(0.8))).otherwise(p["score"])))
+        weak = let(tx.best_role(fresh), lambda b: head(b) & (b["score"] < 0.7))
+        held = F.transform(fresh, lambda p: make(p, p["level"], F.when(weak & (p["role"] == "paragraph"), F.greatest(p["score"], F.lit(0.75))).otherwise(p["score"])))
+        return F.when(kind == "heading", up).otherwise(held)
+
+    return let(tx.line_roles(text), of)
+
+
 def block_role(kind: Column, level: Column, text: Column) -> Column:
-    """The role of a block: lists stay lists; headings gain by their kind, paragraphs hold against weak heading cues."""
-    fresh = tx.line_roles(text)
-    up = F.transform(fresh, lambda p: F.struct(p["role"].alias("role"), F.when(p["role"] == "heading", level.cast("int")).otherwise(p["level"]).alias("level"), F.when(p["role"] == "heading", F.least(F.lit(1.0), p["score"] + 0.25)).otherwise(p["score"]).alias("score")))
-    listed = F.exists(fresh, lambda p: p["role"].isin("ol_item", "ul_item"))
-    has = F.exists(fresh, lambda p: p["role"] == "heading")
-    up = F.when(has, up).otherwise(F.concat(up, F.array(F.struct(F.lit("heading").alias("role"), level.cast("int").alias("level"), F.lit(0.7).alias("score")))))
-    up = F.transform(up, lambda p: F.struct(p["role"].alias("role"), p["level"].alias("level"), F.when((p["role"] == "heading") & ~listed, F.greatest(p["score"], F.lit(0.8))).otherwise(p["score"]).alias("score")))
-    best = tx.best_role(fresh)
-    weak = (best["role"] == "heading") & (best["score"] < 0.7)
-    held = F.transform(fresh, lambda p: F.struct(p["role"].alias("role"), p["level"].alias("level"), F.when(weak & (p["role"] == "paragraph"), F.greatest(p["score"], F.lit(0.75))).otherwise(p["score"]).alias("score")))
-    return F.when(kind == "list", F.lit("ul_item")).when(kind == "heading", tx.best_role(up)["role"]).when(kind == "paragraph", tx.best_role(held)["role"]).otherwise(F.lit("paragraph"))
+    """The role of a block: lists stay lists; others take their best proposal."""
+    best = let(block_proposals(kind, level, text), tx.best_role)
+    return F.when(kind == "list", F.lit("ul_item")).when(kind.isin("heading", "paragraph"), best["role"]).otherwise(F.lit("paragraph"))
 
 
 def rebase_headings(blocks: DataFrame) -> DataFrame:
@@ -216,20 +229,87 @@ def page_notes(page_comments: Column, figure_notes: Column, document_comments: C
     return F.array_join(F.concat(page_comments, figure_notes, document_comments, given), " · ")
 
 
+#: Heads of list items that are numbered, or prompts (``To ...:``).
+NUMBERED, PROMPT = r"^[0-9]+[.)]\s+\S", r"(?i)^To\s+\S.+:$"
+
+
+def _is_head(line: Column) -> Column:
+    t = tx.trim(line)
+    return t.rlike(NUMBERED) | t.rlike(PROMPT)
+
+
+def _unmarked(line: Column) -> Column:
+    return F.regexp_replace(line, r"^[-*•]\s+", "")
+
+
+def _tail(a: Column) -> Column:
+    return F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))
+
+
+def is_prompt_list(items: Column) -> Column:
+    """Whether a list is one prompt or numbered head with plain items under it."""
+    heads = F.transform(items, lambda x: tx.trim(embedded_lines(F.coalesce(x, F.lit("")))[0]))
+    prompt = lambda h: _is_head(h[0]) & ~F.exists(_tail(h), lambda x: x.rlike(NUMBERED))
+    return F.coalesce(F.when(F.size(items) >= 2, let(heads, prompt)), F.lit(False))
+
+
+def prompt_markdown(items: Column, number: Column) -> Column:
+    """Such a list as Markdown: its head under ``number``, all else below it."""
+
+    def of(parts: Column) -> Column:
+        below = F.concat(_tail(parts[0]), F.flatten(F.transform(_tail(parts), lambda p: F.concat(F.array(_unmarked(p[0])), _tail(p)))))
+        head = tx.trim_end(F.concat(number.cast("string"), F.lit(". "), tx.without_number(parts[0][0])))
+        lines = F.transform(F.filter(F.transform(below, tx.trim), lambda x: x != ""), lambda x: F.concat(F.lit("   - "), x))
+        return F.array_join(F.concat(F.array(head), lines), "\n")
+
+    return let(F.transform(items, lambda x: embedded_lines(F.coalesce(x, F.lit("")))), of)
+
+
+def grouped_markdown(items: Column) -> Column:
+    """A list of several heads with items under them as Markdown, heads numbered anew; null for other lists: with items before the first head, fewer than two heads, or nothing under any."""
+    start = F.struct(F.lit(0).alias("heads"), F.lit(0).alias("under"), F.lit(False).alias("stray"), F.array().cast("array<string>").alias("lines"))
+
+    def step(acc: Column, item: Column) -> Column:
+        def of(p: Column) -> Column:
+            blank, head = (p[0] == "") & (F.size(p) == 1), _is_head(p[0])
+            under = F.filter(F.concat(F.when(head, F.array().cast("array<string>")).otherwise(F.array(_unmarked(p[0]))), _tail(p)), lambda x: tx.trim(x) != "")
+            n = acc["heads"] + head.cast("int")
+            first = F.when(head, F.array(tx.trim_end(F.concat(n.cast("string"), F.lit(". "), tx.without_number(p[0]))))).otherwise(F.array().cast("array<string>"))
+            lines = F.concat(acc["lines"], first, F.transform(under, lambda x: F.concat(F.lit("   - "), tx.trim(x))))
+            more = F.size(p) - head.cast("int")
+            return F.when(blank, acc).otherwise(F.struct(n.alias("heads"), (acc["under"] + more).alias("under"), (acc["stray"] | (n == 0)).alias("stray"), lines.alias("lines")))
+
+        return let(embedded_lines(F.coalesce(item, F.lit(""))), of)
+
+    whole = lambda acc: F.when(~acc["stray"] & (acc["heads"] >= 2) & (acc["under"] > 0), F.array_join(acc["lines"], "\n"))
+    return F.aggregate(items, start, step, whole)
+
+
+def list_block_markdown(items: Column, ordered: Column) -> Column:
+    """A list block as Markdown: groups of heads, a lone prompt under its own number, or a plain list."""
+    own = F.regexp_extract(tx.trim(F.coalesce(F.get(items, F.lit(0)), F.lit(""))), r"^([0-9]+)", 1)
+    number = F.coalesce(F.nullif(F.when(own != "", own.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")), F.lit(1).cast("decimal(38,0)"))
+    grouped = let(F.struct(grouped_markdown(items).alias("x")), lambda g: F.coalesce(g["x"], F.when(is_prompt_list(items), prompt_markdown(items, number)).otherwise(list_markdown(items, ordered))))
+    return F.when(F.size(items) > 0, grouped).otherwise(F.lit(""))
+
+
 def list_markdown(items: Column, ordered: Column) -> Column:
     """A list's items as Markdown, what an item holds below its first line indented under it; a list most of whose items are numbered is ordered."""
-    numbered = F.size(F.filter(items, lambda x: tx.trim(x).rlike(r"^[0-9]+[.)]\s+\S")))
+    numbered = F.size(F.filter(items, lambda x: tx.trim(x).rlike(NUMBERED)))
     as_numbers = F.coalesce(ordered, F.lit(False)) | ((F.size(items) >= 2) & (numbered >= F.ceil(F.size(items) * 0.6)))
 
-    def lines(item: Column, i: Column) -> Column:
-        parts = embedded_lines(item)
-        head = F.when(as_numbers, tx.without_number(parts[0])).otherwise(F.regexp_replace(parts[0], r"^[-*•]\s+", ""))
-        mark = F.when(as_numbers, F.concat((i + 1).cast("string"), F.lit("."))).otherwise("-")
-        below = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.concat(F.when(as_numbers, "   - ").otherwise("  - "), x))
-        whole = F.concat(F.array(tx.trim_end(F.concat_ws(" ", mark, head))), below)
-        return F.when((F.size(parts) == 1) & (parts[0] == ""), F.array().cast("array<string>")).otherwise(whole)
+    def listed(n: Column) -> Column:
+        def lines(item: Column, i: Column) -> Column:
+            def of(parts: Column) -> Column:
+                head = F.when(n, F.concat((i + 1).cast("string"), F.lit(". "), tx.without_number(parts[0]))).otherwise(F.concat(F.lit("- "), _unmarked(parts[0])))
+                below = F.transform(_tail(parts), lambda x: F.concat(F.when(n, "   - ").otherwise("  - "), x))
+                return F.when((F.size(parts) == 1) & (parts[0] == ""), F.array().cast("array<string>")).otherwise(F.concat(F.array(tx.trim_end(head)), below))
+
+            return let(embedded_lines(item), of)
 
-    return F.array_join(F.flatten(F.transform(items, lines)), "\n")
+        return F.array_join(F.flatten(F.transform(items, lines)), "\n")
+
+    return let(as_numbers, listed)
 
 
 def keep_markdown() -> Column:
@@ -252,24 +332,3 @@ def keep_markdown() -> Column:
         .when(k == "code", F.concat(F.lit("```"), F.coalesce("lang", F.lit("")), F.lit("\n"), tx.trim_end(F.col("t")), F.lit("\n```")))
         .otherwise(block_markdown(k, F.col("t"), F.col("lvl"), F.col("tone")))
     )
-
-
-def assemble(lines: DataFrame, sections: DataFrame, hints: DataFrame, titles: DataFrame) -> DataFrame:
-    """doc and markdown of pages of lines (doc, page, pos, text, at_start, at_end, chrome): edges without chrome, roles, list runs, levels under the sections (doc, page, section), repeated headings dropped, blocks, hints (title, level), Markdown, and the document's title (titles: doc, title)."""
-    from quarry.operators import pages
-
-    kept = pages.strip_edges(lines).withColumn("best", tx.best_role(tx.line_roles(F.col("text"))))
-    roled = pages.list_runs(kept.select("doc", "page", "pos", "text", F.col("best.role").alias("role")))
-    depth = sections.select("doc", "page", F.size("section").alias("depth"))
-    level = kept.select("doc", "page", "pos", F.coalesce("best.level", F.lit(2)).alias("lvl"))
-    heads = pages.heading_levels(roled.join(level, ["doc", "page", "pos"]).join(depth, ["doc", "page"], "left").withColumn("depth", F.coalesce("depth", F.lit(0))))
-    fixed = pages.fix_headings(heads.select("doc", "page", "pos", "text", "level")).select("doc", "page", "pos", "level")
-    # A heading that repeats the one before it has no level any more and goes with the chrome.
-    ready = roled.join(fixed, ["doc", "page", "pos"], "left").withColumn("role", F.when((F.col("role") == "heading") & F.col("level").isNull(), "chrome").otherwise(F.col("role")))
-    blocks = apply_hints(materialise(ready, sections), hints)
-    none = {c: F.lit(None).cast(t) for c, t in {"tone": "string", "headers": "array<string>", "rows": "array<array<string>>", "caption": "string", "artifact": "string", "src": "string", "display": "boolean", "lang": "string"}.items()}
-    full = blocks.withColumns(none)
-    parts = full.select("doc", F.struct("page", "seq", keep_markdown().alias("md")).alias("b")).filter("b.md <> ''")
-    docs = parts.groupBy("doc").agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda b: b["md"]), "\n\n"), F.lit("\n")).alias("markdown"))
-    named = docs.join(titles.select(F.col("doc").alias("__d"), "title"), F.col("doc") == F.col("__d"), "left")
-    return named.select("doc", titled(F.col("markdown"), F.col("title")).alias("markdown"))

@@ -57,7 +57,16 @@ def headings(spark, d):
 
 
 def w09_levels(spark, d):
-    return pg.heading_levels(headings(spark, d)).select("doc", "page", "pos", "level", "jump")
+    """Levels of headings under sections of no, one or two titles; labels of repeated sections and titles of the path among them."""
+    pos = F.col("pos")
+    text = F.when(pos % 7 == 0, "What it is").when(pos % 7 == 3, "Make it Yours:").when(pos % 7 == 5, "1. Book").otherwise(F.concat(F.lit("Title "), (pos % 4).cast("string")))
+    rows = fx.lines(spark, d).filter("length(text) > 0").select("doc", (F.floor(pos / 10) + 1).alias("page"), "pos", text.alias("text"), F.when(pos % 3 == 0, "heading").when(pos % 3 == 1, "paragraph").otherwise("ol_item").alias("role"), F.when(pos % 9 == 0, None).when((pos % 3 == 0) | (pos % 5 == 0), pos % 4 + 1).cast("int").alias("hlevel"), F.lit(2).alias("blevel"), F.slice(F.array(F.lit("Book"), F.lit("Part")), F.lit(1), (F.col("doc") % 3).cast("int")).alias("section"))
+    out = pg.resolve_levels(rows.withColumn("key", tx.section_key(F.col("text"))))
+    return out.filter("role in ('heading', 'chrome')").select("doc", "page", "pos", "role", "level")
+
+
+LEVELS = """base as (select doc, pos, pos // 10 + 1 as page, pos % 3 = 0 as head, doc % 3 >= 1 and pos % 7 = 5 as named, pos % 7 in (0, 3) as label, pos % 7 = 0 as peer, case when pos % 9 <> 0 and (pos % 3 = 0 or pos % 5 = 0) then pos % 4 + 1 end as hl, doc % 3 + 1 as base, pos % 3 = 2 as item from line where length(text) > 0),
+least as (select *, min(coalesce(hl, 2)) filter ((head or hl is not null) and not named and not item) over (partition by doc, page) as least_hl, first_value(base + peer::int) over (partition by doc, head, label, peer order by pos) as locked from base)""", """select doc, page, pos, case when named then 'chrome' else 'heading' end as role, case when not named then case when label then locked else base + greatest(0, coalesce(hl, 2) - coalesce(least_hl, coalesce(hl, 2))) end end::bigint as level from least where head"""
 
 
 def w10_fix_headings(spark, d):
@@ -271,7 +280,7 @@ QUERIES = {
     "w22_uncertain": (w22_uncertain, None),
     "w23_review": (w23_review, None),
     "w08_list_runs": (w08_list_runs, None),
-    "w09_levels": (w09_levels, with_tables("line", "select doc, page, pos, level, coalesce(level - lag(level) over (partition by doc order by page, pos) > 2, false) as jump from (select doc, page, pos, least(6, greatest(1, doc % 3 + 1 + pos % 4 + 1 - least_lvl))::bigint as level from (select *, pos // 10 + 1 as page, min(pos % 4 + 1) over (partition by doc, pos // 10) as least_lvl from line where length(text) > 0) where pos % 3 = 0)")),
+    "w09_levels": (w09_levels, with_tables("line", LEVELS[1], LEVELS[0])),
     "w10_fix_headings": (w10_fix_headings, with_tables("line", "select doc, page, pos, text, min(level) over (partition by doc, text) as level from (select *, lag(text) over w as pt, lag(level) over w as pl from (select doc, pos // 10 + 1 as page, pos, 'Part ' || (pos // 6 % 4) as text, pos % 4 + 1 as level from line where length(text) > 0 and pos % 3 = 0) window w as (partition by doc order by page, pos)) where not coalesce(pt = text and pl = level, false)")),
     "w11_monotone": (w11_monotone, with_tables("line", "select doc, count(*) as numbers, sum(back)::bigint as inversions, sum(back) = 0 or sum(back) * 10 < count(*) - 1 as preserve from (select doc, coalesce(n < lag(n) over (partition by doc order by pos) and n <> 1, false)::bigint as back from (select doc, pos, length(text) % 9 + pos as n from line)) group by 1")),
     "w12_merge": (w12_merge, with_tables("line", "select doc, f.page as page, f.pos as pos, k, sha256(case when k = 'paragraph' then list_reduce(ts, lambda a, x: regexp_replace(a, '\\s+$', '') || ' ' || regexp_replace(x, '^\\s+', '')) when k = 'table' and trim(ts[1]) = '' then coalesce(list_filter(ts, lambda x: trim(x) <> '')[1], ts[1]) else ts[1] end) as sha256, case when k = 'list' then array_to_string(list_transform(own, lambda x: x || '|x'), '|') else '' end as items, case when k = 'table' then len(ts) else 0 end as n_rows from (select doc, min(k) as k, min({'page': page, 'pos': pos}) as f, list(t order by page, pos) as ts, list(own order by page, pos) as own from opened group by doc, island, case when opener is distinct from 'start' then pos end)", BLOCK, "was as (select *, case pos % 6 when 1 then 'start' when 2 then 'mid' when 3 then 'end' end as c from block)", "made as (select doc, page, pos, case when c = 'end' and pos % 5 = 0 then 'paragraph' when c is not null then ['paragraph', 'list', 'table'][1 + pos // 6 % 3] else k end as k, t as own, case when c = 'start' and pos % 7 = 0 then null else c end as cont from was)", "went as (select *, case when k = 'table' and cont = 'start' then ' ' else own end as t, coalesce(cont in ('mid', 'end') and k in ('paragraph', 'list', 'table') and lag(k) over w = k and lag(cont) over w in ('start', 'mid'), false) as goes from made window w as (partition by doc order by page, pos))", "island as (select *, sum(case when goes then 0 else 1 end) over (partition by doc order by page, pos) as island from went)", "opened as (select *, first_value(cont) over (partition by doc, island order by page, pos) as opener from island)")),

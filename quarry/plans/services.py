@@ -216,15 +216,6 @@ def p07_publish_check(spark, d):
     return by.withColumn("publishable", leaks.scalar() == 0)
 
 
-def p12_assemble(spark, d):
-    p = fx.lines(spark, d)
-    pos = F.col("pos")
-    blocks = p.select("doc", (F.floor(pos / 10) + 1).alias("page"), "pos", F.when(pos % 6 == 0, "heading").otherwise("paragraph").alias("k"), F.col("text").alias("t"), F.when(pos % 6 == 1, "start").when(pos % 6 == 2, "end").alias("cont"), (pos % 10 < 2).alias("at_start"), (pos % 10 > 8).alias("at_end"), (F.length("text") % 4 == 0).alias("chrome"))
-    merged = pg.merge_continuations(pg.strip_edges(blocks).select("doc", "page", "pos", "k", "t", "cont", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<array<string>>").alias("rows")))
-    md = pg.document_markdown(merged.withColumns({"lvl": F.lit(2), "tone": F.lit(None).cast("string")}))
-    return md.select("doc", F.sha2("markdown", 256).alias("sha256"), F.length("markdown").cast("long").alias("chars"))
-
-
 def p05_units(spark, d):
     s = selected(spark, d)
     return s.groupBy("unit").agg(F.count(F.lit(1)).alias("contributors"), F.count_if(F.col("state") == "submitted").alias("submitted"))
@@ -288,7 +279,6 @@ QUERIES = {
     "a01_counts": (a01_counts, "select source as dataset, count(*) as total from documents group by 1"),
     "a02_latest": (a02_latest, with_tables("sample_revision", "select sample_id, max(revision) as revision, arg_max(id, revision) as revision_id from sample_revision group by 1")),
     "p07_publish_check": (p07_publish_check, with_tables("truth_member", "select partition, count(*) as members, count(distinct \"group\") as groups, (select count(*) from (select \"group\" from truth_member group by 1 having count(distinct partition) > 1 union all select content_digest from truth_member group by 1 having count(distinct partition) > 1)) = 0 as publishable from truth_member group by 1")),
-    "p12_assemble": (p12_assemble, None),
     "p05_units": (p05_units, _l.selected_sql("select unit, count(*) as contributors, count(*) filter (state = 'submitted') as submitted from selected group by 1")),
     "e03_retries": (e03_retries, with_tables("event", "select operation_id, case when state = 'failed' then epoch + 1 else epoch end as next_epoch, state = 'failed' as retryable from (select operation_id, state from fold qualify row_number() over (partition by operation_id order by n desc) = 1) f join (select operation_id, max(epoch) as epoch from seq group by 1) using (operation_id)", _g.SEQ, _g.FOLD).replace("with ", "with recursive ", 1)),
     "e19_dispatches": (e19_dispatches, with_tables("event", "select operation_id, epoch, arg_max(case event_type when 'queued' then 'pending' when 'running' then 'submitted' else 'unknown' end, revision) as status, count(*) as events from seq group by 1, 2", _g.SEQ)),

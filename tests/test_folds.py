@@ -272,19 +272,6 @@ def test_block_markdown(spark):
     assert [out[i] for i in range(len(cases))] == [md for _, md in cases]
 
 
-def test_assemble(spark):
-    texts = {1: ["RUNNING HEAD", "Why It Works:", "a. First thing", "b. Second thing", "this is a plain line of text that goes on for a while and ends.", "9"], 2: ["RUNNING HEAD", "Why It Works", "- dot", "Why It Works"]}
-    rows = [(1, p, p * 10 + i, t, i == 0, i == len(ts) - 1, t in ("RUNNING HEAD", "9")) for p, ts in texts.items() for i, t in enumerate(ts)]
-    lines = spark.createDataFrame(rows, "doc long, page long, pos long, text string, at_start boolean, at_end boolean, chrome boolean")
-    sections = spark.createDataFrame([(1, 1, ["Book"]), (1, 2, ["Book", "Deep"])], "doc long, page long, section array<string>")
-    hints = spark.createDataFrame([("deep", 5)], "title string, level long")
-    titles = spark.createDataFrame([(1, "My Title")], "doc long, title string")
-    md = structure.assemble(lines, sections, hints, titles).first()["markdown"]
-    assert md.split("\n\n")[:2] == ["# My Title", "# Book"]
-    assert "1. First thing\n2. Second thing" in md and "##### Deep" in md and "- dot" in md
-    assert "RUNNING" not in md and "\n9" not in md and md.endswith("\n")
-
-
 def test_ascii_json(spark):
     text = 'ü "q" \\ \n\x01 \U0001f600 ~'
     assert one(spark, canonical.quoted_ascii, text) == json.dumps(text)
