@@ -138,7 +138,7 @@ def reconcile_jobs(jobs: DataFrame, active: DataFrame) -> DataFrame:
 
 
 def upsert_latest(log: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key; created_at stays that of the first."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    first = F.min("created_at").over(Window.partitionBy(key))
-    return log.withColumn("created_at", first).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """The last row of each key; created_at stays that of the first. One aggregation, whose partial results combine before the exchange."""
+    rest = [c for c in log.columns if c not in (key, "created_at")]
+    by = log.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("x"), F.min("created_at").alias("created_at"))
+    return by.select(key, "created_at", "x.*").select(*log.columns)

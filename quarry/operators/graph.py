@@ -11,20 +11,29 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def shared_folder(sc: SparkContext) -> str:
+    """The folder that all executors share: that of ``spark.checkpoint.dir``, or on a local master one in the temporary folder."""
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "quarry-checkpoints")
+
+
 def checkpointed(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the session's shared folder.
 
-    ``spark.checkpoint.dir`` names that folder on a cluster; only where it is
-    unset (local tests) a folder of our own is used. At most ``parts`` files
-    are written.
+    ``spark.checkpoint.dir`` names that folder; where it is unset a local
+    master gets one of our own, a cluster an error, for a machine's folder
+    isn't shared. At most ``parts`` files are written.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "quarry-checkpoints"))
+        sc.setCheckpointDir(shared_folder(sc))
     return (df if parts is None else df.coalesce(parts)).checkpoint()
 
 

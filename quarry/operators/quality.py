@@ -84,6 +84,26 @@ def report(members: DataFrame, rules: list[Rule], limit: int = EVIDENCE) -> Data
     return out.select("rule_id", "required", "split", "status", "examined", "failures", F.array_join(listed, ",").alias("offending"), (F.col("failures") > F.size(listed)).alias("truncated"))
 
 
+def partial(members: DataFrame, rules: list[Rule], limit: int = EVIDENCE) -> DataFrame:
+    """The state of a report over some members: of each rule its counters and its first offenders, ``limit`` at most; states of parts can be merged, kept and merged again."""
+    if not 0 <= limit <= MOST_EVIDENCE:
+        raise ValueError(f"evidence: 0 to {MOST_EVIDENCE}")
+    shown = offenders(members, rules, limit).groupBy("rule_id").agg(F.sort_array(F.collect_list("sample_id")).alias("offending"))
+    return counters(members, rules).join(shown, "rule_id", "left").withColumn("offending", F.coalesce("offending", F.array().cast("array<string>")))
+
+
+def merge_states(*states: DataFrame, limit: int = EVIDENCE) -> DataFrame:
+    """The state over all parts' members. Merging is associative and commutative; the least offenders of all are among the least of each part, so nothing is lost."""
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("offending"))), 1, limit) if limit else F.array().cast("array<string>")
+    return reduce(DataFrame.unionByName, states).groupBy("rule_id").agg(F.sum("examined").alias("examined"), F.sum("failures").alias("failures"), first.alias("offending"))
+
+
+def finish(state: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The report that a state comes to, as ``report`` gives it over all members at once."""
+    out = statuses(state, rules)
+    return out.select("rule_id", "required", "split", "status", "examined", "failures", F.array_join("offending", ",").alias("offending"), (F.col("failures") > F.size("offending")).alias("truncated"))
+
+
 def gate(reported: DataFrame) -> DataFrame:
     """One row: whether every required rule has passed."""
     return reported.agg(F.coalesce(F.bool_and(~F.col("required") | (F.col("status") == "passed")), F.lit(True)).alias("required_rules_pass"), F.count_if(F.col("required")).alias("required_rules"), F.count_if(F.col("status") == "passed").alias("passed"))

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +15,10 @@ from quarry.functions.canonical import quoted
 from quarry.operators.graph import components
 
 
+# Workers get this module's functions with their task: they needn't have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def group_key(group_id: Column, sample_id: Column) -> Column:
     """``group:`` and the group, or ``sample:`` and the id where there is none; blank or too long groups give null."""
     bad = (F.length(F.trim(group_id)) == 0) | (F.length(group_id) > 200)
@@ -49,6 +59,31 @@ def train_components(members: DataFrame) -> DataFrame:
     return groups.join(found, F.col("group") == F.col("node"), "left").select("group", F.coalesce("component", "group").alias("component"))
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(component, name), sorted -> (component, digest, names): the names' JSON array is hashed as it streams by."""
+    going, sha, n = None, None, 0
+    for b in batches:
+        done: list[tuple] = []
+        for component, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if sha is None or component != going:
+                if sha is not None:
+                    sha.update(b"]")
+                    done.append((going, sha.hexdigest(), n))
+                going, sha, n = component, hashlib.sha256(b"["), 0
+            sha.update((b"," if n else b"") + name.encode())
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["component", "order", "groups"])
+    if sha is not None:
+        sha.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([going], pa.string()), pa.array([sha.hexdigest()], pa.string()), pa.array([n], pa.int64())], names=["component", "order", "groups"])
+
+
+def component_digests(comp: DataFrame) -> DataFrame:
+    """component, the SHA-256 of its groups' names as a sorted JSON array, and how many there are: one running hash, whatever a component's size."""
+    rows = comp.select("component", quoted(F.col("group")).alias("name")).repartition("component").sortWithinPartitions("component", "name")
+    return rows.mapInArrow(_digests, "component string, order string, groups long")
+
+
 def validation_split(members: DataFrame) -> DataFrame:
     """group, component, status and new partition of each train group.
 
@@ -57,7 +92,7 @@ def validation_split(members: DataFrame) -> DataFrame:
     components is an error; where a validation part exists nothing changes.
     """
     comp = train_components(members)
-    named = comp.groupBy("component").agg(F.sha2(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(quoted(F.col("group")))), ","), F.lit("]")), 256).alias("order"), F.count(F.lit(1)).alias("groups"))
+    named = component_digests(comp)
     # Ranks of all components: counts by the first byte of the digest place each slice, windows rank within it.
     named = named.withColumn("slice", F.substring("order", 1, 3))
     sizes = named.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))

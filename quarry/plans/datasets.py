@@ -117,6 +117,13 @@ def a07_merge(spark, d):
     return quality.merge_counters(quality.counters(m.filter(odd), RULES), quality.counters(m.filter(~odd), RULES))
 
 
+def a07_merged_report(spark, d):
+    """The report of three batches of members, each with a state of its own, the first two merged before the third comes."""
+    m = sealed(spark, d).withColumn("n", F.substring("sample_id", -2, 2).cast("int") % 3)
+    one, two, three = (quality.partial(m.filter(F.col("n") == i).drop("n"), RULES) for i in range(3))
+    return quality.finish(quality.merge_states(three, quality.merge_states(one, two)), RULES)
+
+
 def a08_gate(spark, d):
     return quality.gate(quality.report(sealed(spark, d), RULES))
 
@@ -280,6 +287,8 @@ def _nested(escaped: str) -> str:
 
 NESTED = f"select doc_id, {_nested(ESCAPED)} as sha256, {_nested(ASCII)} as ascii_sha256 from documents"
 
+A04 = report_sql(f"select rule_id, required, split, {STATUS} as status, examined, failures, coalesce((select string_agg(sample_id, ',' order by sample_id) from offender o where o.rule_id = c.rule_id and n <= 25), '') as offending, failures > 25 as truncated from counted c")
+
 QUERIES = {
     "t01_membership_asof": (t01_membership_asof, with_tables("membership", "select sample_id, split, valid_from, valid_to from membership where draft_id = 'src3' and valid_from <= 3 and (valid_to is null or valid_to > 3)")),
     "t01_membership_asof_many": (t01_membership_asof_many, with_tables("membership", "select m.draft_id, r as at_revision, count(*) as members from membership m, (values (1::bigint), (3), (5), (7)) t(r) where m.valid_from <= r and (m.valid_to is null or m.valid_to > r) group by 1, 2")),
@@ -297,6 +306,7 @@ QUERIES = {
     "a05_exact_fraction": (a05_exact_fraction, with_tables("membership metadata", "select t.id as rule_id, case when e = 0 then 'unknown' when f * t.den <= t.num * e then 'passed' else 'failed' end as status from (values ('t0', 0, 1), ('t1', 1, 2), ('t2', 5, 8), ('t3', 7, 10), ('t4', 1, 1)) t(id, num, den), (select count(*) as e, count(*) filter (quality is null or quality = 'null') as f from sealed)", SEALED)),
     "a06_offenders": (a06_offenders, report_sql("select rule_id, sample_id from offender where n <= 10")),
     "a07_merge": (a07_merge, report_sql("select rule_id, examined, failures from counted")),
+    "a07_merged_report": (a07_merged_report, A04),
     "a08_gate": (a08_gate, report_sql(f"select bool_and(not required or status = 'passed') as required_rules_pass, count(*) filter (required) as required_rules, count(*) filter (status = 'passed') as passed from (select required, {STATUS} as status from counted)")),
     "f19_running_view": (f19_running_view, report_sql("select rule_id, 'pending' as status from counted")),
     "f21_evidence": (f21_evidence, with_tables(NEEDED, "select sample_id, coalesce(verified, false) and collection_state = 'active' as intact from member", MEMBERS)),

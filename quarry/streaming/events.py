@@ -59,20 +59,64 @@ def fold_states(events: DataFrame) -> DataFrame:
     return events.groupBy("operation_id").applyInPandasWithState(_fold, "operation_id long, state string, applied long, refused long", STATE, "update", "NoTimeout")
 
 
-def merge_into(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that keeps the last row of each key in versioned tables ``path/v=<batch>``.
-
-    A batch that is run again writes the same version again, so delivery at
-    least once has an effect once.
+def _folder(spark, path: str):
+    """The path and its file system, as the cluster's own classes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark, path: str) -> dict[int, list[int]]:
+    """Of each bucket the versions there are, from the names of folders (``v=<batch>/b=<bucket>``)."""
+    at, fs = _folder(spark, path)
+    out: dict[int, list[int]] = {}
+    for v in fs.listStatus(at) if fs.exists(at) else ():
+        name = v.getPath().getName()
+        if name.startswith("v="):
+            for b in fs.listStatus(v.getPath()):
+                if b.getPath().getName().startswith("b="):
+                    out.setdefault(int(b.getPath().getName()[2:]), []).append(int(name[2:]))
+    return {b: sorted(v) for b, v in out.items()}
+
+
+def read_merged(spark, path: str, schema: str, below: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """The table that ``merge_into`` keeps: of each bucket the latest version (before batch ``below``)."""
+    latest = {b: [x for x in v if below is None or x < below] for b, v in _versions(spark, path).items() if buckets is None or b in buckets}
+    paths = [f"{path}/v={v[-1]}/b={b}" for b, v in sorted(latest.items()) if v]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def merge_into(path: str, key: str, order: str, buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that keeps the last row of each key, by ``order``, in a table of buckets under ``path``.
+
+    A batch is reduced to one row a key before anything is joined. Only the
+    buckets that it touches are written, as ``v=<batch>/b=<bucket>``; a batch
+    that is run again writes the same again, so delivery at least once has an
+    effect once. A row of an older order than the one that is kept changes
+    nothing. Of each bucket two versions stay. Rows with a null key are one key.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch
-        if batch_id > 0:
-            old = spark.read.parquet(f"{path}/v={batch_id - 1}")
-            new = old.join(batch.select(key), key, "left_anti").unionByName(batch)
-        new.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        spark, names = batch.sparkSession, batch.columns
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields)
+
+        def last(df: DataFrame) -> DataFrame:
+            return df.groupBy(F.col(key).alias("__k")).agg(F.max_by(F.struct(*names), F.col(order)).alias("x")).select("x.*")
+
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        new = last(batch).withColumn("b", bucket).persist()
+        try:
+            touched = [r["b"] for r in new.select("b").distinct().collect()]  # at most ``buckets``
+            if not touched:
+                return
+            old = read_merged(spark, path, schema, batch_id, touched)
+            whole = last(old.unionByName(new.select(*names))).withColumn("b", bucket)
+            whole.write.mode("overwrite").partitionBy("b").parquet(f"{path}/v={batch_id}")
+        finally:
+            new.unpersist()
+        for b, versions in _versions(spark, path).items():
+            for v in versions[:-2]:
+                at, fs = _folder(spark, f"{path}/v={v}/b={b}")
+                fs.delete(at, True)
 
     return write
 

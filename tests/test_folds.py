@@ -322,12 +322,21 @@ def test_streaming_windows(spark, log):
 
 
 def test_merge_into(spark, tmp_path):
-    write = stream.merge_into(str(tmp_path / "t"), "k")
-    write(spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), 0)
-    new = spark.createDataFrame([(2, "c")], "k long, v string")
-    write(new, 1)
-    write(new, 1)
-    assert values(spark.read.parquet(str(tmp_path / "t/v=1")), "k", "v") == [(1, "a"), (2, "c")]
+    """Keys repeated in a batch, batches run again, late rows, and two versions of a bucket."""
+    at, schema = str(tmp_path / "t"), "k long, n long, v string"
+    write = stream.merge_into(at, "k", "n", buckets=2)
+    table = lambda: values(stream.read_merged(spark, at, schema), "k", "n", "v")
+    put = lambda batch, *rows: write(spark.createDataFrame(rows, schema), batch)
+    put(0, (1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (None, 1, "x"))
+    assert sorted(table(), key=str) == sorted([(1, 2, "b"), (2, 1, "c"), (None, 1, "x")], key=str)
+    for _ in range(2):
+        put(1, (2, 3, "d"), (2, 2, "late"), (1, 1, "older"), (3, 1, "e"))
+        assert sorted(table(), key=str) == sorted([(1, 2, "b"), (2, 3, "d"), (3, 1, "e"), (None, 1, "x")], key=str)
+    put(2)
+    for batch in range(3, 7):
+        put(batch, (2, batch + 1, "d"))
+    assert (2, 7, "d") in table() and len(table()) == 4
+    assert all(len(v) <= 2 for v in stream._versions(spark, at).values())
 
 
 def test_append_and_dispatch(spark, log, tmp_path):
