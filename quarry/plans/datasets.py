@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions import canonical, text
 from quarry.operators import publication as pub
 from quarry.operators import quality, temporal
+from quarry.operators.graph import shared_folder
 from quarry.operators.quality import Rule
 from quarry.sources import fixtures as fx
+from quarry.sources import manifests
 from quarry.sources.fixtures import with_tables
 
 AT = 4
@@ -183,6 +187,17 @@ def s08_manifest_members(spark, d):
     return pub.manifest_members(members(spark, d)).select("sample_id", "digest")
 
 
+def s08_manifest_round_trip(spark, d):
+    """All members of a version as one manifest in the shared folder, read back; each row with the whole file's digest and size."""
+    m = members(spark, d)
+    whole = m.select("sample_id", F.struct("sample_id", "revision_id", "split", F.struct(F.col("artifact_id").alias("id"), "sha256", "size_bytes").alias("artifact")).alias("x"))
+    rows = whole.select("sample_id", canonical.json_of(F.col("x"), whole.schema["x"].dataType).alias("member"))
+    path = f"{shared_folder(spark.sparkContext).rstrip('/')}/manifest-{uuid.uuid4().hex}.json"
+    made = manifests.write_manifest(rows, path, {"dataset": "d", "zone": 1}, rows.count())
+    back = manifests.read_manifest(spark, path, {"dataset": "d"})
+    return back.select("sample_id", F.sha2("member", 256).alias("member_sha256"), F.lit(made["sha256"]).alias("sha256"), F.lit(made["size_bytes"]).cast("long").alias("size_bytes"))
+
+
 def p09_batch_differences(spark, d):
     m = members(spark, d).select("sample_id", "revision_id", "split")
     batch = m.withColumn("split", F.when(F.col("sample_id").endswith("7"), "test").otherwise(F.col("split")))
@@ -317,6 +332,7 @@ QUERIES = {
     "x03_lineage": (x03_lineage, with_tables(NEEDED, "select sample_id, position, kind, entry_id, case when entry_id is null then 'absent' else 'present' end as status from (select sample_id, p.position::bigint as position, p.kind, case p.kind when 'sample' then sample_id when 'revision' then revision_id when 'content' then sha256 when 'artifact' then artifact_id when 'split' then split end as entry_id from member, (values (0, 'sample'), (1, 'revision'), (2, 'content'), (3, 'artifact'), (4, 'split'), (5, 'annotation'), (6, 'transformation')) p(position, kind))", MEMBERS)),
     "x03_lineage_status": (x03_lineage_status, with_tables(NEEDED, "select sample_id, (2 * count(*) + count(*) filter (artifact_id is null))::bigint as absent, 'partial' as lineage from member group by 1", MEMBERS)),
     "s08_manifest_members": (s08_manifest_members, with_tables(NEEDED, """select sample_id, sha256('{"artifact":{"id":' || coalesce('"' || artifact_id || '"', 'null') || ',"size_bytes":' || size_bytes || '},"revision_id":"' || revision_id || '","sample_id":"' || sample_id || '","split":"' || split || '"}') as digest from member""", MEMBERS)),
+    "s08_manifest_round_trip": (s08_manifest_round_trip, with_tables(NEEDED, """select sample_id, sha256(x) as member_sha256, (select sha256(t) from whole) as sha256, (select octet_length(encode(t))::bigint from whole) as size_bytes from text""", MEMBERS, """text as (select sample_id, '{"artifact":{"id":' || coalesce('"' || artifact_id || '"', 'null') || ',"sha256":"' || sha256 || '","size_bytes":' || size_bytes || '},"revision_id":"' || revision_id || '","sample_id":"' || sample_id || '","split":"' || split || '"}' as x from member)""", """whole as (select '{"dataset":"d","members":[' || string_agg(x, ',' order by sample_id) || '],"zone":1}' as t from text)""")),
     "p09_batch_differences": (p09_batch_differences, with_tables(NEEDED, "select sample_id, revision_id, 'test' as split, 'not_sealed' as problem from member where sample_id like '%7' and split <> 'test' union all select sample_id, revision_id, split, 'lacking' from member where sample_id like '%7' and split <> 'test'", MEMBERS)),
     "p11_manifest_order": (p11_manifest_order, with_tables(NEEDED, "select scope, position, sample_id from (select *, lag(sample_id) over (partition by scope order by position) as before from (select split as scope, cast(right(sample_id, 6) as bigint) % 97 as position, min(sample_id) as sample_id from member group by 1, 2)) where before >= sample_id", MEMBERS)),
     "e15_collectable": (e15_collectable, with_tables("artifact location", "select a.artifact_id, count(l.id) as placements from artifact a left join location l using (artifact_id) where first_doc % 5 <> 0 and first_doc % 7 <> 0 and first_doc % 11 <> 0 group by 1 having count(l.id) <= 100")),
