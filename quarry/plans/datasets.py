@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quarry.functions import canonical, text
+from quarry.operators import commits
 from quarry.operators import publication as pub
 from quarry.operators import quality, temporal
 from quarry.operators.graph import shared_folder
@@ -53,6 +54,17 @@ def t02_interval_build(spark, d):
     return temporal.build_intervals(change_log(spark, d))
 
 
+def t02_committed(spark, d):
+    """Three batches of edits committed one after another; those of one source expect an old revision from the second on."""
+    root = f"{shared_folder(spark.sparkContext).rstrip('/')}/membership-{uuid.uuid4().hex}"
+    table = commits.Versioned(spark, root, commits.MEMBERSHIP, "draft_id")
+    log = change_log(spark, d)
+    for r in (1, 2, 3):
+        expected = F.when((F.col("draft_id") == "src3") & (F.col("revision") > 1), 0).otherwise(F.col("revision") - 1)
+        commits.apply_edits(table, log.filter(F.col("revision") == r).select("draft_id", expected.cast("long").alias("expected_revision"), "sample_id", "split"))
+    return commits.members_of(table.read())
+
+
 def t03_removed(spark, d):
     built = temporal.build_intervals(change_log(spark, d))
     return built.groupBy("draft_id").agg(F.count_if(F.col("valid_to").isNull()).alias("open"), F.count(F.lit(1)).alias("intervals"))
@@ -308,6 +320,7 @@ QUERIES = {
     "t01_membership_asof": (t01_membership_asof, with_tables("membership", "select sample_id, split, valid_from, valid_to from membership where draft_id = 'src3' and valid_from <= 3 and (valid_to is null or valid_to > 3)")),
     "t01_membership_asof_many": (t01_membership_asof_many, with_tables("membership", "select m.draft_id, r as at_revision, count(*) as members from membership m, (values (1::bigint), (3), (5), (7)) t(r) where m.valid_from <= r and (m.valid_to is null or m.valid_to > r) group by 1, 2")),
     "t02_interval_build": (t02_interval_build, f"with {CHANGES}, real as (select *, lead(revision) over (partition by draft_id, sample_id order by revision) as valid_to from (select *, lag(split) over (partition by draft_id, sample_id order by revision) as before from change_log) where split is distinct from before) select draft_id, sample_id, split, revision as valid_from, valid_to from real where split is not null"),
+    "t02_committed": (t02_committed, f"with {CHANGES}, taken as (select * from change_log where revision <= 3 and (draft_id <> 'src3' or revision = 1)), real as (select *, lead(revision) over (partition by draft_id, sample_id order by revision) as valid_to from (select *, lag(split) over (partition by draft_id, sample_id order by revision) as before from taken) where split is distinct from before) select draft_id, sample_id, split, revision as valid_from, valid_to from real where split is not null"),
     "t03_removed": (t03_removed, f"with {CHANGES}, real as (select *, lead(revision) over (partition by draft_id, sample_id order by revision) as valid_to from (select *, lag(split) over (partition by draft_id, sample_id order by revision) as before from change_log) where split is distinct from before) select draft_id, count(*) filter (valid_to is null) as open, count(*) as intervals from real where split is not null group by 1"),
     "t04_interval_violations": (t04_interval_violations, with_tables("membership", "select draft_id, sample_id, valid_from, valid_to, case when valid_to <= valid_from then 'empty' else 'overlap' end as violation from (select *, lead(valid_from) over (partition by draft_id, sample_id order by valid_from, valid_to nulls last) as nf from broken) where valid_to <= valid_from or nf < coalesce(valid_to, 9223372036854775807)", "broken as (select draft_id, sample_id, valid_from, case when doc_id % 16 = 0 then valid_to + 2 when doc_id % 12 = 0 then valid_from else valid_to end as valid_to from membership)")),
     "t05_capture": (t05_capture, with_tables("membership", "select draft_id, r as source_revision, sha256('{\"draft_id\":\"' || draft_id || '\",\"revision\":' || r || '}') as request_digest from (select draft_id, max(valid_from) as r from membership group by 1)")),
