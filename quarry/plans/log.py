@@ -8,6 +8,7 @@ from quarry.operators import automaton, effects as lifecycle
 from quarry.operators import events as e
 from quarry.sources import fixtures as fx
 from quarry.sources.fixtures import with_tables
+from quarry.streaming import leases
 
 #: The clock of the lease and expiry queries.
 NOW = "2024-06-01 00:00:00"
@@ -193,6 +194,37 @@ def e12_expiry(spark, d):
     return e.expired(p, now()).select("id", "state")
 
 
+def lease_log(spark, d):
+    """Kinds of event as steps of protections, one a user; some progress, some renewals come while the lease holds."""
+    ev = fx.operation_events(spark, d)
+    i = F.col("event_id")
+    action = F.when(F.col("event_type") == "queued", "begin").when(F.col("event_type") == "running", F.when(i % 3 == 0, "prepared").otherwise("progress")).when(F.col("event_type") == "failed", "renew").when(F.col("event_type") == "succeeded", F.when(i % 5 == 0, "release").otherwise("publish")).otherwise(F.when(i % 2 == 0, "renew").otherwise("progress"))
+    return ev.select(F.col("operation_id").alias("group_id"), "ts", "event_id", action.alias("action"), (i % 9).alias("done"))
+
+
+def e12_leases(spark, d):
+    return leases.outcomes(lease_log(spark, d))
+
+
+def e12_over(spark, d):
+    return leases.over_at(leases.outcomes(lease_log(spark, d)), 1_717_200_000_000)
+
+
+LEASE = f"""step as materialized (select operation_id as group_id, event_id, epoch_us(ts) // 1000 as ms, case event_type when 'queued' then 'begin' when 'running' then if(event_id % 3 = 0, 'prepared', 'progress') when 'failed' then 'renew' when 'succeeded' then if(event_id % 5 = 0, 'release', 'publish') else if(event_id % 2 = 0, 'renew', 'progress') end as action, event_id % 9 as done, row_number() over (partition by operation_id order by ts, event_id) as n from event),
+held as (select group_id, 0::bigint as n, null::bigint as event_id, null::varchar as action, null::varchar as o, 'none' as st, 0::bigint as ep, 0::bigint as ex, 0::bigint as dn from (select distinct group_id from step)
+  union all select group_id, n, event_id, action, o,
+    case when o <> 'applied' then st when action in ('begin', 'renew') then 'building' when action = 'prepared' then 'prepared' when action = 'publish' then 'published' when action = 'release' then 'released' else st end,
+    case when o = 'applied' and action in ('begin', 'renew') then ep + 1 else ep end, case when o = 'applied' and action in ('begin', 'renew') then ms + 86400000 else ex end,
+    case when o = 'applied' and action in ('begin', 'renew') then 0 when o = 'applied' and action = 'progress' then dn + done else dn end
+  from (select s.*, st, ep, ex, dn, case
+    when action = 'begin' then if(st = 'none', 'applied', 'unchanged') when st = 'none' then 'not_found'
+    when action = 'publish' and st = 'published' or action = 'release' and st = 'released' then 'unchanged'
+    when st in ('published', 'released') then 'closed' when action = 'release' then 'applied'
+    when action = 'renew' then if(ms >= ex, 'applied', 'active') when ms >= ex then 'expired'
+    when action = 'publish' then if(st = 'prepared', 'applied', 'refused') else if(st = 'building', 'applied', 'refused') end as o
+   from (select group_id, n, st, ep, ex, dn from held) h join step s on s.group_id = h.group_id and s.n = h.n + 1))"""
+
+
 def e13_ingest(spark, d):
     s = fx.samples(spark, d).filter("doc_id % 2 = 0").select("id", "source_key", "revision")
     items = fx.samples(spark, d).select(F.col("doc_id").alias("item_id"), "source_key", (F.col("doc_id") % 9 != 0).alias("verified"), F.when(F.col("doc_id") % 3 != 0, F.lit(1).cast("long")).alias("expected_revision"))
@@ -269,6 +301,8 @@ QUERIES = {
     "f12_operation_detail": (f12_operation_detail, with_tables("event", "select operation_id, count(*) as effects, bool_or(status = 'unknown') as needs_reconciliation from effect group by 1", EFFECT)),
     "e11_resume": (e11_resume, "with done as (select source as run, doc_id // 20 as position from documents, range(0, 2) r(s) where s = 0 or doc_id % 23 <> 0 group by 1, 2 having count(distinct s) = 2) select run, count(*) filter (n = position) as completed from (select *, row_number() over (partition by run order by position) - 1 as n from done) group by 1"),
     "e12_expiry": (e12_expiry, with_tables("event", f"select event_id as id, 'prepared' as state from event where event_type <> 'succeeded' and ts + interval 24 hour <= timestamp '{NOW}'")),
+    "e12_leases": (e12_leases, with_tables("event", "select group_id, event_id, action, o as outcome, st as state, ep as epoch, dn as done, ex as expires_ms from held where n > 0", LEASE).replace("with ", "with recursive ", 1)),
+    "e12_over": (e12_over, with_tables("event", "select group_id, ep as epoch, ex as expires_ms from held qualify row_number() over (partition by group_id order by n desc) = 1 and st in ('building', 'prepared') and ex <= 1717200000000", LEASE).replace("with ", "with recursive ", 1)),
     "e13_ingest": (e13_ingest, with_tables("sample", "select i.doc_id as item_id, i.source_key, o as outcome, case o when 'created' then 1 when 'revised' then s.revision + 1 end as revision from sample i left join (select id, source_key, revision from sample where doc_id % 2 = 0) s on i.source_key = s.source_key, lateral (select case when i.doc_id % 9 = 0 then 'pending' when i.doc_id % 3 = 0 and s.id is null then 'created' when i.doc_id % 3 = 0 then 'taken' when s.id is null then 'not_found' when s.revision <> 1 then 'stale' else 'revised' end as o)")),
     "e14_cleanup": (e14_cleanup, "select l_orderkey::bigint as operation, count(*) filter (l_linestatus = 'O') as pending, count(*) as items, count(*) filter (l_linestatus = 'O') = 0 as terminal from lineitem group by 1"),
     "e16_reconcile": (e16_reconcile, "select o_orderkey::bigint as run_id, case when o_orderkey % 4 = 0 then 'cancelled' else 'failed' end as status from orders where o_orderstatus = 'O' and o_orderkey % 3 <> 0"),
