@@ -325,7 +325,7 @@ def test_merge_into(spark, tmp_path):
     """Keys repeated in a batch, batches run again, late rows, and two versions of a bucket."""
     at, schema = str(tmp_path / "t"), "k long, n long, v string"
     write = stream.merge_into(at, "k", "n", buckets=2)
-    table = lambda: values(stream.read_merged(spark, at, schema), "k", "n", "v")
+    table = lambda: [tuple(r) for r in stream.read_merged(spark, at, schema).select("k", "n", "v").collect()]
     put = lambda batch, *rows: write(spark.createDataFrame(rows, schema), batch)
     put(0, (1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (None, 1, "x"))
     assert sorted(table(), key=str) == sorted([(1, 2, "b"), (2, 1, "c"), (None, 1, "x")], key=str)
