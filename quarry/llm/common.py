@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.graph import shared_folder
+
 #: Rows and bytes of one Arrow batch: a task holds one batch of texts at a time.
 BATCH_ROWS = 2000
 BATCH_BYTES = 2 << 20
@@ -23,10 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stage_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a stage's rows in the session's shared folder (a temporary one where none is set, as in tests)."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "quarry-stages")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a stage's rows in the session's shared folder."""
+    return f"{shared_folder(spark.sparkContext).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
