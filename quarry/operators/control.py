@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import canonical
+from quarry.operators import automaton as am
 from quarry.operators import events as ev
 
-#: From which states each command leads on, to which, and whether it begins a new attempt.
-COMMANDS = {
-    "pause": (("queued", "running"), "paused", False),
-    "cancel": (("queued", "running", "paused", "failed", "reconciliation_needed"), "cancelled", False),
-    "retry": (("failed", "paused", "reconciliation_needed", "cancelled"), "queued", True),
-}
-
-
 def _case(pairs: list[tuple[Column, str]], last: Column | str) -> Column:
     """The name of the first condition that holds."""
     out = F.lit(last) if isinstance(last, str) else last
@@ -24,37 +17,47 @@ def _case(pairs: list[tuple[Column, str]], last: Column | str) -> Column:
     return out
 
 
+def service_rules(spark: SparkSession) -> DataFrame:
+    """The rules of both services as rows: (action, service, unknown, status) -> (to, again, outcome). Services: flows, cleanups and all other operations."""
+    actions = sorted({*am.OPERATION_RULES, *am.FLOW_RULES})
+    rows = []
+    for service in (am.FLOW, am.CLEANUP, "operation"):
+        for action in actions:
+            for unknown in (False, True):
+                for status in am.STATES[1:]:
+                    to, _, again, outcome = am.rule(action, service, unknown, status, False)
+                    rows.append((action, service, unknown, status, to, again, outcome))
+    return spark.createDataFrame(rows, "__action string, __service string, __unknown boolean, __status string, __to string, __again boolean, __outcome string")
+
+
 def command_outcomes(commands: DataFrame, operations: DataFrame, unknown: DataFrame) -> DataFrame:
-    """What becomes of commands (command_id, operation_id, epoch, action) on operations (operation_id, kind, status, epoch, revision), with the new status, epoch and revision of those applied.
+    """What becomes of commands (command_id, operation_id, epoch, action) on operations (operation_id, kind, status, epoch, revision), with the status, epoch and revision after each, taken by itself.
 
-    A command of an old attempt is stale; runs of flows have commands of their
-    own; a repeated command changes nothing; cancelling waits for unknown
-    effects (rows of ``unknown`` name their operations); only a cleanup may be
-    tried again once it is cancelled.
+    Each service has its own rules: those of flows pause, resume, and try again
+    what needs reconciling; other operations are cancelled in two steps, and
+    only a cleanup may be tried again once it is cancelled. A command of an old
+    attempt is stale. ``unknown`` names the operations that have unknown
+    effects or dispatches.
     """
     o = operations.select(F.col("operation_id").alias("__o"), "kind", "status", F.col("epoch").alias("__epoch"), "revision")
     j = commands.join(o, F.col("operation_id") == F.col("__o"), "left")
     j = j.join(unknown.select(F.col("operation_id").alias("__u")).distinct(), F.col("operation_id") == F.col("__u"), "left")
-    target, again, allowed = F.lit(None).cast("string"), F.lit(False), F.lit(False)
-    for name, (sources, to, new) in COMMANDS.items():
-        this = F.col("action") == name
-        target, again, allowed = F.when(this, F.lit(to)).otherwise(target), F.when(this, F.lit(new)).otherwise(again), F.when(this, F.col("status").isin(*sources)).otherwise(allowed)
+    service = F.when(F.col("kind").isin(am.FLOW, am.CLEANUP), F.col("kind")).otherwise("operation")
+    rules = F.broadcast(service_rules(commands.sparkSession))  # as many rows as there are rules
+    j = j.join(rules, (F.col("action") == F.col("__action")) & (service == F.col("__service")) & (F.col("__u").isNotNull() == F.col("__unknown")) & (F.col("status") == F.col("__status")), "left")
     outcome = _case(
         [
             (F.col("__o").isNull(), "not_found"),
-            (F.col("kind") == "process_flow", "not_owned"),
-            (F.col("epoch") != F.col("__epoch"), "stale"),
-            ((F.col("status") == target) & ~again, "unchanged"),
-            (~allowed | (again & (F.col("status") == "cancelled") & (F.col("kind") != "ingest_cleanup")), "refused"),
-            ((target == "cancelled") & F.col("__u").isNotNull(), "unreconciled"),
+            ((F.col("kind") == am.FLOW) & ~F.col("action").isin(*am.FLOW_ACTIONS), "not_owned"),
+            (~F.col("epoch").eqNullSafe(F.col("__epoch")), "stale"),
         ],
-        "applied",
+        F.coalesce("__outcome", F.lit("refused")),
     )
     ok = F.col("outcome") == "applied"
     return j.withColumn("outcome", outcome).select(
         "command_id", "operation_id", "outcome",
-        F.when(ok, target).otherwise(F.col("status")).alias("status"),
-        (F.col("__epoch") + F.when(ok & again, 1).otherwise(0)).alias("epoch"),
+        F.when(ok, F.col("__to")).otherwise(F.col("status")).alias("status"),
+        (F.col("__epoch") + F.when(ok & F.col("__again"), 1).otherwise(0)).alias("epoch"),
         (F.col("revision") + F.when(ok, 1).otherwise(0)).alias("revision"),
     )
 

@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: From which states an event may lead on, and to which.
+#: From which states an event of the log may lead on, and to which (``automaton`` has the services' commands).
 TRANSITIONS = {
     "queued": (("new",), "queued"),
     "running": (("queued", "running"), "running"),
     "effect_completed": (("running",), "running"),
     "failed": (("queued", "running"), "failed"),
     "succeeded": (("running",), "succeeded"),
-    "retry": (("failed", "paused"), "queued"),
-    "pause": (("queued", "running"), "paused"),
-    "cancel": (("queued", "running", "paused", "failed"), "cancelled"),
 }
 
 
@@ -42,20 +39,41 @@ def transition(state: Column, event: Column) -> Column:
     return to
 
 
-def fold_states(events: DataFrame) -> DataFrame:
+#: States that events may lead from or to, and how many events of an operation are folded as one array.
+STATES, CHUNK = ("new", "queued", "running", "failed", "succeeded"), 1024
+
+
+def fold_states(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """operation_id, state, applied, refused: each operation's events in order through the automaton.
 
-    An operation's kinds of event are gathered as one array of short strings
-    and folded inside the JVM; operations are the unit that is bounded.
+    Events are functions from states to states. ``chunk`` of them at a time
+    are composed, from every state at once; an operation's chunks, a
+    ``chunk``-th of its events, are then followed from the first state.
     """
-    ordered = sequenced(events).groupBy("operation_id").agg(F.sort_array(F.collect_list(F.struct("revision", "event_type"))).alias("log"))
+    numbered = sequenced(events).select("operation_id", "revision", "event_type", F.floor(F.col("revision") / chunk).alias("chunk"))
+    logs = numbered.groupBy("operation_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("revision", "event_type"))).alias("log"))
+
+    def count(when: Column) -> Column:
+        return when.cast("long")
+
+    def from_state(s: str) -> Column:
+        start = F.struct(F.lit(s).alias("state"), F.lit(0).cast("long").alias("applied"), F.lit(0).cast("long").alias("refused"))
+
+        def step(acc, e):
+            to = transition(acc["state"], e["event_type"])
+            return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["applied"] + count(to.isNotNull())).alias("applied"), (acc["refused"] + count(to.isNull())).alias("refused"))
+
+        return F.aggregate("log", start, step)
+
+    functions = logs.select("operation_id", "chunk", F.map_from_arrays(F.array(*map(F.lit, STATES)), F.array(*map(from_state, STATES))).alias("to"))
+    chains = functions.groupBy("operation_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", F.map_entries("to").alias("to")))), lambda x: x["to"]).alias("chain"))
     start = F.struct(F.lit("new").alias("state"), F.lit(0).cast("long").alias("applied"), F.lit(0).cast("long").alias("refused"))
 
-    def step(acc, e):
-        to = transition(acc["state"], e["event_type"])
-        return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["applied"] + to.isNotNull().cast("long")).alias("applied"), (acc["refused"] + to.isNull().cast("long")).alias("refused"))
+    def follow(acc, entries):
+        to = F.element_at(F.filter(entries, lambda x: x["key"] == acc["state"]), 1)["value"]
+        return F.struct(to["state"].alias("state"), (acc["applied"] + to["applied"]).alias("applied"), (acc["refused"] + to["refused"]).alias("refused"))
 
-    return ordered.select("operation_id", F.aggregate("log", start, step).alias("s")).select("operation_id", "s.state", "s.applied", "s.refused")
+    return chains.select("operation_id", F.aggregate("chain", start, follow).alias("s")).select("operation_id", "s.state", "s.applied", "s.refused")
 
 
 def claim(outbox: DataFrame, now: Column, limit: int, lease_seconds: int = 30) -> DataFrame:

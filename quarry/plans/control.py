@@ -33,17 +33,16 @@ def operations(spark, d):
 
 def e02_commands(spark, d):
     n = F.col("event_id")
-    asked = fx.operation_events(spark, d).select(n.alias("command_id"), (F.col("operation_id") + F.when(n % 50 == 0, 10**9).otherwise(0)).alias("operation_id"), (1 + n % 2).alias("epoch"), pick(n, "pause", "cancel", "retry").alias("action"))
+    asked = fx.operation_events(spark, d).select(n.alias("command_id"), (F.col("operation_id") + F.when(n % 50 == 0, 10**9).otherwise(0)).alias("operation_id"), (1 + n % 2).alias("epoch"), pick(n, "pause", "request_cancel", "retry").alias("action"))
     return ctl.command_outcomes(asked, operations(spark, d), operations(spark, d).filter("operation_id % 5 = 0"))
 
 
 OPERATION = f"operation as (select distinct operation_id, {sql_pick('operation_id // 7', *KINDS)} as kind, {sql_pick('operation_id', *STATES)} as status, 1 + operation_id % 2 as epoch, operation_id % 9 as revision from event)"
-ALLOWED = " or ".join(f"(action = '{name}' and status in ({', '.join(repr(s) for s in sources)}))" for name, (sources, _, _) in ctl.COMMANDS.items())
 
 
 def e03_retries_by_epoch(spark, d):
     """Of each action, how many commands were applied, and how many began a new epoch."""
-    out = e02_commands(spark, d).withColumn("action", pick(F.col("command_id"), "pause", "cancel", "retry"))
+    out = e02_commands(spark, d).withColumn("action", pick(F.col("command_id"), "pause", "request_cancel", "retry"))
     return out.groupBy("action").agg(F.count_if(F.col("outcome") == "applied").alias("applied"), F.count_if((F.col("outcome") == "applied") & (F.col("epoch") != 1 + F.col("operation_id") % 2)).alias("new_epochs"))
 
 
@@ -115,8 +114,15 @@ def p07_publish(spark, d):
     return ctl.publish_truth(ready, drafts, most=30)
 
 
-RETRY = "select c.event_id as command_id, c.operation_id, action, c.epoch as asked, o.kind, o.status, o.epoch as now_epoch, o.revision, o.operation_id is null as missing, o.operation_id % 5 = 0 as unknown from (select event_id, operation_id + case when event_id % 50 = 0 then 1000000000 else 0 end as operation_id, 1 + event_id % 2 as epoch, ['pause', 'cancel', 'retry'][1 + event_id % 3] as action from event) c left join operation o using (operation_id)"
-JUDGED = f"judged as (select *, case when missing then 'not_found' when kind = 'process_flow' then 'not_owned' when asked <> now_epoch then 'stale' when action <> 'retry' and status = case action when 'pause' then 'paused' else 'cancelled' end then 'unchanged' when not ({ALLOWED}) or (action = 'retry' and status = 'cancelled' and kind <> 'ingest_cleanup') then 'refused' when action = 'cancel' and unknown then 'unreconciled' else 'applied' end as outcome from ({RETRY}))"
+RETRY = "select c.event_id as command_id, c.operation_id, action, c.epoch as asked, o.kind, o.status, o.epoch as now_epoch, o.revision, o.operation_id is null as missing, o.operation_id % 5 = 0 as unknown from (select event_id, operation_id + case when event_id % 50 = 0 then 1000000000 else 0 end as operation_id, 1 + event_id % 2 as epoch, ['pause', 'request_cancel', 'retry'][1 + event_id % 3] as action from event) c left join operation o using (operation_id)"
+JUDGED = f"""ruled as (select *, case
+  when missing then {{'o': 'not_found'}} when asked <> now_epoch then {{'o': 'stale'}}
+  when kind = 'process_flow' and action = 'pause' then case when status in ('queued', 'running') then {{'o': 'applied', 's': if(unknown, 'pause_requested', 'paused')}} when status = 'paused' then {{'o': 'unchanged'}} else {{'o': 'refused'}} end
+  when kind = 'process_flow' and action = 'request_cancel' then case when status = 'cancelled' then {{'o': 'unchanged'}} else {{'o': 'applied', 's': if(unknown, 'cancellation_requested', 'cancelled')}} end
+  when kind = 'process_flow' then case when status in ('failed', 'reconciliation_needed') and not unknown then {{'o': 'applied', 's': 'queued'}} else {{'o': 'refused'}} end
+  when action = 'request_cancel' and status in ('queued', 'running') then {{'o': 'applied', 's': 'cancellation_requested'}}
+  when action = 'retry' and (status = 'failed' or status = 'cancelled' and kind = 'ingest_cleanup') then {{'o': 'applied', 's': 'queued'}}
+  else {{'o': 'refused'}} end as r from ({RETRY})), judged as (select *, r.o as outcome, r.s as after from ruled)"""
 TRUTH = (
     "part as (select doc_id, 't' || (doc_id // 40) as dataset, sample_id, \"group\", content_digest, case when (doc_id // 40) % 2 = 0 then 'train' else partition end as partition, l.d is not null as labelled, (doc_id // 40) % 4 >= 2 as bad from truth_member left join (select doc_id as d from labels) l on l.d = doc_id)",
     "asked as (select *, case when labelled and (not bad or doc_id % 40 <> 3) then 'c' || doc_id || '-0' end as canonical_id, labelled and partition = 'production' and (not bad or doc_id % 3 <> 0) as audited, bad and doc_id % 40 = 9 as absent from part)",
@@ -125,7 +131,7 @@ TRUTH = (
 )
 
 QUERIES = {
-    "e02_commands": (e02_commands, with_tables("event", "select command_id, operation_id, outcome, case when outcome = 'applied' then case action when 'pause' then 'paused' when 'cancel' then 'cancelled' else 'queued' end else status end as status, now_epoch + case when outcome = 'applied' and action = 'retry' then 1 else 0 end as epoch, revision + case when outcome = 'applied' then 1 else 0 end as revision from judged", OPERATION, JUDGED)),
+    "e02_commands": (e02_commands, with_tables("event", "select command_id, operation_id, outcome, case when outcome = 'applied' then after else status end as status, now_epoch + case when outcome = 'applied' and action = 'retry' then 1 else 0 end as epoch, revision + case when outcome = 'applied' then 1 else 0 end as revision from judged", OPERATION, JUDGED)),
     "e03_retries_by_epoch": (e03_retries_by_epoch, with_tables("event", "select action, count(*) filter (outcome = 'applied') as applied, count(*) filter (outcome = 'applied' and action = 'retry') as new_epochs from judged group by 1", OPERATION, JUDGED)),
     "e22_settled": (e22_settled, with_tables("event", f"select operation_id, case when status in ('succeeded', 'paused', 'cancelled') then status when status = 'pause_requested' and u = 0 then 'paused' when status = 'cancellation_requested' and u = 0 then 'cancelled' when status in ('pause_requested', 'cancellation_requested') then status when u = 0 then 'failed' else 'reconciliation_needed' end as status, case when status in ('succeeded', 'paused', 'cancelled') then 0 else r end as recomputed, u as unknown from (select operation_id, {sql_pick('operation_id', *RUN_STATES)} as status, count(*) filter (event_id % 50 < 3 and event_id % 3 <> 0) as r, count(*) filter (event_id % 50 < 3 and event_id % 3 = 0) as u from event group by 1)")),
     "e08_tick": (e08_tick, with_tables("event", f"select i.event_id, i.operation_id, 1::bigint as attempts, i.outcome, i.outcome = 'applied' as submitted from inbox i join (select event_id from outbox where not dispatched and (lease_until is null or lease_until <= timestamp '{log.NOW}') order by created_at, event_id limit 2000) c using (event_id)", log.OUTBOX, log.SEQ, log.INBOX)),

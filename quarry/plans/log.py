@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import automaton, effects as lifecycle
+from quarry.operators import control as ctl
 from quarry.operators import events as e
 from quarry.sources import fixtures as fx
 from quarry.sources.fixtures import with_tables
@@ -259,11 +260,12 @@ def e18_audit_counts(spark, d):
 
 
 def e21_controls(spark, d):
-    ev = fx.operation_events(spark, d)
-    state = F.element_at(F.array(*map(F.lit, ("queued", "running", "failed", "paused", "succeeded"))), (F.col("event_id") % 5 + 1).cast("int"))
-    event = F.element_at(F.array(*map(F.lit, ("retry", "pause", "cancel"))), (F.col("event_id") % 7 % 3 + 1).cast("int"))
-    rows = ev.select("event_id", state.alias("state"), event.alias("event"))
-    return rows.select("event_id", "state", "event", e.transition(F.col("state"), F.col("event")).alias("to"))
+    """Where commands lead operations of both services, by the services' rules."""
+    ev, n = fx.operation_events(spark, d), F.col("event_id")
+    name = lambda c, *names: F.element_at(F.array(*map(F.lit, names)), (c % len(names) + 1).cast("int"))
+    rows = ev.select(n.alias("command_id"), n.alias("operation_id"), F.lit(1).cast("long").alias("epoch"), F.lit(0).cast("long").alias("revision"), name(n, "queued", "running", "failed", "paused", "succeeded").alias("status"), name(n % 7, "retry", "pause", "request_cancel").alias("action"), name(F.floor(n / 2), "process_flow", "qualification").alias("kind"))
+    out = ctl.command_outcomes(rows.select("command_id", "operation_id", "epoch", "action"), rows.select("operation_id", "kind", "status", "epoch", "revision"), rows.filter("operation_id % 11 = 0"))
+    return out.select(F.col("command_id").alias("event_id"), "outcome", F.when(F.col("outcome") == "applied", F.col("status")).alias("to"))
 
 
 def s16_job_upsert(spark, d):
@@ -308,7 +310,11 @@ QUERIES = {
     "e16_reconcile": (e16_reconcile, "select o_orderkey::bigint as run_id, case when o_orderkey % 4 = 0 then 'cancelled' else 'failed' end as status from orders where o_orderstatus = 'O' and o_orderkey % 3 <> 0"),
     "e18_audit_counts": (e18_audit_counts, with_tables("event", "select event_type as action, count(*) as n, count(distinct operation_id) as operations from event group by 1")),
     "e20_artifact_verification": (e20_artifact_verification, with_tables("sample_revision", "select sample_id, doc_id % 6 <> 0 and doc_id % 10 <> 0 as verified from sample_revision where revision = 1")),
-    "e21_controls": (e21_controls, with_tables("event", f"select event_id, state, event, case {_TO} end as \"to\" from (select event_id, ['queued', 'running', 'failed', 'paused', 'succeeded'][1 + event_id % 5] as state, ['retry', 'pause', 'cancel'][1 + event_id % 7 % 3] as event from event)")),
+    "e21_controls": (e21_controls, with_tables("event", """select event_id, case when t is not null then 'applied' when flow and st = 'paused' and act = 'pause' then 'unchanged' else 'refused' end as outcome, t as "to" from (select *, case
+  when flow and act = 'retry' then case when st = 'failed' and not unk then 'queued' end when flow and act = 'pause' then case when st in ('queued', 'running') then if(unk, 'pause_requested', 'paused') end
+  when flow then case when st <> 'succeeded' then if(unk, 'cancellation_requested', 'cancelled') end
+  when act = 'retry' then case when st = 'failed' then 'queued' end when act = 'request_cancel' then case when st in ('queued', 'running') then 'cancellation_requested' end end as t
+ from (select event_id, ['queued', 'running', 'failed', 'paused', 'succeeded'][1 + event_id % 5] as st, ['retry', 'pause', 'request_cancel'][1 + event_id % 7 % 3] as act, event_id // 2 % 2 = 0 as flow, event_id % 11 = 0 as unk from event))""")),
     "e24_uploads": (e24_uploads, f"with li as (select distinct l_orderkey::bigint as upload, l_linenumber::bigint as number from lineitem), n as (select upload, max(number) as n, count(*) as parts from li group by 1) select upload, parts, ((parts - 1) * {8 << 20} + 1000 + upload)::bigint as bytes, parts = n and upload % 7 <> 0 as complete from n"),
     "e25_expired_uploads": (e25_expired_uploads, "select distinct o_custkey::bigint as operation from orders where o_orderstatus = 'O' and o_orderdate + interval 1 hour <= timestamp '1996-01-01 00:00:00'"),
     "s16_job_upsert": (s16_job_upsert, with_tables("event", "select operation_id as run_id, arg_max(event_type, event_id) as status, min(ts) as created_at from event group by 1")),

@@ -96,3 +96,22 @@ def test_what_is_unknown_is_reconciled_before_it_begins_again(spark):
     later = {"epoch": 2, "op_epoch": 2}
     got = lived(spark, [("begin", {}), ("prepare", {"op_status": "queued"}), ("prepare", {}), ("begin", {}), ("begin", later), ("complete", {"result": "a"} | later), ("reconcile", {"expected_revision": 0} | later), ("reconcile", {"expected_revision": 1} | later), ("begin", {"dispatch": "e"} | later), ("complete", {"result": "a"} | later), ("complete", {"result": "a", "dispatch": "e", "op_status": "failed"} | later), ("reconcile", {"expected_revision": 3, "result": "a"} | later), ("other", {})])
     assert [g[:2] for g in got] == [("not_found", None), ("refused", None), ("applied", "prepared"), ("applied", "unknown"), ("dispatched", "unknown"), ("stale", "unknown"), ("stale", "unknown"), ("applied", "prepared"), ("applied", "unknown"), ("stale", "unknown"), ("unreconciled", "unknown"), ("applied", "succeeded"), ("refused", "succeeded")]
+
+
+def test_folds_in_chunks_agree(spark):
+    """An operation's state doesn't depend on where its log is cut."""
+    import datetime as dt
+
+    from quarry.operators import events
+
+    rnd = random.Random(8)
+    rows = [(0 if i % 3 == 0 else rnd.randrange(9), i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rnd.randrange(500)), rnd.choice(["queued", "running", "effect_completed", "failed", "succeeded", "other"])) for i in range(400)]
+    log = spark.createDataFrame(rows, "operation_id long, event_id long, ts timestamp, event_type string")
+    whole = sorted(tuple(r) for r in events.fold_states(log).collect())
+    assert whole == sorted(tuple(r) for r in events.fold_states(log, 3).collect()) == sorted(tuple(r) for r in events.fold_states(log, 1).collect())
+    want = {}
+    for op, _, _, kind in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        state, applied, refused = want.get(op, ("new", 0, 0))
+        sources, to = events.TRANSITIONS.get(kind, ((), ""))
+        want[op] = (to, applied + 1, refused) if state in sources else (state, applied, refused + 1)
+    assert whole == sorted((op, *x) for op, x in want.items())
