@@ -66,6 +66,48 @@ def agreement(cells: DataFrame) -> DataFrame:
     return out.select(*by, "n", "agreed", po.alias("observed"), kappa.alias("kappa"), why.alias("undefined"))
 
 
+#: The most contributors and units of one agreement report.
+MOST_CONTRIBUTORS, MOST_UNITS = 10, 100
+
+
+def report_outcomes(requested: DataFrame) -> DataFrame:
+    """report, contributors, units and outcome of requests for agreement reports (requested: report, unit, revision_id, schema, cohort, rater).
+
+    A report has one task schema and one cohort of trust (else ``mixed``),
+    units that are distinct revisions (else ``repeated``), and a bounded number
+    of contributors and units (else ``too_many``).
+    """
+    by = requested.groupBy("report").agg(F.count_distinct("schema", "cohort").alias("kinds"), F.count_distinct("rater").alias("contributors"), F.count_distinct("unit").alias("units"), F.count_distinct("revision_id").alias("revisions"))
+    outcome = F.when(F.col("kinds") != 1, "mixed").when(F.col("revisions") != F.col("units"), "repeated").when((F.col("contributors") > MOST_CONTRIBUTORS) | (F.col("units") > MOST_UNITS), "too_many").otherwise("created")
+    return by.select("report", "contributors", "units", outcome.alias("outcome"))
+
+
+def report_pairs(requested: DataFrame, selected: DataFrame) -> DataFrame:
+    """report, left, right, left_label, right_label and n of the reports that are created: how often two contributors, both from the data, gave a unit these labels.
+
+    A unit's contributors are one short array (at most ``MOST_CONTRIBUTORS``),
+    whose pairs are counted; counts combine before the exchange.
+    """
+    ok = report_outcomes(requested).filter("outcome = 'created'").select("report")
+    asked = requested.join(ok, "report", "left_semi").select("report", "unit", "rater").distinct()
+    given = asked.join(selected.filter("state = 'submitted'").select("unit", "rater", "label"), ["unit", "rater"])
+    by = given.groupBy("report", "unit").agg(F.array_sort(F.collect_list(F.struct("rater", "label"))).alias("r"))
+    pairs = F.flatten(F.transform("r", lambda x, i: F.transform(F.slice(F.col("r"), i + 2, F.size("r")), lambda y: F.struct(x["rater"].alias("left"), y["rater"].alias("right"), x["label"].alias("left_label"), y["label"].alias("right_label")))))
+    return by.select("report", F.inline(pairs)).groupBy("report", "left", "right", "left_label", "right_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def report_counts(requested: DataFrame, selected: DataFrame) -> DataFrame:
+    """report, its outcome, and of those created how many contributions are in each state, assisted or not, and how many units are in the queue of disagreements."""
+    asked = requested.select("report", "unit", "rater").distinct()
+    rows = asked.join(selected, ["unit", "rater"], "left").withColumn("state", F.coalesce("state", F.lit("missing")))
+    label = F.when(F.col("state") == "submitted", F.col("label"))
+    n = lambda when: F.count_if(F.coalesce(when, F.lit(False)))
+    units = rows.groupBy("report", "unit").agg(*[n(F.col("state") == s).alias(s) for s in ("submitted", "abstained", "missing")], n(F.col("assistance") == "assisted").alias("assisted"), ((F.count_distinct(label) > 1) | (n(F.col("state") == "submitted") != F.count(F.lit(1)))).alias("open"))
+    by = units.groupBy("report").agg(*[F.sum(c).alias(c) for c in ("submitted", "abstained", "missing", "assisted")], F.count_if("open").alias("disagreements"))
+    out = report_outcomes(requested).join(by, "report")
+    return out.select("report", "outcome", *[F.when(F.col("outcome") == "created", F.col(c)).alias(c) for c in ("submitted", "abstained", "missing", "assisted", "disagreements")])
+
+
 #: Fixed value: the 97.5 % point of the normal distribution.
 Z = 1.959963984540054
 

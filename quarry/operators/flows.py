@@ -85,10 +85,19 @@ def data_path(path: Column, root: str) -> Column:
     return F.when(inside, path).when(path.startswith("/") & p.contains("/data/"), F.concat(F.lit(root + "/"), after)).when(path.startswith("/"), path).when(rel == "data", F.lit(root)).otherwise(F.concat(F.lit(root + "/"), rel))
 
 
-def retry_after_ms(value: Column) -> Column:
-    """Milliseconds of a pause given in seconds; null for anything else."""
-    seconds = F.try_cast(value, "double") if hasattr(F, "try_cast") else value.try_cast("double")
-    return F.when(seconds >= 0, F.round(seconds * 1000).cast("long"))
+#: Dates of headers, without their weekday.
+HTTP_DATE, HTTP_FORMAT = r"^[A-Za-z]{3,9}, ([0-9]{2} [A-Za-z]{3} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}) GMT$", "dd MMM yyyy HH:mm:ss Z"
+
+
+def retry_after_ms(value: Column, now: Column | None = None) -> Column:
+    """Milliseconds of a pause given in seconds, or until a date if ``now`` is given (0 for a past one); null for anything else."""
+    seconds = value.try_cast("double")
+    pause = F.when((seconds >= 0) & (seconds < float("inf")), F.round(seconds * 1000).cast("long"))
+    if now is None:
+        return pause
+    day = F.regexp_extract(F.trim(value), HTTP_DATE, 1)
+    at = F.when(day != "", F.try_to_timestamp(F.concat(day, F.lit(" +0000")), F.lit(HTTP_FORMAT)))
+    return F.when(seconds.isNotNull(), pause).when(at.isNotNull(), F.greatest(F.lit(0).cast("long"), F.unix_millis(at) - F.unix_millis(now)))
 
 
 #: Fixed value: how often a page is tried.

@@ -57,6 +57,24 @@ def p05_agreement_report(spark, d):
     return a.agreement(cells(spark, d)).withColumns({"low": low, "high": high})
 
 
+def requested_reports(spark, d):
+    """Reports by source of the labelled documents; every seventh document has another schema in two sources, and equal texts are one revision."""
+    labelled = fx.table(spark, d, "labels").select("doc_id").join(fx.table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
+    schema = F.when((F.col("doc_id") % 7 == 0) & F.col("source").isin("src1", "src2"), "v2").otherwise("v1")
+    return labelled.select(F.col("source").alias("report"), fx.pad(F.col("doc_id")).alias("unit"), F.sha2("text", 256).alias("revision_id"), schema.alias("schema"), F.lit("c").alias("cohort"), F.explode(F.array(*map(F.lit, fx.RATERS))).alias("rater"))
+
+
+def p05_report_counts(spark, d):
+    return a.report_counts(requested_reports(spark, d), selected(spark, d))
+
+
+def p05_report_pairs(spark, d):
+    return a.report_pairs(requested_reports(spark, d), selected(spark, d))
+
+
+REPORTS = "asked as (select source as report, lpad(cast(l.doc_id as varchar), 12, '0') as unit, text, l.doc_id % 7 = 0 and source in ('src1', 'src2') as other from labels l join documents d using (doc_id)), judged as (select report, case when count(distinct other) > 1 then 'mixed' when count(distinct text) <> count(distinct unit) then 'repeated' when count(distinct unit) > 100 then 'too_many' else 'created' end as outcome from asked group by 1)"
+
+
 def w03_import_diff(spark, d):
     known = a.latest(fx.originals(spark, d)).select("unit", "native_id", "sequence", "native_deleted", F.coalesce("label", F.lit("-")).alias("digest"))
     labels = fx.table(spark, d, "labels").select("doc_id", "quality")
@@ -164,6 +182,8 @@ QUERIES = {
     "a11_confusion": (a11_confusion, selected_sql("select * from cell", CELLS)),
     "a12_kappa": (a12_kappa, selected_sql(f"select {KAPPA} from pair", CELLS, PAIR)),
     "a13_wilson": (a13_wilson, selected_sql(f'select "left", "right", {WILSON} from pair', CELLS, PAIR)),
+    "p05_report_counts": (p05_report_counts, selected_sql("select report, outcome, " + ", ".join(f"case when outcome = 'created' then {c} end as {c}" for c in ("submitted", "abstained", "missing", "assisted", "disagreements")) + " from judged join (select report, sum(s)::bigint as submitted, sum(ab)::bigint as abstained, sum(m)::bigint as missing, sum(assisted)::bigint as assisted, count(*) filter (labels > 1 or s <> 3) as disagreements from (select report, unit, count(*) filter (state = 'submitted') as s, count(*) filter (state = 'abstained') as ab, count(*) filter (state = 'missing') as m, count(*) filter (assistance = 'assisted') as assisted, count(distinct label) as labels from asked join selected using (unit) group by 1, 2) group by 1) using (report)", REPORTS)),
+    "p05_report_pairs": (p05_report_pairs, selected_sql("select q.report, s.rater as \"left\", t.rater as \"right\", s.label as left_label, t.label as right_label, count(*) as n from asked q join judged j on j.report = q.report and outcome = 'created' join selected s on s.unit = q.unit join selected t on s.unit = t.unit and s.rater < t.rater where s.state = 'submitted' and t.state = 'submitted' group by 1, 2, 3, 4, 5", REPORTS)),
     "p05_agreement_report": (p05_agreement_report, selected_sql(f"select {KAPPA}, {WILSON} from pair", CELLS, PAIR)),
     "p04_assignment_detail": (p04_assignment_detail, with_tables("original canonical", "select unit, (select count(*) from original o where o.unit = u.unit) as originals, 3 - (select count(distinct rater) from original o where o.unit = u.unit) as missing_contributors, (select max(id) from head h where h.unit = u.unit) as canonical_id from (select lpad(cast(doc_id as varchar), 12, '0') as unit from labels) u", HEAD)),
     "p06_adjudication": (p06_adjudication, with_tables("canonical", "select u.unit, case when h.id = 'c' || doc_id || '-1' then 'appended' else 'stale' end as outcome, case when h.id = 'c' || doc_id || '-1' then doc_id % 4 = 0 end as unresolved from (select doc_id, lpad(cast(doc_id as varchar), 12, '0') as unit from labels) u left join head h using (unit)", HEAD)),

@@ -155,6 +155,15 @@ def x39_retry_after(spark, d):
     return n.select(F.col("n_nationkey").cast("long").alias("id"), flows.retry_after_ms(v).alias("ms"))
 
 
+def x39_retry_dates(spark, d):
+    """Pauses given as dates of orders, as seconds, or as neither, seen at one time."""
+    o = fx.table(spark, d, "orders")
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
+    v = F.when(k % 3 == 0, F.concat(F.lit("Mon, "), F.date_format(day, "dd MMM yyyy"), F.lit(" 12:00:00 GMT"))).when(k % 3 == 1, (k % 100).cast("string")).otherwise(F.date_format(day, "dd.MM.yyyy"))
+    now = F.to_timestamp(F.lit("1995-06-01 00:00:00 +0000"), "yyyy-MM-dd HH:mm:ss Z")
+    return o.select(k.cast("long").alias("id"), flows.retry_after_ms(v, now).alias("ms"))
+
+
 def x32_modes(spark, d):
     n = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("n_nationkey")).distinct()
     raw = F.element_at(F.array(*map(F.lit, (" OFF", "0", "false", "Force ", "auto", "x"))), (F.col("n_nationkey") % 6 + 1).cast("int"))
@@ -269,6 +278,7 @@ QUERIES = {
     "x37_paths": (x37_paths, "select p_partkey::bigint as id, case p_partkey % 4 when 0 then '/srv/data/x' when 1 then '/srv/data/y' when 2 then '/srv/data/z' else '/srv/data/w' end || p_partkey as path from part"),
     "x38_validators": (x38_validators, "select doc_id, doc_id % 3 <> 0 and lang <> source and lang <> 'x' and source <> 'x' and trim(source) <> '' as valid from documents"),
     "x39_retry_after": (x39_retry_after, "select n_nationkey::bigint as id, case when n_nationkey % 3 = 0 then n_nationkey * 1000 + 500 end::bigint as ms from (select distinct o_orderkey as n_nationkey from orders)"),
+    "x39_retry_dates": (x39_retry_dates, "select o_orderkey::bigint as id, case o_orderkey % 3 when 0 then greatest(0, epoch_ms(o_orderdate::timestamp + interval 12 hour) - epoch_ms(timestamp '1995-06-01')) when 1 then (o_orderkey % 100) * 1000 end::bigint as ms from orders"),
     "x32_modes": (x32_modes, "select n_nationkey::bigint as id, case when n_nationkey % 6 < 3 then 'off' when n_nationkey % 6 = 3 then 'force' else 'auto' end as mode from (select distinct o_orderkey as n_nationkey from orders)"),
     "x40_figures_missing": (x40_figures_missing, with_tables("page_text", "select doc, page, not (page % 3 <> 0 and page % 2 = 0) as missing from page_text")),
     "x02_coherence": (x02_coherence, with_tables("sample_revision", "select id, (doc_id % 2 <> 0 or doc_id % 4 = 0) and (doc_id % 6 <> 0 or doc_id % 2 = 0) as coherent from sample_revision")),
