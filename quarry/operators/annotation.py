@@ -66,6 +66,26 @@ def agreement(cells: DataFrame) -> DataFrame:
     return out.select(*by, "n", "agreed", po.alias("observed"), kappa.alias("kappa"), why.alias("undefined"))
 
 
+COHORT = ("namespace", "name", "browser_origin", "machine_origin", "image", "issuer")
+
+
+def cohort_admissions(requests: DataFrame, cohorts: DataFrame) -> DataFrame:
+    """request, outcome and cohort of requests for cohorts of trust (request, the columns of ``COHORT``, reason) against those admitted (cohort and the same columns).
+
+    ``invalid``: no name or reason, or an issuer without https; ``overlaps``:
+    its origins are those of several cohorts; ``shared``: those of one that
+    differs otherwise; ``known``: of one that is the same; else ``admitted``.
+    """
+    origins = lambda df, key: df.select(key, F.explode(F.array_distinct(F.array("browser_origin", "machine_origin"))).alias("origin"))
+    met = origins(requests, "request").join(origins(cohorts, "cohort"), "origin").groupBy("request").agg(F.count_distinct("cohort").alias("n"), F.min("cohort").alias("__cohort"))
+    was = cohorts.select(F.col("cohort").alias("__c"), F.struct(*COHORT).alias("__was"))
+    j = requests.join(met, "request", "left").join(was, F.col("__cohort") == F.col("__c"), "left")
+    blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
+    bad = blank("name") | blank("reason") | ~F.coalesce(F.col("issuer").startswith("https://"), F.lit(False))
+    outcome = F.when(bad, "invalid").when(F.col("n") > 1, "overlaps").when(F.col("__c").isNull(), "admitted").when(F.struct(*COHORT).eqNullSafe(F.col("__was")), "known").otherwise("shared")
+    return j.select("request", outcome.alias("outcome"), F.when(outcome == "known", F.col("__cohort")).alias("cohort"))
+
+
 #: The most contributors and units of one agreement report.
 MOST_CONTRIBUTORS, MOST_UNITS = 10, 100
 

@@ -83,6 +83,12 @@ def claim(outbox: DataFrame, now: Column, limit: int, lease_seconds: int = 30) -
     return free.orderBy("created_at", "event_id").limit(limit).withColumns({"attempts": F.col("attempts") + 1, "lease_until": lease})
 
 
+def deliveries(events: DataFrame, outbox: DataFrame, now: Column, limit: int) -> DataFrame:
+    """The events (event_id, operation_id, event_type, ts) of the outbox rows (event_id, dispatched, lease_until) that may be delivered: not dispatched and without a live lease; the first by time and id."""
+    free = outbox.filter(~F.col("dispatched") & (F.col("lease_until").isNull() | (F.col("lease_until") <= now))).select(F.col("event_id").alias("__e"))
+    return events.join(free, F.col("event_id") == F.col("__e")).drop("__e").orderBy("ts", "event_id").limit(limit)
+
+
 def acknowledge(claims: DataFrame, acks: DataFrame, now: Column) -> DataFrame:
     """Outcome of acknowledgements (event_id, claim_id) against the claims (event_id, claim_id, lease_until, dispatched)."""
     c, a = claims.alias("c"), acks.alias("a")

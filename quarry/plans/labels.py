@@ -72,6 +72,20 @@ def p05_report_pairs(spark, d):
     return a.report_pairs(requested_reports(spark, d), selected(spark, d))
 
 
+def p16_cohort_admission(spark, d):
+    """Suppliers as cohorts admitted, customers as requests: some for two cohorts' origins, some for one that differs, some without a reason."""
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    name = lambda x, prefix: F.concat(F.lit(prefix), x.cast("string"))
+    cohorts = fx.table(spark, d, "supplier").select(name(s, "c").alias("cohort"), F.col("s_nationkey").cast("long").alias("namespace"), F.col("s_name").alias("name"), name(s, "https://b").alias("browser_origin"), name(s, "https://m").alias("machine_origin"), F.lit("image").alias("image"), F.lit("https://issuer").alias("issuer"))
+    of = c % 50
+    mine = fx.table(spark, d, "customer").withColumn("of", of).join(fx.table(spark, d, "supplier").select(s.alias("of"), "s_name", "s_nationkey"), "of", "left")
+    requests = mine.select(c.cast("long").alias("request"), F.coalesce("s_nationkey", F.lit(0)).cast("long").alias("namespace"), F.when(c % 9 == 0, F.lit(" ")).otherwise(F.coalesce("s_name", F.lit("new"))).alias("name"), name(F.when(c % 4 == 0, c + 100_000).otherwise(F.col("of")), "https://b").alias("browser_origin"), name(F.when(c % 7 == 0, F.col("of") + 1).when(c % 4 == 0, c + 100_000).otherwise(F.col("of")), "https://m").alias("machine_origin"), F.when(c % 5 == 0, "other").otherwise("image").alias("image"), F.when(c % 11 == 0, "http://issuer").otherwise("https://issuer").alias("issuer"), F.lit("asked").alias("reason"))
+    return a.cohort_admissions(requests, cohorts)
+
+
+COHORTS = """with request as (select c_custkey::bigint as request, c_custkey % 50 as o, case when c_custkey % 4 = 0 then c_custkey + 100000 else c_custkey % 50 end as b, case when c_custkey % 7 = 0 then c_custkey % 50 + 1 when c_custkey % 4 = 0 then c_custkey + 100000 else c_custkey % 50 end as m, c_custkey % 9 = 0 or c_custkey % 11 = 0 as bad, c_custkey % 5 = 0 as other from customer),
+near as (select request, o, b, m, bad, other, x.s_suppkey as xs, y.s_suppkey as ys from request left join supplier x on x.s_suppkey = b left join supplier y on y.s_suppkey = m)
+select request, outcome, case when outcome = 'known' then 'c' || xs end as cohort from (select *, case when bad then 'invalid' when xs <> ys then 'overlaps' when xs is null and ys is null then 'admitted' when xs = ys and xs = o and not other then 'known' else 'shared' end as outcome from near)"""
 REPORTS = "asked as (select source as report, lpad(cast(l.doc_id as varchar), 12, '0') as unit, text, l.doc_id % 7 = 0 and source in ('src1', 'src2') as other from labels l join documents d using (doc_id)), judged as (select report, case when count(distinct other) > 1 then 'mixed' when count(distinct text) <> count(distinct unit) then 'repeated' when count(distinct unit) > 100 then 'too_many' else 'created' end as outcome from asked group by 1)"
 
 
@@ -182,6 +196,7 @@ QUERIES = {
     "a11_confusion": (a11_confusion, selected_sql("select * from cell", CELLS)),
     "a12_kappa": (a12_kappa, selected_sql(f"select {KAPPA} from pair", CELLS, PAIR)),
     "a13_wilson": (a13_wilson, selected_sql(f'select "left", "right", {WILSON} from pair', CELLS, PAIR)),
+    "p16_cohort_admission": (p16_cohort_admission, COHORTS),
     "p05_report_counts": (p05_report_counts, selected_sql("select report, outcome, " + ", ".join(f"case when outcome = 'created' then {c} end as {c}" for c in ("submitted", "abstained", "missing", "assisted", "disagreements")) + " from judged join (select report, sum(s)::bigint as submitted, sum(ab)::bigint as abstained, sum(m)::bigint as missing, sum(assisted)::bigint as assisted, count(*) filter (labels > 1 or s <> 3) as disagreements from (select report, unit, count(*) filter (state = 'submitted') as s, count(*) filter (state = 'abstained') as ab, count(*) filter (state = 'missing') as m, count(*) filter (assistance = 'assisted') as assisted, count(distinct label) as labels from asked join selected using (unit) group by 1, 2) group by 1) using (report)", REPORTS)),
     "p05_report_pairs": (p05_report_pairs, selected_sql("select q.report, s.rater as \"left\", t.rater as \"right\", s.label as left_label, t.label as right_label, count(*) as n from asked q join judged j on j.report = q.report and outcome = 'created' join selected s on s.unit = q.unit join selected t on s.unit = t.unit and s.rater < t.rater where s.state = 'submitted' and t.state = 'submitted' group by 1, 2, 3, 4, 5", REPORTS)),
     "p05_agreement_report": (p05_agreement_report, selected_sql(f"select {KAPPA}, {WILSON} from pair", CELLS, PAIR)),

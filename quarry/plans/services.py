@@ -201,9 +201,8 @@ def j04_process_plan(spark, d):
 
 
 def j08_event_outbox(spark, d):
-    e = fx.operation_events(spark, d)
-    out = e.filter("event_id % 3 <> 0").select("event_id")
-    return e.join(out, "event_id").orderBy("ts", "event_id").limit(30).select("event_id", "operation_id")
+    """The first thirty deliveries: events joined to their outbox rows, those dispatched or leased left out."""
+    return ev.deliveries(fx.operation_events(spark, d), _g.outbox(spark, d), _g.now(), 30).select("event_id", "operation_id", "event_type")
 
 
 def a01_counts(spark, d):
@@ -285,7 +284,7 @@ QUERIES = {
     "f22_preview_kinds": (f22_preview_kinds, f"select distinct l_orderkey::bigint as id, (l_quantity * 1000000)::bigint as bytes, (l_linenumber * 5000000)::bigint as pixels, l_linestatus as s, case when l_linestatus = 'O' and (l_quantity * 1000000)::bigint <= {8 << 20} and l_linenumber * 5000000 <= 20000000 then 'thumbnail' else 'download' end as preview from lineitem"),
     "j03_publication_members": (j03_publication_members, _M("select sample_id, artifact_id, verified from member where sample_id > 'doc-000000000050' order by sample_id limit 50")),
     "j04_process_plan": (j04_process_plan, with_tables(_d.NEEDED + " location", "select m.sample_id, l.location_id, case when m.artifact_id is null then 'unbound' when not m.verified then 'unverified' when l.location_id is null then 'no_location' else 'ready' end as guard from member m left join (select artifact_id, min(id) as location_id from location group by 1) l using (artifact_id)", _d.MEMBERS)),
-    "j08_event_outbox": (j08_event_outbox, with_tables("event", "select event_id, operation_id from event where event_id % 3 <> 0 order by ts, event_id limit 30")),
+    "j08_event_outbox": (j08_event_outbox, with_tables("event", f"select event_id, operation_id, event_type from event join outbox using (event_id) where not dispatched and not coalesce(lease_until > timestamp '{_g.NOW}', false) order by ts, event_id limit 30", _g.OUTBOX)),
     "a01_counts": (a01_counts, "select source as dataset, count(*) as total from documents group by 1"),
     "a02_latest": (a02_latest, with_tables("sample_revision", "select sample_id, max(revision) as revision, arg_max(id, revision) as revision_id from sample_revision group by 1")),
     "p07_publish_check": (p07_publish_check, with_tables("truth_member", "select partition, count(*) as members, count(distinct \"group\") as groups, (select count(*) from (select \"group\" from truth_member group by 1 having count(distinct partition) > 1 union all select content_digest from truth_member group by 1 having count(distinct partition) > 1)) = 0 as publishable from truth_member group by 1")),
