@@ -9,6 +9,8 @@ is its state, six values, however many steps it has.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -133,3 +135,77 @@ def reconciliation(verdicts: DataFrame) -> DataFrame:
     """Of each operation how many effects it has, how many of them are unknown at the end, and whether that needs reconciling; sums combine before the exchange."""
     by = verdicts.groupBy("operation_id").agg(F.count_distinct("effect_key").alias("effects"), F.sum("unknown_change").alias("unknown"))
     return by.withColumn("needs_reconciliation", F.col("unknown") > 0)
+
+
+@dataclass
+class Submission:
+    """A workflow's dispatch for one attempt; ``digest`` binds the request and, once begun, the deployment."""
+
+    digest: str
+    status: str = "pending"
+    deployment: str | None = None
+    reference: str | None = None
+
+    def begin(self, e: dict) -> str:
+        if e["epoch"] != e["op_epoch"]:
+            return "stale"
+        if self.deployment is not None and self.deployment != e["deployment"]:
+            return "conflict"
+        if self.status == "submitted":
+            return "unchanged"
+        if self.status != "pending" or e["op_status"] != "queued":
+            return "unreconciled"
+        if self.deployment is None:
+            self.deployment = e["deployment"]
+            text = json.dumps({"deployment_id": self.deployment, "request_digest": self.digest}, sort_keys=True, separators=(",", ":"))
+            self.digest = hashlib.sha256(text.encode()).hexdigest()
+        self.status = "unknown"
+        return "applied"
+
+    def complete(self, e: dict) -> str:
+        if e["epoch"] != e["op_epoch"]:
+            return "stale"
+        if self.status == "submitted":
+            return "unchanged" if self.reference == e["reference"] else "conflict"
+        if self.status != "unknown":
+            return "not_begun"
+        self.status, self.reference = "submitted", e["reference"]
+        return "applied"
+
+    def reconcile(self, e: dict) -> str:
+        """By any attempt, with the digest that was bound: found where there is a reference, else absent."""
+        if self.status != "unknown" or e["digest"] != self.digest:
+            return "stale"
+        self.status, self.reference = ("submitted", e["reference"]) if e["reference"] is not None else ("pending", None)
+        return "applied"
+
+
+SUBMISSION = ["operation_id", "epoch", "event_id", "step", "deployment", "reference", "digest", "request", "op_status", "op_epoch"]
+SUBMITTED = "operation_id long, epoch long, event_id long, step string, outcome string, status string, digest string"
+SUBMITTED_ARROW = pa.schema([("operation_id", pa.int64()), ("epoch", pa.int64()), ("event_id", pa.int64()), ("step", pa.string()), ("outcome", pa.string()), ("status", pa.string()), ("digest", pa.string())])
+
+
+def _submissions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    going, row = None, None
+    for b in batches:
+        out = []
+        for e in b.to_pylist():
+            if row is None or (e["operation_id"], e["epoch"]) != going:
+                going, row = (e["operation_id"], e["epoch"]), Submission(e["request"])
+            outcome = getattr(row, e["step"])(e) if e["step"] in ("begin", "complete", "reconcile") else "refused"
+            out.append({"operation_id": e["operation_id"], "epoch": e["epoch"], "event_id": e["event_id"], "step": e["step"], "outcome": outcome, "status": row.status, "digest": row.digest})
+        yield pa.RecordBatch.from_pylist(out, schema=SUBMITTED_ARROW)
+
+
+def submissions(steps: DataFrame) -> DataFrame:
+    """Each step's outcome, and the status and digest of its dispatch after it.
+
+    ``steps``: operation_id, epoch, ts, event_id, step (begin, complete,
+    reconcile), deployment, reference, digest, request (the digest that the
+    dispatch was made with), and the operation's op_status and op_epoch then.
+    From its begin until it is completed or reconciled it is unknown whether a
+    dispatch was taken: ``unreconciled`` if it should begin again meanwhile.
+    """
+    keys = ["operation_id", "epoch"]
+    ordered = steps.select(*SUBMISSION, "ts").repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id")
+    return ordered.select(*SUBMISSION).mapInArrow(_submissions, SUBMITTED)

@@ -129,6 +129,33 @@ def e10_final_receipts(spark, d):
     return lifecycle.receipts(lifecycle.lives(effect_steps(spark, d)))
 
 
+def submission_steps(spark, d):
+    """Kinds of event as steps of dispatches; a third of the log is one operation's, deployments and references differ now and then."""
+    ev = fx.operation_events(spark, d)
+    i = F.col("event_id")
+    step = F.when(F.col("event_type").isin("queued", "running"), "begin").when(F.col("event_type").isin("effect_completed", "succeeded"), "complete").otherwise("reconcile")
+    op = F.when(F.col("operation_id") % 3 == 0, 0).otherwise(F.col("operation_id")).cast("long")
+    epoch = (1 + i % 7 % 2).cast("long")
+    request = F.sha2(op.cast("string"), 256)
+    bound = F.sha2(F.concat(F.lit('{"deployment_id":"d0","request_digest":"'), request, F.lit('"}')), 256)
+    return ev.select(op.alias("operation_id"), epoch.alias("epoch"), "ts", "event_id", step.alias("step"), F.when(i % 10 == 0, "d1").otherwise("d0").alias("deployment"), F.when((step == "complete") | (i % 4 == 0), F.concat(F.lit("r"), (i % 5 % 2).cast("string"))).alias("reference"), F.when(i % 8 == 0, request).otherwise(bound).alias("digest"), request.alias("request"), F.when(i % 6 == 0, "running").otherwise("queued").alias("op_status"), F.when(i % 9 == 0, 3).otherwise(epoch).cast("long").alias("op_epoch"))
+
+
+def e19_submissions(spark, d):
+    return lifecycle.submissions(submission_steps(spark, d))
+
+
+SUBMISSIONS = """sub as materialized (select *, sha256('{"deployment_id":"' || deployment || '","request_digest":"' || request || '"}') as made, sha256('{"deployment_id":"d0","request_digest":"' || request || '"}') as bound, row_number() over (partition by operation_id, epoch order by ts, i) as n from (select case when operation_id % 3 = 0 then 0 else operation_id end as operation_id, 1 + event_id % 7 % 2 as epoch, ts, event_id as i, case when event_type in ('queued', 'running') then 'begin' when event_type in ('effect_completed', 'succeeded') then 'complete' else 'reconcile' end as step, if(event_id % 10 = 0, 'd1', 'd0') as deployment, case when event_type in ('effect_completed', 'succeeded') or event_id % 4 = 0 then 'r' || (event_id % 5 % 2) end as reference, event_id % 8 = 0 as unbound, sha256(cast(case when operation_id % 3 = 0 then 0 else operation_id end as varchar)) as request, event_id % 6 <> 0 as queued, event_id % 9 = 0 as old from event)),
+held as (select operation_id, epoch, 0::bigint as n, null::bigint as event_id, null::varchar as step, null::varchar as o, 'pending' as st, null::varchar as dep, null::varchar as ref, request as dig from sub where n = 1
+  union all select operation_id, epoch, n, i, step, o, case when o <> 'applied' then st when step = 'begin' then 'unknown' when reference is null then 'pending' else 'submitted' end, case when o = 'applied' and step = 'begin' then coalesce(dep, deployment) else dep end, case when o = 'applied' and step <> 'begin' then reference else ref end, case when o = 'applied' and step = 'begin' and dep is null then made else dig end
+  from (select s.*, st, dep, ref, dig, case
+    when step <> 'reconcile' and old then 'stale'
+    when step = 'begin' then case when dep <> deployment then 'conflict' when st = 'submitted' then 'unchanged' when st <> 'pending' or not queued then 'unreconciled' else 'applied' end
+    when step = 'complete' then case when st = 'submitted' then if(ref = reference, 'unchanged', 'conflict') when st = 'unknown' then 'applied' else 'not_begun' end
+    when st = 'unknown' and dig = if(unbound, request, bound) then 'applied' else 'stale' end as o
+   from (select operation_id, epoch, n, st, dep, ref, dig from held) h join sub s on s.operation_id = h.operation_id and s.epoch = h.epoch and s.n = h.n + 1))"""
+
+
 def f12_reconciliation(spark, d):
     return lifecycle.reconciliation(lifecycle.lives(effect_steps(spark, d)))
 
@@ -293,6 +320,7 @@ QUERIES = {
     "e21_final_states": (e21_final_states, with_tables("event", "select operation_id, arg_max(st, n) as status, arg_max(ep, n) as epoch, arg_max(revision, n) as revision, " + ", ".join(f"count(*) filter (outcome = '{o}') as {o}" for o in automaton.OUTCOMES) + " from walk where n > 0 group by 1", COMMAND, CONTROL).replace("with ", "with recursive ", 1)),
     "e10_lives": (e10_lives, with_tables("event", "select operation_id, effect_key, event_id, step, outcome, st as status, revision, (coalesce(st = 'unknown', false)::int - was::int)::int as unknown_change from life where n > 0", EFFECT_STEP, LIVES).replace("with ", "with recursive ", 1)),
     "e10_final_receipts": (e10_final_receipts, with_tables("event", "select operation_id, effect_key, arg_max(st, n) as status, max(revision) as revision, count(*) filter (outcome = 'applied') as applied, count(*) filter (outcome <> 'applied') as turned_down from life where n > 0 group by 1, 2", EFFECT_STEP, LIVES).replace("with ", "with recursive ", 1)),
+    "e19_submissions": (e19_submissions, with_tables("event", "select operation_id, epoch, event_id, step, o as outcome, st as status, dig as digest from held where n > 0", SUBMISSIONS).replace("with ", "with recursive ", 1)),
     "f12_reconciliation": (f12_reconciliation, with_tables("event", "select operation_id, count(distinct effect_key) as effects, count(*) filter (last = 'unknown') as unknown, count(*) filter (last = 'unknown') > 0 as needs_reconciliation from (select operation_id, effect_key, arg_max(st, n) filter (st is not null) as last from life where n > 0 group by 1, 2) group by 1", EFFECT_STEP, LIVES).replace("with ", "with recursive ", 1)),
     "e04_claim": (e04_claim, with_tables("event", f"select event_id, 1::bigint as attempts, timestamp '{NOW}' + interval 30 second as lease_until from outbox where not dispatched and (lease_until is null or lease_until <= timestamp '{NOW}') order by created_at, event_id limit 40", OUTBOX)),
     "e05_acknowledge": (e05_acknowledge, with_tables("event", f"select a.event_id, a.claim_id, case when c.event_id is null then 'unknown' when c.dispatched then 'repeated' when a.claim_id <> 'c' || c.event_id then 'lost' when c.lease_until <= timestamp '{NOW}' then 'expired' else 'acknowledged' end as outcome from (select event_id + case when event_id % 5 = 0 then 100000000 else 0 end as event_id, 'c' || (event_id - case when event_id % 7 = 0 then 1 else 0 end) as claim_id from outbox where event_id % 4 <> 0) a left join outbox c on a.event_id = c.event_id", OUTBOX)),
