@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,3 +101,31 @@ def allocate(requests: DataFrame, groups: DataFrame) -> DataFrame:
     same = (F.col("sha256") == F.col("sha")) & (F.col("size_bytes") == F.col("size"))
     first = F.col("manifest_sha256").isNull() & (F.col("n") == 1)
     return rows.select("request_id", "group_id", F.coalesce("why", F.when(first, "allocated").when(same, "repeated").otherwise("conflict")).alias("outcome"))
+
+
+#: Fixed value: the most placements of an artifact that one deletion takes.
+MOST_PLACEMENTS = 100
+
+
+def deletions(artifacts: DataFrame, protections: list[DataFrame], locations: DataFrame, store: str) -> DataFrame:
+    """artifact_id, placements, outcome and collection_state of deleting artifacts (artifact_id, collection_state) by a worker of one store.
+
+    What a protection names (tables with artifact_id) stays. The worker has to
+    be qualified for every placement (locations: artifact_id, id, store_id,
+    outcome) and for at most ``MOST_PLACEMENTS``; else nothing is claimed. A
+    claimed artifact is ``deleting`` until every placement has been seen to be
+    missing, which may be asked again: deleting twice changes nothing.
+    """
+    held = reduce(DataFrame.unionByName, [p.select(F.col("artifact_id").alias("__held")) for p in protections]).distinct()
+    by = locations.groupBy(F.col("artifact_id").alias("__a")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("store_id").eqNullSafe(F.lit(store))).alias("others"), F.count_if(F.col("outcome").eqNullSafe(F.lit("missing"))).alias("gone"))
+    j = artifacts.join(held, F.col("artifact_id") == F.col("__held"), "left").join(by, F.col("artifact_id") == F.col("__a"), "left")
+    n, others, gone = (F.coalesce(c, F.lit(0).cast("long")) for c in ("n", "others", "gone"))
+    outcome = (
+        F.when(F.col("collection_state") == "deleted", "unchanged")
+        .when(F.col("__held").isNotNull(), "protected")
+        .when((n > MOST_PLACEMENTS) | (others > 0), "unqualified")
+        .when(gone < n, "unconfirmed")
+        .otherwise("deleted")
+    )
+    state = F.when(outcome == "unconfirmed", "deleting").when(outcome == "deleted", "deleted").otherwise(F.col("collection_state"))
+    return j.select("artifact_id", n.alias("placements"), outcome.alias("outcome"), state.alias("collection_state"))

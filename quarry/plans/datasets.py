@@ -222,6 +222,15 @@ def e15_collectable(spark, d):
     return pub.collectable(a, *held, fx.locations(spark, d))
 
 
+def s19_deletions(spark, d):
+    """Artifacts deleted by a worker of one store; protected are those of every fifth, seventh and eleventh first document."""
+    a = fx.artifacts(spark, d)
+    held = [a.filter(F.col("first_doc") % n == 0) for n in (5, 7, 11)]
+    loc = fx.locations(spark, d).withColumn("store_id", F.when(F.substring("artifact_id", 1, 1) < "8", F.lit("store1")).otherwise(F.col("store_id")))
+    seen = loc.withColumn("outcome", F.when(F.substring("artifact_id", 2, 1) < "6", F.lit("missing")).otherwise(F.col("outcome")))
+    return pub.deletions(a.select("artifact_id", "collection_state"), held, seen, "store1")
+
+
 def s02_verify(spark, d):
     docs = fx.table(spark, d, "documents")
     declared = docs.select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("text", 256)).alias("sha256"), (F.octet_length("text") + F.when(F.col("doc_id") % 15 == 0, 1).otherwise(0)).alias("size"), F.when(F.col("doc_id") % 12 != 0, F.col("text").cast("binary")).alias("content"))
@@ -349,6 +358,7 @@ QUERIES = {
     "p09_batch_differences": (p09_batch_differences, with_tables(NEEDED, "select sample_id, revision_id, 'test' as split, 'not_sealed' as problem from member where sample_id like '%7' and split <> 'test' union all select sample_id, revision_id, split, 'lacking' from member where sample_id like '%7' and split <> 'test'", MEMBERS)),
     "p11_manifest_order": (p11_manifest_order, with_tables(NEEDED, "select scope, position, sample_id from (select *, lag(sample_id) over (partition by scope order by position) as before from (select split as scope, cast(right(sample_id, 6) as bigint) % 97 as position, min(sample_id) as sample_id from member group by 1, 2)) where before >= sample_id", MEMBERS)),
     "e15_collectable": (e15_collectable, with_tables("artifact location", "select a.artifact_id, count(l.id) as placements from artifact a left join location l using (artifact_id) where first_doc % 5 <> 0 and first_doc % 7 <> 0 and first_doc % 11 <> 0 group by 1 having count(l.id) <= 100")),
+    "s19_deletions": (s19_deletions, with_tables("artifact location", "select artifact_id, n as placements, outcome, case outcome when 'unconfirmed' then 'deleting' when 'deleted' then 'deleted' else collection_state end as collection_state from (select *, case when first_doc % 5 = 0 or first_doc % 7 = 0 or first_doc % 11 = 0 then 'protected' when n > 100 or others > 0 then 'unqualified' when gone < n then 'unconfirmed' else 'deleted' end as outcome from (select a.artifact_id, any_value(collection_state) as collection_state, any_value(first_doc) as first_doc, count(l.id) as n, count(l.id) filter (a.artifact_id >= '8' and store_id <> 'store1') as others, count(l.id) filter (substr(a.artifact_id, 2, 1) < '6' or l.outcome = 'missing') as gone from artifact a left join location l using (artifact_id) group by 1))")),
     "s02_verify": (s02_verify, "select doc_id, case when doc_id % 12 = 0 then 'missing' when doc_id % 15 = 0 or doc_id % 10 = 0 then 'corrupt' else 'verified' end as status from documents"),
     "s03_range_read": (s03_range_read, "select doc_id, substr(hex(encode(text)), 21, 32) as bytes from documents"),
     "x01_canonical": (x01_canonical, NESTED),
