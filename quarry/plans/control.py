@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import catalog
 from quarry.operators import control as ctl
 from quarry.operators import events as ev
 from quarry.plans import log

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from quarry.functions import text as tx
 from quarry.operators import events as ev
 from quarry.operators import flows, structure
-from quarry.operators import pages as pg
 from quarry.plans.datasets import members
-from quarry.plans.labels import assigned, cells, selected
+from quarry.plans.labels import cells, selected
 from quarry.sources import fixtures as fx
 from quarry.sources.fixtures import with_tables
 
