@@ -147,11 +147,14 @@ def ingest(items: DataFrame, samples: DataFrame) -> DataFrame:
 PART_BYTES, MOST_PARTS = 8 << 20, 32
 
 
-def upload_complete(parts: DataFrame) -> DataFrame:
-    """Whether an upload's parts (upload, number, bytes, declared) are whole: 1 to n, full but for the last, adding up."""
+def upload_complete(parts: DataFrame, last_bytes: int | None = PART_BYTES) -> DataFrame:
+    """Whether an upload's parts (upload, number, bytes, declared) are whole: 1 to n, full but for the last, adding up.
+
+    ``last_bytes``: the most that the last part may have; None where a log has single parts of any size.
+    """
     by = parts.groupBy("upload").agg(F.count(F.lit(1)).alias("parts"), F.count_distinct("number").alias("numbers"), F.min("number").alias("least"), F.max("number").alias("most"), F.sum("bytes").alias("bytes"), F.max("declared").alias("declared"), F.max_by("bytes", "number").alias("last"), F.count_if(F.col("bytes") == PART_BYTES).alias("whole"))
     full = F.col("whole") - (F.col("last") == PART_BYTES).cast("long") == F.col("parts") - 1
-    ok = (F.col("least") == 1) & (F.col("numbers") == F.col("parts")) & (F.col("most") == F.col("parts")) & (F.col("parts") <= MOST_PARTS) & full & (F.col("last") <= PART_BYTES) & (F.col("bytes") == F.col("declared"))
+    ok = (F.col("least") == 1) & (F.col("numbers") == F.col("parts")) & (F.col("most") == F.col("parts")) & (F.col("parts") <= MOST_PARTS) & full & (F.lit(True) if last_bytes is None else F.col("last") <= last_bytes) & (F.col("bytes") == F.col("declared"))
     return by.select("upload", "parts", "bytes", ok.alias("complete"))
 
 

@@ -9,6 +9,7 @@ from quarry.functions import canonical
 from quarry.functions import text as tx
 from quarry.operators import annotation, events, graph, pages, publication, quality, structure, temporal
 from quarry.operators import catalog as cat
+from quarry.plans import log as log_plans
 from quarry.sources import objects
 from quarry.streaming import events as stream
 
@@ -350,3 +351,18 @@ def test_append_and_dispatch(spark, log, tmp_path):
     q.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "ticks"))
     assert values(out.groupBy("outcome").count()) == [("applied", 1), ("ignored", 4), ("quarantined", 7)] and out.filter("submitted").count() == 1
+
+
+def test_upload_with_a_last_part_of_any_size(spark):
+    rows = [(1, 1, events.PART_BYTES, events.PART_BYTES * 2 + 5), (1, 2, events.PART_BYTES + 5, events.PART_BYTES * 2 + 5)]
+    parts = spark.createDataFrame(rows, "upload long, number long, bytes long, declared long")
+    assert [r["complete"] for r in events.upload_complete(parts).collect()] == [False]
+    assert [r["complete"] for r in events.upload_complete(parts, last_bytes=None).collect()] == [True]
+
+
+def test_uploads_of_large_keys(spark, tmp_path):
+    """The last part has as many bytes as the key and more than a part's size."""
+    rows = [(9_000_001, 1), (9_000_001, 2), (9_000_002, 2), (8_999_998, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = log_plans.e24_uploads(spark, str(tmp_path))
+    assert values(out, "upload", "parts", "complete") == [(8_999_998, 1, True), (9_000_001, 2, True), (9_000_002, 1, False)]
