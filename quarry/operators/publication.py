@@ -82,9 +82,20 @@ def collectable(artifacts: DataFrame, retained: DataFrame, bound: DataFrame, ing
 
 
 def accepted_batch(batch: DataFrame, sealed: DataFrame) -> DataFrame:
-    """Rows of a prepared batch that differ from the sealed ones, and sealed ones it lacks: none if it may be accepted."""
+    """Rows of a prepared batch that differ from the sealed ones, and sealed ones it lacks, repeats counted: none if it may be accepted.
+
+    Counts of equal rows are joined. ``exceptAll`` unites both sides, and Spark 4.1
+    takes the union of two merge joins as dealt by their keys without another
+    exchange, so that equal rows of both sides may stand in different partitions.
+    """
     columns = batch.columns
-    return batch.exceptAll(sealed.select(*columns)).withColumn("problem", F.lit("not_sealed")).unionByName(sealed.select(*columns).exceptAll(batch).withColumn("problem", F.lit("lacking")))
+    counted = lambda df, n: df.groupBy(*columns).agg(F.count(F.lit(1)).alias(n))
+    s = counted(sealed.select(*columns), "__sealed").withColumnsRenamed({c: f"__{c}" for c in columns})
+    met = counted(batch, "__given").join(s, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]), "full")
+    more = F.coalesce("__given", F.lit(0)) - F.coalesce("__sealed", F.lit(0))
+    problem = F.when(more > 0, "not_sealed").otherwise("lacking")
+    each = F.explode(F.array_repeat(problem, F.abs(more).cast("int"))).alias("problem")
+    return met.filter(more != 0).select(*[F.coalesce(c, f"__{c}").alias(c) for c in columns], each)
 
 
 def allocate(requests: DataFrame, groups: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@
 import json
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from quarry.functions import canonical
 from quarry.functions import text as tx
 from quarry.operators import annotation, events, graph, pages, publication, quality, structure, temporal
 from quarry.operators import catalog as cat
+from quarry.plans import datasets
 from quarry.plans import log as log_plans
 from quarry.sources import objects
 from quarry.streaming import events as stream
@@ -366,3 +368,20 @@ def test_uploads_of_large_keys(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     out = log_plans.e24_uploads(spark, str(tmp_path))
     assert values(out, "upload", "parts", "complete") == [(8_999_998, 1, True), (9_000_001, 2, True), (9_000_002, 1, False)]
+
+
+def test_batches_are_compared_whatever_the_join(spark):
+    """Without broadcasts both sides end in merge joins dealt by one of the columns."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert datasets.p09_batch_differences(spark, DATA).collect() == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_batch_differences_count_repeats_and_nulls(spark):
+    batch = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "x"), ("b", None), ("c", "x")], "k string, v string")
+    sealed = spark.createDataFrame([("a", "x"), ("b", None), (None, "x"), (None, "x"), ("c", "y")], "k string, v string")
+    got = sorted(map(tuple, publication.accepted_batch(batch, sealed).collect()), key=repr)
+    assert got == sorted([("a", "x", "not_sealed")] * 2 + [("c", "x", "not_sealed"), ("c", "y", "lacking")] + [(None, "x", "lacking")] * 2, key=repr)
