@@ -364,10 +364,10 @@ def test_upload_with_a_last_part_of_any_size(spark):
 
 def test_uploads_of_large_keys(spark, tmp_path):
     """The last part has as many bytes as the key and more than a part's size."""
-    rows = [(9_000_001, 1), (9_000_001, 2), (9_000_002, 2), (8_999_998, 1)]
+    rows = [(9_000_001, 1), (9_000_001, 2), (9_000_002, 2), (8_999_999, 1)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     out = log_plans.e24_uploads(spark, str(tmp_path))
-    assert values(out, "upload", "parts", "complete") == [(8_999_998, 1, True), (9_000_001, 2, True), (9_000_002, 1, False)]
+    assert values(out, "upload", "parts", "complete") == [(8_999_999, 1, True), (9_000_001, 2, True), (9_000_002, 1, False)]
 
 
 def test_batches_are_compared_whatever_the_join(spark):
