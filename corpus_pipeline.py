@@ -3,7 +3,8 @@
 1. language ID: drops documents whose language can't be told (null texts and
    texts without letters) and those that no learned language explains: the
    likelihood of their trigrams is less than half as far above that of
-   trigrams by chance as it is for held-out rows of the leading language;
+   trigrams by chance as it is for held-out rows of the leading language
+   (models and thresholds come from all rows with a language);
 2. MinHash near-dedup: keeps one row of each group, that of the least id
    (five-word shingles, similarity 0.8);
 3. suffix-array dedup: cuts passages of 50 bytes and more that a document of
@@ -41,7 +42,7 @@ def _with_text(df: DataFrame, text: str, kept: list[str]) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = pick(docs, COLUMNS)
     held_out = F.pmod(F.xxhash64(F.lit("held out"), "doc_id", "text"), F.lit(5)) == 0
-    model = langid.fit(docs, ~held_out)
+    model = langid.fit(docs, ~held_out, sample_per_language=None)
     if not model[0]:  # nothing was learned: only texts without letters go
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     least = langid.least_gains(docs, held_out, model)

@@ -7,13 +7,13 @@ set, least first, as long as the likelihood less ``penalty * log(n) / 2`` for
 each language doesn't fall. The prediction is the largest proportion in the
 set that is left, the score that proportion.
 
-Learning reads the labelled rows that the caller admits, about
+Learning reads the labelled rows that the caller admits: all of them, or about
 ``sample_per_language`` of each language by a hash of id and text (all rows of
-a language that has no more), and counts trigrams with ordinary aggregations;
-only the counts (languages times ``BINS``) reach the driver. Every value of
-``lang`` is learned; labels so many that the model would pass
-``MAX_MODEL_BYTES`` aren't languages and are refused. Rows that repeat whole
-are learned from once. Texts that are null or hold no letter are ``und`` with
+a language that has no more), of which those that repeat whole count once. It
+counts trigrams with ordinary aggregations; only the counts (languages times
+``BINS``) reach the driver. Every value of ``lang`` is learned; labels so many
+that the model would pass ``MAX_MODEL_BYTES`` aren't languages and are
+refused. Texts that are null or hold no letter are ``und`` with
 score 0, as is every text if nothing was learned. Texts of any length are
 counted whole, one at a time.
 """
@@ -22,12 +22,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import add_by_text, map_batches, pick
 
 BINS = 1 << 15
+#: Languages whose counts a task holds at once, and steps of a gain's histogram to 1.
+HELD, STEPS = 64, 1 << 14
 #: Size of the largest model that is broadcast (128 KB a language).
 MAX_MODEL_BYTES = 256 << 20
 UNKNOWN = "und"
@@ -65,8 +67,8 @@ def draw(rows: DataFrame, sizes: dict[str, int], each: int, seed: str) -> DataFr
     return drawn.dropDuplicates(["k", "t", "l"]).select("l", "t")
 
 
-def fit(docs: DataFrame, admitted: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_per_language: int = 1000, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
-    """The languages and a float32 table (``BINS`` x languages) of probabilities."""
+def fit(docs: DataFrame, admitted: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_per_language: int | None = 1000, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
+    """The languages and a float32 table (``BINS`` x languages) of probabilities; ``sample_per_language`` None: from all admitted rows."""
     taken = docs.filter(admitted)
     taken = pick(taken, [key, text, lang]).toDF("k", "t", "l").filter("l is not null and t is not null")
     most = MAX_MODEL_BYTES // (4 * BINS)
@@ -75,19 +77,26 @@ def fit(docs: DataFrame, admitted: Column, key: str = "doc_id", text: str = "tex
         raise ValueError(f"more than {most} languages: a model of over {MAX_MODEL_BYTES} bytes isn't broadcast")
     if not sizes:
         return [], np.zeros((BINS, 0), np.float32)
-    sampled = draw(taken, sizes, sample_per_language, "fit")
+    rows = taken.select("l", "t") if sample_per_language is None else draw(taken, sizes, sample_per_language, "fit")
 
     def count(batches):
+        totals: dict[str, np.ndarray] = {}
+
+        def counted():
+            for name, n in totals.items():
+                bins = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(bins), pa.string()), pa.array(bins, pa.int32()), pa.array(n[bins], pa.int64())], names=["l", "bin", "n"])
+
         for b in batches:
-            totals: dict[str, np.ndarray] = {}
             for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 bins, n = trigrams(t)
+                if len(totals) >= HELD and name not in totals:
+                    yield from counted()
+                    totals.clear()
                 totals.setdefault(name, np.zeros(BINS, np.int64))[bins] += n
-            for name, n in totals.items():
-                bins = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(bins), pa.string()), pa.array(bins, pa.int32()), pa.array(n[bins], pa.int64())], names=["l", "bin", "n"])
+        yield from counted()
 
-    rows = map_batches(sampled, count, "l string, bin int, n bigint").groupBy("l", "bin").agg(F.sum("n").alias("n")).toArrow()
+    rows = map_batches(rows, count, "l string, bin int, n bigint").groupBy("l", "bin").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(rows.column("l").to_pylist()))
     counts = np.full((BINS, len(names)), smoothing)
     column = np.array([names.index(x) for x in rows.column("l").to_pylist()], np.int64)
@@ -131,19 +140,22 @@ def gain(bins: np.ndarray, n: np.ndarray, table: np.ndarray, on: np.ndarray, sha
     return float(n @ np.log(table[np.ix_(bins, on)].astype(np.float64) @ share) / n.sum() + np.log(BINS))
 
 
-def least_gains(docs: DataFrame, held_out: Column, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text", lang: str = "lang", sample_per_language: int = 200) -> dict[str, float]:
-    """For each language the gain under which a text isn't explained by it: half the median of rows in it that the model hasn't learned from, not under 0; 0 without such rows."""
+def least_gains(docs: DataFrame, held_out: Column, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, float]:
+    """For each language the gain under which a text isn't explained by it: half the median of all rows in it that the model hasn't learned from, not under 0; 0 without such rows.
+
+    The median is the lower one, down to the next of ``STEPS`` steps to 1: it is
+    read from a histogram, whose size doesn't depend on the number of rows.
+    """
     least = dict.fromkeys(model[0], 0.0)
     if not least:
         return least
     taken = pick(docs.filter(held_out), [key, text, lang]).toDF("k", "t", "l").filter(F.col("l").isin(*least) & F.col("t").isNotNull())
-    sizes = {r["l"]: r["n"] for r in taken.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return least
-    sampled = draw(taken, sizes, sample_per_language, "gain")
-    scored = predict(sampled, model, "t", ["l"], gains=True).filter("gain is not null")
-    for r in scored.groupBy("l").agg(F.percentile_approx("gain", 0.5).alias("mid")).collect():
-        least[r["l"]] = max(0.0, r["mid"] / 2)
+    scored = predict(taken, model, "t", ["l"], gains=True).filter("gain is not null")
+    counted = scored.groupBy("l", F.floor(F.col("gain") * STEPS).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("l")
+    upto = counted.select("l", "step", F.sum("n").over(w.orderBy("step")).alias("upto"), F.sum("n").over(w).alias("all"))
+    for r in upto.filter("2 * upto >= all").groupBy("l").agg(F.min("step").alias("mid")).collect():
+        least[r["l"]] = max(0.0, r["mid"] / STEPS / 2)
     return least
 
 

@@ -115,3 +115,34 @@ def test_whole_run(spark, corpus):
     got = cp.run(spark, folder).collect()
     assert sorted((r["doc_id"], tuple(r["ids"]), r["n_tokens"]) for r in got) == sorted((d, tuple(lib.encode_ordinary(t)), len(lib.encode_ordinary(t))) for d, t in want)
     assert all(r["round_trip"] for r in got) and len(want) < len(rows) - 8
+
+
+def test_model_and_thresholds_from_all_rows(spark, monkeypatch):
+    """More rows of a language than any sample had: every one counts, and the thresholds are halves of the medians."""
+    from pyspark.sql import functions as F
+
+    from quarry.llm import langid
+
+    monkeypatch.setattr(langid, "draw", None)
+    rnd = random.Random(3)
+    word = lambda abc: "".join(rnd.choice(abc) for _ in range(rnd.randint(2, 7)))
+    rows = [(i, " ".join(word("abcdef" if i % 3 else "uvwxyz") for _ in range(12)), "a" if i % 3 else "u") for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = F.col("doc_id") % 2 == 0
+    names, table = model = langid.fit(df, ~out, sample_per_language=None)
+    for j, name in enumerate(names):
+        counts = np.full(langid.BINS, 0.1)
+        for i, t, lang in rows:
+            if i % 2 and lang == name:
+                bins, n = langid.trigrams(t)
+                counts[bins] += n
+        assert np.allclose(table[:, j], counts / counts.sum())
+    least = langid.least_gains(df, out, model)
+    for name in names:
+        gains = []
+        for i, t, lang in rows:
+            if i % 2 == 0 and lang == name:
+                bins, n = langid.trigrams(t)
+                gains.append(langid.gain(bins, n, table, *langid.infer(bins, n, table)))
+        mid = sorted(gains)[(len(gains) - 1) // 2]
+        assert mid / 2 - 1 / langid.STEPS < least[name] <= mid / 2
