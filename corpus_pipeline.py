@@ -29,6 +29,8 @@ from quarry.llm import decontaminate, langid, neardup, repeats, tokens
 from quarry.llm.common import pick, remove_folder, stage_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Determinised states and pre-tokens that a worker of the last stage keeps: after four other stages the heaps of executors are full.
+STATES, WORDS = 120_000, 100_000
 #: Proportion of the leading language under which a document is rejected.
 LEAST_SHARE = 0.3
 
@@ -71,7 +73,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = pick(docs, COLUMNS)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    done = tokens.round_trip(docs, path, public_tokenizers.PATTERN, keep=docs.columns)
+    done = tokens.round_trip(docs, path, public_tokenizers.PATTERN, keep=docs.columns, states=STATES, words=WORDS)
     return done.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 

@@ -103,8 +103,9 @@ class Pairs:
 class Transducer:
     """bytes -> token ids, for one pre-token at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], proven: Iterable[bytes] | None = None):
+    def __init__(self, ranks: dict[bytes, int], proven: Iterable[bytes] | None = None, most: int | None = None):
         self.ranks = ranks
+        self.most = MAX_STATES if most is None else most
         self.pairs = Pairs(ranks)
         self.child: dict[int, int] = {}
         self.token: list[int] = [-1]
@@ -157,7 +158,7 @@ class Transducer:
                 outs_on = [out[n:] for out in outs_on]
         # Where all have tokens pending, what was emitted before doesn't matter any more.
         key = (last if () in outs_on else -2, tuple(nodes_on), tuple(outs_on))
-        if len(self.states) >= MAX_STATES and key not in self.ids:
+        if len(self.states) >= self.most and key not in self.ids:
             self.clear()  # the state that asked is gone: its number may come again, so this transition isn't kept
             state = -1
         to = self.ids.setdefault(key, len(self.states))
@@ -212,18 +213,19 @@ class Encoder:
     text are joined bytes.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, proven: Iterable[bytes] | None = None):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, proven: Iterable[bytes] | None = None, states: int | None = None, words: int | None = None):
         import regex
 
         self.find = regex.compile(pattern).findall
-        self.machine = Transducer(ranks, proven)
+        self.machine = Transducer(ranks, proven, states)
+        self.most = MAX_WORDS if words is None else words
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def learn(self, found: list[list[str]]) -> None:
         """Make sure that ``words`` holds every pre-token of ``found``."""
         distinct = set().union(*found)
-        if len(self.words) > MAX_WORDS:
+        if len(self.words) > self.most:
             self.words, self.older = {}, self.words
         gc.disable()  # states hold no cycles, and there are many of them to look through
         try:

@@ -80,12 +80,12 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", keep: list[str] | N
     return add_by_text(df, make, "decoded string", ids, keep, keeps=True)
 
 
-def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``ids`` and ``decoded`` in one pass: what ``decode`` makes of what ``encode`` makes of the text."""
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, states: int = bpe.MAX_STATES, words: int = bpe.MAX_WORDS) -> DataFrame:
+    """Adds ``ids`` and ``decoded`` in one pass: what ``decode`` makes of what ``encode`` makes of the text. ``states`` and ``words`` bound a worker's caches."""
     data, digest = _vocabulary(df, ranks_path)
 
     def make():
-        encoder, table = once(("both", digest, pattern), lambda: (bpe.Encoder(bpe.load_ranks(data.value), pattern), _tokens(data.value)))
+        encoder, table = once(("both", digest, pattern, states, words), lambda: (bpe.Encoder(bpe.load_ranks(data.value), pattern, states=states, words=words), _tokens(data.value)))
 
         def of(texts: list[str]) -> list:
             ids = _lists(encoder.encode_all(texts))

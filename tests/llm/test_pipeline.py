@@ -146,3 +146,13 @@ def test_model_and_thresholds_from_all_rows(spark, monkeypatch):
                 gains.append(langid.gain(bins, n, table, *langid.infer(bins, n, table)))
         mid = sorted(gains)[(len(gains) - 1) // 2]
         assert mid / 2 - 1 / langid.STEPS < least[name] <= mid / 2
+
+
+def test_small_caches_give_the_same_ids():
+    from quarry.llm import bpe
+
+    rnd = random.Random(5)
+    texts = [" ".join("".join(rnd.choice("abcdefghé ") for _ in range(rnd.randint(1, 14))) for _ in range(40)) for _ in range(30)]
+    one, two = bpe.Encoder(RANKS, public_tokenizers.PATTERN), bpe.Encoder(RANKS, public_tokenizers.PATTERN, states=40, words=20)
+    assert list(one.encode_all(texts)) == [b for t in texts for b in two.encode_all([t])]
+    assert len(two.machine.states) <= 41 and two.most == 20
