@@ -2,37 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.functions.binding import let
-
-
-def _shared(a: Column, b: Column) -> Column:
-    """How many elements two sorted arrays share, repeats counted: one walk along both."""
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).cast("long").alias("both"))
+from quarry.llm.common import map_batches
 
-    def step(acc: Column, _: Column) -> Column:
-        def of(at: Column) -> Column:
-            x, y = at["x"], at["y"]
-            over = x.isNull() | y.isNull()
-            return F.when(over, acc).otherwise(F.struct((acc["i"] + (x <= y).cast("int")).alias("i"), (acc["j"] + (y <= x).cast("int")).alias("j"), (acc["both"] + (x == y).cast("long")).alias("both")))
+# Workers get this module's functions with their task: they needn't have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-        return let(F.struct(F.get(a, acc["i"]).alias("x"), F.get(b, acc["j"]).alias("y")), of)
 
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a) + F.size(b)))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.aggregate(steps, start, step, lambda acc: acc["both"])).otherwise(F.lit(0).cast("long"))
+def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many tokens two texts share, repeats counted, and how many both have: f1, of batches of id and both texts."""
+    for b in rows:
+        f1 = []
+        for p, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            p, e = p.split(), e.split()
+            n = len(p) + len(e)
+            # 2PR / (P + R) with P = both / p and R = both / e is 2 both / (p + e).
+            f1.append(2 * (Counter(p) & Counter(e)).total() / n if n else 1.0)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f1, pa.float64())], names=["id", "f1"])
 
 
 def token_f1(cases: DataFrame) -> DataFrame:
     """id and f1 of the token multisets of ``predicted`` and ``expected``; both empty: 1, one empty: 0. Both texts stand in one row, so nothing is exchanged."""
-    side = lambda c: F.array_sort(tx.tokens(F.coalesce(F.col(c), F.lit("")))).alias(c)
+    side = lambda c: tx.token_text(F.coalesce(F.col(c), F.lit(""))).alias(c)
     rows = cases.select("id", side("predicted"), side("expected"))
-    n = F.size("predicted") + F.size("expected")
-    # 2PR / (P + R) with P = both / p and R = both / e is 2 both / (p + e).
-    f1 = F.when(n == 0, 1.0).otherwise(F.round(2 * _shared(F.col("predicted"), F.col("expected")).cast("double") / n, 12))
-    return rows.select("id", f1.alias("f1"))
+    return map_batches(rows, _shared, f"id {rows.schema['id'].dataType.simpleString()}, f1 double", keeps=True).select("id", F.round("f1", 12).alias("f1"))
 
 
 def averages(scores: DataFrame) -> DataFrame:
