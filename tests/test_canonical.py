@@ -68,3 +68,15 @@ def test_texts_of_unknown_keys(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(canonical.json_text(F.col("t"))).collect()]
     assert got == [None if t is None else dumps(json.loads(t), False) for t in texts]
+
+
+def test_texts_are_converted_a_few_at_a_time(monkeypatch):
+    """A batch's texts are never all Python objects at once; nulls, empty batches and slices' ends keep their places."""
+    texts = [None if i % 7 == 0 else '{"b": %d, "a": "é"}' % i for i in range(2 * canonical.SLICE + 1)]
+    want = [None if x is None else canonical.canonical(x) for x in texts]
+    seen = []
+    real = canonical.pa.array
+    monkeypatch.setattr(canonical.pa, "array", lambda x, kind: seen.append(len(x)) or real(x, kind))
+    assert canonical.converted(real(texts)).to_pylist() == want
+    assert max(seen) == canonical.SLICE
+    assert canonical.converted(real([], canonical.pa.string())).to_pylist() == []
